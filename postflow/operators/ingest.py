@@ -172,3 +172,35 @@ def upsert(inc: DataFrame, current: DataFrame | None, as_of: dt.datetime) -> Ups
     new = with_defaults(new_postings(inc, current), as_of)
     _, bad = split_required(inc)
     return UpsertResult(new, summary(inc, current), bad)
+
+
+def assign_ids(new_rows: DataFrame, base_id: int | DataFrame, partitions: int | None = None) -> DataFrame:
+    """Dense surrogate ids base+1, base+2, ... in run order, without one global window.
+
+    Rows are range-partitioned on the run order and sorted within each range;
+    the rows are cut from their lineage with `checkpoint()` (to the shared
+    checkpoint folder) so the split and the in-range positions are fixed; the
+    per-range counts (one small row per range) give each range its offset.
+    `base_id` is the largest stored id, or the stored table to take it from.
+    """
+    from postflow.session import checkpoint_dir
+
+    spark = new_rows.sparkSession
+    checkpoint_dir(spark)
+    n = partitions or max(spark.sparkContext.defaultParallelism, 1)
+    ranged = (new_rows.repartitionByRange(n, *RUN_ORDER).sortWithinPartitions(*RUN_ORDER)
+              .withColumn("_pid", F.spark_partition_id())
+              .withColumn("_pos", F.monotonically_increasing_id()))
+    ranged = ranged.checkpoint(eager=True)
+    # position inside the range: monotonically_increasing_id is (pid << 33) + row index
+    ranged = ranged.withColumn("_pos", F.col("_pos") - F.shiftleft(F.col("_pid").cast("long"), 33))
+    sizes = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_pid", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    if isinstance(base_id, DataFrame):
+        # one scalar (the largest stored id) comes back to the driver
+        base_id = base_id.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+    offsets = offsets.withColumn("_base", F.lit(int(base_id)))
+    out = ranged.join(F.broadcast(offsets), "_pid")
+    return out.withColumn("id", (F.col("_base") + F.col("_off") + F.col("_pos") + 1).cast("long")).drop(
+        "_pid", "_pos", "_off", "_base")

@@ -84,3 +84,150 @@ QUERIES: dict[str, Query] = {
     "union_summary": union_summary,
     "ingest_new_rows": ingest_new_rows,
 }
+
+
+# ---------------------------------------------------------------------------
+# links (L1-L5, C2, C3, A10, A11, B10, B11, D2, F1, H4-H6, H11)
+# ---------------------------------------------------------------------------
+
+from postflow.operators import links  # noqa: E402
+
+
+def link_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return derive.page_results(spark, sf_dir)
+
+
+def link_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return links.counts(derive.page_results(spark, sf_dir))
+
+
+def dead_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return links.dead_lines(derive.page_results(spark, sf_dir))
+
+
+def dead_mark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    current = derive.page_postings(pages)
+    results = links.check_postings(current, derive.page_responses(pages))
+    return links.mark_dead(current, results, derive.AS_OF).select("id", "job_board_id", "dead_at")
+
+
+def check_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    current = derive.page_postings(table(spark, sf_dir, "pages"))
+    return links.check_queue(current, limit=50).select("id", "job_board_id")
+
+
+def report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return links.report_lines(derive.page_results(spark, sf_dir))
+
+
+def fetch_reduce(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return links.reduce_fetch_log(derive.fetch_log(table(spark, sf_dir, "events")))
+
+
+QUERIES.update({
+    "link_status": link_status,
+    "link_counts": link_counts,
+    "dead_export": dead_export,
+    "dead_mark": dead_mark,
+    "check_queue": check_queue,
+    "report_lines": report_lines,
+    "fetch_reduce": fetch_reduce,
+})
+
+
+# ---------------------------------------------------------------------------
+# board, queue, prompts, generation
+# ---------------------------------------------------------------------------
+
+from postflow.operators import board, materials  # noqa: E402
+
+
+def status_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return board.fold_status(derive.event_status_changes(table(spark, sf_dir, "events")))
+
+
+def status_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return board.status_history(derive.event_status_changes(table(spark, sf_dir, "events")))
+
+
+def _view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return derive.doc_view(spark, sf_dir)
+
+
+def pending_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return materials.pending(_view(spark, sf_dir)).select("id", "job_board_id", "title")
+
+
+def queue_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from postflow.functions.text import has_text
+
+    v = _view(spark, sf_dir)
+    return v.agg(
+        F.count(F.lit(1)).alias("tracked"),
+        F.count_if(F.col("generated_cover_letter").isNull()).alias("pending"),
+        F.count_if(has_text("generated_cover_letter")).alias("generated"),
+        F.count_if(F.col("generated_cover_letter") == "").alias("shown_missing"),
+        F.count_if(F.col("dead_at").isNotNull()).alias("dead"),
+    )
+
+
+def prompt_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    p = materials.prompts(materials.pending(_view(spark, sf_dir)), derive.RESUME_SUMMARY)
+    return p.select(
+        "job_board_id", F.md5("cover_prompt").alias("cover_md5"), F.md5("email_prompt").alias("email_md5"),
+        F.length("cover_prompt").cast("long").alias("cover_chars"),
+        F.length("email_prompt").cast("long").alias("email_chars"))
+
+
+def generate_materials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return materials.run_generation(_view(spark, sf_dir), derive.RESUME_SUMMARY, "echo", derive.AS_OF)
+
+
+def generation_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    view = _view(spark, sf_dir)
+    produced = materials.run_generation(view, derive.RESUME_SUMMARY, "echo", derive.AS_OF)
+    return materials.run_summary(view, produced)
+
+
+def board_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return board.listing(_view(spark, sf_dir))
+
+
+def board_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return board.listing(_view(spark, sf_dir), limit=100)
+
+
+def status_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return board.normalisation_changes(_view(spark, sf_dir), derive.AS_OF)
+
+
+def posting_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = _view(spark, sf_dir)
+    return board.lookup(v, "doc-7").drop("source", "contact_name", "contact_email", "contact_confidence")
+
+
+def assign_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = _stored(spark, sf_dir)
+    new = ingest.new_postings(greenhouse_scan(spark, sf_dir), stored)
+    return ingest.assign_ids(new, stored).select("id", "job_board_id")
+
+
+QUERIES.update({
+    "status_fold": status_fold,
+    "status_history": status_history,
+    "pending_queue": pending_queue,
+    "queue_counts": queue_counts,
+    "prompt_build": prompt_build,
+    "generate_materials": generate_materials,
+    "generation_summary": generation_summary,
+    "board_view": board_view,
+    "board_listing": board_listing,
+    "status_normalise": status_normalise,
+    "posting_lookup": posting_lookup,
+    "assign_ids": assign_ids,
+})

@@ -222,3 +222,176 @@ def stored_postings(documents: DataFrame, labels: DataFrame) -> DataFrame:
     w = Window.partitionBy("job_board_id").orderBy("id")
     first = rows.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") == 1).drop("_rn")
     return with_defaults(first, AS_OF).select(*schema.POSTING_COLUMNS)
+
+
+# ---------------------------------------------------------------------------
+# link checking inputs from `pages`
+# ---------------------------------------------------------------------------
+
+# Text appended to page bodies per case (test pages carry none of the phrases).
+_GONE_TEXT = " no longer accepting applications"
+_CLOSED_TEXT = " This job is no longer available"
+_APPLY_TEXT = " Apply for this job"
+_TWO_PHRASES = " Posting has closed. Job not found"
+BLANK_URL = " \t\u00a0"
+
+
+def page_case() -> Column:
+    return F.col("page_id") % 8
+
+
+def page_url() -> Column:
+    """Stored URL of a page posting; every 16th is blank (spaces, tab, no-break space)."""
+    return F.when(F.col("page_id") % 16 == 15, F.lit(BLANK_URL)).otherwise(F.col("url"))
+
+
+def page_postings(pages: DataFrame) -> DataFrame:
+    """One stored posting per page: id = page_id, title from <title>, company = host."""
+    null_s = F.lit(None).cast("string")
+    return pages.select(
+        F.col("page_id").alias("id"),
+        F.concat(F.lit("page-"), F.col("page_id").cast("string")).alias("job_board_id"),
+        F.regexp_extract("html", "<title>(.*?)</title>", 1).alias("title"),
+        F.regexp_extract("url", "://([^/?#]+)", 1).alias("company"),
+        F.lit("").alias("location"),
+        F.lit("").alias("description"),
+        page_url().alias("url"),
+        F.lit(AS_OF).cast("timestamp_ntz").alias("date_scraped"),
+        F.lit(schema.DEFAULT_STATUS).alias("status"),
+        null_s.alias("generated_cover_letter"), null_s.alias("generated_cold_email"),
+        null_s.alias("contact_name"), null_s.alias("contact_email"), null_s.alias("contact_confidence"),
+        # every 11th page was already found dead earlier and is not checked again
+        F.when(F.col("page_id") % 11 == 10, F.lit(AS_OF - dt.timedelta(days=1)).cast("timestamp_ntz"))
+         .otherwise(F.lit(None).cast("timestamp_ntz")).alias("dead_at"),
+        F.lit("page").alias("source"),
+    )
+
+
+def page_responses(pages: DataFrame) -> DataFrame:
+    """Landed HEAD/GET answers per page URL, case by page_id % 8."""
+    c = page_case()
+    head = (F.when(c.isin(0, 1), 200).when(c == 2, 404).when(c == 3, 410).when(c == 4, 503)
+            .when(c == 5, None).when(c == 6, 405).otherwise(429))
+    get = F.when(c.isin(0, 1, 6), 200).when(c == 2, 404).when(c == 3, 410)
+    extra = (F.when(c == 1, F.lit(_CLOSED_TEXT)).when(c == 2, F.lit(_GONE_TEXT)).when(c == 3, F.lit(_APPLY_TEXT))
+             .when(c == 6, F.lit(_TWO_PHRASES)).otherwise(F.lit("")))
+    return pages.select(
+        F.col("url"),
+        head.cast("int").alias("head_code"),
+        get.cast("int").alias("get_code"),
+        F.when(get.isNotNull(), F.concat(F.col("html"), extra)).alias("body"),
+        F.when(c == 5, F.lit("ConnectTimeout")).alias("exc"),
+    )
+
+
+def page_results(spark: SparkSession, sf_dir: str, limit: int = 0) -> DataFrame:
+    from postflow.operators import links
+
+    pages = table(spark, sf_dir, "pages")
+    return links.check_postings(page_postings(pages), page_responses(pages), limit=limit)
+
+
+# ---------------------------------------------------------------------------
+# fetch attempt log from `events`
+# ---------------------------------------------------------------------------
+
+def fetch_log(events: DataFrame) -> DataFrame:
+    """Attempt log: every 4 consecutive events are the attempts 0..3 of one URL
+    (attempt 3 lies beyond the default cap of 2 retries and must be ignored)."""
+    e = F.col("event_type")
+    code = F.when(e == "view", 200).when(e == "purchase", 404).when(e == "click", 503).when(e == "signup", 500)
+    return events.select(
+        F.concat(F.lit("https://boards.example.com/e/"), F.expr("event_id div 4").cast("string")).alias("url"),
+        (F.col("event_id") % 4).cast("int").alias("attempt"),
+        code.cast("int").alias("code"),
+        F.when(e == "error", F.lit("ConnectionError")).alias("exc"),
+        F.when(F.col("value") < 5, F.lit("<html>oops</html>")).otherwise(F.col("props")).alias("body"),
+    )
+
+
+# ---------------------------------------------------------------------------
+# stored postings, texts, status changes and dead marks from documents/labels/events
+# ---------------------------------------------------------------------------
+
+RESUME_SUMMARY = "Data analyst with five years of SQL, Python and dashboard work in retail and health."
+
+# Status names events stand for (the last one is not a known status).
+EVENT_STATUS = {"view": "To Apply", "click": "Applied", "purchase": "Interviewing",
+                "signup": "Rejected", "error": "On Hold"}
+
+
+def doc_key() -> Column:
+    return F.concat(F.lit("doc-"), F.col("doc_id").cast("string"))
+
+
+def doc_postings(documents: DataFrame) -> DataFrame:
+    """One stored posting per document, keyed `doc-<doc_id>`, id doc_id + 1."""
+    null_s = F.lit(None).cast("string")
+    st = F.col("doc_id") % 13
+    return documents.select(
+        (F.col("doc_id") + 1).alias("id"),
+        doc_key().alias("job_board_id"),
+        first_sentence().alias("title"),
+        F.col("source").alias("company"),
+        F.col("lang").alias("location"),
+        F.col("text").alias("description"),
+        derived_url().alias("url"),
+        (F.lit(AS_OF).cast("timestamp_ntz") - F.make_dt_interval((F.col("doc_id") % 30).cast("int"))).alias("date_scraped"),
+        F.when(st == 0, F.lit("Ghosted")).when(st == 1, F.lit("Applied")).otherwise(F.lit(schema.DEFAULT_STATUS))
+         .alias("status"),
+        null_s.alias("generated_cover_letter"), null_s.alias("generated_cold_email"),
+        null_s.alias("contact_name"), null_s.alias("contact_email"), null_s.alias("contact_confidence"),
+        F.lit(None).cast("timestamp_ntz").alias("dead_at"),
+        F.lit("doc").alias("source"),
+    )
+
+
+def label_materials(labels: DataFrame) -> DataFrame:
+    """Texts generated earlier for labelled documents: quality 0 gives an empty
+    letter, toxic 1 an empty email, both together a failed run (still pending)."""
+    failed = (F.col("quality") == 0) & (F.col("toxic") == 1)
+    return labels.select(
+        doc_key().alias("job_board_id"),
+        F.when(failed, None).when(F.col("quality") == 1, F.concat(F.lit("Cover letter "), F.col("doc_id").cast("string")))
+         .otherwise(F.lit("")).alias("cover_letter"),
+        F.when(failed, None).when(F.col("toxic") == 1, F.lit(""))
+         .otherwise(F.concat(F.lit("Cold email "), F.col("doc_id").cast("string"))).alias("cold_email"),
+        F.lit("seed").alias("generator"),
+        F.lit(AS_OF - dt.timedelta(days=1)).cast("timestamp_ntz").alias("generated_at"),
+        F.when(failed, F.lit("TimeoutError")).alias("error"),
+    )
+
+
+def event_status_changes(events: DataFrame) -> DataFrame:
+    """Status edits: user N edits posting doc-N; several may share one second."""
+    e = F.col("event_type")
+    status = F.lit(None).cast("string")
+    for k, v in EVENT_STATUS.items():
+        status = F.when(e == k, F.lit(v)).otherwise(status)
+    return events.select(
+        F.concat(F.lit("doc-"), F.col("user_id").cast("string")).alias("job_board_id"),
+        status.alias("status"),
+        F.to_timestamp_ntz(F.date_format("ts", "yyyy-MM-dd HH:mm:ss")).alias("changed_at"),
+        F.col("event_id").alias("seq"),
+    )
+
+
+def doc_dead_marks(documents: DataFrame) -> DataFrame:
+    """Dead marks: doc_id % 9 == 4 found dead at AS_OF; some marked again a day later."""
+    d = documents.filter(F.col("doc_id") % 9 == 4)
+    first = d.select(doc_key().alias("job_board_id"), F.lit(AS_OF).cast("timestamp_ntz").alias("dead_at"))
+    again = d.filter(F.col("doc_id") % 2 == 0).select(
+        doc_key().alias("job_board_id"), F.lit(AS_OF + dt.timedelta(days=1)).cast("timestamp_ntz").alias("dead_at"))
+    return first.unionByName(again)
+
+
+def doc_view(spark: SparkSession, sf_dir: str, with_changes: bool = True, with_dead: bool = True) -> DataFrame:
+    from postflow.operators.board import current_view
+
+    docs = table(spark, sf_dir, "documents")
+    return current_view(
+        doc_postings(docs),
+        status_changes=event_status_changes(table(spark, sf_dir, "events")) if with_changes else None,
+        materials=label_materials(table(spark, sf_dir, "labels")),
+        dead_marks=doc_dead_marks(docs) if with_dead else None,
+    )

@@ -129,3 +129,254 @@ ORACLES: dict[str, str] = {
     "source_union": f"SELECT {_COLS} FROM ({UNION_ROWS}) u",
     "union_summary": _summary(f"SELECT {_COLS} FROM ({UNION_ROWS}) u"),
 }
+
+
+# ---------------------------------------------------------------------------
+# link checking over `pages`
+# ---------------------------------------------------------------------------
+
+_PHRASES = [
+    "no longer accepting applications",
+    "this position has been filled",
+    "this job is no longer available",
+    "posting has closed",
+    "job not found",
+]
+_PHRASE_CASE = "CASE " + " ".join(f"WHEN contains(b, '{p}') THEN '{p}'" for p in _PHRASES) + " END"
+
+LINK_RESULTS = f"""
+WITH resp AS (
+  SELECT url,
+    CASE page_id % 8 WHEN 0 THEN 200 WHEN 1 THEN 200 WHEN 2 THEN 404 WHEN 3 THEN 410 WHEN 4 THEN 503
+                     WHEN 5 THEN NULL WHEN 6 THEN 405 ELSE 429 END AS head_code,
+    CASE WHEN page_id % 8 IN (0, 1, 6) THEN 200 WHEN page_id % 8 = 2 THEN 404 WHEN page_id % 8 = 3 THEN 410 END
+      AS get_code,
+    html || CASE page_id % 8 WHEN 1 THEN ' This job is no longer available'
+                             WHEN 2 THEN ' no longer accepting applications'
+                             WHEN 3 THEN ' Apply for this job'
+                             WHEN 6 THEN ' Posting has closed. Job not found' ELSE '' END AS body,
+    CASE WHEN page_id % 8 = 5 THEN 'ConnectTimeout' END AS exc
+  FROM pages),
+eff AS (
+  SELECT url, exc,
+    CASE WHEN head_code IN (200, 403, 404, 405, 410) THEN get_code ELSE head_code END AS code,
+    lower(CASE WHEN head_code IN (200, 403, 404, 405, 410) AND get_code IS NOT NULL THEN body ELSE '' END) AS b
+  FROM resp),
+ph AS (SELECT *, {_PHRASE_CASE} AS phrase FROM eff),
+verdict AS (
+  SELECT url,
+    CASE WHEN exc IS NOT NULL THEN NULL ELSE code END AS status_code,
+    CASE WHEN exc IS NOT NULL THEN false
+         WHEN code IN (404, 410) AND contains(b, 'apply for this job') THEN true
+         WHEN code IN (404, 410) THEN false
+         WHEN code IS NULL OR code <> 200 THEN false
+         WHEN phrase IS NOT NULL THEN false ELSE true END AS live,
+    CASE WHEN exc IS NOT NULL THEN exc
+         WHEN code IN (404, 410) AND contains(b, 'apply for this job') THEN 'live-content-despite-404'
+         WHEN code IN (404, 410) THEN NULL
+         WHEN code IS NULL OR code <> 200 THEN 'HTTP ' || coalesce(CAST(code AS VARCHAR), 'None')
+         WHEN phrase IS NOT NULL THEN 'closed: ''' || phrase || ''''
+         ELSE NULL END AS error
+  FROM ph),
+verdict2 AS (
+  SELECT *, CASE WHEN live THEN 'live'
+                 WHEN status_code IN (404, 410) OR coalesce(starts_with(error, 'closed:'), false) THEN 'dead'
+                 ELSE 'unknown' END AS status
+  FROM verdict),
+posts AS (
+  SELECT page_id AS job_id, 'page-' || CAST(page_id AS VARCHAR) AS job_board_id,
+    regexp_extract(url, '://([^/?#]+)', 1) || ' — ' || regexp_extract(html, '<title>(.*?)</title>', 1) AS label,
+    CASE WHEN page_id % 16 = 15 THEN '' ELSE url END AS url
+  FROM pages WHERE page_id % 11 <> 10)
+SELECT p.job_id, p.job_board_id, p.label, p.url,
+  CASE WHEN p.url = '' THEN NULL ELSE v.status_code END AS status_code,
+  CASE WHEN p.url = '' OR v.url IS NULL THEN false ELSE v.live END AS live,
+  CASE WHEN p.url = '' THEN 'no url on record' WHEN v.url IS NULL THEN 'not fetched' ELSE v.error END AS error,
+  CASE WHEN p.url = '' OR v.url IS NULL THEN 'unknown' ELSE v.status END AS status
+FROM posts p LEFT JOIN verdict2 v ON p.url = v.url"""
+
+FETCH_LOG = """
+  SELECT 'https://boards.example.com/e/' || CAST(event_id // 4 AS VARCHAR) AS url,
+    CAST(event_id % 4 AS INTEGER) AS attempt,
+    CASE event_type WHEN 'view' THEN 200 WHEN 'purchase' THEN 404 WHEN 'click' THEN 503 WHEN 'signup' THEN 500 END
+      AS code,
+    CASE WHEN event_type = 'error' THEN 'ConnectionError' END AS exc,
+    CASE WHEN value < 5 THEN '<html>oops</html>' ELSE props END AS body
+  FROM events"""
+
+ORACLES.update({
+    "link_status": f"SELECT * FROM ({LINK_RESULTS}) r",
+    "link_counts": f"""SELECT CAST(count_if(status = 'live') AS BIGINT) AS live,
+        CAST(count_if(status = 'dead') AS BIGINT) AS dead, CAST(count_if(status = 'unknown') AS BIGINT) AS unknown,
+        CAST(count(*) AS BIGINT) AS checked FROM ({LINK_RESULTS}) r""",
+    "dead_export": f"""SELECT CAST(job_id AS VARCHAR) || chr(9) || url || chr(9)
+        || coalesce(nullif(error, ''), CAST(status_code AS VARCHAR)) AS value
+        FROM ({LINK_RESULTS}) r WHERE status = 'dead'""",
+    "dead_mark": f"""SELECT page_id AS id, 'page-' || CAST(page_id AS VARCHAR) AS job_board_id,
+        CASE WHEN page_id % 11 = 10 THEN TIMESTAMP '2025-12-31 00:00:00'
+             WHEN page_id IN (SELECT job_id FROM ({LINK_RESULTS}) r WHERE status = 'dead')
+             THEN TIMESTAMP '2026-01-01 00:00:00' END AS dead_at
+        FROM pages""",
+    "check_queue": """SELECT page_id AS id, 'page-' || CAST(page_id AS VARCHAR) AS job_board_id
+        FROM pages WHERE page_id % 11 <> 10 ORDER BY page_id DESC LIMIT 50""",
+    "report_lines": f"""SELECT job_id,
+        rpad(substr(label, 1, 40), 40, ' ') || ' ' || rpad(status, 7, ' ') || ' '
+        || CASE WHEN status_code IS NOT NULL AND status_code <> 0 THEN 'HTTP ' || CAST(status_code AS VARCHAR)
+                ELSE '-' END
+        || CASE WHEN coalesce(error, '') <> '' THEN '  (' || error || ')' ELSE '' END AS line
+        FROM ({LINK_RESULTS}) r""",
+    "fetch_reduce": f"""
+        WITH capped AS (SELECT *, (exc IS NULL AND code < 500) AS term FROM ({FETCH_LOG}) l
+                        WHERE attempt BETWEEN 0 AND 2),
+        r AS (SELECT *, row_number() OVER (PARTITION BY url ORDER BY term DESC,
+                     CASE WHEN term THEN attempt END ASC, attempt DESC) AS rn FROM capped)
+        SELECT url, attempt + 1 AS attempts, code,
+          CASE WHEN term AND code < 400 AND NOT json_valid(body) THEN 'bad_body'
+               WHEN term AND code < 400 THEN 'ok' WHEN term THEN 'client_error' ELSE 'gave_up' END AS outcome,
+          CASE WHEN term AND code < 400 AND NOT json_valid(body) THEN 'JSONDecodeError'
+               WHEN term AND code < 400 THEN NULL WHEN exc IS NOT NULL THEN exc
+               ELSE 'HTTP ' || CAST(code AS VARCHAR) END AS error,
+          CAST(1.0 AS DOUBLE) * (pow(2.0, attempt) - 1) AS slept_s
+        FROM r WHERE rn = 1""",
+})
+
+
+# ---------------------------------------------------------------------------
+# board, queue, prompts, generation over documents / labels / events
+# ---------------------------------------------------------------------------
+
+from postflow import schema as _schema  # noqa: E402
+from postflow.functions.prompts import template_pieces  # noqa: E402
+from postflow.plans.derive import EVENT_STATUS, RESUME_SUMMARY  # noqa: E402
+
+
+def _sql_lit(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def _prompt_sql(template: str) -> str:
+    values = {"title": "title", "company": "company", "description": "description",
+              "resume_summary": _sql_lit(RESUME_SUMMARY)}
+    parts = []
+    for literal, hole in template_pieces(template):
+        if literal:
+            parts.append(_sql_lit(literal))
+        if hole is not None:
+            parts.append(f"coalesce({values[hole]}, '')")
+    return "(" + " || ".join(parts) + ")"
+
+
+COVER_SQL = _prompt_sql(_schema.COVER_LETTER_TEMPLATE)
+EMAIL_SQL = _prompt_sql(_schema.COLD_EMAIL_TEMPLATE)
+
+_EVENT_STATUS = "CASE event_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in EVENT_STATUS.items()) + " END"
+
+CHANGES = f"""
+  SELECT 'doc-' || CAST(user_id AS VARCHAR) AS job_board_id, {_EVENT_STATUS} AS status,
+    date_trunc('second', ts) AS changed_at, event_id AS seq
+  FROM events"""
+
+LATEST_STATUS = f"""
+  SELECT job_board_id, status, changed_at, changes FROM (
+    SELECT *, row_number() OVER (PARTITION BY job_board_id ORDER BY changed_at DESC, seq DESC) AS rn,
+      count(*) OVER (PARTITION BY job_board_id) AS changes
+    FROM ({CHANGES}) c) x
+  WHERE rn = 1"""
+
+MATERIALS = """
+  SELECT 'doc-' || CAST(doc_id AS VARCHAR) AS job_board_id,
+    CASE WHEN quality = 0 AND toxic = 1 THEN NULL WHEN quality = 1 THEN 'Cover letter ' || CAST(doc_id AS VARCHAR)
+         ELSE '' END AS cover_letter,
+    CASE WHEN quality = 0 AND toxic = 1 THEN NULL WHEN toxic = 1 THEN ''
+         ELSE 'Cold email ' || CAST(doc_id AS VARCHAR) END AS cold_email,
+    CASE WHEN quality = 0 AND toxic = 1 THEN 'TimeoutError' END AS error
+  FROM labels"""
+
+
+def _view(with_changes: bool = True, with_dead: bool = True) -> str:
+    status = "coalesce(l.status, p.status0)" if with_changes else "p.status0"
+    dead = ("CASE WHEN p.doc_id % 9 = 4 THEN TIMESTAMP '2026-01-01 00:00:00' END" if with_dead
+            else "CAST(NULL AS TIMESTAMP)")
+    return f"""
+  SELECT p.id, p.job_board_id, p.title, p.company, p.location, p.description, p.url, p.date_scraped,
+    {status} AS status, m.cover_letter AS generated_cover_letter, m.cold_email AS generated_cold_email,
+    {dead} AS dead_at
+  FROM (SELECT doc_id, doc_id + 1 AS id, 'doc-' || CAST(doc_id AS VARCHAR) AS job_board_id,
+          split_part(text, '.', 1) AS title, source AS company, lang AS location, text AS description,
+          {_U} AS url,
+          TIMESTAMP '2026-01-01 00:00:00' - to_days(CAST(doc_id % 30 AS INTEGER)) AS date_scraped,
+          CASE doc_id % 13 WHEN 0 THEN 'Ghosted' WHEN 1 THEN 'Applied' ELSE 'To Apply' END AS status0
+        FROM documents) p
+  LEFT JOIN ({LATEST_STATUS}) l USING (job_board_id)
+  LEFT JOIN (SELECT * FROM ({MATERIALS}) mm WHERE error IS NULL) m USING (job_board_id)"""
+
+
+_SHOWN = "CASE WHEN status IN ('To Apply', 'Applied', 'Interviewing', 'Rejected') THEN status ELSE 'To Apply' END"
+_LISTING = f"""
+  SELECT id, job_board_id, date_scraped,
+    title || ' — ' || company || '  ·  ' || {_SHOWN} AS header,
+    {_SHOWN} AS status_shown,
+    length(coalesce(generated_cover_letter, '')) > 0 AS has_cover_letter,
+    length(coalesce(generated_cold_email, '')) > 0 AS has_cold_email,
+    location, url
+  FROM ({_view()}) v"""
+
+_PROMPTS = f"""
+  SELECT job_board_id, {COVER_SQL} AS cover_prompt, {EMAIL_SQL} AS email_prompt
+  FROM ({_view()}) v WHERE generated_cover_letter IS NULL"""
+
+_GENERATED = f"""
+  SELECT job_board_id,
+    CASE WHEN md5(cover_prompt) LIKE '00%' OR md5(email_prompt) LIKE '00%' THEN 'GenerationError' END AS error,
+    CASE WHEN md5(cover_prompt) LIKE 'f%' THEN ''
+         ELSE CAST(length(cover_prompt) AS VARCHAR) || ':' || md5(cover_prompt) END AS c,
+    CASE WHEN md5(email_prompt) LIKE 'f%' THEN ''
+         ELSE CAST(length(email_prompt) AS VARCHAR) || ':' || md5(email_prompt) END AS e
+  FROM ({_PROMPTS}) p"""
+
+_STORED_MAX = f"""
+  SELECT max(id) FROM (
+    SELECT doc_id + 1 AS id, row_number() OVER (
+      PARTITION BY 'greenhouse-' || substr(sha1(CASE WHEN doc_id % 10 IN (5, 9) THEN '' ELSE {_U} END), 1, 10)
+      ORDER BY doc_id) AS rn
+    FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)) s WHERE rn = 1"""
+
+ORACLES.update({
+    "status_fold": f"SELECT * FROM ({LATEST_STATUS}) s",
+    "status_history": f"""SELECT job_board_id, status, changed_at, seq,
+        lag(status) OVER (PARTITION BY job_board_id ORDER BY changed_at, seq) AS previous_status
+        FROM ({CHANGES}) c""",
+    "pending_queue": f"SELECT id, job_board_id, title FROM ({_view()}) v WHERE generated_cover_letter IS NULL",
+    "queue_counts": f"""SELECT CAST(count(*) AS BIGINT) AS tracked,
+        CAST(count_if(generated_cover_letter IS NULL) AS BIGINT) AS pending,
+        CAST(count_if(length(coalesce(generated_cover_letter, '')) > 0) AS BIGINT) AS generated,
+        CAST(count_if(generated_cover_letter = '') AS BIGINT) AS shown_missing,
+        CAST(count_if(dead_at IS NOT NULL) AS BIGINT) AS dead
+        FROM ({_view()}) v""",
+    "prompt_build": f"""SELECT job_board_id, md5(cover_prompt) AS cover_md5, md5(email_prompt) AS email_md5,
+        CAST(length(cover_prompt) AS BIGINT) AS cover_chars, CAST(length(email_prompt) AS BIGINT) AS email_chars
+        FROM ({_PROMPTS}) p""",
+    "generate_materials": f"""SELECT job_board_id,
+        CASE WHEN error IS NULL THEN c END AS cover_letter, CASE WHEN error IS NULL THEN e END AS cold_email,
+        'echo' AS generator, TIMESTAMP '2026-01-01 00:00:00' AS generated_at, error
+        FROM ({_GENERATED}) g""",
+    "generation_summary": f"""SELECT
+        CAST(count_if(error IS NULL AND c <> '') AS BIGINT) AS generated,
+        CAST(count_if(error IS NULL AND c = '') AS BIGINT) AS empty,
+        CAST(count_if(error IS NOT NULL) AS BIGINT) AS failed,
+        CAST(count_if(error IS NOT NULL) AS BIGINT) AS remaining
+        FROM ({_GENERATED}) g""",
+    "board_view": f"SELECT * FROM ({_LISTING}) l",
+    "board_listing": f"SELECT * FROM ({_LISTING}) l ORDER BY date_scraped DESC, id DESC LIMIT 100",
+    "status_normalise": f"""SELECT job_board_id, 'To Apply' AS status, TIMESTAMP '2026-01-01 00:00:00' AS changed_at,
+        CAST(0 AS BIGINT) AS seq FROM ({_view()}) v WHERE {_SHOWN} <> status""",
+    "posting_lookup": f"SELECT * FROM ({_view()}) v WHERE job_board_id = 'doc-7'",
+    "assign_ids": f"""
+        WITH inc AS ({GREENHOUSE_ROWS}),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY job_board_id
+                     ORDER BY source_ord, payload_ord, entry_ord) AS rn FROM inc WHERE {_OK}),
+        new AS (SELECT * FROM ranked WHERE rn = 1
+                  AND job_board_id NOT IN (SELECT job_board_id FROM ({STORED_KEYS}) s))
+        SELECT CAST(({_STORED_MAX}) + row_number() OVER (ORDER BY source_ord, payload_ord, entry_ord) AS BIGINT) AS id,
+          job_board_id FROM new""",
+})
