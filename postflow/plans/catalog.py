@@ -231,3 +231,49 @@ QUERIES.update({
     "posting_lookup": posting_lookup,
     "assign_ids": assign_ids,
 })
+
+
+# ---------------------------------------------------------------------------
+# store and streaming
+# ---------------------------------------------------------------------------
+
+from postflow.session import scratch_path  # noqa: E402
+from postflow.sources.store import PostingStore  # noqa: E402
+from postflow.streaming import ingest as streaming  # noqa: E402
+
+
+def ingest_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Land greenhouse responses, stream them into a store seeded with the
+    stored postings, and return the store's postings."""
+    base = scratch_path(spark, "ingest-stream")
+    docs = table(spark, sf_dir, "documents")
+    streaming.land_payloads(derive.payloads(docs, "greenhouse"), f"{base}/landing")
+    store = PostingStore(spark, f"{base}/store")
+    store.seed(_stored(spark, sf_dir), batch_id=-1)
+    q = streaming.ingest_stream(spark, f"{base}/landing", store, f"{base}/checkpoint", as_of=derive.AS_OF)
+    q.awaitTermination()
+    if q.exception() is not None:
+        raise RuntimeError(str(q.exception()))
+    return store.postings()
+
+
+def generate_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stream stored postings through generation; return the texts the stream wrote."""
+    from pyspark.sql import functions as F
+
+    base = scratch_path(spark, "generate-stream")
+    store = PostingStore(spark, f"{base}/store")
+    store.seed(derive.doc_postings(table(spark, sf_dir, "documents")), batch_id=-1)
+    store.append_materials(derive.label_materials(table(spark, sf_dir, "labels")), batch_id=-1)
+    q = streaming.generation_stream(spark, store, f"{base}/checkpoint", derive.RESUME_SUMMARY, "echo",
+                                    as_of=derive.AS_OF)
+    q.awaitTermination()
+    if q.exception() is not None:
+        raise RuntimeError(str(q.exception()))
+    return store.read("materials", with_batch=True).filter(F.col("batch_id") >= 0).drop("batch_id")
+
+
+QUERIES.update({
+    "ingest_stream": ingest_stream,
+    "generate_stream": generate_stream,
+})

@@ -380,3 +380,36 @@ ORACLES.update({
         SELECT CAST(({_STORED_MAX}) + row_number() OVER (ORDER BY source_ord, payload_ord, entry_ord) AS BIGINT) AS id,
           job_board_id FROM new""",
 })
+
+
+_STORED_ROWS = f"""
+  SELECT id, job_board_id, title, company, location, description, url FROM (
+    SELECT *, row_number() OVER (PARTITION BY job_board_id ORDER BY id) AS rn FROM (
+      SELECT doc_id + 1 AS id, 'greenhouse-' || substr(sha1(gurl), 1, 10) AS job_board_id,
+        split_part(text, '.', 1) AS title, source AS company, 'City of ' || lang AS location,
+        text AS description, gurl AS url
+      FROM (SELECT *, CASE WHEN doc_id % 10 IN (5, 9) THEN '' ELSE {_U} END AS gurl
+            FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)) a) b) c
+  WHERE rn = 1"""
+
+_NEW_WITH_IDS = f"""
+  WITH inc AS ({GREENHOUSE_ROWS}),
+  ranked AS (SELECT *, row_number() OVER (PARTITION BY job_board_id
+               ORDER BY source_ord, payload_ord, entry_ord) AS rn FROM inc WHERE {_OK}),
+  new AS (SELECT * FROM ranked WHERE rn = 1
+            AND job_board_id NOT IN (SELECT job_board_id FROM ({STORED_KEYS}) s))
+  SELECT CAST(({_STORED_MAX}) + row_number() OVER (ORDER BY source_ord, payload_ord, entry_ord) AS BIGINT) AS id,
+    job_board_id, title, company, location, description, url FROM new"""
+
+_POSTING_TAIL = """TIMESTAMP '2026-01-01 00:00:00' AS date_scraped, 'To Apply' AS status,
+    CAST(NULL AS VARCHAR) AS generated_cover_letter, CAST(NULL AS VARCHAR) AS generated_cold_email,
+    CAST(NULL AS VARCHAR) AS contact_name, CAST(NULL AS VARCHAR) AS contact_email,
+    CAST(NULL AS VARCHAR) AS contact_confidence, CAST(NULL AS TIMESTAMP) AS dead_at, 'greenhouse' AS source"""
+
+ORACLES.update({
+    "ingest_stream": f"""
+        SELECT *, {_POSTING_TAIL} FROM ({_STORED_ROWS}) s
+        UNION ALL
+        SELECT *, {_POSTING_TAIL} FROM ({_NEW_WITH_IDS}) n""",
+    "generate_stream": ORACLES["generate_materials"],
+})
