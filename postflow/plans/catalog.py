@@ -277,3 +277,199 @@ QUERIES.update({
     "ingest_stream": ingest_stream,
     "generate_stream": generate_stream,
 })
+
+
+# ---------------------------------------------------------------------------
+# configuration and second wave (A4, A5, H2, X1-X16, C2/D4/B11 with shared URLs)
+# ---------------------------------------------------------------------------
+
+from pyspark.sql import functions as F  # noqa: E402
+
+from postflow.functions.text import posting_key  # noqa: E402
+from postflow.operators import extras  # noqa: E402
+from postflow.sources import config  # noqa: E402
+
+
+def _config_sources(docs: DataFrame) -> DataFrame:
+    o = derive.source_ord_of()
+    typ = (F.when(o % 4 == 0, F.lit("greenhouse")).when(o % 4 == 1, F.lit("ashby"))
+           .when(o % 4 == 2, F.lit("seek")).otherwise(F.lit("lever")))
+    return docs.select("source").distinct().select(
+        o.alias("source_ord"), typ.alias("type"),
+        F.concat(F.lit("  "), F.col("source"), F.lit(" Board  ")).alias("token"),
+        F.when(typ == "seek", F.concat(F.lit(" Data  Analyst "), F.upper(F.col("source")))).alias("title"),
+        F.when(typ == "seek", F.when(o % 8 == 2, F.lit(None)).otherwise(F.lit(" New South Wales ")))
+         .cast("string").alias("location"),
+        F.lit(None).cast("string").alias("title_contains"))
+
+
+def plan_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    listed = _config_sources(docs)
+    sources = config.resolve_sources(listed, config.legacy_source(spark, derive.SEARCH_TITLE))
+    return config.plan_requests(sources)
+
+
+def source_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    k = F.col("doc_id") % 6
+    line = (F.when(k == 0, F.concat(F.lit("# "), F.col("source"), F.lit(" boards")))
+            .when(k == 1, F.lit("   "))
+            .when(k == 2, F.concat(F.lit("greenhouse "), F.col("source")))
+            .when(k == 3, F.concat(F.lit("  Ashby   "), F.col("source"), F.lit("  ")))
+            .when(k == 4, F.concat(F.lit("workday "), F.col("source")))
+            .otherwise(F.when(F.expr("(doc_id div 6) % 2") == 0, F.lit("lever"))
+                       .otherwise(F.concat(F.lit("lever "), F.col("source"), F.lit(" extra words")))))
+    return config.parse_source_lines(docs.select(line.alias("value")))
+
+
+def board_from_url(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    k = F.col("doc_id") % 6
+    src = F.col("source")
+    url = (F.when(k == 0, F.concat(F.lit("https://boards.greenhouse.io/"), src, F.lit("/jobs/"),
+                                   F.col("doc_id").cast("string")))
+           .when(k == 1, F.concat(F.lit("job-boards.greenhouse.io/"), src))
+           .when(k == 2, F.concat(F.lit("http://jobs.lever.co/"), src, F.lit("?lever-origin=applied")))
+           .when(k == 3, F.concat(F.lit("JOBS.ASHBYHQ.COM/"), src, F.lit("/"), F.md5("text")))
+           .when(k == 4, F.concat(F.lit("https://careers."), src, F.lit(".example.com/jobs")))
+           .otherwise(F.lit("https://jobs.lever.co/")))
+    r = config.board_from_url(url)
+    return docs.select(F.col("doc_id"), url.alias("url"), r["type"].alias("type"), r["token"].alias("token"),
+                       r["error"].alias("error"))
+
+
+def x_provider_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    k = F.col("page_id") % 3
+    pid = F.when(k == 0, F.lit(None)).when(k == 1, F.lit("")).otherwise(extras.id_from_url("url"))
+    return pages.select("page_id", extras.url_without_query("url").alias("url_norm"),
+                        extras.provider_key("adzuna", pid, F.col("url")).alias("job_board_id"))
+
+
+def x_rekey(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    id_keyed = (F.col("page_id") % 4 == 0) & (extras.id_from_url("url") != "")
+    old_key = F.when(id_keyed, posting_key(F.lit("adzuna"), extras.id_from_url("url"))).otherwise(
+        extras.provider_key("adzuna", F.lit(None).cast("string"), F.col("url")))
+    stored = pages.select((F.col("page_id") + 1).alias("id"), old_key.alias("job_board_id"), "url",
+                          F.lit("adzuna").alias("source"))
+    return extras.rekey(stored, "adzuna").select("id", "job_board_id", "rekeyed")
+
+
+_TITLE_TERMS = ["the", "la", "und"]
+_LOCATION_TERMS = ["city of en", "city of fr"]
+
+
+def x_location_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = ashby_scan(spark, sf_dir)
+    return rows.filter(extras.matches_filters("title", "location", _TITLE_TERMS, _LOCATION_TERMS))
+
+
+def x_board_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    res = ingest.scan(derive.payloads(docs, "greenhouse"),
+                      derive.sources(docs, "greenhouse", title_contains="THE"), types=["greenhouse"])
+    return extras.board_states(res.incoming, res.rejects, ["the"], ["city of en", "remote"]).drop("board")
+
+
+def x_board_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cust = table(spark, sf_dir, "customer")
+    companies = cust.select(F.col("c_name").alias("company"))
+    known = cust.filter(F.col("c_custkey") % 7 == 0).select(
+        F.lit("greenhouse").alias("type"), extras.company_slug("c_name").alias("token"))
+    return extras.board_candidates(companies, known)
+
+
+def x_contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extras.find_contacts(derive.doc_postings(table(spark, sf_dir, "documents")))
+
+
+def x_bounded_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return materials.run_generation(_view(spark, sf_dir), derive.RESUME_SUMMARY, "echo", derive.AS_OF, limit=50)
+
+
+def x_bounded_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extras.bounded_run_counts(_view(spark, sf_dir), 50)
+
+
+def x_live_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extras.still_listed(_view(spark, sf_dir)).select("id", "job_board_id")
+
+
+def x_manual_add(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conv = table(spark, sf_dir, "conversations")
+    url = F.concat(F.lit("https://manual.example.com/"), F.col("conv_id").cast("string"),
+                   F.when(F.col("turn") % 2 == 0, F.lit("")).otherwise(F.concat(F.lit("/"), F.col("turn").cast("string"))))
+    rows = conv.select(
+        F.col("conv_id").cast("int").alias("payload_ord"), F.col("turn").cast("int").alias("entry_ord"),
+        derive.first_sentence().alias("title"), F.col("role").alias("company"), F.lit("Remote").alias("location"),
+        F.col("text").alias("description"), url.alias("url"))
+    inc = extras.manual_postings(rows)
+    stored = derive.doc_postings(table(spark, sf_dir, "documents"))
+    return ingest.new_postings(inc.select(*schema.INCOMING_COLUMNS), stored).select(
+        "payload_ord", "entry_ord", "job_board_id", "title", "company", "url")
+
+
+def _nations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "nation")
+
+
+def x_search_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cust = table(spark, sf_dir, "customer")
+    nation = _nations(spark, sf_dir)
+    locations = cust.join(nation, cust.c_nationkey == nation.n_nationkey).select(F.col("n_name").alias("location"))
+    country = nation.join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(
+        F.col("n_name").alias("location"), F.col("r_name").alias("country"))
+    return extras.search_plan(["data analyst", "data engineer"], locations, country)
+
+
+def x_location_alias(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cust = table(spark, sf_dir, "customer")
+    nation = _nations(spark, sf_dir)
+    k = F.col("c_custkey") % 3
+    raw = cust.join(nation, cust.c_nationkey == nation.n_nationkey).select(
+        F.when(k == 0, F.lower("n_name")).when(k == 1, F.replace("n_name", F.lit("_"), F.lit(" ")))
+         .otherwise(F.col("n_name")).alias("location"))
+    aliases = nation.select(F.lower("n_name").alias("alias"), F.col("n_name").alias("canonical")).unionByName(
+        nation.select(F.replace("n_name", F.lit("_"), F.lit(" ")).alias("alias"), F.col("n_name").alias("canonical")))
+    return extras.canonical_locations(raw, aliases)
+
+
+def x_source_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = extras.with_source(source_union(spark, sf_dir).drop("source"))
+    return rows.groupBy("source").agg(F.count(F.lit(1)).alias("postings"))
+
+
+def x_text_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seeded = derive.label_materials(table(spark, sf_dir, "labels"))
+    return extras.text_history(seeded.unionByName(generate_materials(spark, sf_dir)))
+
+
+def link_by_url(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    posts = derive.shared_url_postings(docs)
+    responses = derive.url_responses(posts.select("url").distinct())
+    return links.check_postings(posts, responses).select("job_id", "url", "status_code", "live", "error", "status")
+
+
+QUERIES.update({
+    "plan_requests": plan_requests,
+    "source_lines": source_lines,
+    "board_from_url": board_from_url,
+    "x_provider_key": x_provider_key,
+    "x_rekey": x_rekey,
+    "x_location_filter": x_location_filter,
+    "x_board_state": x_board_state,
+    "x_board_candidates": x_board_candidates,
+    "x_contacts": x_contacts,
+    "x_bounded_run": x_bounded_run,
+    "x_bounded_counts": x_bounded_counts,
+    "x_live_postings": x_live_postings,
+    "x_manual_add": x_manual_add,
+    "x_search_plan": x_search_plan,
+    "x_location_alias": x_location_alias,
+    "x_source_counts": x_source_counts,
+    "x_text_history": x_text_history,
+    "link_by_url": link_by_url,
+})

@@ -395,3 +395,30 @@ def doc_view(spark: SparkSession, sf_dir: str, with_changes: bool = True, with_d
         materials=label_materials(table(spark, sf_dir, "labels")),
         dead_marks=doc_dead_marks(docs) if with_dead else None,
     )
+
+
+# ---------------------------------------------------------------------------
+# postings sharing URLs (each distinct URL is checked once)
+# ---------------------------------------------------------------------------
+
+def shared_url_postings(documents: DataFrame) -> DataFrame:
+    """One posting per document; URLs repeat across documents and every 13th is blank."""
+    null_s = F.lit(None).cast("string")
+    url = F.when(F.col("doc_id") % 13 == 0, F.lit("  ")).otherwise(
+        F.concat(F.lit("https://jobs.example.com/"), F.col("lang"), F.lit("/"), (F.col("doc_id") % 50).cast("string")))
+    return documents.select(
+        (F.col("doc_id") + 1).alias("id"), doc_key().alias("job_board_id"), first_sentence().alias("title"),
+        F.col("source").alias("company"), url.alias("url"),
+        F.lit(None).cast("timestamp_ntz").alias("dead_at"), null_s.alias("status"))
+
+
+def url_responses(urls: DataFrame) -> DataFrame:
+    """Landed answers per distinct URL, case by the number at the end of the URL."""
+    n = F.regexp_extract("url", "/([0-9]+)$", 1).cast("int") % 5
+    return urls.filter(F.col("url") != "  ").select(
+        "url",
+        F.when(n.isin(0, 3), 200).when(n == 1, 404).when(n == 2, 503).cast("int").alias("head_code"),
+        F.when(n.isin(0, 3), 200).when(n == 1, 404).cast("int").alias("get_code"),
+        F.when(n == 3, F.lit("<p>This position has been filled</p>")).when(n.isin(0, 1), F.lit("<p>open</p>"))
+         .alias("body"),
+        F.when(n == 4, F.lit("ReadTimeout")).alias("exc"))

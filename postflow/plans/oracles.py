@@ -413,3 +413,172 @@ ORACLES.update({
         SELECT *, {_POSTING_TAIL} FROM ({_NEW_WITH_IDS}) n""",
     "generate_stream": ORACLES["generate_materials"],
 })
+
+
+# ---------------------------------------------------------------------------
+# configuration and second wave
+# ---------------------------------------------------------------------------
+
+_SRC_ORD = "CAST(substr(source, 4) AS INTEGER)"
+_CFG = f"""
+  SELECT {_SRC_ORD} AS source_ord,
+    CASE {_SRC_ORD} % 4 WHEN 0 THEN 'greenhouse' WHEN 1 THEN 'ashby' WHEN 2 THEN 'seek' ELSE 'lever' END AS type,
+    '  ' || source || ' Board  ' AS token,
+    ' Data  Analyst ' || upper(source) AS title,
+    CASE WHEN {_SRC_ORD} % 8 = 2 THEN NULL ELSE ' New South Wales ' END AS location
+  FROM (SELECT DISTINCT source FROM documents) d"""
+
+_URL_NORM = ("regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)([^?#]*)', 1) || "
+             "regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)([^?#]*)', 2)")
+_PID = "regexp_extract(url, '/([0-9]+)/?(?:[?#]|$)', 1)"
+
+_BFU_URL = """CASE doc_id % 6
+      WHEN 0 THEN 'https://boards.greenhouse.io/' || source || '/jobs/' || CAST(doc_id AS VARCHAR)
+      WHEN 1 THEN 'job-boards.greenhouse.io/' || source
+      WHEN 2 THEN 'http://jobs.lever.co/' || source || '?lever-origin=applied'
+      WHEN 3 THEN 'JOBS.ASHBYHQ.COM/' || source || '/' || md5(text)
+      WHEN 4 THEN 'https://careers.' || source || '.example.com/jobs'
+      ELSE 'https://jobs.lever.co/' END"""
+_URL_RE = "'^(?:[A-Za-z][A-Za-z0-9+.-]*://)?([^/?#]+)(?:/([^/?#]*))?'"
+
+_LINES = """CASE doc_id % 6
+      WHEN 0 THEN '# ' || source || ' boards' WHEN 1 THEN '   '
+      WHEN 2 THEN 'greenhouse ' || source WHEN 3 THEN '  Ashby   ' || source || '  '
+      WHEN 4 THEN 'workday ' || source
+      ELSE CASE WHEN (doc_id // 6) % 2 = 0 THEN 'lever' ELSE 'lever ' || source || ' extra words' END END"""
+
+_VIEW_DOCS = _view()
+
+_TITLE_OK = "(contains(lower(title), 'the') OR contains(lower(title), 'la') OR contains(lower(title), 'und'))"
+_LOC_OK = ("(contains(lower(location), 'remote') OR contains(lower(location), 'city of en') "
+           "OR contains(lower(location), 'city of fr'))")
+
+_SHARED = """
+  SELECT doc_id + 1 AS job_id,
+    CASE WHEN doc_id % 13 = 0 THEN '' ELSE 'https://jobs.example.com/' || lang || '/' || CAST(doc_id % 50 AS VARCHAR) END
+      AS url
+  FROM documents"""
+
+ORACLES.update({
+    "plan_requests": f"""SELECT source_ord, type,
+        CASE type
+          WHEN 'seek' THEN 'https://www.seek.com.au/' || lower(replace(trim(title), ' ', '-')) || '-jobs/in-'
+                           || lower(replace(trim(coalesce(location, 'All Australia')), ' ', '-')) || '?rss=true'
+          WHEN 'greenhouse' THEN 'https://boards-api.greenhouse.io/v1/boards/' || trim(token) || '/jobs?content=true'
+          WHEN 'ashby' THEN 'https://api.ashbyhq.com/posting-api/job-board/' || trim(token) END AS request_url
+        FROM ({_CFG}) c WHERE type <> 'lever'""",
+    "source_lines": f"""
+        WITH l AS (SELECT trim({_LINES}) AS l FROM documents),
+        k AS (SELECT regexp_split_to_array(l, '\\s+') AS p FROM l WHERE l <> '' AND NOT starts_with(l, '#'))
+        SELECT lower(p[1]) AS type, CASE WHEN len(p) > 1 THEN p[2] END AS token,
+          CASE WHEN lower(p[1]) NOT IN ('seek', 'greenhouse', 'lever', 'ashby', 'adzuna')
+                 THEN 'Unknown source type: ' || lower(p[1])
+               WHEN len(p) < 2 THEN 'missing board token'
+               WHEN len(p) > 2 THEN 'extra text after the token' END AS reason
+        FROM k""",
+    "board_from_url": f"""
+        WITH u AS (SELECT doc_id, {_BFU_URL} AS url FROM documents),
+        p AS (SELECT doc_id, url, lower(regexp_extract(url, {_URL_RE}, 1)) AS host,
+                     regexp_extract(url, {_URL_RE}, 2) AS tok FROM u),
+        t AS (SELECT *, CASE host WHEN 'boards.greenhouse.io' THEN 'greenhouse'
+                                  WHEN 'job-boards.greenhouse.io' THEN 'greenhouse'
+                                  WHEN 'jobs.lever.co' THEN 'lever' WHEN 'jobs.ashbyhq.com' THEN 'ashby' END AS typ
+              FROM p),
+        e AS (SELECT *, CASE WHEN typ IS NULL THEN 'not a known careers host: ' || host
+                             WHEN tok = '' THEN 'no board token in URL' END AS error FROM t)
+        SELECT doc_id, url, CASE WHEN error IS NULL THEN typ END AS type,
+          CASE WHEN error IS NULL THEN tok END AS token, error FROM e""",
+    "x_provider_key": f"""SELECT page_id, {_URL_NORM} AS url_norm,
+        'adzuna-' || substr(sha1(coalesce(nullif(CASE page_id % 3 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE {_PID} END, ''),
+                                          nullif({_URL_NORM}, ''), '')), 1, 10) AS job_board_id
+        FROM pages""",
+    "x_rekey": f"""
+        WITH s AS (SELECT page_id + 1 AS id, url, {_PID} AS pid,
+                     CASE WHEN page_id % 4 = 0 AND {_PID} <> '' THEN 'adzuna-' || substr(sha1({_PID}), 1, 10)
+                          ELSE 'adzuna-' || substr(sha1(coalesce(nullif({_URL_NORM}, ''), '')), 1, 10) END AS old_key
+                   FROM pages),
+        k AS (SELECT *, CASE WHEN pid <> '' THEN 'adzuna-' || substr(sha1(pid), 1, 10) ELSE old_key END AS new_key FROM s),
+        r AS (SELECT *, row_number() OVER (PARTITION BY new_key ORDER BY (old_key = new_key) DESC, id) AS rn FROM k)
+        SELECT id, new_key AS job_board_id, old_key <> new_key AS rekeyed FROM r WHERE rn = 1""",
+    "x_location_filter": f"""SELECT {_COLS} FROM ({ASHBY_ROWS}) a WHERE coalesce({_TITLE_OK} AND {_LOC_OK}, false)""",
+    "x_board_state": f"""
+        WITH rows AS ({ORACLES['title_filter']}),
+        per AS (SELECT source_ord, CAST(count(*) AS BIGINT) AS postings,
+                  CAST(sum(CASE WHEN coalesce(contains(lower(title), 'the') AND (contains(lower(location), 'remote')
+                           OR contains(lower(location), 'city of en') OR contains(lower(location), 'city of en')),
+                           false) THEN 1 ELSE 0 END) AS BIGINT) AS matching
+                FROM rows GROUP BY source_ord),
+        bad AS (SELECT CAST(substr(source, 4) AS INTEGER) AS source_ord,
+                  CAST(count(DISTINCT doc_id // {PAGE_SIZE}) AS BIGINT) AS failed_responses
+                FROM documents WHERE doc_id % 10 = 7 GROUP BY 1)
+        SELECT coalesce(p.source_ord, b.source_ord) AS source_ord, coalesce(p.postings, 0) AS postings,
+          coalesce(p.matching, 0) AS matching, coalesce(b.failed_responses, 0) AS failed_responses,
+          CASE WHEN coalesce(p.postings, 0) = 0 AND coalesce(b.failed_responses, 0) > 0 THEN 'dead'
+               WHEN coalesce(p.matching, 0) > 0 THEN 'match' ELSE 'live' END AS state
+        FROM per p FULL OUTER JOIN bad b ON p.source_ord = b.source_ord""",
+    "x_board_candidates": """
+        WITH s AS (SELECT DISTINCT regexp_replace(lower(c_name), '[^a-z0-9]', '', 'g') AS token FROM customer),
+        t AS (SELECT * FROM (VALUES ('greenhouse'), ('lever'), ('ashby')) v(type)),
+        known AS (SELECT 'greenhouse' AS type, regexp_replace(lower(c_name), '[^a-z0-9]', '', 'g') AS token
+                  FROM customer WHERE c_custkey % 7 = 0)
+        SELECT t.type, s.token FROM s, t WHERE s.token <> ''
+          AND NOT EXISTS (SELECT 1 FROM known k WHERE k.type = t.type AND k.token = s.token)""",
+    "x_contacts": """SELECT 'doc-' || CAST(doc_id AS VARCHAR) AS job_board_id, CAST(NULL AS VARCHAR) AS contact_name,
+        nullif(regexp_extract(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+[.][A-Za-z]{2,}', 0), '') AS contact_email,
+        CASE WHEN regexp_extract(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+[.][A-Za-z]{2,}', 0) <> ''
+             THEN 'published' ELSE 'none' END AS contact_confidence
+        FROM documents""",
+    "x_bounded_run": f"""SELECT job_board_id,
+        CASE WHEN error IS NULL THEN c END AS cover_letter, CASE WHEN error IS NULL THEN e END AS cold_email,
+        'echo' AS generator, TIMESTAMP '2026-01-01 00:00:00' AS generated_at, error
+        FROM ({_GENERATED}) g
+        WHERE job_board_id IN (SELECT job_board_id FROM ({_VIEW_DOCS}) v WHERE generated_cover_letter IS NULL
+                               ORDER BY id LIMIT 50)""",
+    "x_bounded_counts": f"""SELECT CAST(least(count(*), 50) AS BIGINT) AS processed,
+        CAST(greatest(count(*) - 50, 0) AS BIGINT) AS remaining
+        FROM ({_VIEW_DOCS}) v WHERE generated_cover_letter IS NULL""",
+    "x_live_postings": f"SELECT id, job_board_id FROM ({_VIEW_DOCS}) v WHERE dead_at IS NULL",
+    "x_manual_add": """
+        WITH m AS (SELECT CAST(conv_id AS INTEGER) AS payload_ord, CAST(turn AS INTEGER) AS entry_ord,
+                     split_part(text, '.', 1) AS title, role AS company,
+                     'https://manual.example.com/' || CAST(conv_id AS VARCHAR)
+                       || CASE WHEN turn % 2 = 0 THEN '' ELSE '/' || CAST(turn AS VARCHAR) END AS url
+                   FROM conversations),
+        k AS (SELECT *, 'manual-' || substr(sha1(url), 1, 10) AS job_board_id FROM m),
+        r AS (SELECT *, row_number() OVER (PARTITION BY job_board_id ORDER BY payload_ord, entry_ord) AS rn FROM k
+              WHERE title IS NOT NULL AND company IS NOT NULL)
+        SELECT payload_ord, entry_ord, job_board_id, title, company, url FROM r WHERE rn = 1""",
+    "x_search_plan": """
+        WITH loc AS (SELECT DISTINCT n_name AS location FROM customer JOIN nation ON c_nationkey = n_nationkey),
+        c AS (SELECT n_name AS location, r_name AS country FROM nation JOIN region ON n_regionkey = r_regionkey)
+        SELECT t.title, loc.location, c.country
+        FROM loc LEFT JOIN c USING (location), (VALUES ('data analyst'), ('data engineer')) t(title)""",
+    "x_location_alias": """
+        WITH raw AS (SELECT CASE c_custkey % 3 WHEN 0 THEN lower(n_name) WHEN 1 THEN replace(n_name, '_', ' ')
+                              ELSE n_name END AS location
+                     FROM customer JOIN nation ON c_nationkey = n_nationkey),
+        a AS (SELECT lower(n_name) AS alias, n_name AS canonical FROM nation
+              UNION ALL SELECT replace(n_name, '_', ' '), n_name FROM nation)
+        SELECT DISTINCT coalesce(a.canonical, raw.location) AS location FROM raw LEFT JOIN a ON raw.location = a.alias""",
+    "x_source_counts": f"""SELECT split_part(job_board_id, '-', 1) AS source, CAST(count(*) AS BIGINT) AS postings
+        FROM ({UNION_ROWS}) u GROUP BY 1""",
+    "x_text_history": f"""
+        SELECT job_board_id, cover_letter, cold_email, 'seed' AS generator,
+          TIMESTAMP '2025-12-31 00:00:00' AS generated_at, error FROM ({MATERIALS}) m
+        UNION ALL {ORACLES['generate_materials']}""",
+    "link_by_url": f"""
+        WITH p AS ({_SHARED}),
+        u AS (SELECT DISTINCT url, CAST(regexp_extract(url, '/([0-9]+)$', 1) AS INTEGER) % 5 AS n FROM p WHERE url <> ''),
+        v AS (SELECT url,
+                CASE WHEN n = 4 THEN NULL WHEN n IN (0, 3) THEN 200 WHEN n = 1 THEN 404 ELSE 503 END AS status_code,
+                n = 0 AS live,
+                CASE n WHEN 4 THEN 'ReadTimeout' WHEN 3 THEN 'closed: ''this position has been filled'''
+                       WHEN 2 THEN 'HTTP 503' END AS error,
+                CASE n WHEN 0 THEN 'live' WHEN 1 THEN 'dead' WHEN 3 THEN 'dead' ELSE 'unknown' END AS status
+              FROM u)
+        SELECT p.job_id, p.url, CASE WHEN p.url = '' THEN NULL ELSE v.status_code END AS status_code,
+          CASE WHEN p.url = '' THEN false ELSE v.live END AS live,
+          CASE WHEN p.url = '' THEN 'no url on record' ELSE v.error END AS error,
+          CASE WHEN p.url = '' THEN 'unknown' ELSE v.status END AS status
+        FROM p LEFT JOIN v ON p.url = v.url""",
+})
