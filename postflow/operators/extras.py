@@ -26,9 +26,10 @@ def url_without_query(url: Column | str) -> Column:
     return F.concat(F.regexp_extract(u, _SCHEME_HOST_PATH, 1), F.regexp_extract(u, _SCHEME_HOST_PATH, 2))
 
 
-def provider_key(source: str, provider_id: Column | str, url: Column | str) -> Column:
+def provider_key(source: str, provider_id: Column | str | None, url: Column | str) -> Column:
     """Key from the provider's own id when it has one, else from the URL without its query."""
-    return posting_key(F.lit(source), first_non_empty(col(provider_id).cast("string"), url_without_query(url)))
+    pid = F.lit(None).cast("string") if provider_id is None else col(provider_id).cast("string")
+    return posting_key(F.lit(source), first_non_empty(pid, url_without_query(url)))
 
 
 # X2 ------------------------------------------------------------------------
