@@ -114,9 +114,15 @@ def status_history(changes: DataFrame) -> DataFrame:
     previous status of the first row of each range comes from the last row of
     the range before it (one small row per range, broadcast).
     """
-    n = max(changes.sparkSession.sparkContext.defaultParallelism, 1)
-    ranged = changes.repartitionByRange(n, "job_board_id", "changed_at", "seq").withColumn(
-        "_pid", F.spark_partition_id())
+    from postflow.session import checkpoint_dir
+
+    spark = changes.sparkSession
+    checkpoint_dir(spark)
+    n = max(spark.sparkContext.defaultParallelism, 1)
+    # the split is fixed once (checkpoint to the shared folder): the in-range
+    # pass and the per-range tails below must see the very same ranges
+    ranged = changes.select("job_board_id", "status", "changed_at", "seq").repartitionByRange(
+        n, "job_board_id", "changed_at", "seq").withColumn("_pid", F.spark_partition_id()).checkpoint(eager=True)
     w = Window.partitionBy("_pid").orderBy("job_board_id", "changed_at", "seq")
     local = ranged.withColumns({
         "_prev_key": F.lag("job_board_id").over(w),

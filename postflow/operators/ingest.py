@@ -135,12 +135,14 @@ def summary(inc: DataFrame, current: DataFrame | None) -> DataFrame:
     ok = F.col("title").isNotNull()
     for c in schema.REQUIRED[1:]:
         ok = ok & F.col(c).isNotNull()
-    rows = inc.select("source_ord", "source", "job_board_id", "payload_ord", "entry_ord", ok.alias("_ok"))
-    per_key = rows.groupBy("job_board_id", "source_ord").agg(
+    # run position inside a source packed into one long, so every aggregate
+    # buffer is fixed-width and the planner picks hash aggregation
+    pos = F.shiftleft(F.col("payload_ord").cast("long"), 32) + F.col("entry_ord").cast("long")
+    rows = inc.select("source_ord", "source", "job_board_id", pos.alias("_pos"), ok.alias("_ok"))
+    per_key = rows.groupBy("job_board_id", "source_ord", "source").agg(
         F.count(F.lit(1)).alias("_seen"),
         F.count_if(~F.col("_ok")).alias("_rej"),
-        F.min(F.when(F.col("_ok"), F.struct("payload_ord", "entry_ord"))).alias("_first"),
-        F.max("source").alias("source"),
+        F.min(F.when(F.col("_ok"), F.col("_pos"))).alias("_first"),
     )
     w = Window.partitionBy("job_board_id").orderBy(F.col("_first").isNull(), "source_ord", "_first")
     ranked = per_key.withColumn("_win", (F.row_number().over(w) == 1) & F.col("_first").isNotNull())
@@ -151,8 +153,9 @@ def summary(inc: DataFrame, current: DataFrame | None) -> DataFrame:
         is_new = F.col("_win") & F.col("_stored").isNull()
     else:
         is_new = F.col("_win")
-    out = ranked.withColumn("_new", is_new.cast("long")).rollup("source_ord").agg(
-        F.when(F.grouping("source_ord") == 0, F.max("source")).alias("source"),
+    # per-source rows plus the grand total (source is fixed by source_ord)
+    out = ranked.withColumn("_new", is_new.cast("long")).groupingSets(
+        [["source_ord", "source"], []], "source_ord", "source").agg(
         F.sum("_seen").alias("seen"),
         F.sum("_new").alias("new"),
         F.sum("_rej").alias("rejected"),

@@ -15,16 +15,17 @@ from postflow.functions.text import has_text, link_label, reason_or_code, report
 def classify_responses(responses: DataFrame) -> DataFrame:
     """One verdict per distinct URL: url, status_code, live, error, status.
 
-    A URL landed more than once keeps one response, chosen deterministically
-    (the smallest by head code, get code, exception, body); the aggregate runs
-    partial before its shuffle.
+    Every landed response is classified where it is read (the page body
+    shrinks to a small verdict before anything moves); a URL landed more than
+    once then keeps its smallest verdict (by code, error, live), an aggregate
+    that runs partial before its shuffle.
     """
-    one = responses.groupBy("url").agg(
-        F.min(F.struct("head_code", "get_code", "exc", "body")).alias("r"))
-    code = LX.effective_code("r.head_code", "r.get_code")
-    body = LX.effective_body("r.head_code", "r.body")
-    verdict = LX.classify(code, body, F.col("r.exc"))
-    out = one.select("url", verdict.alias("v")).select("url", "v.status_code", "v.live", "v.error")
+    code = LX.effective_code("head_code", "get_code")
+    body = LX.effective_body("head_code", "body")
+    verdict = LX.classify(code, body, F.col("exc"))
+    each = responses.select("url", verdict.alias("v"))
+    one = each.groupBy("url").agg(F.min(F.struct("v.status_code", "v.error", "v.live")).alias("v"))
+    out = one.select("url", "v.status_code", "v.live", "v.error")
     return out.withColumn("status", LX.link_status("status_code", "live", "error"))
 
 

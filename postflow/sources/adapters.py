@@ -117,15 +117,19 @@ def _payload_reason(v: Column, fatal_entry: Callable[[Column], Column]) -> Colum
 def _split(prepared: DataFrame, reason_fn: Callable[[Column], Column], source_type: str,
            entry_fn: Callable[[DataFrame], DataFrame]) -> AdapterResult:
     """Reject failing payloads whole; explode the rest into incoming rows."""
+    # The body is parsed once per payload. Both outputs are cut from the tagged
+    # rows with a generator that yields zero or one row set, not with a filter:
+    # a filter on `_reason` would be pushed below the projection and parse the
+    # body again for every test in the reason expression.
     tagged = prepared.withColumn("_v", F.try_parse_json("body"))
     tagged = tagged.withColumn("_reason", reason_fn(F.col("_v")))
-    rejects = tagged.filter(F.col("_reason").isNotNull()).select(
-        "source_ord", "payload_ord", "type", F.lit(None).cast("int").alias("entry_ord"),
-        F.col("_reason").alias("reason"), F.col("body").alias("raw"))
-    ok = tagged.filter(F.col("_reason").isNull())
-    entries = ok.select(
+    bad = F.when(F.col("_reason").isNotNull(), F.array(F.struct(
+        F.col("_reason").alias("reason"), F.col("body").alias("raw"))))
+    rejects = tagged.select("source_ord", "payload_ord", "type", F.explode(bad).alias("_r")).select(
+        "source_ord", "payload_ord", "type", F.lit(None).cast("int").alias("entry_ord"), "_r.reason", "_r.raw")
+    entries = tagged.select(
         "source_ord", "payload_ord", "token", "title_contains", "search_location",
-        F.posexplode(_jobs(F.col("_v"))).alias("entry_ord", "e"))
+        F.posexplode(F.when(F.col("_reason").isNull(), _jobs(F.col("_v")))).alias("entry_ord", "e"))
     inc = entry_fn(entries).withColumn("source", F.lit(source_type))
     inc = inc.withColumn("job_board_id", posting_key(F.col("source"), F.col("url")))
     return AdapterResult(inc.select(*schema.INCOMING_COLUMNS), rejects)
