@@ -49,18 +49,20 @@ def check_postings(current: DataFrame, responses: DataFrame, limit: int = 0) ->
         F.col("id").alias("job_id"), "job_board_id",
         link_label("company", F.coalesce(F.col("title"), F.col("job_board_id"))).alias("label"),
         strip(F.coalesce(F.col("url"), F.lit(""))).alias("url"))
-    verdicts = classify_responses(responses.withColumn("url", strip("url")))
-    joined = posts.join(verdicts, "url", "left")
-    blank = F.col("url") == ""
+    verdicts = classify_responses(responses.withColumn("url", strip("url")).filter(F.col("url") != ""))
+    # blank URLs never reach the join: they would all meet in one shuffle partition
+    blank = posts.filter(F.col("url") == "").select(
+        "job_id", "job_board_id", "label", "url", F.lit(None).cast("int").alias("status_code"),
+        F.lit(False).alias("live"), F.lit(schema.NO_URL_ERROR).alias("error"), F.lit("unknown").alias("status"))
+    joined = posts.filter(F.col("url") != "").join(verdicts, "url", "left")
     missing = F.col("status").isNull()
-    return joined.select(
-        "job_id", "job_board_id", "label", "url",
-        F.when(blank, F.lit(None).cast("int")).otherwise(F.col("status_code")).alias("status_code"),
-        F.when(blank | missing, F.lit(False)).otherwise(F.col("live")).alias("live"),
-        F.when(blank, F.lit(schema.NO_URL_ERROR)).when(missing, F.lit("not fetched"))
-         .otherwise(F.col("error")).alias("error"),
-        F.when(blank | missing, F.lit("unknown")).otherwise(F.col("status")).alias("status"),
+    looked_up = joined.select(
+        "job_id", "job_board_id", "label", "url", "status_code",
+        F.when(missing, F.lit(False)).otherwise(F.col("live")).alias("live"),
+        F.when(missing, F.lit("not fetched")).otherwise(F.col("error")).alias("error"),
+        F.when(missing, F.lit("unknown")).otherwise(F.col("status")).alias("status"),
     )
+    return looked_up.unionByName(blank)
 
 
 def counts(results: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import datetime as dt
 
+from pyspark import StorageLevel
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +19,7 @@ from pyspark.sql import types as T
 
 from postflow import schema
 from postflow.operators import board, ingest
+from postflow.session import checkpoint_dir
 from postflow.sources.adapters import AdapterResult
 
 TABLES: dict[str, T.StructType] = {
@@ -39,6 +41,7 @@ class PostingStore:
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
         self.root = root.rstrip("/")
+        checkpoint_dir(spark)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -83,14 +86,22 @@ class PostingStore:
         """
         stored = self.read("postings", with_batch=True).filter(F.col("batch_id") != F.lit(int(batch_id)))
         stored = stored.drop("batch_id")
-        new = ingest.with_defaults(ingest.new_postings(inc, stored), as_of)
-        new = ingest.assign_ids(new, stored)
-        self.write("postings", new.select(*schema.POSTING_COLUMNS), batch_id)
-        _, bad = ingest.split_required(inc)
-        if rejects is not None:
-            bad = bad.unionByName(rejects)
-        self.write("rejects", bad, batch_id)
-        return ingest.summary(inc, stored)
+        # the batch is parsed once and reused by the three outputs below
+        inc = inc.persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            # the summary is computed before this batch's rows are written, and
+            # kept (one row per source) so it never re-reads a changed table
+            summary = ingest.summary(inc, stored).checkpoint(eager=True)
+            new = ingest.with_defaults(ingest.new_postings(inc, stored), as_of)
+            new = ingest.assign_ids(new, stored)
+            self.write("postings", new.select(*schema.POSTING_COLUMNS), batch_id)
+            _, bad = ingest.split_required(inc)
+            if rejects is not None:
+                bad = bad.unionByName(rejects)
+            self.write("rejects", bad, batch_id)
+        finally:
+            inc.unpersist()
+        return summary
 
     def ingest_payloads(self, payloads: DataFrame, sources: DataFrame | None, as_of: dt.datetime,
                         batch_id: int) -> DataFrame:
