@@ -10,11 +10,17 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from postflow import schema
-from postflow.operators import ingest
+from postflow.functions.text import has_text, posting_key
+from postflow.operators import board, extras, ingest, links, materials
 from postflow.plans import derive
 from postflow.plans.derive import table
+from postflow.session import scratch_path
+from postflow.sources import config
+from postflow.sources.store import PostingStore
+from postflow.streaming import ingest as streaming
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -90,8 +96,6 @@ QUERIES: dict[str, Query] = {
 # links (L1-L5, C2, C3, A10, A11, B10, B11, D2, F1, H4-H6, H11)
 # ---------------------------------------------------------------------------
 
-from postflow.operators import links  # noqa: E402
-
 
 def link_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derive.page_results(spark, sf_dir)
@@ -140,8 +144,6 @@ QUERIES.update({
 # board, queue, prompts, generation
 # ---------------------------------------------------------------------------
 
-from postflow.operators import board, materials  # noqa: E402
-
 
 def status_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return board.fold_status(derive.event_status_changes(table(spark, sf_dir, "events")))
@@ -160,10 +162,6 @@ def pending_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queue_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import functions as F
-
-    from postflow.functions.text import has_text
-
     v = _view(spark, sf_dir)
     return v.agg(
         F.count(F.lit(1)).alias("tracked"),
@@ -175,8 +173,6 @@ def queue_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def prompt_build(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import functions as F
-
     p = materials.prompts(materials.pending(_view(spark, sf_dir)), derive.RESUME_SUMMARY)
     return p.select(
         "job_board_id", F.md5("cover_prompt").alias("cover_md5"), F.md5("email_prompt").alias("email_md5"),
@@ -237,10 +233,6 @@ QUERIES.update({
 # store and streaming
 # ---------------------------------------------------------------------------
 
-from postflow.session import scratch_path  # noqa: E402
-from postflow.sources.store import PostingStore  # noqa: E402
-from postflow.streaming import ingest as streaming  # noqa: E402
-
 
 def ingest_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Land greenhouse responses, stream them into a store seeded with the
@@ -259,8 +251,6 @@ def ingest_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def generate_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stream stored postings through generation; return the texts the stream wrote."""
-    from pyspark.sql import functions as F
-
     base = scratch_path(spark, "generate-stream")
     store = PostingStore(spark, f"{base}/store")
     store.seed(derive.doc_postings(table(spark, sf_dir, "documents")), batch_id=-1)
@@ -283,12 +273,6 @@ QUERIES.update({
 # configuration and second wave (A4, A5, H2, X1-X16, C2/D4/B11 with shared URLs)
 # ---------------------------------------------------------------------------
 
-from pyspark.sql import functions as F  # noqa: E402
-
-from postflow.functions.text import posting_key  # noqa: E402
-from postflow.operators import extras  # noqa: E402
-from postflow.sources import config  # noqa: E402
-
 
 def _config_sources(docs: DataFrame) -> DataFrame:
     o = derive.source_ord_of()

@@ -14,6 +14,7 @@ chosen by `doc_id % 10` (a CASE on every row, never a filter).
 from __future__ import annotations
 
 import datetime as dt
+import os
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -37,11 +38,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     table has far more splits than cores and is read as it is."""
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
     cores = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores and name not in SMALL_TABLES:
+    if SPREAD and df.rdd.getNumPartitions() < cores and name not in SMALL_TABLES:
         df = df.repartition(cores)
     return df
 
 
+SPREAD = os.environ.get("POSTFLOW_SPREAD", "1") != "0"
+
 # Dimension tables with a fixed size at every scale (never worth spreading).
 SMALL_TABLES = {"region", "nation"}
 

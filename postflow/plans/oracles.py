@@ -6,7 +6,9 @@ derives and computes; column names and types match the Spark output.
 
 from __future__ import annotations
 
-from postflow.plans.derive import PAGE_SIZE
+from postflow import schema as _schema
+from postflow.functions.prompts import template_pieces
+from postflow.plans.derive import EVENT_STATUS, PAGE_SIZE, RESUME_SUMMARY
 
 # Posting URL of a document (documents with the same text share it).
 _U = "'https://jobs.example.com/' || lang || '/' || md5(text)"
@@ -135,13 +137,7 @@ ORACLES: dict[str, str] = {
 # link checking over `pages`
 # ---------------------------------------------------------------------------
 
-_PHRASES = [
-    "no longer accepting applications",
-    "this position has been filled",
-    "this job is no longer available",
-    "posting has closed",
-    "job not found",
-]
+_PHRASES = _schema.CLOSED_PHRASES
 _PHRASE_CASE = "CASE " + " ".join(f"WHEN contains(b, '{p}') THEN '{p}'" for p in _PHRASES) + " END"
 
 LINK_RESULTS = f"""
@@ -245,9 +241,6 @@ ORACLES.update({
 # board, queue, prompts, generation over documents / labels / events
 # ---------------------------------------------------------------------------
 
-from postflow import schema as _schema  # noqa: E402
-from postflow.functions.prompts import template_pieces  # noqa: E402
-from postflow.plans.derive import EVENT_STATUS, RESUME_SUMMARY  # noqa: E402
 
 
 def _sql_lit(s: str) -> str:
@@ -505,7 +498,7 @@ ORACLES.update({
         WITH rows AS ({ORACLES['title_filter']}),
         per AS (SELECT source_ord, CAST(count(*) AS BIGINT) AS postings,
                   CAST(sum(CASE WHEN coalesce(contains(lower(title), 'the') AND (contains(lower(location), 'remote')
-                           OR contains(lower(location), 'city of en') OR contains(lower(location), 'city of en')),
+                           OR contains(lower(location), 'city of en')),
                            false) THEN 1 ELSE 0 END) AS BIGINT) AS matching
                 FROM rows GROUP BY source_ord),
         bad AS (SELECT CAST(substr(source, 4) AS INTEGER) AS source_ord,
