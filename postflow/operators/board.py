@@ -114,11 +114,11 @@ def status_history(changes: DataFrame) -> DataFrame:
     previous status of the first row of each range comes from the last row of
     the range before it (one small row per range, broadcast).
     """
-    from postflow.session import checkpoint_dir
+    from postflow.session import checkpoint_dir, shuffle_partitions
 
     spark = changes.sparkSession
     checkpoint_dir(spark)
-    n = max(spark.sparkContext.defaultParallelism, 1)
+    n = shuffle_partitions(spark)
     # the split is fixed once (checkpoint to the shared folder): the in-range
     # pass and the per-range tails below must see the very same ranges
     ranged = changes.select("job_board_id", "status", "changed_at", "seq").repartitionByRange(

@@ -186,11 +186,11 @@ def assign_ids(new_rows: DataFrame, base_id: int | DataFrame, partitions: int |
     per-range counts (one small row per range) give each range its offset.
     `base_id` is the largest stored id, or the stored table to take it from.
     """
-    from postflow.session import checkpoint_dir
+    from postflow.session import checkpoint_dir, shuffle_partitions
 
     spark = new_rows.sparkSession
     checkpoint_dir(spark)
-    n = partitions or max(spark.sparkContext.defaultParallelism, 1)
+    n = partitions or shuffle_partitions(spark)
     ranged = (new_rows.repartitionByRange(n, *RUN_ORDER).sortWithinPartitions(*RUN_ORDER)
               .withColumn("_pid", F.spark_partition_id())
               .withColumn("_pos", F.monotonically_increasing_id()))

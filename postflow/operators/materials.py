@@ -150,7 +150,12 @@ def run_generation(view: DataFrame, resume_summary: str, generator: str | Genera
     """Pending -> prompts -> generate. `limit` N > 0 takes the N lowest ids (a bounded run)."""
     todo = pending(view)
     if limit:
-        todo = todo.orderBy("id").limit(limit)
+        # a top-N leaves its rows in one partition; spread them again so the
+        # generator calls run on every executor
+        from postflow.session import shuffle_partitions
+
+        n = min(shuffle_partitions(todo.sparkSession), max(limit // 64, 1))
+        todo = todo.orderBy("id").limit(limit).repartition(n)
     return generate(prompts(todo, resume_summary), generator, as_of)
 
 

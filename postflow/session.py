@@ -70,3 +70,12 @@ def is_local_path(path: str) -> bool:
 def ensure_parent(path: str) -> None:
     if is_local_path(path):
         os.makedirs(path.removeprefix("file:"), exist_ok=True)
+
+
+def shuffle_partitions(spark: SparkSession) -> int:
+    """The session's shuffle partition count (how wide a shuffle should be)."""
+    try:
+        n = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    except ValueError:
+        n = 200
+    return max(n, spark.sparkContext.defaultParallelism, 1)
