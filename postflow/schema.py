@@ -51,6 +51,14 @@ REQUEST_TEMPLATES = {
     "ashby": "https://api.ashbyhq.com/posting-api/job-board/{token}",
 }
 
+# Careers-page hosts and the source type each belongs to.
+CAREERS_HOSTS = {
+    "boards.greenhouse.io": "greenhouse",
+    "job-boards.greenhouse.io": "greenhouse",
+    "jobs.lever.co": "lever",
+    "jobs.ashbyhq.com": "ashby",
+}
+
 # Source types a configuration may name, and the ones with an adapter.
 SOURCE_TYPES = ["seek", "greenhouse", "lever", "ashby", "adzuna"]
 

@@ -95,14 +95,6 @@ def parse_source_lines(lines: DataFrame, column: str = "value") -> DataFrame:
     return kept.select(typ.alias("type"), token.alias("token"), reason.alias("reason"))
 
 
-# Careers-page hosts and the source type each belongs to (fixed values).
-CAREERS_HOSTS = {
-    "boards.greenhouse.io": "greenhouse",
-    "job-boards.greenhouse.io": "greenhouse",
-    "jobs.lever.co": "lever",
-    "jobs.ashbyhq.com": "ashby",
-}
-
 _URL_PARTS = r"^(?:[A-Za-z][A-Za-z0-9+.-]*://)?([^/?#]+)(?:/([^/?#]*))?"
 
 
@@ -112,7 +104,7 @@ def board_from_url(url: Column | str) -> Column:
     host = F.lower(F.regexp_extract(u, _URL_PARTS, 1))
     token = F.regexp_extract(u, _URL_PARTS, 2)
     typ = F.lit(None).cast("string")
-    for h, t in CAREERS_HOSTS.items():
+    for h, t in schema.CAREERS_HOSTS.items():
         typ = F.when(host == h, F.lit(t)).otherwise(typ)
     error = (F.when(typ.isNull(), F.concat(F.lit("not a known careers host: "), host))
              .when(token == "", F.lit("no board token in URL")))
