@@ -91,6 +91,14 @@ def status_change(view: DataFrame, job_board_id: str, new_status: str, as_of: dt
         F.lit(as_of).cast("timestamp_ntz").alias("changed_at"), F.lit(seq).cast("long").alias("seq"))
 
 
+def status_change_by_id(view: DataFrame, id: int, new_status: str, as_of: dt.datetime, seq: int = 0) -> DataFrame:
+    """Change row for the posting with this id when the new status differs."""
+    row = view.filter(F.col("id") == F.lit(id))
+    return row.filter(~F.col("status").eqNullSafe(F.lit(new_status))).select(
+        "job_board_id", F.lit(new_status).alias("status"),
+        F.lit(as_of).cast("timestamp_ntz").alias("changed_at"), F.lit(seq).cast("long").alias("seq"))
+
+
 def normalisation_changes(view: DataFrame, as_of: dt.datetime, seq: int = 0) -> DataFrame:
     """Change rows that save the default status over every unknown stored one."""
     return view.filter(normalise_status("status") != F.col("status")).select(

@@ -49,7 +49,11 @@ def check_postings(current: DataFrame, responses: DataFrame, limit: int = 0) ->
         F.col("id").alias("job_id"), "job_board_id",
         link_label("company", F.coalesce(F.col("title"), F.col("job_board_id"))).alias("label"),
         strip(F.coalesce(F.col("url"), F.lit(""))).alias("url"))
-    verdicts = classify_responses(responses.withColumn("url", strip("url")).filter(F.col("url") != ""))
+    landed = responses.withColumn("url", strip("url")).filter(F.col("url") != "")
+    if limit:
+        # a bounded check looks only at the URLs of the postings it selected
+        landed = landed.join(posts.select("url").distinct(), "url", "left_semi")
+    verdicts = classify_responses(landed)
     # blank URLs never reach the join: they would all meet in one shuffle partition
     blank = posts.filter(F.col("url") == "").select(
         "job_id", "job_board_id", "label", "url", F.lit(None).cast("int").alias("status_code"),

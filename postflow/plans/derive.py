@@ -37,10 +37,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     so the per-row work before the first shuffle uses every core; at scale a
     table has far more splits than cores and is read as it is."""
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    if SPREAD and df.rdd.getNumPartitions() < cores and name not in SMALL_TABLES:
-        df = df.repartition(cores)
-    return df
+    if not SPREAD or name in SMALL_TABLES:
+        return df
+    try:
+        cores = spark.sparkContext.defaultParallelism
+        splits = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - no RDD view (e.g. a remote session): read as it is
+        return df
+    return df.repartition(cores) if splits < cores else df
 
 
 SPREAD = os.environ.get("POSTFLOW_SPREAD", "1") != "0"
@@ -99,9 +103,10 @@ def greenhouse_entry() -> Column:
         .when(k == 8, F.parse_json(F.lit('{"name": null}')))
         .otherwise(F.to_variant_object(F.struct(F.col("source").alias("name"))))
     )
-    content = F.when(k == 1, _absent()).otherwise(_v(F.col("text")))
+    # fields that are never JSON null stay plain strings (a SQL NULL is left out)
+    content = F.when(k != 1, F.col("text"))
     return F.to_json(F.struct(
-        _v(F.col("doc_id")).alias("id"), title.alias("title"), url.alias("absolute_url"),
+        F.col("doc_id").alias("id"), title.alias("title"), url.alias("absolute_url"),
         loc_obj.alias("location"), content.alias("content")))
 
 
@@ -132,10 +137,10 @@ def ashby_entry() -> Column:
     is_remote = F.when(r == 0, _v(F.lit(True))).when(r == 1, _v(F.lit(False))).otherwise(_absent())
     s = F.col("doc_id") % 7
     is_listed = F.when(s == 0, _v(F.lit(False))).when(s == 1, _null_v()).when(s == 3, _absent()).otherwise(_v(F.lit(True)))
-    plain = F.when(k % 2 == 0, _v(F.col("text"))).otherwise(_v(F.lit("")))
-    html = F.when(k % 4 == 1, _v(F.concat(F.lit("<p>"), F.col("text"), F.lit("</p>")))).otherwise(_absent())
+    plain = F.when(k % 2 == 0, F.col("text")).otherwise(F.lit(""))
+    html = F.when(k % 4 == 1, F.concat(F.lit("<p>"), F.col("text"), F.lit("</p>")))
     return F.to_json(F.struct(
-        _v(F.col("doc_id")).alias("id"), title.alias("title"), job_url.alias("jobUrl"),
+        F.col("doc_id").alias("id"), title.alias("title"), job_url.alias("jobUrl"),
         apply_url.alias("applyUrl"), location.alias("location"), is_remote.alias("isRemote"),
         is_listed.alias("isListed"), plain.alias("descriptionPlain"), html.alias("descriptionHtml")))
 

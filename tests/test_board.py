@@ -44,6 +44,7 @@ def test_status_change_only_when_different(spark):
     posts = postings(spark, [{"job_board_id": "a", "status": "Applied"}])
     assert board.status_change(posts, "a", "Applied", AS_OF).count() == 0
     assert board.status_change(posts, "a", "Rejected", AS_OF).count() == 1
+    assert [r.job_board_id for r in board.status_change_by_id(posts, 1, "Rejected", AS_OF).collect()] == ["a"]
 
 
 def test_listing_order_and_page(spark):

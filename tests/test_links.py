@@ -75,6 +75,9 @@ def test_check_queue_limit(spark):
     ids = [r.id for r in links.check_queue(posts, 5).collect()]
     assert ids == [20, 19, 18, 17, 16]
     assert links.check_queue(posts, 0).count() == 20
+    resp = responses(spark, [(f"https://x/{i}", 200, 200, "ok", None) for i in range(30)])
+    checked = links.check_postings(posts, resp, limit=3).collect()
+    assert sorted(r.job_id for r in checked) == [18, 19, 20] and {r.status for r in checked} == {"live"}
 
 
 def test_report_line(results):
