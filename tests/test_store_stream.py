@@ -118,3 +118,16 @@ def test_pending_plus_generated_is_everything(spark):
     done = v.filter(F.col("generated_cover_letter").isNotNull()).count()
     # a failed row (the echo generator fails some prompts on purpose) stays pending
     assert pending + done == v.count() == 7 and done == 3 - failed
+
+
+def test_stored_row_never_changes(spark):
+    store = PostingStore(spark, tempfile.mkdtemp(prefix="pf-keep-"))
+    first = {"jobs": [{"title": "Original", "absolute_url": "https://b/1", "content": "old"}]}
+    again = {"jobs": [{"title": "Rewritten", "absolute_url": "https://b/1", "content": "new"},
+                      {"title": "Other", "absolute_url": "https://b/2"}]}
+    store.ingest_payloads(payloads(spark, [(0, "greenhouse", "acme", first)]), None, AS_OF, 0)
+    s = {r.source_ord: (r.seen, r.new) for r in
+         store.ingest_payloads(payloads(spark, [(0, "greenhouse", "acme", again)]), None, AS_OF, 1).collect()}
+    assert s[None] == (2, 1)
+    rows = {r.url: (r.id, r.title, r.description) for r in store.postings().collect()}
+    assert rows["https://b/1"] == (1, "Original", "old") and rows["https://b/2"][0] == 2
