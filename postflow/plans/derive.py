@@ -396,11 +396,13 @@ def event_status_changes(events: DataFrame) -> DataFrame:
     )
 
 
-def doc_dead_marks(documents: DataFrame) -> DataFrame:
-    """Dead marks: doc_id % 9 == 4 found dead at AS_OF; some marked again a day later."""
-    d = documents.filter(F.col("doc_id") % 9 == 4)
-    first = d.select(doc_key().alias("job_board_id"), F.lit(AS_OF).cast("timestamp_ntz").alias("dead_at"))
-    again = d.filter(F.col("doc_id") % 2 == 0).select(
+def doc_dead_marks(labels: DataFrame) -> DataFrame:
+    """Dead marks: postings of toxic-labelled documents were found dead at AS_OF;
+    those also of low quality were marked a second time a day later (the fold
+    keeps the first mark)."""
+    toxic = labels.filter(F.col("toxic") == 1)
+    first = toxic.select(doc_key().alias("job_board_id"), F.lit(AS_OF).cast("timestamp_ntz").alias("dead_at"))
+    again = toxic.filter(F.col("quality") == 0).select(
         doc_key().alias("job_board_id"), F.lit(AS_OF + dt.timedelta(days=1)).cast("timestamp_ntz").alias("dead_at"))
     return first.unionByName(again)
 
@@ -413,7 +415,7 @@ def doc_view(spark: SparkSession, sf_dir: str, with_changes: bool = True, with_d
         doc_postings(docs),
         status_changes=event_status_changes(table(spark, sf_dir, "events")) if with_changes else None,
         materials=label_materials(table(spark, sf_dir, "labels")),
-        dead_marks=doc_dead_marks(docs) if with_dead else None,
+        dead_marks=doc_dead_marks(table(spark, sf_dir, "labels")) if with_dead else None,
     )
 
 

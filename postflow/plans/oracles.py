@@ -288,7 +288,8 @@ MATERIALS = """
 
 def _view(with_changes: bool = True, with_dead: bool = True) -> str:
     status = "coalesce(l.status, p.status0)" if with_changes else "p.status0"
-    dead = ("CASE WHEN p.doc_id % 9 = 4 THEN TIMESTAMP '2026-01-01 00:00:00' END" if with_dead
+    dead = ("CASE WHEN p.doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1) "
+            "THEN TIMESTAMP '2026-01-01 00:00:00' END" if with_dead
             else "CAST(NULL AS TIMESTAMP)")
     return f"""
   SELECT p.id, p.job_board_id, p.title, p.company, p.location, p.description, p.url, p.date_scraped,
@@ -513,7 +514,7 @@ ORACLES.update({
         WITH s AS (SELECT DISTINCT regexp_replace(lower(c_name), '[^a-z0-9]', '', 'g') AS token FROM customer),
         t AS (SELECT * FROM (VALUES ('greenhouse'), ('lever'), ('ashby')) v(type)),
         known AS (SELECT 'greenhouse' AS type, regexp_replace(lower(c_name), '[^a-z0-9]', '', 'g') AS token
-                  FROM customer WHERE c_custkey % 7 = 0)
+                  FROM customer WHERE c_mktsegment = 'BUILDING')
         SELECT t.type, s.token FROM s, t WHERE s.token <> ''
           AND NOT EXISTS (SELECT 1 FROM known k WHERE k.type = t.type AND k.token = s.token)""",
     "x_contacts": """SELECT 'doc-' || CAST(doc_id AS VARCHAR) AS job_board_id, CAST(NULL AS VARCHAR) AS contact_name,
