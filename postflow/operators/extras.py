@@ -171,7 +171,8 @@ def search_plan(titles: Sequence[str], locations: DataFrame, country_of: DataFra
 def canonical_locations(raw: DataFrame, aliases: DataFrame, column: str = "location") -> DataFrame:
     """Distinct canonical locations: an alias maps to its canonical name, others stay as they are."""
     a = aliases.select(F.col("alias").alias(column), F.col("canonical"))
-    return raw.select(column).join(a, column, "left").select(
+    # distinct first (partial aggregate): a location shared by many rows reaches the join once
+    return raw.select(column).distinct().join(a, column, "left").select(
         F.coalesce(F.col("canonical"), F.col(column)).alias(column)).distinct()
 
 
