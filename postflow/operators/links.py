@@ -91,6 +91,15 @@ def dead_lines(results: DataFrame) -> DataFrame:
                     reason_or_code("error", "status_code")).alias("value"))
 
 
+def export_dead(results: DataFrame, path: str) -> bool:
+    """Write the dead-link lines as text files under `path`, only when there are dead links."""
+    lines = dead_lines(results)
+    if lines.isEmpty():
+        return False
+    lines.write.mode("overwrite").text(path)
+    return True
+
+
 def dead_marks(results: DataFrame, as_of: dt.datetime) -> DataFrame:
     """Rows to append to the dead-marks table: every dead posting, one shared time."""
     return results.filter(F.col("status") == "dead").select(

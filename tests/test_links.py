@@ -114,3 +114,23 @@ def test_fetch_gives_up_after_three(spark):
 def test_fetch_body_not_json(spark):
     r = links.reduce_fetch_log(fetch_log(spark, [("u", 0, 200, None, "<html>")])).collect()[0]
     assert (r.outcome, r.error) == ("bad_body", "JSONDecodeError")
+
+
+def test_seed_row_dead_and_export(spark, tmp_path):
+    posts = postings(spark, [{"id": 1, "job_board_id": "test-404", "url": "https://x/gone"}])
+    res = links.check_postings(posts, responses(spark, [("https://x/gone", 404, 404, "not here", None)]))
+    assert [(r.job_board_id, r.status) for r in res.collect()] == [("test-404", "dead")]
+    out = str(tmp_path / "dead")
+    assert links.export_dead(res, out)
+    assert [r.value for r in spark.read.text(out).collect()] == ["1\thttps://x/gone\t404"]
+    live = links.check_postings(posts, responses(spark, [("https://x/gone", 200, 200, "open", None)]))
+    assert not links.export_dead(live, str(tmp_path / "none"))
+
+
+def test_read_landed_json(spark, tmp_path):
+    from postflow.sources.landed import read_landed
+
+    p = tmp_path / "resp.jsonl"
+    p.write_text('{"url": "https://x/1", "head_code": 200, "get_code": 200, "body": "ok"}\n')
+    r = read_landed(spark, "responses", str(p), fmt="json").collect()[0]
+    assert (r.url, r.head_code, r.exc) == ("https://x/1", 200, None)
