@@ -68,7 +68,7 @@ def derived_url(prefix: str = "https://jobs.example.com/") -> Column:
 
 def source_ord_of(source: Column | str = "source") -> Column:
     c = F.col(source) if isinstance(source, str) else source
-    return F.substring(c, 4, 1 << 20).cast("int")
+    return F.substring(c, 4, 1 << 20).try_cast("int")
 
 
 def page_of() -> Column:
@@ -436,7 +436,7 @@ def shared_url_postings(documents: DataFrame) -> DataFrame:
 
 def url_responses(urls: DataFrame) -> DataFrame:
     """Landed answers per distinct URL, case by the number at the end of the URL."""
-    n = F.regexp_extract("url", "/([0-9]+)$", 1).cast("int") % 5
+    n = F.regexp_extract("url", "/([0-9]+)$", 1).try_cast("int") % 5
     return urls.filter(F.col("url") != "  ").select(
         "url",
         F.when(n.isin(0, 3), 200).when(n == 1, 404).when(n == 2, 503).cast("int").alias("head_code"),

@@ -18,7 +18,7 @@ _FIRST = "split_part(text, '.', 1)"
 # Common columns of a derived board entry.
 _DOC = f"""
   SELECT *, doc_id % 10 AS k,
-    CAST(substr(source, 4) AS INTEGER) AS source_ord,
+    TRY_CAST(substr(source, 4) AS INTEGER) AS source_ord,
     CAST(doc_id // {PAGE_SIZE} AS INTEGER) AS payload_ord,
     CAST(row_number() OVER (PARTITION BY source, doc_id // {PAGE_SIZE} ORDER BY doc_id) - 1 AS INTEGER) AS pos,
     {_U} AS u
@@ -107,7 +107,7 @@ WHERE rn = 1 AND job_board_id NOT IN (SELECT job_board_id FROM ({STORED_KEYS}) s
 
 
 # source type per source position when all adapters run together
-_TYPE = "CASE CAST(substr(token, 4) AS INTEGER) % 3 WHEN 0 THEN 'greenhouse' WHEN 1 THEN 'ashby' ELSE 'seek' END"
+_TYPE = "CASE TRY_CAST(substr(token, 4) AS INTEGER) % 3 WHEN 0 THEN 'greenhouse' WHEN 1 THEN 'ashby' ELSE 'seek' END"
 
 UNION_ROWS = f"""
   SELECT {_COLS} FROM ({GREENHOUSE_ROWS}) g WHERE {_TYPE} = 'greenhouse'
@@ -413,7 +413,7 @@ ORACLES.update({
 # configuration and second wave
 # ---------------------------------------------------------------------------
 
-_SRC_ORD = "CAST(substr(source, 4) AS INTEGER)"
+_SRC_ORD = "TRY_CAST(substr(source, 4) AS INTEGER)"
 _CFG = f"""
   SELECT {_SRC_ORD} AS source_ord,
     CASE {_SRC_ORD} % 4 WHEN 0 THEN 'greenhouse' WHEN 1 THEN 'ashby' WHEN 2 THEN 'seek' ELSE 'lever' END AS type,
@@ -502,7 +502,7 @@ ORACLES.update({
                            OR contains(lower(location), 'city of en')),
                            false) THEN 1 ELSE 0 END) AS BIGINT) AS matching
                 FROM rows GROUP BY source_ord),
-        bad AS (SELECT CAST(substr(source, 4) AS INTEGER) AS source_ord,
+        bad AS (SELECT TRY_CAST(substr(source, 4) AS INTEGER) AS source_ord,
                   CAST(count(DISTINCT doc_id // {PAGE_SIZE}) AS BIGINT) AS failed_responses
                 FROM documents WHERE doc_id % 10 = 7 GROUP BY 1)
         SELECT coalesce(p.source_ord, b.source_ord) AS source_ord, coalesce(p.postings, 0) AS postings,
@@ -562,7 +562,7 @@ ORACLES.update({
         UNION ALL {ORACLES['generate_materials']}""",
     "link_by_url": f"""
         WITH p AS ({_SHARED}),
-        u AS (SELECT DISTINCT url, CAST(regexp_extract(url, '/([0-9]+)$', 1) AS INTEGER) % 5 AS n FROM p WHERE url <> ''),
+        u AS (SELECT DISTINCT url, TRY_CAST(regexp_extract(url, '/([0-9]+)$', 1) AS INTEGER) % 5 AS n FROM p WHERE url <> ''),
         v AS (SELECT url,
                 CASE WHEN n = 4 THEN NULL WHEN n IN (0, 3) THEN 200 WHEN n = 1 THEN 404 ELSE 503 END AS status_code,
                 n = 0 AS live,
