@@ -6,7 +6,6 @@ built only as far as the notes specify it.
 
 from __future__ import annotations
 
-import datetime as dt
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -193,5 +192,5 @@ def text_history(materials: DataFrame, job_board_id: str | None = None) -> DataF
 __all__ = [
     "url_without_query", "provider_key", "id_from_url", "rekey", "matches_filters", "board_states",
     "company_slug", "board_candidates", "find_contacts", "bounded_run_counts", "still_listed",
-    "manual_postings", "search_plan", "canonical_locations", "with_source", "text_history", "dt",
+    "manual_postings", "search_plan", "canonical_locations", "with_source", "text_history",
 ]

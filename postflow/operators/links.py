@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from postflow import schema
 from postflow.functions import links as LX
-from postflow.functions.text import has_text, link_label, reason_or_code, report_line, strip
+from postflow.functions.text import link_label, reason_or_code, report_line, strip
 
 
 def classify_responses(responses: DataFrame) -> DataFrame:
@@ -159,6 +159,6 @@ def reduce_fetch_log(fetch_log: DataFrame, retries: int = schema.FETCH_RETRIES,
 
 
 __all__ = [
-    "classify_responses", "check_queue", "check_postings", "counts", "dead_lines", "dead_marks",
-    "mark_dead", "report_lines", "reduce_fetch_log", "has_text",
+    "classify_responses", "check_queue", "check_postings", "counts", "dead_lines", "export_dead", "dead_marks",
+    "mark_dead", "report_lines", "reduce_fetch_log",
 ]

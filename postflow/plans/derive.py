@@ -25,7 +25,6 @@ PAGE_SIZE = 200
 
 # Fixed time stamp of derived runs ("now" of a run is an argument, not a clock).
 AS_OF = dt.datetime(2026, 1, 1, 0, 0, 0)
-AS_OF_SQL = "TIMESTAMP '2026-01-01 00:00:00'"
 
 # Search parameters used by derived feed sources.
 SEARCH_TITLE = "data analyst"
@@ -166,9 +165,6 @@ def rss_item() -> Column:
     )
 
 
-_BUILDERS = {"greenhouse": greenhouse_entry, "ashby": ashby_entry, "seek": rss_item}
-
-
 def _wrap(source_type: str, parts: Column) -> Column:
     if source_type == "seek":
         return F.concat(F.lit("<rss version=\"2.0\"><channel><title>feed</title>"), F.array_join(parts, ""),

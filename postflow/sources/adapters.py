@@ -72,10 +72,6 @@ def present(v: Column, path: str) -> Column:
     return vget(v, path).isNotNull()
 
 
-def is_json_null(v: Column, path: str) -> Column:
-    return F.coalesce(F.is_variant_null(vget(v, path)), F.lit(False))
-
-
 def get_or_default(v: Column, path: str, default: str) -> Column:
     """`entry.get(key, default)` for string values: default only when missing."""
     return F.when(~present(v, path), F.lit(default)).otherwise(vstr(v, path))
@@ -94,10 +90,6 @@ def truthy(x: Column) -> Column:
     )
 
 
-def _is_string_or_missing(x: Column) -> Column:
-    return x.isNull() | (vtype(x) == "STRING")
-
-
 def _jobs(v: Column) -> Column:
     return F.try_variant_get(v, "$.jobs", "array<variant>")
 

@@ -39,6 +39,7 @@ def results(spark):
 
 def test_rules(results):
     _, res = results
+    assert [(f.name, f.dataType) for f in res.schema] == [(f.name, f.dataType) for f in schema.LINK_RESULTS]
     got = {r.job_id: r for r in res.collect()}
     for i, c in enumerate(CASES):
         r = got[i + 1]
