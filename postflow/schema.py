@@ -224,6 +224,15 @@ REJECTS = _struct(
     ("raw", S),
 )
 
+# Run summary of one ingest batch (source_ord NULL = all sources).
+SUMMARIES = _struct(
+    ("source_ord", I),
+    ("source", S),
+    ("seen", L),
+    ("new", L),
+    ("rejected", L),
+)
+
 LINK_RESULTS = _struct(
     ("job_id", L),
     ("job_board_id", S),

@@ -28,6 +28,7 @@ TABLES: dict[str, T.StructType] = {
     "dead_marks": schema.DEAD_MARKS,
     "materials": schema.MATERIALS,
     "rejects": schema.REJECTS,
+    "summaries": schema.SUMMARIES,
 }
 
 PARTITIONS = {"postings": ["source"]}
@@ -82,16 +83,15 @@ class PostingStore:
 
         Stored keys are read from every other batch (a replay of this batch does
         not see its own earlier output), new rows get dense ids after the
-        largest stored id, and the summary is computed from the same inputs.
+        largest stored id, and the per-source summary of the batch is kept in
+        the `summaries` table.
         """
         stored = self.read("postings", with_batch=True).filter(F.col("batch_id") != F.lit(int(batch_id)))
         stored = stored.drop("batch_id")
         # the batch is parsed once and reused by the three outputs below
         inc = inc.persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            # the summary is computed before this batch's rows are written, and
-            # kept (one row per source) so it never re-reads a changed table
-            summary = ingest.summary(inc, stored).checkpoint(eager=True)
+            self.write("summaries", ingest.summary(inc, stored), batch_id)
             new = ingest.with_defaults(ingest.new_postings(inc, stored), as_of)
             new = ingest.assign_ids(new, stored)
             self.write("postings", new.select(*schema.POSTING_COLUMNS), batch_id)
@@ -101,7 +101,8 @@ class PostingStore:
             self.write("rejects", bad, batch_id)
         finally:
             inc.unpersist()
-        return summary
+        return self.read("summaries", with_batch=True).filter(F.col("batch_id") == F.lit(int(batch_id))).drop(
+            "batch_id")
 
     def ingest_payloads(self, payloads: DataFrame, sources: DataFrame | None, as_of: dt.datetime,
                         batch_id: int) -> DataFrame:
