@@ -6,13 +6,14 @@ built only as far as the notes specify it.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from postflow import schema
-from postflow.functions.text import col, contains_folded, first_non_empty, posting_key, source_of_key
+from postflow.functions.text import col, first_non_empty, posting_key, source_of_key
 
 _SCHEME_HOST_PATH = r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)([^?#]*)"
 
@@ -57,16 +58,22 @@ def rekey(postings: DataFrame, source: str) -> DataFrame:
 
 # X5, X6 --------------------------------------------------------------------
 
+def _any_of(terms: Sequence[str]) -> str:
+    """Java regex matching any of the (lower-cased) terms literally."""
+    return "|".join(f"\\Q{t.lower()}\\E" if "\\E" not in t else re.escape(t.lower()) for t in terms)
+
+
 def matches_filters(title: Column | str, location: Column | str, title_terms: Sequence[str],
                     location_terms: Sequence[str]) -> Column:
     """Title holds one of the title terms and the location holds one of the
-    location terms, where a remote location always passes. Empty lists pass."""
-    t_ok = F.lit(True) if not title_terms else F.lit(False)
-    for term in title_terms:
-        t_ok = t_ok | contains_folded(title, F.lit(term))
-    l_ok = contains_folded(location, F.lit("remote")) | (F.lit(True) if not location_terms else F.lit(False))
-    for term in location_terms:
-        l_ok = l_ok | contains_folded(location, F.lit(term))
+    location terms, where a remote location always passes. Empty lists pass.
+
+    Each side is one regex over the lower-cased column, so the column is
+    referenced once however many terms there are (a filter pushed below the
+    adapter's projection repeats the column's whole expression per reference).
+    """
+    t_ok = F.lit(True) if not title_terms else F.lower(col(title)).rlike(_any_of(title_terms))
+    l_ok = F.lit(True) if not location_terms else F.lower(col(location)).rlike(_any_of(["remote", *location_terms]))
     return F.coalesce(t_ok & l_ok, F.lit(False))
 
 

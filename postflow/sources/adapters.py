@@ -186,18 +186,28 @@ def _ashby_fatal(e: Column) -> Column:
     )
 
 
+def or_text(v: Column, path: str) -> Column:
+    """The value at path when Python would take it in `a or b` (truthy), as text; else NULL.
+
+    Truthy values that are not text make the payload fail (see `_ashby_fatal`),
+    so what is left here is text.
+    """
+    x = vget(v, path)
+    return F.when(truthy(x), vstr(v, path))
+
+
 def _ashby_entries(entries: DataFrame) -> DataFrame:
     e = F.col("e")
     listed = vget(e, "$.isListed")
     unlisted = F.coalesce(F.to_json(listed) == "false", F.lit(False))
-    location = first_non_empty(vstr(e, "$.location"))
+    location = first_non_empty(or_text(e, "$.location"))
     return entries.filter(~unlisted).select(
         "source_ord", "payload_ord", F.col("entry_ord").cast("int").alias("entry_ord"),
         get_or_default(e, "$.title", schema.UNTITLED).alias("title"),
         F.col("token").alias("company"),
         fold_remote(location, truthy(vget(e, "$.isRemote"))).alias("location"),
-        first_non_empty(vstr(e, "$.descriptionPlain"), vstr(e, "$.descriptionHtml")).alias("description"),
-        first_non_empty(vstr(e, "$.jobUrl"), vstr(e, "$.applyUrl")).alias("url"),
+        first_non_empty(or_text(e, "$.descriptionPlain"), or_text(e, "$.descriptionHtml")).alias("description"),
+        first_non_empty(or_text(e, "$.jobUrl"), or_text(e, "$.applyUrl")).alias("url"),
     )
 
 

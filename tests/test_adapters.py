@@ -93,11 +93,14 @@ def test_ashby_cases(spark):
          "descriptionPlain": "", "descriptionHtml": "<p>x</p>"},
         {"title": None, "isRemote": False, "location": None, "descriptionPlain": "plain"},
         {"title": "F", "isRemote": "yes", "isListed": "false"},                             # truthy, kept
+        {"title": "G", "jobUrl": False, "applyUrl": "https://a/7", "location": 0, "descriptionPlain": False,
+         "descriptionHtml": "h"},                                                            # falsy non-text skipped
     ]
     inc, rej = scan(spark, [(0, "ashby", "org", {"jobs": jobs})], types=["ashby"])
     rows = sorted(inc.collect(), key=lambda r: r.entry_ord)
-    assert [r.entry_ord for r in rows] == [1, 2, 3, 4, 5]
-    b, c, d, e, f = rows
+    assert [r.entry_ord for r in rows] == [1, 2, 3, 4, 5, 6]
+    b, c, d, e, f, g = rows
+    assert (g.url, g.location, g.description) == ("https://a/7", "", "h")
     assert b.location == "Berlin (Remote)" and b.company == "org"
     assert c.url == "https://a/3" and c.location == "Remote"
     assert d.title == "Untitled" and d.location == "Remote - EU" and d.description == "<p>x</p>"
