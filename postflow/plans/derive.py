@@ -184,16 +184,22 @@ def payloads(documents: DataFrame, source_type: str | Column) -> DataFrame:
     `source_type` is one type for all sources, or a column choosing it per
     document (all documents of one source must get the same type).
     """
-    typ = F.lit(source_type) if isinstance(source_type, str) else source_type
-    entry = F.when(typ == "greenhouse", greenhouse_entry()).when(typ == "ashby", ashby_entry()).otherwise(rss_item())
+    builders = {"greenhouse": greenhouse_entry, "ashby": ashby_entry, "seek": rss_item}
+    if isinstance(source_type, str):
+        typ, entry = F.lit(source_type), builders[source_type]()
+    else:
+        typ = source_type
+        entry = F.when(typ == "greenhouse", greenhouse_entry()).when(typ == "ashby", ashby_entry()).otherwise(rss_item())
     docs = documents.select(
         source_ord_of().alias("source_ord"), page_of().alias("payload_ord"), typ.alias("type"),
         F.col("source").alias("token"), F.struct(F.col("doc_id"), entry.alias("j")).alias("p"))
     grouped = docs.groupBy("source_ord", "payload_ord", "type", "token").agg(
         F.array_sort(F.collect_list("p")).alias("ps"))
     parts = F.transform(F.col("ps"), lambda x: x["j"])
-    body = (F.when(F.col("type") == "seek", _wrap("seek", parts))
-            .otherwise(_wrap("greenhouse", parts)))
+    if isinstance(source_type, str):
+        body = _wrap(source_type, parts)
+    else:
+        body = F.when(F.col("type") == "seek", _wrap("seek", parts)).otherwise(_wrap("greenhouse", parts))
     return grouped.select(
         "source_ord", "payload_ord", "type", "token",
         F.lit(AS_OF).cast("timestamp_ntz").alias("fetched_at"), body.alias("body"))
@@ -203,10 +209,11 @@ def sources(documents: DataFrame, source_type: str | Column, title_contains: str
             location: str | None = None) -> DataFrame:
     """One configured source per document source (`src<N>` -> position N)."""
     typ = F.lit(source_type) if isinstance(source_type, str) else source_type
+    is_seek = F.lit(source_type == "seek") if isinstance(source_type, str) else typ == "seek"
     return documents.select("source").distinct().select(
         source_ord_of().alias("source_ord"), typ.alias("type"), F.col("source").alias("token"),
-        F.when(typ == "seek", F.lit(SEARCH_TITLE)).alias("title"),
-        F.when(typ == "seek", F.lit(location)).cast("string").alias("location"),
+        F.when(is_seek, F.lit(SEARCH_TITLE)).alias("title"),
+        F.when(is_seek, F.lit(location)).cast("string").alias("location"),
         F.lit(title_contains).cast("string").alias("title_contains"))
 
 
