@@ -63,10 +63,21 @@ class PostingStore:
     def postings(self) -> DataFrame:
         return self.read("postings")
 
-    def view(self) -> DataFrame:
-        """Current postings: latest status, latest successful texts, first dead mark."""
-        return board.current_view(self.postings(), self.read("status_changes"), self.read("materials"),
-                                  self.read("dead_marks"))
+    def view(self, exclude: tuple[str, int] | None = None) -> DataFrame:
+        """Current postings: latest status, latest successful texts, first dead mark.
+
+        `exclude=(table, N)` leaves out what batch N wrote to that table: a
+        command run again as the same batch must see the table as it was before
+        its first attempt, or it would skip work its earlier attempt did and
+        then overwrite that batch with less.
+        """
+        def side(name: str) -> DataFrame:
+            df = self.read(name, with_batch=True)
+            if exclude is not None and exclude[0] == name:
+                df = df.filter(F.col("batch_id") != F.lit(int(exclude[1])))
+            return df.drop("batch_id")
+
+        return board.current_view(side("postings"), side("status_changes"), side("materials"), side("dead_marks"))
 
     # -- write --------------------------------------------------------------
     def write(self, name: str, df: DataFrame, batch_id: int) -> None:
@@ -122,6 +133,46 @@ class PostingStore:
     def append_materials(self, rows: DataFrame, batch_id: int) -> None:
         self.write("materials", rows, batch_id)
 
+    # -- the three commands of the original tool, as one call each -----------
+    def check_links(self, responses: DataFrame, as_of: dt.datetime, batch_id: int, limit: int = 0,
+                    mark_dead: bool = True, dead_out: str | None = None) -> DataFrame:
+        """Check not-dead postings against landed responses; returns live/dead/unknown counts.
+
+        Dead postings get one shared `dead_at` (appended to `dead_marks`) when
+        `mark_dead`; `dead_out` receives the export lines when there are dead links.
+        """
+        from postflow.operators import links
+
+        results = links.check_postings(self.view(exclude=("dead_marks", batch_id)), responses, limit=limit)
+        results = results.checkpoint(eager=True)  # one verdict set for counts, marks and export
+        if mark_dead:
+            self.append_dead(links.dead_marks(results, as_of), batch_id)
+        if dead_out:
+            links.export_dead(results, dead_out)
+        return links.counts(results)
+
+    def generate(self, resume_summary: str, generator, as_of: dt.datetime, batch_id: int,
+                 limit: int = 0) -> DataFrame:
+        """Generate both texts for pending postings (the first `limit` by id, 0 = all);
+        returns generated / empty / failed / remaining counts."""
+        from postflow.operators import materials
+
+        view = self.view(exclude=("materials", batch_id))
+        produced = materials.run_generation(view, resume_summary, generator, as_of, limit=limit)
+        self.append_materials(produced, batch_id)
+        done = self.read("materials", with_batch=True).filter(F.col("batch_id") == F.lit(int(batch_id)))
+        return materials.run_summary(view, done.drop("batch_id"))
+
+    def set_status(self, job_board_id: str, status: str, as_of: dt.datetime, batch_id: int, seq: int = 0) -> int:
+        """Record a status edit when it differs from the current one; returns rows written (0 or 1)."""
+        view = self.view(exclude=("status_changes", batch_id))
+        change = board.status_change(view, job_board_id, status, as_of, seq)
+        change = change.checkpoint(eager=True)
+        n = change.count()
+        if n:
+            self.append_status(change, batch_id)
+        return n
+
     def compact(self, name: str, version: int) -> str:
         """Rewrite a table as one batch folder under a new root `<root>_v<version>`.
 

@@ -131,3 +131,34 @@ def test_stored_row_never_changes(spark):
     assert s[None] == (2, 1)
     rows = {r.url: (r.id, r.title, r.description) for r in store.postings().collect()}
     assert rows["https://b/1"] == (1, "Original", "old") and rows["https://b/2"][0] == 2
+
+
+def test_store_commands(spark, tmp_path):
+    from postflow import schema
+
+    store = PostingStore(spark, tempfile.mkdtemp(prefix="pf-cmd-"))
+    body = {"jobs": [{"title": f"J{i}", "absolute_url": f"https://b/{i}", "content": "x"} for i in range(4)]}
+    store.ingest_payloads(payloads(spark, [(0, "greenhouse", "acme", body)]), None, AS_OF, 0)
+    resp = spark.createDataFrame([("https://b/0", 404, 404, "gone", None), ("https://b/1", 200, 200, "open", None),
+                                  ("https://b/2", 503, None, None, None)], schema.RESPONSES)
+    c = store.check_links(resp, AS_OF, 0, dead_out=str(tmp_path / "dead")).collect()[0]
+    assert (c.live, c.dead, c.unknown, c.checked) == (1, 1, 2, 4)
+    assert [r.value for r in spark.read.text(str(tmp_path / "dead")).collect()] == ["1\thttps://b/0\t404"]
+    # dead postings are not checked again
+    c2 = store.check_links(resp, AS_OF, 1).collect()[0]
+    assert c2.checked == 3
+    s = store.generate("cv", "echo", AS_OF, 0).collect()[0]
+    assert s.generated + s.empty + s.failed == 4
+    assert store.set_status("greenhouse-" + __import__("hashlib").sha1(b"https://b/1").hexdigest()[:10],
+                            "Applied", AS_OF, 0) == 1
+    assert {r.status for r in store.view().collect()} == {"To Apply", "Applied"}
+
+
+def test_store_command_replay_keeps_work(spark):
+    store = PostingStore(spark, tempfile.mkdtemp(prefix="pf-replay-"))
+    body = {"jobs": [{"title": f"J{i}", "absolute_url": f"https://b/{i}", "content": "x"} for i in range(5)]}
+    store.ingest_payloads(payloads(spark, [(0, "greenhouse", "acme", body)]), None, AS_OF, 0)
+    store.generate("cv", "echo", AS_OF, 7)
+    first = sorted(r.job_board_id for r in store.read("materials").collect())
+    store.generate("cv", "echo", AS_OF, 7)  # the same batch again
+    assert sorted(r.job_board_id for r in store.read("materials").collect()) == first and len(first) == 5
