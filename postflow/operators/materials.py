@@ -115,12 +115,25 @@ def _call(fn: BatchFn, items: list[str]) -> tuple[list[str | None], list[str | N
         return texts, errors
 
 
+def _chunked(fn: BatchFn, items: list[str], size: int) -> tuple[list[str | None], list[str | None]]:
+    texts: list[str | None] = []
+    errors: list[str | None] = []
+    for i in range(0, len(items), size):
+        t, e = _call(fn, items[i:i + size])
+        texts += t
+        errors += e
+    return texts, errors
+
+
 def generate(prompt_rows: DataFrame, generator: str | GeneratorFactory, as_of: dt.datetime,
-             name: str | None = None) -> DataFrame:
+             name: str | None = None, call_size: int = 64) -> DataFrame:
     """Materials rows (job_board_id, cover_letter, cold_email, generator, generated_at, error).
 
     A row whose either call fails gets `error` set and both texts null, so it
-    stays pending; other rows of the batch are unaffected.
+    stays pending; other rows of the batch are unaffected. The generator gets
+    at most `call_size` prompts per call (prompts carry whole descriptions), and
+    the Arrow batches it reads from are capped by
+    `spark.sql.execution.arrow.maxRecordsPerBatch`.
     """
     factory = generator_for(generator) if isinstance(generator, str) else generator
     gen_name = name or (generator if isinstance(generator, str) else getattr(factory, "__name__", "custom"))
@@ -129,8 +142,8 @@ def generate(prompt_rows: DataFrame, generator: str | GeneratorFactory, as_of: d
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fn = factory()
         for pdf in batches:
-            covers, cerr = _call(fn, pdf["cover_prompt"].fillna("").tolist())
-            emails, eerr = _call(fn, pdf["email_prompt"].fillna("").tolist())
+            covers, cerr = _chunked(fn, pdf["cover_prompt"].fillna("").tolist(), call_size)
+            emails, eerr = _chunked(fn, pdf["email_prompt"].fillna("").tolist(), call_size)
             err = [c or e for c, e in zip(cerr, eerr)]
             yield pd.DataFrame({
                 "job_board_id": pdf["job_board_id"],
