@@ -28,12 +28,14 @@ def land_payloads(payloads: DataFrame, landing_path: str, mode: str = "append")
 
 def ingest_stream(spark: SparkSession, landing_path: str, store: PostingStore, checkpoint_location: str,
                   sources: DataFrame | None = None, as_of: dt.datetime | None = None,
-                  available_now: bool = True, max_files_per_trigger: int | None = None) -> StreamingQuery:
-    """Stream landed payload files into the store (scan -> first wins -> insert-if-absent)."""
-    reader = spark.readStream.schema(schema.PAYLOADS)
+                  available_now: bool = True, max_files_per_trigger: int | None = None,
+                  fmt: str = "parquet") -> StreamingQuery:
+    """Stream landed payload files (Parquet or JSON lines) into the store
+    (scan -> first wins -> insert-if-absent)."""
+    reader = spark.readStream.schema(schema.PAYLOADS).format(fmt)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
-    stream = reader.parquet(landing_path)
+    stream = reader.load(landing_path)
 
     def batch(df: DataFrame, batch_id: int) -> None:
         stamp = as_of or dt.datetime.now(dt.UTC).replace(tzinfo=None)

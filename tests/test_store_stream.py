@@ -162,3 +162,19 @@ def test_store_command_replay_keeps_work(spark):
     first = sorted(r.job_board_id for r in store.read("materials").collect())
     store.generate("cv", "echo", AS_OF, 7)  # the same batch again
     assert sorted(r.job_board_id for r in store.read("materials").collect()) == first and len(first) == 5
+
+
+def test_stream_json_lines_landing(spark, tmp_path):
+    import json
+
+    body = json.dumps({"jobs": [{"title": "A", "absolute_url": "https://b/1"}, {"title": "B", "absolute_url": "https://b/1"}]})
+    land = tmp_path / "landing"
+    land.mkdir()
+    (land / "part-0.json").write_text(json.dumps({"source_ord": 0, "payload_ord": 0, "type": "greenhouse",
+                                                  "token": "acme", "fetched_at": "2026-01-01T00:00:00",
+                                                  "body": body}) + "\n")
+    store = PostingStore(spark, str(tmp_path / "store"))
+    q = streaming.ingest_stream(spark, str(land), store, str(tmp_path / "ckpt"), as_of=AS_OF, fmt="json")
+    q.awaitTermination()
+    assert q.exception() is None
+    assert [(r.title, r.company) for r in store.postings().collect()] == [("A", "acme")]
