@@ -178,11 +178,17 @@ def greenhouse(prepared: DataFrame) -> AdapterResult:
 # ---------------------------------------------------------------------------
 
 def _ashby_fatal(e: Column) -> Column:
+    listed = F.coalesce(F.to_json(vget(e, "$.isListed")) == "false", F.lit(False))
     return (
         ~F.startswith(vtype(e), F.lit("OBJECT"))
-        | (truthy(vget(e, "$.jobUrl")) & (vtype(vget(e, "$.jobUrl")) != "STRING"))
-        | (~truthy(vget(e, "$.jobUrl")) & truthy(vget(e, "$.applyUrl")) & (vtype(vget(e, "$.applyUrl")) != "STRING"))
-        | (truthy(vget(e, "$.location")) & (vtype(vget(e, "$.location")) != "STRING"))
+        | (~listed & (
+            # the chosen URL is hashed: a truthy non-text value raises
+            (truthy(vget(e, "$.jobUrl")) & (vtype(vget(e, "$.jobUrl")) != "STRING"))
+            | (~truthy(vget(e, "$.jobUrl")) & truthy(vget(e, "$.applyUrl"))
+               & (vtype(vget(e, "$.applyUrl")) != "STRING"))
+            # a remote posting's location is lower-cased: a truthy non-text value raises
+            | (truthy(vget(e, "$.isRemote")) & truthy(vget(e, "$.location"))
+               & (vtype(vget(e, "$.location")) != "STRING"))))
     )
 
 
