@@ -94,18 +94,36 @@ def first_wins(inc: DataFrame) -> DataFrame:
     return inc.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") == 1).drop("_rn")
 
 
-def existing_keys(current: DataFrame | None) -> DataFrame | None:
-    return None if current is None else current.select("job_board_id")
+def existing_keys(current: DataFrame | None, by_source: bool = False) -> DataFrame | None:
+    if current is None:
+        return None
+    return current.select("source", "job_board_id") if by_source else current.select("job_board_id")
 
 
-def new_postings(inc: DataFrame, current: DataFrame | None) -> DataFrame:
-    """Incoming rows whose key is neither stored nor beaten by an earlier row."""
+def _key_cols(by_source: bool) -> list[str]:
+    return ["source", "job_board_id"] if by_source else ["job_board_id"]
+
+
+def new_postings(inc: DataFrame, current: DataFrame | None, by_source: bool = False) -> DataFrame:
+    """Incoming rows whose key is neither stored nor beaten by an earlier row.
+
+    `by_source=True` joins on (source, key): equivalent, since the source is
+    the key's prefix, and it lets a store partitioned by `source` be pruned to
+    the sources of the batch (dynamic partition pruning) instead of reading
+    every stored key.
+    """
     valid, _ = split_required(inc)
     winners = first_wins(valid)
-    keys = existing_keys(current)
+    keys = existing_keys(current, by_source)
     if keys is None:
         return winners
-    return winners.join(keys, "job_board_id", "left_anti")
+    cols = _key_cols(by_source)
+    if by_source:
+        # stored keys that the batch also has (the stored side is the one pruned),
+        # then the batch without them
+        hits = keys.join(winners.select(*cols), cols, "left_semi")
+        return winners.join(hits, cols, "left_anti").select(*winners.columns)
+    return winners.join(keys, cols, "left_anti").select(*winners.columns)
 
 
 def with_defaults(rows: DataFrame, as_of: dt.datetime) -> DataFrame:
@@ -123,7 +141,7 @@ def with_defaults(rows: DataFrame, as_of: dt.datetime) -> DataFrame:
     })
 
 
-def summary(inc: DataFrame, current: DataFrame | None) -> DataFrame:
+def summary(inc: DataFrame, current: DataFrame | None, by_source: bool = False) -> DataFrame:
     """Per-source seen / new / rejected counts plus a grand-total row (source_ord NULL).
 
     One pass over the incoming rows: a partial aggregate collapses duplicates
@@ -146,10 +164,14 @@ def summary(inc: DataFrame, current: DataFrame | None) -> DataFrame:
     )
     w = Window.partitionBy("job_board_id").orderBy(F.col("_first").isNull(), "source_ord", "_first")
     ranked = per_key.withColumn("_win", (F.row_number().over(w) == 1) & F.col("_first").isNotNull())
-    keys = existing_keys(current)
+    keys = existing_keys(current, by_source)
     if keys is not None:
+        cols = _key_cols(by_source)
+        if by_source:
+            # only the stored keys the batch also has (lets a source-partitioned store be pruned)
+            keys = keys.join(ranked.select(*cols), cols, "left_semi")
         stored = keys.distinct().withColumn("_stored", F.lit(True))
-        ranked = ranked.join(stored, "job_board_id", "left")
+        ranked = ranked.join(stored, cols, "left")
         is_new = F.col("_win") & F.col("_stored").isNull()
     else:
         is_new = F.col("_win")

@@ -102,8 +102,8 @@ class PostingStore:
         # the batch is parsed once and reused by the three outputs below
         inc = inc.persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            self.write("summaries", ingest.summary(inc, stored), batch_id)
-            new = ingest.with_defaults(ingest.new_postings(inc, stored), as_of)
+            self.write("summaries", ingest.summary(inc, stored, by_source=True), batch_id)
+            new = ingest.with_defaults(ingest.new_postings(inc, stored, by_source=True), as_of)
             new = ingest.assign_ids(new, stored)
             self.write("postings", new.select(*schema.POSTING_COLUMNS), batch_id)
             _, bad = ingest.split_required(inc)
