@@ -117,8 +117,18 @@ class PostingStore:
 
     def ingest_payloads(self, payloads: DataFrame, sources: DataFrame | None, as_of: dt.datetime,
                         batch_id: int) -> DataFrame:
-        res: AdapterResult = ingest.scan(payloads, sources)
-        return self.ingest(res.incoming, as_of, batch_id, rejects=res.rejects)
+        """Scan one batch of landed payloads with every adapter and ingest the postings.
+
+        The batch is read by each adapter's branch and by the unknown-type
+        check, so it is kept for the length of the ingest instead of being read
+        from its files once per branch.
+        """
+        payloads = payloads.persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            res: AdapterResult = ingest.scan(payloads, sources)
+            return self.ingest(res.incoming, as_of, batch_id, rejects=res.rejects)
+        finally:
+            payloads.unpersist()
 
     def seed(self, postings: DataFrame, batch_id: int = 0) -> None:
         """Write postings that already exist elsewhere (ids and keys kept)."""
