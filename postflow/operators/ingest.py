@@ -142,7 +142,10 @@ def with_defaults(rows: DataFrame, as_of: dt.datetime) -> DataFrame:
 
 
 def summary(inc: DataFrame, current: DataFrame | None, by_source: bool = False) -> DataFrame:
-    """Per-source seen / new / rejected counts plus a grand-total row (source_ord NULL).
+    """Per-source seen / new / rejected / URL-less counts plus a grand-total row (source_ord NULL).
+
+    URL-less postings of a source all share one key (the hot key), so their
+    number is reported next to the counts.
 
     One pass over the incoming rows: a partial aggregate collapses duplicates
     of a key within each source before the shuffle (so a hot key moves as one
@@ -156,10 +159,12 @@ def summary(inc: DataFrame, current: DataFrame | None, by_source: bool = False)
     # run position inside a source packed into one long, so every aggregate
     # buffer is fixed-width and the planner picks hash aggregation
     pos = F.shiftleft(F.col("payload_ord").cast("long"), 32) + F.col("entry_ord").cast("long")
-    rows = inc.select("source_ord", "source", "job_board_id", pos.alias("_pos"), ok.alias("_ok"))
+    rows = inc.select("source_ord", "source", "job_board_id", pos.alias("_pos"), ok.alias("_ok"),
+                      (F.coalesce(F.col("url"), F.lit("")) == "").alias("_blank"))
     per_key = rows.groupBy("job_board_id", "source_ord", "source").agg(
         F.count(F.lit(1)).alias("_seen"),
         F.count_if(~F.col("_ok")).alias("_rej"),
+        F.count_if("_blank").alias("_blank"),
         F.min(F.when(F.col("_ok"), F.col("_pos"))).alias("_first"),
     )
     w = Window.partitionBy("job_board_id").orderBy(F.col("_first").isNull(), "source_ord", "_first")
@@ -181,8 +186,9 @@ def summary(inc: DataFrame, current: DataFrame | None, by_source: bool = False)
         F.sum("_seen").alias("seen"),
         F.sum("_new").alias("new"),
         F.sum("_rej").alias("rejected"),
+        F.sum("_blank").alias("blank_urls"),
     )
-    return out.select("source_ord", "source", "seen", "new", "rejected")
+    return out.select("source_ord", "source", "seen", "new", "rejected", "blank_urls")
 
 
 @dataclass

@@ -87,7 +87,8 @@ SELECT source_ord,
   CAST(count(*) AS BIGINT) AS seen,
   CAST(sum(CASE WHEN ok AND rn = 1 AND job_board_id NOT IN (SELECT job_board_id FROM ({STORED_KEYS}) s)
                 THEN 1 ELSE 0 END) AS BIGINT) AS new,
-  CAST(sum(CASE WHEN ok THEN 0 ELSE 1 END) AS BIGINT) AS rejected
+  CAST(sum(CASE WHEN ok THEN 0 ELSE 1 END) AS BIGINT) AS rejected,
+  CAST(sum(CASE WHEN coalesce(url, '') = '' THEN 1 ELSE 0 END) AS BIGINT) AS blank_urls
 FROM ranked GROUP BY ROLLUP (source_ord)"""
 
 

@@ -231,6 +231,7 @@ SUMMARIES = _struct(
     ("seen", L),
     ("new", L),
     ("rejected", L),
+    ("blank_urls", L),
 )
 
 LINK_RESULTS = _struct(

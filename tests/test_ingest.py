@@ -52,6 +52,8 @@ def test_empty_url_is_one_hot_key(spark):
     inc = incoming(spark, [{"url": "", "entry_ord": i, "title": f"t{i}"} for i in range(50)])
     new = ingest.new_postings(inc, None).collect()
     assert len(new) == 1 and new[0].title == "t0" and new[0].job_board_id == "seek-da39a3ee5e"
+    total = [r for r in ingest.summary(inc, None).collect() if r.source_ord is None][0]
+    assert (total.seen, total.new, total.blank_urls) == (50, 1, 50)
 
 
 def test_row_defaults(spark):

@@ -45,7 +45,7 @@ def test_every_query_has_an_oracle():
 def test_entry_smoke(spark):
     df = entry.entry(spark)
     rows = df.collect()
-    assert df.columns == ["source_ord", "source", "seen", "new", "rejected"]
+    assert df.columns == ["source_ord", "source", "seen", "new", "rejected", "blank_urls"]
     total = [r for r in rows if r.source_ord is None][0]
     assert total.seen >= total.new > 0
 

@@ -10,6 +10,14 @@ BODY = {"jobs": [{"title": f"Job {i}", "absolute_url": f"https://b/{i % 7}", "co
                   "location": {"name": "Adelaide"}} for i in range(20)]}
 
 
+def test_checkpoint_folder_rule(spark):
+    from postflow.session import checkpoint_dir
+
+    # a local session without spark.checkpoint.dir gets a folder; it is then the session's own
+    d = checkpoint_dir(spark)
+    assert d and spark.sparkContext.getCheckpointDir() == d
+
+
 def test_missing_table_reads_empty(spark):
     store = PostingStore(spark, tempfile.mkdtemp(prefix="pf-store-"))
     assert store.postings().count() == 0
