@@ -4,7 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from postflow.llm import op01_sharding, op02_exact_dedup, op05_mixing, op06_near_dedup, op08_decontamination, op10_quality
+from postflow.llm import (
+    op01_sharding,
+    op02_exact_dedup,
+    op03_suffix_dedup,
+    op04_language,
+    op05_mixing,
+    op06_near_dedup,
+    op07_substring_dedup,
+    op08_decontamination,
+    op09_toxicity,
+    op10_quality,
+)
 from postflow.llm.common import table
 
 
@@ -16,6 +27,14 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op02_exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op03_suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), window=50)
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op04_language.languages(table(spark, sf_dir, "documents"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op05_mixing.allot(table(spark, sf_dir, "documents"), share=1.0, epochs=3).select(
         "doc_id", "size", "source_size", "target", "taken")
@@ -25,16 +44,25 @@ def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op06_near_dedup.near_duplicates(table(spark, sf_dir, "documents"), words=4, percent=80)
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op07_substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), window=20)
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op08_decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op09_toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_sharding, op2_exact_dedup, op5_mixing, op6_near_dedup, op8_decontamination, op10_quality_classifier)}
+    op1_sharding, op2_exact_dedup, op3_suffix_dedup, op4_language_id, op5_mixing, op6_near_dedup,
+    op7_substring_dedup, op8_decontamination, op9_toxicity, op10_quality_classifier)}
 
 ORACLES = {
     "op2_exact_dedup": """

@@ -106,15 +106,19 @@ class SpanHash:
         self.base = base | 1
         self._up, self._down = _powers(1024, self.base)
 
-    def prefix(self, values: np.ndarray) -> np.ndarray:
-        n = len(values) + 1
+    def _reach(self, n: int) -> None:
         if len(self._up) < n:
             self._up, self._down = _powers(max(n, 2 * len(self._up)), self.base)
+
+    def prefix(self, values: np.ndarray) -> np.ndarray:
+        n = len(values) + 1
+        self._reach(n)
         out = np.zeros(n, np.uint64)
         np.cumsum(values * self._up[: n - 1], out=out[1:])
         return out
 
     def spans(self, prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        self._reach(len(prefix))
         h = (prefix[end] - prefix[start]) * self._down[start]
         return mix(h + (end - start).astype(np.uint64) * U64(0x9E3779B97F4A7C15))
 
