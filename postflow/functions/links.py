@@ -27,11 +27,10 @@ def closed_phrase(body_lower: Column | str, phrases: Sequence[str] = schema.CLOS
     return F.coalesce(*[F.when(F.contains(b, F.lit(p)), F.lit(p)) for p in phrases], F.lit(None).cast("string"))
 
 
-def classify(code: Column | str, body_lower: Column | str, exc: Column | str,
-             phrases: Sequence[str] = schema.CLOSED_PHRASES) -> Column:
-    """(status_code, live, error) of one fetched URL, as a struct."""
-    c, b, e = col(code), col(body_lower), col(exc)
-    phrase = closed_phrase(b, phrases)
+def classify(code: Column | str, phrase: Column | str, can_apply: Column | str, exc: Column | str) -> Column:
+    """(status_code, live, error) of one fetched URL, as a struct, from its code, the
+    closed phrase found in the body (or null) and whether the apply text is there."""
+    c, phrase, can_apply, e = col(code), col(phrase), col(can_apply), col(exc)
     null_i = F.lit(None).cast("int")
     null_s = F.lit(None).cast("string")
 
@@ -41,7 +40,7 @@ def classify(code: Column | str, body_lower: Column | str, exc: Column | str,
     gone = c.isin(*schema.DEAD_CODES)
     return (
         F.when(e.isNotNull(), out(null_i, False, e))
-        .when(gone & F.contains(b, F.lit(schema.APPLY_MARKER)), out(c, True, F.lit(schema.LIVE_DESPITE_404)))
+        .when(gone & can_apply, out(c, True, F.lit(schema.LIVE_DESPITE_404)))
         .when(gone, out(c, False, null_s))
         .when(c.isNull() | (c != 200), out(c, False, F.concat(F.lit("HTTP "), F.coalesce(c.cast("string"), F.lit("None")))))
         .when(phrase.isNotNull(), out(c, False, F.concat(F.lit("closed: '"), phrase, F.lit("'"))))

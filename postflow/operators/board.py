@@ -35,13 +35,17 @@ def fold_dead(marks: DataFrame) -> DataFrame:
 
 
 def fold_materials(materials: DataFrame) -> DataFrame:
-    """Latest successful texts per key; failed runs leave the posting pending."""
-    ok = materials.filter(F.col("error").isNull())
-    order = F.struct("generated_at", "generator")
-    return ok.groupBy("job_board_id").agg(
-        F.max_by("cover_letter", order).alias("cover_letter"),
-        F.max_by("cold_email", order).alias("cold_email"),
-    )
+    """Latest successful texts per key; failed runs leave the posting pending.
+
+    The newest time of each key is found on fixed-width values; only the rows of
+    that time carry their texts on (several at one time: the largest generator).
+    """
+    ok = materials.filter(F.col("error").isNull() & F.col("cover_letter").isNotNull())
+    newest = ok.groupBy("job_board_id").agg(F.max("generated_at").alias("_newest"))
+    last = ok.join(newest, "job_board_id").filter(F.col("generated_at").eqNullSafe(F.col("_newest")))
+    order = F.struct("generator", "cover_letter", "cold_email")
+    return last.groupBy("job_board_id").agg(F.max(order).alias("_m")).select(
+        "job_board_id", "_m.cover_letter", "_m.cold_email")
 
 
 def current_view(postings: DataFrame, status_changes: DataFrame | None = None,
@@ -66,10 +70,13 @@ def current_view(postings: DataFrame, status_changes: DataFrame | None = None,
     return view.select(*schema.POSTING_COLUMNS)
 
 
-def listing(view: DataFrame, limit: int = 0) -> DataFrame:
+def listing(view: DataFrame, limit: int = 0, ordered: bool = True) -> DataFrame:
     """Dashboard rows, newest scraped first (id breaks ties): header, status shown,
-    and whether each text is there. `limit` N > 0 returns one page of N rows
-    as a top-N; 0 returns all rows unordered (order them only where shown)."""
+    and whether each text is there. `limit` N > 0 returns one page of N rows, picked
+    on (date, id) alone; `ordered=False` leaves the order to the caller."""
+    if limit:
+        page = view.select("id", "date_scraped").orderBy(F.desc("date_scraped"), F.desc("id")).limit(limit)
+        view = view.join(page.select("id"), "id", "left_semi")
     shown = normalise_status("status")
     rows = view.select(
         "id", "job_board_id", "date_scraped",
@@ -79,7 +86,7 @@ def listing(view: DataFrame, limit: int = 0) -> DataFrame:
         has_text("generated_cold_email").alias("has_cold_email"),
         "location", "url",
     )
-    return rows.orderBy(F.desc("date_scraped"), F.desc("id")).limit(limit) if limit else rows
+    return rows.orderBy(F.desc("date_scraped"), F.desc("id")) if ordered else rows
 
 
 def status_change(view: DataFrame, job_board_id: str, new_status: str, as_of: dt.datetime,
@@ -117,33 +124,19 @@ def lookup(view: DataFrame, job_board_id: str | None = None, id: int | None = No
 def status_history(changes: DataFrame) -> DataFrame:
     """Every status change with the status it replaced (NULL for the first).
 
-    The changes are range-partitioned on (key, changed_at, seq), so a key with
-    very many changes is split over several tasks instead of one; the
-    previous status of the first row of each range comes from the last row of
-    the range before it (one small row per range, broadcast).
+    A key's changes are dealt by day, so a key with very many of them takes
+    several tasks; within a day the previous row is a lag, and the first row of a
+    day takes the last status of the key's day before (one small row for each key
+    and day, which meets the changes on the partitioning they already have).
     """
-    from postflow.session import checkpoint_dir, shuffle_partitions
-
-    spark = changes.sparkSession
-    checkpoint_dir(spark)
-    n = shuffle_partitions(spark)
-    # the split is fixed once (checkpoint to the shared folder): the in-range
-    # pass and the per-range tails below must see the very same ranges
-    ranged = changes.select("job_board_id", "status", "changed_at", "seq").repartitionByRange(
-        n, "job_board_id", "changed_at", "seq").withColumn("_pid", F.spark_partition_id()).checkpoint(eager=True)
-    w = Window.partitionBy("_pid").orderBy("job_board_id", "changed_at", "seq")
-    local = ranged.withColumns({
-        "_prev_key": F.lag("job_board_id").over(w),
-        "_prev": F.lag("status").over(w),
-    })
-    tail = ranged.groupBy("_pid").agg(
-        F.max_by(F.struct("job_board_id", "status"), F.struct("job_board_id", "changed_at", "seq")).alias("_last"))
-    # last row of the nearest earlier non-empty range
-    tw = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    carry = tail.withColumn("_carry", F.last("_last", ignorenulls=True).over(tw)).select("_pid", "_carry")
-    fixed = local.join(F.broadcast(carry), "_pid", "left")
-    prev = F.when(F.col("_prev_key").isNotNull(),
-                  F.when(F.col("_prev_key") == F.col("job_board_id"), F.col("_prev")))
-    prev = prev.otherwise(
-        F.when(F.col("_carry.job_board_id") == F.col("job_board_id"), F.col("_carry.status")))
-    return fixed.select("job_board_id", "status", "changed_at", "seq", prev.alias("previous_status"))
+    rows = changes.select("job_board_id", "status", "changed_at", "seq", F.to_date("changed_at").alias("_day"))
+    in_day = Window.partitionBy("job_board_id", "_day").orderBy("changed_at", "seq")
+    local = rows.withColumns({"_n": F.row_number().over(in_day), "_prev": F.lag("status").over(in_day)})
+    last = rows.groupBy("job_board_id", "_day").agg(
+        F.max(F.struct("changed_at", "seq", "status"))["status"].alias("_last"))
+    by_day = Window.partitionBy("job_board_id").orderBy("_day")
+    before = last.select("job_board_id", "_day", F.lag("_last").over(by_day).alias("_before"))
+    on = [F.col("l.job_board_id").eqNullSafe(F.col("b.job_board_id")), F.col("l._day").eqNullSafe(F.col("b._day"))]
+    return local.alias("l").join(before.alias("b"), on, "left").select(
+        "l.job_board_id", "l.status", "l.changed_at", "l.seq",
+        F.when(F.col("_n") == 1, F.col("_before")).otherwise(F.col("_prev")).alias("previous_status"))

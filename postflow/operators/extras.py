@@ -39,6 +39,14 @@ def id_from_url(url: Column | str) -> Column:
     return F.regexp_extract(col(url), r"/([0-9]+)/?(?:[?#]|$)", 1)
 
 
+def new_keys(postings: DataFrame, source: str) -> DataFrame:
+    """(old_key, new_key) of the URL-keyed rows of `source` whose id can be derived."""
+    pid = id_from_url("url")
+    mine = postings.filter((F.col("source") == F.lit(source)) & (pid != ""))
+    pairs = mine.select(F.col("job_board_id").alias("old_key"), posting_key(F.lit(source), pid).alias("new_key"))
+    return pairs.filter("old_key != new_key").distinct()
+
+
 def rekey(postings: DataFrame, source: str) -> DataFrame:
     """Move URL-keyed rows of `source` onto id-derived keys, in place and idempotently.
 
@@ -46,14 +54,25 @@ def rekey(postings: DataFrame, source: str) -> DataFrame:
     id-keyed row end up with the same key, the id-keyed row is kept (then the
     lowest id). Other sources pass through untouched.
     """
-    mine = F.col("source") == F.lit(source)
+    mine = F.col("source").eqNullSafe(F.lit(source))
     pid = id_from_url("url")
-    new_key = F.when(mine & (pid != ""), posting_key(F.lit(source), pid)).otherwise(F.col("job_board_id"))
-    keyed = postings.withColumn("_was_id_keyed", F.col("job_board_id") == new_key).withColumn(
-        "_old_key", F.col("job_board_id")).withColumn("job_board_id", new_key)
-    w = Window.partitionBy("job_board_id").orderBy(F.desc("_was_id_keyed"), "id")
+    new_key = F.when(pid != "", posting_key(F.lit(source), pid)).otherwise(F.col("job_board_id"))
+    keyed = postings.filter(mine).withColumn("_old_key", F.col("job_board_id")).withColumn("job_board_id", new_key)
+    w = Window.partitionBy("job_board_id").orderBy(F.desc(F.col("_old_key") == F.col("job_board_id")), "id")
     kept = keyed.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") == 1)
-    return kept.withColumn("rekeyed", F.col("_old_key") != F.col("job_board_id")).drop("_rn", "_was_id_keyed", "_old_key")
+    kept = kept.withColumn("rekeyed", F.col("_old_key") != F.col("job_board_id")).drop("_rn", "_old_key")
+    return kept.unionByName(postings.filter(~mine).withColumn("rekeyed", F.lit(False)))
+
+
+def rekey_tables(postings: DataFrame, source: str, **sides: DataFrame) -> dict[str, DataFrame]:
+    """The postings and their side tables (status edits, texts, dead marks) after the
+    move: each side row of a moved key follows it, so nothing a user did is lost."""
+    keys = new_keys(postings, source)
+    out = {"postings": rekey(postings, source).drop("rekeyed")}
+    for name, df in sides.items():
+        moved = df.join(keys, df.job_board_id == keys.old_key, "left")
+        out[name] = moved.withColumn("job_board_id", F.coalesce("new_key", "job_board_id")).select(*df.columns)
+    return out
 
 
 # X5, X6 --------------------------------------------------------------------
@@ -77,23 +96,30 @@ def matches_filters(title: Column | str, location: Column | str, title_terms: Se
     return F.coalesce(t_ok & l_ok, F.lit(False))
 
 
-def board_states(incoming: DataFrame, rejects: DataFrame, title_terms: Sequence[str],
+def board_states(payloads: DataFrame, incoming: DataFrame, rejects: DataFrame, title_terms: Sequence[str],
                  location_terms: Sequence[str], keep_matching_only: bool = False) -> DataFrame:
-    """Per board (company token): match / live / dead with posting counts.
+    """Every board with a landed response: token, match / live / dead, posting counts.
 
     dead = every response of the board was rejected; match = at least one
-    posting passes the filters; live = it answered but nothing matches.
+    posting passes the filters; live = it answered but nothing matches (an empty
+    board too).
     """
-    rows = incoming.select(
-        F.col("source_ord"), F.col("company").alias("board"),
-        matches_filters("title", "location", title_terms, location_terms).cast("int").alias("_m"),
-        F.lit(1).alias("_n"), F.lit(0).alias("_bad"))
-    bad = rejects.select("source_ord", F.lit(None).cast("string").alias("board"), F.lit(0).alias("_m"),
-                         F.lit(0).alias("_n"), F.lit(1).alias("_bad"))
-    per = rows.unionByName(bad).groupBy("source_ord").agg(
-        F.max("board").alias("board"), F.sum("_n").cast("long").alias("postings"),
-        F.sum("_m").cast("long").alias("matching"), F.sum("_bad").cast("long").alias("failed_responses"))
-    state = (F.when((F.col("postings") == 0) & (F.col("failed_responses") > 0), F.lit("dead"))
+    zero, one = F.lit(0), F.lit(1)
+    null_s = F.lit(None).cast("string")
+    match = matches_filters("title", "location", title_terms, location_terms).cast("int")
+
+    def counted(df: DataFrame, token: Column, answers: Column, postings: Column, matching: Column, bad: Column) -> DataFrame:
+        return df.select("source_ord", token.alias("_token"), answers.alias("_answers"), postings.alias("_n"),
+                         matching.alias("_m"), bad.alias("_bad"))
+
+    rows = (counted(payloads, F.col("token"), one, zero, zero, zero)
+            .unionByName(counted(incoming, null_s, zero, one, match, zero))
+            .unionByName(counted(rejects, null_s, zero, zero, zero, one)))
+    per = rows.groupBy("source_ord").agg(
+        F.max("_token").alias("token"), F.sum("_answers").cast("long").alias("responses"),
+        F.sum("_n").cast("long").alias("postings"), F.sum("_m").cast("long").alias("matching"),
+        F.sum("_bad").cast("long").alias("failed_responses"))
+    state = (F.when((F.col("failed_responses") >= F.col("responses")) & (F.col("postings") == 0), F.lit("dead"))
              .when(F.col("matching") > 0, F.lit("match")).otherwise(F.lit("live")))
     out = per.withColumn("state", state)
     return out.filter(F.col("state") == "match") if keep_matching_only else out
@@ -192,12 +218,22 @@ def with_source(df: DataFrame) -> DataFrame:
 # X16 -----------------------------------------------------------------------
 
 def text_history(materials: DataFrame, job_board_id: str | None = None) -> DataFrame:
-    """Every text ever generated (the materials table is append-only), optionally for one posting."""
-    return materials if job_board_id is None else materials.filter(F.col("job_board_id") == job_board_id)
+    """Every text ever generated, numbered per posting from the first (`version`), with
+    `current` on the one the board shows; optionally for one posting. The materials
+    table is append-only, so nothing is missing."""
+    if job_board_id is not None:
+        materials = materials.filter(F.col("job_board_id") == F.lit(job_board_id))
+    ok = F.col("error").isNull() & F.col("cover_letter").isNotNull()
+    by_time = Window.partitionBy("job_board_id").orderBy("generated_at", "generator", "cover_letter", "cold_email", "error")
+    latest = Window.partitionBy("job_board_id").orderBy(
+        F.desc(ok), F.desc("generated_at"), F.desc("generator"), F.desc("cover_letter"), F.desc("cold_email"))
+    return materials.withColumns({
+        "version": F.row_number().over(by_time).cast("long"),
+        "current": ok & (F.row_number().over(latest) == 1)})
 
 
 __all__ = [
-    "url_without_query", "provider_key", "id_from_url", "rekey", "matches_filters", "board_states",
+    "url_without_query", "provider_key", "id_from_url", "new_keys", "rekey", "rekey_tables", "matches_filters", "board_states",
     "company_slug", "board_candidates", "find_contacts", "bounded_run_counts", "still_listed",
     "manual_postings", "search_plan", "canonical_locations", "with_source", "text_history",
 ]

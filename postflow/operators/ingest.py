@@ -8,7 +8,6 @@ is already stored is never written again.
 from __future__ import annotations
 
 import datetime as dt
-from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,10 +19,6 @@ from postflow.sources.adapters import AdapterResult
 RUN_ORDER = ["source_ord", "payload_ord", "entry_ord"]
 
 
-def _empty_rejects(payloads: DataFrame) -> DataFrame:
-    return payloads.sparkSession.createDataFrame([], schema.REJECTS)
-
-
 def prepare(payloads: DataFrame, sources: DataFrame | None) -> DataFrame:
     """Attach source parameters (title filter, search location) to each payload.
 
@@ -49,24 +44,16 @@ def scan(payloads: DataFrame, sources: DataFrame | None = None,
     """
     prepared = prepare(payloads, sources)
     wanted = types if types is not None else adapters.registered_types()
-    incs, rejs = [], []
-    for t in wanted:
-        res = adapters.adapter_for(t)(prepared.filter(F.col("type") == t))
-        incs.append(res.incoming)
-        rejs.append(res.rejects)
+    parts = [adapters.adapter_for(t)(prepared.filter(F.col("type") == t)).both() for t in wanted]
     if types is None:
-        unknown = prepared.filter(~F.col("type").isin(*wanted) | F.col("type").isNull()).select(
-            "source_ord", "payload_ord", "type", F.lit(None).cast("int").alias("entry_ord"),
+        parts.append(prepared.filter(~F.col("type").isin(*wanted) | F.col("type").isNull()).select(
+            "source_ord", "payload_ord", "type",
             F.concat(F.lit("Unknown source type: "), F.coalesce(F.col("type"), F.lit("None"))).alias("reason"),
-            F.col("body").alias("raw"))
-        rejs.append(unknown)
-    inc = incs[0]
-    for other in incs[1:]:
-        inc = inc.unionByName(other)
-    rej = rejs[0] if rejs else _empty_rejects(payloads)
-    for other in rejs[1:]:
-        rej = rej.unionByName(other)
-    return AdapterResult(inc, rej)
+            F.col("body").alias("raw")))
+    tagged = parts[0]
+    for other in parts[1:]:
+        tagged = tagged.unionByName(other, allowMissingColumns=True)
+    return AdapterResult.of(tagged)
 
 
 def split_required(inc: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -141,85 +128,88 @@ def with_defaults(rows: DataFrame, as_of: dt.datetime) -> DataFrame:
     })
 
 
-def summary(inc: DataFrame, current: DataFrame | None, by_source: bool = False) -> DataFrame:
-    """Per-source seen / new / rejected / URL-less counts plus a grand-total row (source_ord NULL).
+KEY_COLLISION = "key collision"
 
-    URL-less postings of a source all share one key (the hot key), so their
-    number is reported next to the counts.
 
-    One pass over the incoming rows: a partial aggregate collapses duplicates
-    of a key within each source before the shuffle (so a hot key moves as one
-    row per map task), the winning source of each key is picked on that small
-    table, stored keys are removed with an anti-join style left join on the key
-    column only, and a rollup gives per-source and total counts.
+def tag(inc: DataFrame, current: DataFrame | None, by_source: bool = False) -> DataFrame:
+    """What becomes of each incoming row, without its texts: run order, source, key,
+    url, `ok` (all required fields set), `is_new`, `collision`.
+
+    The first valid row of a key in run order wins, unless the key is stored. The
+    key is a short hash, so the URL goes along: a row whose key another URL holds
+    (in the store, or first in the run) is a collision, not a repetition. Each
+    key's winner is a minimum, combined before the shuffle; the narrow rows then
+    meet it on the key, where a hot key (all blank URLs of a source share one) is
+    split by the skew join.
     """
     ok = F.col("title").isNotNull()
     for c in schema.REQUIRED[1:]:
         ok = ok & F.col(c).isNotNull()
-    # run position inside a source packed into one long, so every aggregate
-    # buffer is fixed-width and the planner picks hash aggregation
-    pos = F.shiftleft(F.col("payload_ord").cast("long"), 32) + F.col("entry_ord").cast("long")
-    rows = inc.select("source_ord", "source", "job_board_id", pos.alias("_pos"), ok.alias("_ok"),
-                      (F.coalesce(F.col("url"), F.lit("")) == "").alias("_blank"))
-    per_key = rows.groupBy("job_board_id", "source_ord", "source").agg(
-        F.count(F.lit(1)).alias("_seen"),
-        F.count_if(~F.col("_ok")).alias("_rej"),
-        F.count_if("_blank").alias("_blank"),
-        F.min(F.when(F.col("_ok"), F.col("_pos"))).alias("_first"),
-    )
-    w = Window.partitionBy("job_board_id").orderBy(F.col("_first").isNull(), "source_ord", "_first")
-    ranked = per_key.withColumn("_win", (F.row_number().over(w) == 1) & F.col("_first").isNotNull())
-    keys = existing_keys(current, by_source)
-    if keys is not None:
-        cols = _key_cols(by_source)
+    rows = inc.select(*RUN_ORDER, "source", "job_board_id", "url", ok.alias("ok"))
+    first = (rows.filter("ok").groupBy("job_board_id")
+             .agg(F.min(F.struct(*RUN_ORDER, "url")).alias("_w")))
+    if current is None:
+        first = first.withColumn("_held", F.lit(None).cast("string")).withColumn("_stored", F.lit(False))
+    else:
+        url = F.col("url") if "url" in current.columns else F.lit(None).cast("string").alias("url")
+        stored = current.select(*_key_cols(by_source), url)
         if by_source:
             # only the stored keys the batch also has (lets a source-partitioned store be pruned)
-            keys = keys.join(ranked.select(*cols), cols, "left_semi")
-        stored = keys.distinct().withColumn("_stored", F.lit(True))
-        ranked = ranked.join(stored, cols, "left")
-        is_new = F.col("_win") & F.col("_stored").isNull()
-    else:
-        is_new = F.col("_win")
-    # per-source rows plus the grand total (source is fixed by source_ord)
-    out = ranked.withColumn("_new", is_new.cast("long")).groupingSets(
-        [["source_ord", "source"], []], "source_ord", "source").agg(
-        F.sum("_seen").alias("seen"),
-        F.sum("_new").alias("new"),
-        F.sum("_rej").alias("rejected"),
-        F.sum("_blank").alias("blank_urls"),
-    )
-    return out.select("source_ord", "source", "seen", "new", "rejected", "blank_urls")
+            stored = stored.join(rows.select(*_key_cols(True)).distinct(), _key_cols(True), "left_semi")
+        held = stored.select("job_board_id", F.col("url").alias("_held"), F.lit(True).alias("_stored"))
+        first = first.join(held.dropDuplicates(["job_board_id"]), "job_board_id", "left")
+    place = F.struct(*RUN_ORDER)
+    won = F.struct(*[F.col("_w")[c].alias(c) for c in RUN_ORDER])
+    stored_key = F.coalesce("_stored", F.lit(False))
+    owner = F.when(stored_key, F.col("_held")).otherwise(F.col("_w")["url"])
+    return rows.join(first, "job_board_id", "left").select(
+        *RUN_ORDER, "source", "job_board_id", "url", "ok",
+        F.coalesce(F.col("ok") & ~stored_key & (place == won), F.lit(False)).alias("is_new"),
+        F.coalesce(F.col("ok") & (F.col("url") != owner), F.lit(False)).alias("collision"))
+
+
+def summary_of(tags: DataFrame) -> DataFrame:
+    """Per-source counts of tagged rows plus a grand-total row (source_ord NULL)."""
+    return tags.groupingSets([["source_ord", "source"], []], "source_ord", "source").agg(
+        F.count(F.lit(1)).alias("seen"),
+        F.count_if("is_new").alias("new"),
+        F.count_if(~F.col("ok")).alias("rejected"),
+        F.count_if(F.coalesce(F.col("url"), F.lit("")) == "").alias("blank_urls"),
+        F.count_if("collision").alias("key_collisions"),
+    ).select("source_ord", "source", "seen", "new", "rejected", "blank_urls", "key_collisions")
 
 
-@dataclass
-class UpsertResult:
-    new_rows: DataFrame
-    summary: DataFrame
-    rejects: DataFrame
+def summary(inc: DataFrame, current: DataFrame | None, by_source: bool = False) -> DataFrame:
+    """Per-source seen / new / rejected / URL-less / key-collision counts plus a
+    grand-total row. URL-less postings of a source all share one key (the hot
+    key), so their number is reported next to the counts."""
+    return summary_of(tag(inc, current, by_source))
 
 
-def upsert(inc: DataFrame, current: DataFrame | None, as_of: dt.datetime) -> UpsertResult:
-    """Insert-if-absent: new rows (with defaults), the run summary and the rejects."""
-    new = with_defaults(new_postings(inc, current), as_of)
-    _, bad = split_required(inc)
-    return UpsertResult(new, summary(inc, current), bad)
+def collisions(inc: DataFrame, tags: DataFrame) -> DataFrame:
+    """The incoming rows that lost their key to another URL, as rejects."""
+    lost = tags.filter("collision").select(*RUN_ORDER)
+    return inc.join(lost, RUN_ORDER, "left_semi").select(
+        "source_ord", "payload_ord", F.col("source").alias("type"), "entry_ord",
+        F.lit(KEY_COLLISION).alias("reason"), F.to_json(F.struct(*schema.INCOMING_COLUMNS)).alias("raw"))
 
 
 def assign_ids(new_rows: DataFrame, base_id: int | DataFrame, partitions: int | None = None) -> DataFrame:
     """Dense surrogate ids base+1, base+2, ... in run order, without one global window.
 
-    Rows are range-partitioned on the run order and sorted within each range;
-    the rows are cut from their lineage with `checkpoint()` (to the shared
-    checkpoint folder) so the split and the in-range positions are fixed; the
-    per-range counts (one small row per range) give each range its offset.
-    `base_id` is the largest stored id, or the stored table to take it from.
+    Only the run order and the key are numbered: they are range-partitioned and
+    sorted within each range, cut from their lineage with `checkpoint()` (to the
+    shared folder) so the split and the in-range positions are fixed, and the
+    per-range counts (one small row per range) give each range its offset. The
+    ids then meet the rows on the run order. `base_id` is the largest stored id,
+    or the stored table to take it from.
     """
     from postflow.session import checkpoint_dir, shuffle_partitions
 
     spark = new_rows.sparkSession
     checkpoint_dir(spark)
     n = partitions or shuffle_partitions(spark)
-    ranged = (new_rows.repartitionByRange(n, *RUN_ORDER).sortWithinPartitions(*RUN_ORDER)
+    ranged = (new_rows.select(*RUN_ORDER).repartitionByRange(n, *RUN_ORDER).sortWithinPartitions(*RUN_ORDER)
               .withColumn("_pid", F.spark_partition_id())
               .withColumn("_pos", F.monotonically_increasing_id()))
     ranged = ranged.checkpoint(eager=True)
@@ -232,6 +222,6 @@ def assign_ids(new_rows: DataFrame, base_id: int | DataFrame, partitions: int |
         # one scalar (the largest stored id) comes back to the driver
         base_id = base_id.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
     offsets = offsets.withColumn("_base", F.lit(int(base_id)))
-    out = ranged.join(F.broadcast(offsets), "_pid")
-    return out.withColumn("id", (F.col("_base") + F.col("_off") + F.col("_pos") + 1).cast("long")).drop(
-        "_pid", "_pos", "_off", "_base")
+    ids = ranged.join(F.broadcast(offsets), "_pid").select(
+        *RUN_ORDER, (F.col("_base") + F.col("_off") + F.col("_pos") + 1).cast("long").alias("id"))
+    return new_rows.join(ids, RUN_ORDER).select(*new_rows.columns, "id")

@@ -16,25 +16,32 @@ def classify_responses(responses: DataFrame) -> DataFrame:
     """One verdict per distinct URL: url, status_code, live, error, status.
 
     Every landed response is classified where it is read (the page body
-    shrinks to a small verdict before anything moves); a URL landed more than
-    once then keeps its smallest verdict (by code, error, live), an aggregate
-    that runs partial before its shuffle.
+    shrinks to a small verdict before anything moves). Of a URL landed more than
+    once the newest answer counts (one without a time is the oldest; at one time
+    the smallest verdict by code, error, live): a minimum over the small verdict
+    that is combined before its shuffle.
     """
-    code = LX.effective_code("head_code", "get_code")
-    body = LX.effective_body("head_code", "body")
-    verdict = LX.classify(code, body, F.col("exc"))
-    each = responses.select("url", verdict.alias("v"))
-    one = each.groupBy("url").agg(F.min(F.struct("v.status_code", "v.error", "v.live")).alias("v"))
+    age = F.coalesce(-F.unix_micros(F.col("fetched_at").cast("timestamp")), F.lit((1 << 63) - 1)) \
+        if "fetched_at" in responses.columns else F.lit(0)
+    # the body is lowered and searched once each, in columns of their own
+    each = responses.select("url", "exc", age.alias("_age"), LX.effective_code("head_code", "get_code").alias("_code"),
+                            LX.effective_body("head_code", "body").alias("_body"))
+    each = each.select("url", "exc", "_age", "_code", LX.closed_phrase("_body").alias("_phrase"),
+                       F.contains("_body", F.lit(schema.APPLY_MARKER)).alias("_apply"))
+    each = each.select("url", "_age", LX.classify("_code", "_phrase", "_apply", "exc").alias("v"))
+    one = each.groupBy("url").agg(F.min(F.struct("_age", "v.status_code", "v.error", "v.live")).alias("v"))
     out = one.select("url", "v.status_code", "v.live", "v.error")
     return out.withColumn("status", LX.link_status("status_code", "live", "error"))
 
 
-def check_queue(current: DataFrame, limit: int = 0) -> DataFrame:
-    """Not-dead postings; with `limit` N > 0 the N newest by id (a top-N, no
-    global sort), with 0 all of them (unordered: sorting everything only to
-    keep everything would be a wasted global sort)."""
+def check_queue(current: DataFrame, limit: int = 0, ordered: bool = True) -> DataFrame:
+    """Not-dead postings, newest id first; with `limit` N > 0 the N newest, picked
+    on the id alone. `ordered=False` leaves the order to the caller (a check of
+    all postings needs none)."""
     q = current.filter(F.col("dead_at").isNull())
-    return q.orderBy(F.desc("id")).limit(limit) if limit else q
+    if limit:
+        q = q.join(q.select("id").orderBy(F.desc("id")).limit(limit), "id", "left_semi")
+    return q.orderBy(F.desc("id")) if ordered else q
 
 
 def check_postings(current: DataFrame, responses: DataFrame, limit: int = 0) -> DataFrame:
@@ -45,7 +52,7 @@ def check_postings(current: DataFrame, responses: DataFrame, limit: int = 0) ->
     unknown / `no url on record`; a URL without a landed response is unknown /
     `not fetched`.
     """
-    posts = check_queue(current, limit).select(
+    posts = check_queue(current, limit, ordered=False).select(
         F.col("id").alias("job_id"), "job_board_id",
         link_label("company", F.coalesce(F.col("title"), F.col("job_board_id"))).alias("label"),
         strip(F.coalesce(F.col("url"), F.lit(""))).alias("url"))
@@ -53,20 +60,20 @@ def check_postings(current: DataFrame, responses: DataFrame, limit: int = 0) ->
     if limit:
         # a bounded check looks only at the URLs of the postings it selected
         landed = landed.join(posts.select("url").distinct(), "url", "left_semi")
-    verdicts = classify_responses(landed)
-    # blank URLs never reach the join: they would all meet in one shuffle partition
-    blank = posts.filter(F.col("url") == "").select(
-        "job_id", "job_board_id", "label", "url", F.lit(None).cast("int").alias("status_code"),
-        F.lit(False).alias("live"), F.lit(schema.NO_URL_ERROR).alias("error"), F.lit("unknown").alias("status"))
-    joined = posts.filter(F.col("url") != "").join(verdicts, "url", "left")
+    verdicts = classify_responses(landed).withColumnRenamed("url", "_landed")
+    # a blank URL looks for a URL that cannot be (one for each posting, so blanks
+    # do not all meet in one partition) and finds nothing
+    blank = F.col("url") == ""
+    wanted = F.when(blank, F.concat(F.lit("\u0000"), F.coalesce(F.col("job_id").cast("string"), F.lit("")))).otherwise(
+        F.col("url"))
+    joined = posts.withColumn("_wanted", wanted).join(verdicts, F.col("_wanted") == F.col("_landed"), "left")
     missing = F.col("status").isNull()
-    looked_up = joined.select(
+    return joined.select(
         "job_id", "job_board_id", "label", "url", "status_code",
         F.when(missing, F.lit(False)).otherwise(F.col("live")).alias("live"),
-        F.when(missing, F.lit("not fetched")).otherwise(F.col("error")).alias("error"),
+        F.when(blank, F.lit(schema.NO_URL_ERROR)).when(missing, F.lit("not fetched")).otherwise(F.col("error")).alias("error"),
         F.when(missing, F.lit("unknown")).otherwise(F.col("status")).alias("status"),
     )
-    return looked_up.unionByName(blank)
 
 
 def counts(results: DataFrame) -> DataFrame:
@@ -122,28 +129,33 @@ def report_lines(results: DataFrame) -> DataFrame:
         "job_id", report_line("label", "status", "status_code", "error").alias("line"))
 
 
+# Exceptions worth another attempt: the connection failed or took too long.
+RETRYABLE = ("ConnectionError", "ConnectTimeout", "ReadTimeout", "Timeout", "HTTPError", "SSLError", "ProxyError")
+
+
 def reduce_fetch_log(fetch_log: DataFrame, retries: int = schema.FETCH_RETRIES,
-                     backoff: float = schema.FETCH_BACKOFF) -> DataFrame:
+                     retryable: tuple[str, ...] = RETRYABLE) -> DataFrame:
     """Outcome of the retrying fetch of each URL from its attempt log.
 
     Attempts run 0..retries. A 2xx/3xx answer ends with the parsed body (or a
-    decode error when it is not JSON); a 4xx ends at once; 5xx answers and
-    connection errors are retried, and after the last attempt the last error
-    stands. `slept_s` is the back-off waited before the final attempt.
-    Each URL has at most retries + 1 rows after the cap, so the window holds a
-    bounded group.
+    decode error when it is not JSON); a 4xx ends at once, and so does an
+    exception that is not `retryable`; 5xx answers and retryable exceptions are
+    retried, and after the last attempt the last error stands. Each URL has at
+    most retries + 1 rows after the cap, so the window holds a bounded group.
     """
     log = fetch_log.filter(F.col("attempt").between(0, retries))
-    terminal = F.col("exc").isNull() & (F.col("code") < 500)
+    failed = F.col("exc").isNotNull() & ~F.col("exc").isin(*retryable)
+    answered = F.col("exc").isNull() & (F.col("code") < 500)
+    terminal = failed | answered
     w = Window.partitionBy("url").orderBy(
         F.desc(terminal), F.when(terminal, F.col("attempt")).asc(), F.col("attempt").desc())
     final = log.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") == 1)
-    is_term = F.col("exc").isNull() & (F.col("code") < 500)
-    ok = is_term & (F.col("code") < 400)
+    ok = answered & (F.col("code") < 400)
     outcome = (
         F.when(ok & F.try_parse_json("body").isNull(), F.lit("bad_body"))
         .when(ok, F.lit("ok"))
-        .when(is_term, F.lit("client_error"))
+        .when(answered, F.lit("client_error"))
+        .when(failed, F.lit("failed"))
         .otherwise(F.lit("gave_up"))
     )
     error = (
@@ -152,10 +164,8 @@ def reduce_fetch_log(fetch_log: DataFrame, retries: int = schema.FETCH_RETRIES,
         .when(F.col("exc").isNotNull(), F.col("exc"))
         .otherwise(F.concat(F.lit("HTTP "), F.col("code").cast("string")))
     )
-    slept = F.lit(backoff) * (F.pow(F.lit(2.0), F.col("attempt")) - 1)
     return final.select(
-        "url", (F.col("attempt") + 1).alias("attempts"), "code", outcome.alias("outcome"),
-        error.alias("error"), slept.alias("slept_s"))
+        "url", (F.col("attempt") + 1).alias("attempts"), "code", outcome.alias("outcome"), error.alias("error"))
 
 
 __all__ = [

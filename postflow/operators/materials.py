@@ -10,16 +10,14 @@ projects first).
 from __future__ import annotations
 
 import datetime as dt
-import hashlib
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postflow import schema
 from postflow.functions.prompts import cold_email_prompt, cover_letter_prompt
-from postflow.functions.text import has_text
 
 BatchFn = Callable[[Sequence[str]], Sequence[str]]
 GeneratorFactory = Callable[[], BatchFn]
@@ -33,25 +31,7 @@ class GenerationError(RuntimeError):
     pass
 
 
-def echo_generator() -> BatchFn:
-    """Deterministic stand-in for a model: `<chars>:<md5 of prompt>`.
-
-    It fails on prompts whose md5 starts with "00" and answers "" to prompts
-    whose md5 starts with "f", so failure and empty replies are exercised.
-    """
-    def run(prompts: Sequence[str]) -> list[str]:
-        out = []
-        for p in prompts:
-            h = hashlib.md5(p.encode("utf-8")).hexdigest()
-            if h.startswith("00"):
-                raise GenerationError(f"generation failed for prompt {h[:8]}")
-            out.append("" if h.startswith("f") else f"{len(p)}:{h}")
-        return out
-
-    return run
-
-
-_GENERATORS: dict[str, GeneratorFactory] = {"echo": echo_generator}
+_GENERATORS: dict[str, GeneratorFactory] = {}
 
 
 def register_generator(name: str, factory: GeneratorFactory) -> None:
@@ -69,6 +49,12 @@ def generator_for(name: str) -> GeneratorFactory:
 # queue and prompts
 # ---------------------------------------------------------------------------
 
+def succeeded() -> Column:
+    """A materials row that takes its posting off the queue: made without an error
+    (an empty text counts, no text does not). The one rule for table, view and stream."""
+    return F.col("error").isNull() & F.col("cover_letter").isNotNull()
+
+
 def pending(view: DataFrame) -> DataFrame:
     """Postings without a cover letter yet (NULL only: an empty text is not pending)."""
     return view.filter(F.col("generated_cover_letter").isNull())
@@ -76,8 +62,7 @@ def pending(view: DataFrame) -> DataFrame:
 
 def pending_from(postings: DataFrame, materials: DataFrame) -> DataFrame:
     """Pending postings straight from the tables: no successful materials row."""
-    done = materials.filter(F.col("error").isNull()).select("job_board_id")
-    return postings.join(done, "job_board_id", "left_anti")
+    return postings.join(materials.filter(succeeded()).select("job_board_id"), "job_board_id", "left_anti")
 
 
 def prompts(rows: DataFrame, resume_summary: str) -> DataFrame:
@@ -95,24 +80,21 @@ def prompts(rows: DataFrame, resume_summary: str) -> DataFrame:
 # ---------------------------------------------------------------------------
 
 def _call(fn: BatchFn, items: list[str]) -> tuple[list[str | None], list[str | None]]:
-    """Texts and errors for a batch; on a batch failure, isolate the failing rows."""
+    """Texts and errors of a chunk. A chunk that fails is halved until the failing
+    prompt stands alone, so texts that were made are kept and one bad prompt costs
+    a logarithm of the chunk in further calls. No text (None) is an error."""
     try:
         out = list(fn(items))
         if len(out) != len(items):
             raise GenerationError(f"generator returned {len(out)} texts for {len(items)} prompts")
-        return [None if t is None else str(t) for t in out], [None] * len(items)
-    except Exception:  # noqa: BLE001 - fall back to one call per row
-        texts: list[str | None] = []
-        errors: list[str | None] = []
-        for p in items:
-            try:
-                r = list(fn([p]))
-                texts.append(None if not r or r[0] is None else str(r[0]))
-                errors.append(None)
-            except Exception as exc:  # noqa: BLE001
-                texts.append(None)
-                errors.append(type(exc).__name__)
-        return texts, errors
+    except Exception as exc:  # noqa: BLE001 - the error goes to the row
+        if len(items) == 1:
+            return [None], [type(exc).__name__]
+        half = len(items) // 2
+        (t1, e1), (t2, e2) = _call(fn, items[:half]), _call(fn, items[half:])
+        return t1 + t2, e1 + e2
+    return ([None if t is None else str(t) for t in out],
+            [GenerationError.__name__ if t is None else None for t in out])
 
 
 def _chunked(fn: BatchFn, items: list[str], size: int) -> tuple[list[str | None], list[str | None]]:
@@ -163,32 +145,26 @@ def run_generation(view: DataFrame, resume_summary: str, generator: str | Genera
     """Pending -> prompts -> generate. `limit` N > 0 takes the N lowest ids (a bounded run)."""
     todo = pending(view)
     if limit:
-        # a top-N leaves its rows in one partition; spread them again so the
-        # generator calls run on every executor
-        from postflow.session import shuffle_partitions
-
-        n = min(shuffle_partitions(todo.sparkSession), max(limit // 64, 1))
-        todo = todo.orderBy("id").limit(limit).repartition(n)
+        # the N ids are picked on the id alone; descriptions stay where they are
+        todo = todo.join(todo.select("id").orderBy("id").limit(limit), "id", "left_semi")
     return generate(prompts(todo, resume_summary), generator, as_of)
 
 
 def run_summary(view: DataFrame, produced: DataFrame) -> DataFrame:
-    """generated / empty / failed counts of a run and how many stay pending after it.
-
-    One aggregate over the run's rows and the queue's keys tagged by origin.
-    """
+    """generated / empty / failed counts of a run, and how many postings of `view` are
+    pending once its texts are in (whether or not the view has them already)."""
+    text = F.coalesce(F.col("cover_letter"), F.lit(""))
     ran = produced.select(
         F.lit(True).alias("_run"),
-        (F.col("error").isNull() & has_text("cover_letter")).alias("_gen"),
-        (F.col("error").isNull() & ~has_text("cover_letter")).alias("_empty"),
-        F.col("error").isNotNull().alias("_fail"))
-    queued = pending(view).select(
+        (succeeded() & (text != "")).alias("_gen"),
+        (succeeded() & (text == "")).alias("_empty"),
+        (~succeeded()).alias("_fail"))
+    left = pending_from(pending(view), produced).select(
         F.lit(False).alias("_run"), F.lit(False).alias("_gen"), F.lit(False).alias("_empty"),
         F.lit(False).alias("_fail"))
-    both = ran.unionByName(queued)
-    return both.agg(
+    return ran.unionByName(left).agg(
         F.count_if("_gen").alias("generated"),
         F.count_if("_empty").alias("empty"),
         F.count_if("_fail").alias("failed"),
-        (F.count_if(~F.col("_run")) - F.count_if("_gen") - F.count_if("_empty")).alias("remaining"),
+        F.count_if(~F.col("_run")).alias("remaining"),
     )

@@ -13,9 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postflow import schema
-from postflow.functions.text import has_text, posting_key
+from postflow.functions.text import has_text
 from postflow.operators import board, extras, ingest, links, materials
-from postflow.plans import derive
+from postflow.plans import derive, stand_in
 from postflow.plans.derive import table
 from postflow.session import scratch_path
 from postflow.sources import config
@@ -24,6 +24,8 @@ from postflow.streaming import ingest as streaming
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+stand_in.install()
+
 
 # ---------------------------------------------------------------------------
 # scans (A1-A3, A6, A7, B1-B7, G1, H1)
@@ -31,7 +33,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 def _scan(spark: SparkSession, sf_dir: str, source_type, title_contains=None, location=None) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    payloads = derive.payloads(docs, source_type)
+    payloads = derive.payloads(docs, source_type, needle=title_contains)
     sources = derive.sources(docs, source_type, title_contains=title_contains, location=location)
     types = [source_type] if isinstance(source_type, str) else None
     return ingest.scan(payloads, sources, types=types).incoming
@@ -57,6 +59,13 @@ def source_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scan(spark, sf_dir, derive.type_by_source())
 
 
+def payload_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows (reason NULL) and rejects of broken responses, by source and reason."""
+    docs = table(spark, sf_dir, "documents")
+    res = ingest.scan(derive.broken_payloads(docs), derive.sources(docs, derive.type_by_source()))
+    return res.both().groupBy("source_ord", "reason").agg(F.count(F.lit(1)).alias("n"))
+
+
 # ---------------------------------------------------------------------------
 # upsert (E1, C1, D1, K1, B8)
 # ---------------------------------------------------------------------------
@@ -86,6 +95,7 @@ QUERIES: dict[str, Query] = {
     "rss_scan": rss_scan,
     "title_filter": title_filter,
     "source_union": source_union,
+    "payload_rejects": payload_rejects,
     "ingest_summary": ingest_summary,
     "union_summary": union_summary,
     "ingest_new_rows": ingest_new_rows,
@@ -191,7 +201,7 @@ def generation_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def board_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return board.listing(_view(spark, sf_dir))
+    return board.listing(_view(spark, sf_dir), ordered=False)
 
 
 def board_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -207,6 +217,10 @@ def posting_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return board.lookup(v, "doc-7").drop("source", "contact_name", "contact_email", "contact_confidence")
 
 
+def posting_lookup_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return board.lookup(_view(spark, sf_dir), id=12).drop("source", "contact_name", "contact_email", "contact_confidence")
+
+
 def assign_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = _stored(spark, sf_dir)
     new = ingest.new_postings(greenhouse_scan(spark, sf_dir), stored)
@@ -225,6 +239,7 @@ QUERIES.update({
     "board_listing": board_listing,
     "status_normalise": status_normalise,
     "posting_lookup": posting_lookup,
+    "posting_lookup_id": posting_lookup_id,
     "assign_ids": assign_ids,
 })
 
@@ -241,7 +256,7 @@ def ingest_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     streaming.land_payloads(derive.payloads(docs, "greenhouse"), f"{base}/landing")
     store = PostingStore(spark, f"{base}/store")
-    store.seed(_stored(spark, sf_dir), batch_id=-1)
+    store.seed(_stored(spark, sf_dir))
     q = streaming.ingest_stream(spark, f"{base}/landing", store, f"{base}/checkpoint", as_of=derive.AS_OF)
     q.awaitTermination()
     if q.exception() is not None:
@@ -253,19 +268,44 @@ def generate_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stream stored postings through generation; return the texts the stream wrote."""
     base = scratch_path(spark, "generate-stream")
     store = PostingStore(spark, f"{base}/store")
-    store.seed(derive.doc_postings(table(spark, sf_dir, "documents")), batch_id=-1)
-    store.append_materials(derive.label_materials(table(spark, sf_dir, "labels")), batch_id=-1)
+    store.seed(derive.doc_postings(table(spark, sf_dir, "documents")))
+    store.append_materials(derive.label_materials(table(spark, sf_dir, "labels")), batch_id=0)
     q = streaming.generation_stream(spark, store, f"{base}/checkpoint", derive.RESUME_SUMMARY, "echo",
                                     as_of=derive.AS_OF)
     q.awaitTermination()
     if q.exception() is not None:
         raise RuntimeError(str(q.exception()))
-    return store.read("materials", with_batch=True).filter(F.col("batch_id") >= 0).drop("batch_id")
+    written = store.read("materials", with_batch=True).filter(F.col("writer").startswith("stream-"))
+    return written.drop("writer", "batch_id")
+
+
+def store_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seed a store, ingest one batch twice and compact: no row is lost or doubled."""
+    store = PostingStore(spark, scratch_path(spark, "store-replay"))
+    store.seed(_stored(spark, sf_dir))
+    payloads = derive.payloads(table(spark, sf_dir, "documents"), "greenhouse")
+    for _ in range(2):
+        store.ingest_payloads(payloads, None, derive.AS_OF, batch_id=0)
+    return PostingStore(spark, store.compact("postings", 1)).postings()
+
+
+def status_edit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two edits of one posting and one of another in one second, one batch id: the
+    postings whose status is then not the stored one."""
+    store = PostingStore(spark, scratch_path(spark, "status-edit"))
+    store.seed(derive.doc_postings(table(spark, sf_dir, "documents")))
+    for key, status in (("doc-2", "Rejected"), ("doc-2", "Interviewing"), ("doc-3", "Applied"), ("doc-3", "Applied")):
+        store.set_status(key, status, derive.AS_OF, batch_id=5)
+    after = store.view().select("id", "job_board_id", "status")
+    before = store.postings().select("id", F.col("status").alias("stored_status"))
+    return after.join(before, "id").filter("status != stored_status")
 
 
 QUERIES.update({
     "ingest_stream": ingest_stream,
     "generate_stream": generate_stream,
+    "store_replay": store_replay,
+    "status_edit": status_edit,
 })
 
 
@@ -294,6 +334,12 @@ def plan_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return config.plan_requests(sources)
 
 
+def source_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No source is listed (each is of an unknown type): the old search block serves."""
+    listed = _config_sources(table(spark, sf_dir, "documents")).filter("type = 'none'")
+    return config.plan_requests(config.resolve_sources(listed, config.legacy_source(spark, derive.SEARCH_TITLE)))
+
+
 def source_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     k = F.col("doc_id") % 6
@@ -332,13 +378,11 @@ def x_provider_key(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def x_rekey(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages")
-    id_keyed = (F.col("page_id") % 4 == 0) & (extras.id_from_url("url") != "")
-    old_key = F.when(id_keyed, posting_key(F.lit("adzuna"), extras.id_from_url("url"))).otherwise(
-        extras.provider_key("adzuna", F.lit(None).cast("string"), F.col("url")))
-    stored = pages.select((F.col("page_id") + 1).alias("id"), old_key.alias("job_board_id"), "url",
-                          F.lit("adzuna").alias("source"))
-    return extras.rekey(stored, "adzuna").select("id", "job_board_id", "rekeyed")
+    """The folded view after the move: status, letter and dead time are kept."""
+    old = derive.adzuna_tables(table(spark, sf_dir, "pages"))
+    new = extras.rekey_tables(old.pop("postings"), "adzuna", **old)
+    return board.current_view(new["postings"], new["status_changes"], new["materials"], new["dead_marks"]).select(
+        "id", "job_board_id", "status", "generated_cover_letter", "dead_at")
 
 
 _TITLE_TERMS = ["the", "la", "und"]
@@ -352,9 +396,11 @@ def x_location_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def x_board_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    res = ingest.scan(derive.payloads(docs, "greenhouse"),
-                      derive.sources(docs, "greenhouse", title_contains="THE"), types=["greenhouse"])
-    return extras.board_states(res.incoming, res.rejects, ["the"], ["city of en", "remote"]).drop("board")
+    # every fifth board (from position 4) has no postings at all
+    payloads = derive.payloads(docs, "greenhouse", needle="THE").withColumn(
+        "body", F.when(F.col("source_ord") % 5 == 4, F.lit('{"jobs": []}')).otherwise(F.col("body")))
+    res = ingest.scan(payloads, derive.sources(docs, "greenhouse", title_contains="THE"), types=["greenhouse"])
+    return extras.board_states(payloads, res.incoming, res.rejects, ["the"], ["city of en", "remote"])
 
 
 def x_board_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -439,6 +485,7 @@ def link_by_url(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES.update({
     "plan_requests": plan_requests,
+    "source_fallback": source_fallback,
     "source_lines": source_lines,
     "board_from_url": board_from_url,
     "x_provider_key": x_provider_key,

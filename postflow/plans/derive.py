@@ -14,7 +14,6 @@ chosen by `doc_id % 10` (a CASE on every row, never a filter).
 from __future__ import annotations
 
 import datetime as dt
-import os
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -31,25 +30,8 @@ SEARCH_TITLE = "data analyst"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table. A file that gives fewer input splits than the cluster has
-    cores (the small test files are one row group each) is spread round-robin
-    so the per-row work before the first shuffle uses every core; at scale a
-    table has far more splits than cores and is read as it is."""
-    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    if not SPREAD or name in SMALL_TABLES:
-        return df
-    try:
-        cores = spark.sparkContext.defaultParallelism
-        splits = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001 - no RDD view (e.g. a remote session): read as it is
-        return df
-    return df.repartition(cores) if splits < cores else df
-
-
-SPREAD = os.environ.get("POSTFLOW_SPREAD", "1") != "0"
-
-# Dimension tables with a fixed size at every scale (never worth spreading).
-SMALL_TABLES = {"region", "nation"}
+    """A given table, read as it is (more splits: `spark.sql.files.maxPartitionBytes`)."""
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def _k() -> Column:
@@ -90,10 +72,15 @@ def _absent() -> Column:
 # board entries as JSON text, one per document
 # ---------------------------------------------------------------------------
 
-def greenhouse_entry() -> Column:
+def greenhouse_entry(needle: str | None = None) -> Column:
+    """With a needle, entries k = 2 that the title filter skips have a null URL (which
+    must not fail their board)."""
     k = _k()
     title = F.when(k == 3, _absent()).when(k == 7, _null_v()).otherwise(_v(first_sentence()))
     url = F.when(k == 5, _v(F.lit(""))).when(k == 9, _absent()).otherwise(_v(derived_url()))
+    if needle:
+        skipped = ~F.contains(F.lower(first_sentence()), F.lit(needle.lower()))
+        url = F.when((k == 2) & skipped, _null_v()).otherwise(url)
     loc_obj = (
         F.when(k.isin(0, 4), F.to_variant_object(F.struct(F.concat(F.lit("City of "), F.col("lang")).alias("name"))))
         .when(k == 1, _null_v())
@@ -178,13 +165,13 @@ def type_by_source() -> Column:
     return F.when(o == 0, F.lit("greenhouse")).when(o == 1, F.lit("ashby")).otherwise(F.lit("seek"))
 
 
-def payloads(documents: DataFrame, source_type: str | Column) -> DataFrame:
+def payloads(documents: DataFrame, source_type: str | Column, needle: str | None = None) -> DataFrame:
     """Board responses built from documents: one row per (source, page).
 
     `source_type` is one type for all sources, or a column choosing it per
     document (all documents of one source must get the same type).
     """
-    builders = {"greenhouse": greenhouse_entry, "ashby": ashby_entry, "seek": rss_item}
+    builders = {"greenhouse": lambda: greenhouse_entry(needle), "ashby": ashby_entry, "seek": rss_item}
     if isinstance(source_type, str):
         typ, entry = F.lit(source_type), builders[source_type]()
     else:
@@ -205,6 +192,23 @@ def payloads(documents: DataFrame, source_type: str | Column) -> DataFrame:
         F.lit(AS_OF).cast("timestamp_ntz").alias("fetched_at"), body.alias("body"))
 
 
+def broken_payloads(documents: DataFrame) -> DataFrame:
+    """The mixed board responses, broken by `payload_ord % 5`; every seventh source
+    (from position 6) has a type no adapter knows."""
+    rows = payloads(documents, type_by_source())
+    c = F.col("payload_ord") % 5
+    feed = F.col("type") == "seek"
+    tail = F.lit(len("</channel></rss>"))
+    cut = F.substring(F.col("body"), F.lit(1), F.length("body") - F.when(feed, tail).otherwise(F.lit(1)))
+    body = (F.when(c == 1, cut)
+            .when(c == 2, F.when(feed, F.lit("<html><body>error</body></html>")).otherwise(F.lit('{"jobs": null}')))
+            .when(c == 3, F.lit(""))
+            .when(c == 4, F.when(feed, F.lit("<feed><entry>x</entry></feed>")).otherwise(F.lit('{"jobs": [1]}')))
+            .otherwise(F.col("body")))
+    known = F.when(F.col("source_ord") % 7 == 6, F.lit("workday")).otherwise(F.col("type"))
+    return rows.withColumns({"body": body, "type": known})
+
+
 def sources(documents: DataFrame, source_type: str | Column, title_contains: str | None = None,
             location: str | None = None) -> DataFrame:
     """One configured source per document source (`src<N>` -> position N)."""
@@ -304,6 +308,7 @@ def page_responses(pages: DataFrame) -> DataFrame:
         get.cast("int").alias("get_code"),
         F.when(get.isNotNull(), F.concat(F.col("html"), extra)).alias("body"),
         F.when(c == 5, F.lit("ConnectTimeout")).alias("exc"),
+        F.lit(AS_OF).cast("timestamp_ntz").alias("fetched_at"),
     )
 
 
@@ -320,14 +325,16 @@ def page_results(spark: SparkSession, sf_dir: str, limit: int = 0) -> DataFrame:
 
 def fetch_log(events: DataFrame) -> DataFrame:
     """Attempt log: every 4 consecutive events are the attempts 0..3 of one URL
-    (attempt 3 lies beyond the default cap of 2 retries and must be ignored)."""
+    (attempt 3 lies beyond the default cap of 2 retries and must be ignored). Errors
+    of every second URL are redirect loops, which no retry mends."""
     e = F.col("event_type")
     code = F.when(e == "view", 200).when(e == "purchase", 404).when(e == "click", 503).when(e == "signup", 500)
     return events.select(
         F.concat(F.lit("https://boards.example.com/e/"), F.expr("event_id div 4").cast("string")).alias("url"),
         (F.col("event_id") % 4).cast("int").alias("attempt"),
         code.cast("int").alias("code"),
-        F.when(e == "error", F.lit("ConnectionError")).alias("exc"),
+        F.when(e == "error", F.when(F.expr("event_id div 4") % 2 == 0, F.lit("ConnectionError"))
+               .otherwise(F.lit("TooManyRedirects"))).alias("exc"),
         F.when(F.col("value") < 5, F.lit("<html>oops</html>")).otherwise(F.col("props")).alias("body"),
     )
 
@@ -438,12 +445,52 @@ def shared_url_postings(documents: DataFrame) -> DataFrame:
 
 
 def url_responses(urls: DataFrame) -> DataFrame:
-    """Landed answers per distinct URL, case by the number at the end of the URL."""
+    """Two landed answers per distinct URL: a day ago all were open; the newer one
+    goes by the number at the end of the URL."""
     n = F.regexp_extract("url", "/([0-9]+)$", 1).try_cast("int") % 5
-    return urls.filter(F.col("url") != "  ").select(
+    some = urls.filter(F.col("url") != "  ")
+    newer = some.select(
         "url",
         F.when(n.isin(0, 3), 200).when(n == 1, 404).when(n == 2, 503).cast("int").alias("head_code"),
         F.when(n.isin(0, 3), 200).when(n == 1, 404).cast("int").alias("get_code"),
         F.when(n == 3, F.lit("<p>This position has been filled</p>")).when(n.isin(0, 1), F.lit("<p>open</p>"))
          .alias("body"),
-        F.when(n == 4, F.lit("ReadTimeout")).alias("exc"))
+        F.when(n == 4, F.lit("ReadTimeout")).alias("exc"),
+        F.lit(AS_OF).cast("timestamp_ntz").alias("fetched_at"))
+    older = some.select(
+        "url", F.lit(200).alias("head_code"), F.lit(200).alias("get_code"), F.lit("<p>open</p>").alias("body"),
+        F.lit(None).cast("string").alias("exc"),
+        F.lit(AS_OF - dt.timedelta(days=1)).cast("timestamp_ntz").alias("fetched_at"))
+    return newer.unionByName(older)
+
+
+# ---------------------------------------------------------------------------
+# URL-keyed postings to be moved onto id-derived keys
+# ---------------------------------------------------------------------------
+
+def adzuna_tables(pages: DataFrame) -> dict[str, DataFrame]:
+    """Postings of one source keyed by URL (every fourth with an id already by id), and
+    status edits, texts and dead marks on the old keys of every 3rd, 5th and 7th page."""
+    from postflow.functions.text import posting_key
+    from postflow.operators import extras
+
+    pid = extras.id_from_url("url")
+    by_id = (F.col("page_id") % 4 == 0) & (pid != "")
+    key = F.when(by_id, posting_key(F.lit("adzuna"), pid)).otherwise(
+        extras.provider_key("adzuna", F.lit(None).cast("string"), F.col("url")))
+    stamp = F.lit(AS_OF).cast("timestamp_ntz")
+    postings = page_postings(pages).withColumns({
+        "id": F.col("id") + 1, "source": F.lit("adzuna"), "dead_at": F.lit(None).cast("timestamp_ntz")})
+    keys = pages.select(F.col("page_id") + 1, key.alias("job_board_id"), "url").toDF("id", "job_board_id", "url")
+    postings = postings.drop("job_board_id", "url").join(keys, "id").select(*schema.POSTING_COLUMNS)
+    at = lambda n: pages.filter(F.col("page_id") % n == 0)
+    return {
+        "postings": postings,
+        "status_changes": at(3).select(key.alias("job_board_id"), F.lit("Applied").alias("status"),
+                                       stamp.alias("changed_at"), F.col("page_id").alias("seq")),
+        "materials": at(5).select(key.alias("job_board_id"),
+                                  F.concat(F.lit("Letter "), F.col("page_id").cast("string")).alias("cover_letter"),
+                                  F.lit("").alias("cold_email"), F.lit("seed").alias("generator"),
+                                  stamp.alias("generated_at"), F.lit(None).cast("string").alias("error")),
+        "dead_marks": at(7).select(key.alias("job_board_id"), stamp.alias("dead_at")),
+    }

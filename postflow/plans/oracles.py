@@ -7,7 +7,6 @@ derives and computes; column names and types match the Spark output.
 from __future__ import annotations
 
 from postflow import schema as _schema
-from postflow.functions.prompts import template_pieces
 from postflow.plans.derive import EVENT_STATUS, PAGE_SIZE, RESUME_SUMMARY
 
 # Posting URL of a document (documents with the same text share it).
@@ -75,20 +74,29 @@ STORED_KEYS = f"""
 _OK = "(title IS NOT NULL AND company IS NOT NULL AND location IS NOT NULL AND description IS NOT NULL AND url IS NOT NULL)"
 
 
+# Stored keys with the URL that holds each.
+STORED_URLS = f"""
+  SELECT 'greenhouse-' || substr(sha1(u), 1, 10) AS job_board_id, min(u) AS held FROM (
+    SELECT CASE WHEN doc_id % 10 IN (5, 9) THEN '' ELSE {_U} END AS u
+    FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)) s GROUP BY 1"""
+
+
 def _summary(rows: str) -> str:
     return f"""
 WITH inc AS ({rows}),
 ranked AS (
-  SELECT *, {_OK} AS ok,
-    row_number() OVER (PARTITION BY job_board_id, {_OK} ORDER BY source_ord, payload_ord, entry_ord) AS rn
-  FROM inc)
+  SELECT inc.*, held, {_OK} AS ok,
+    row_number() OVER (PARTITION BY inc.job_board_id, {_OK} ORDER BY source_ord, payload_ord, entry_ord) AS rn,
+    first_value(url) OVER (PARTITION BY inc.job_board_id, {_OK} ORDER BY source_ord, payload_ord, entry_ord) AS first_url
+  FROM inc LEFT JOIN ({STORED_URLS}) h ON inc.job_board_id = h.job_board_id)
 SELECT source_ord,
   CASE WHEN grouping(source_ord) = 0 THEN max(source) END AS source,
   CAST(count(*) AS BIGINT) AS seen,
   CAST(sum(CASE WHEN ok AND rn = 1 AND job_board_id NOT IN (SELECT job_board_id FROM ({STORED_KEYS}) s)
                 THEN 1 ELSE 0 END) AS BIGINT) AS new,
   CAST(sum(CASE WHEN ok THEN 0 ELSE 1 END) AS BIGINT) AS rejected,
-  CAST(sum(CASE WHEN coalesce(url, '') = '' THEN 1 ELSE 0 END) AS BIGINT) AS blank_urls
+  CAST(sum(CASE WHEN coalesce(url, '') = '' THEN 1 ELSE 0 END) AS BIGINT) AS blank_urls,
+  CAST(sum(CASE WHEN ok AND url <> coalesce(held, first_url) THEN 1 ELSE 0 END) AS BIGINT) AS key_collisions
 FROM ranked GROUP BY ROLLUP (source_ord)"""
 
 
@@ -118,7 +126,28 @@ UNION_ROWS = f"""
   SELECT {_COLS} FROM ({RSS_ROWS.replace("'Adelaide'", "'All Australia'")}) r WHERE {_TYPE} = 'seek'"""
 
 
+# Broken responses by payload_ord % 5 (see derive.broken_payloads).
+_ENTRIES = f"""
+  SELECT source_ord, payload_ord, doc_id, source_ord % 3 AS t,
+    source_ord % 7 = 6 AS unknown, payload_ord % 5 AS c FROM ({_DOC}) d"""
+_BROKEN = f"""
+  WITH e AS ({_ENTRIES}),
+  p AS (SELECT DISTINCT source_ord, payload_ord, t, unknown, c FROM e)
+  SELECT source_ord, NULL AS reason, count(*) AS n FROM e
+  WHERE NOT unknown AND (c = 0 OR (t = 2 AND c = 1)) AND NOT (t = 1 AND doc_id % 7 = 0) GROUP BY source_ord
+  UNION ALL
+  SELECT source_ord, reason, count(*) AS n FROM (
+    SELECT source_ord, CASE
+      WHEN unknown THEN 'Unknown source type: workday'
+      WHEN t = 2 AND c = 1 THEN 'feed does not parse; its complete items are kept'
+      WHEN t = 2 AND c > 1 THEN 'body is not a feed'
+      WHEN c IN (1, 3) THEN 'body is not JSON' WHEN c = 2 THEN 'jobs is not a list'
+      WHEN c = 4 THEN 'entry the adapter cannot read' END AS reason
+    FROM p) r WHERE reason IS NOT NULL GROUP BY source_ord, reason"""
+
+
 ORACLES: dict[str, str] = {
+    "payload_rejects": _BROKEN,
     "greenhouse_scan": f"SELECT {_COLS} FROM ({GREENHOUSE_ROWS}) g",
     "ashby_scan": f"SELECT {_COLS} FROM ({ASHBY_ROWS}) a",
     "rss_scan": f"SELECT {_COLS} FROM ({RSS_ROWS}) r",
@@ -197,7 +226,8 @@ FETCH_LOG = """
     CAST(event_id % 4 AS INTEGER) AS attempt,
     CASE event_type WHEN 'view' THEN 200 WHEN 'purchase' THEN 404 WHEN 'click' THEN 503 WHEN 'signup' THEN 500 END
       AS code,
-    CASE WHEN event_type = 'error' THEN 'ConnectionError' END AS exc,
+    CASE WHEN event_type = 'error' THEN
+      CASE WHEN (event_id // 4) % 2 = 0 THEN 'ConnectionError' ELSE 'TooManyRedirects' END END AS exc,
     CASE WHEN value < 5 THEN '<html>oops</html>' ELSE props END AS body
   FROM events"""
 
@@ -223,17 +253,17 @@ ORACLES.update({
         || CASE WHEN coalesce(error, '') <> '' THEN '  (' || error || ')' ELSE '' END AS line
         FROM ({LINK_RESULTS}) r""",
     "fetch_reduce": f"""
-        WITH capped AS (SELECT *, (exc IS NULL AND code < 500) AS term FROM ({FETCH_LOG}) l
-                        WHERE attempt BETWEEN 0 AND 2),
+        WITH capped AS (SELECT *, exc IS NOT DISTINCT FROM 'TooManyRedirects' AS failed,
+                          (exc IS NULL AND code < 500) OR exc IS NOT DISTINCT FROM 'TooManyRedirects' AS term
+                        FROM ({FETCH_LOG}) l WHERE attempt BETWEEN 0 AND 2),
         r AS (SELECT *, row_number() OVER (PARTITION BY url ORDER BY term DESC,
                      CASE WHEN term THEN attempt END ASC, attempt DESC) AS rn FROM capped)
         SELECT url, attempt + 1 AS attempts, code,
-          CASE WHEN term AND code < 400 AND NOT json_valid(body) THEN 'bad_body'
+          CASE WHEN failed THEN 'failed' WHEN term AND code < 400 AND NOT json_valid(body) THEN 'bad_body'
                WHEN term AND code < 400 THEN 'ok' WHEN term THEN 'client_error' ELSE 'gave_up' END AS outcome,
-          CASE WHEN term AND code < 400 AND NOT json_valid(body) THEN 'JSONDecodeError'
+          CASE WHEN failed THEN exc WHEN term AND code < 400 AND NOT json_valid(body) THEN 'JSONDecodeError'
                WHEN term AND code < 400 THEN NULL WHEN exc IS NOT NULL THEN exc
-               ELSE 'HTTP ' || CAST(code AS VARCHAR) END AS error,
-          CAST(1.0 AS DOUBLE) * (pow(2.0, attempt) - 1) AS slept_s
+               ELSE 'HTTP ' || CAST(code AS VARCHAR) END AS error
         FROM r WHERE rn = 1""",
 })
 
@@ -249,15 +279,11 @@ def _sql_lit(s: str) -> str:
 
 
 def _prompt_sql(template: str) -> str:
-    values = {"title": "title", "company": "company", "description": "description",
-              "resume_summary": _sql_lit(RESUME_SUMMARY)}
-    parts = []
-    for literal, hole in template_pieces(template):
-        if literal:
-            parts.append(_sql_lit(literal))
-        if hole is not None:
-            parts.append(f"coalesce({values[hole]}, '')")
-    return "(" + " || ".join(parts) + ")"
+    """The fixed text with its holes filled; the description, which may hold anything, last."""
+    sql = f"replace({_sql_lit(template)}, '{{resume_summary}}', {_sql_lit(RESUME_SUMMARY)})"
+    for hole in ("title", "company", "description"):
+        sql = f"replace({sql}, '{{{hole}}}', coalesce({hole}, ''))"
+    return sql
 
 
 COVER_SQL = _prompt_sql(_schema.COVER_LETTER_TEMPLATE)
@@ -366,6 +392,12 @@ ORACLES.update({
     "status_normalise": f"""SELECT job_board_id, 'To Apply' AS status, TIMESTAMP '2026-01-01 00:00:00' AS changed_at,
         CAST(0 AS BIGINT) AS seq FROM ({_view()}) v WHERE {_SHOWN} <> status""",
     "posting_lookup": f"SELECT * FROM ({_view()}) v WHERE job_board_id = 'doc-7'",
+    "posting_lookup_id": f"SELECT * FROM ({_view()}) v WHERE id = 12",
+    "status_edit": f"""
+        WITH p AS (SELECT doc_id + 1 AS id, 'doc-' || CAST(doc_id AS VARCHAR) AS job_board_id,
+                     CASE doc_id % 13 WHEN 0 THEN 'Ghosted' WHEN 1 THEN 'Applied' ELSE 'To Apply' END AS stored_status,
+                     CASE doc_id WHEN 2 THEN 'Interviewing' WHEN 3 THEN 'Applied' END AS edited FROM documents)
+        SELECT id, job_board_id, edited AS status, stored_status FROM p WHERE edited <> stored_status""",
     "assign_ids": f"""
         WITH inc AS ({GREENHOUSE_ROWS}),
         ranked AS (SELECT *, row_number() OVER (PARTITION BY job_board_id
@@ -408,6 +440,7 @@ ORACLES.update({
         SELECT *, {_POSTING_TAIL} FROM ({_NEW_WITH_IDS}) n""",
     "generate_stream": ORACLES["generate_materials"],
 })
+ORACLES["store_replay"] = ORACLES["ingest_stream"]
 
 
 # ---------------------------------------------------------------------------
@@ -462,6 +495,8 @@ ORACLES.update({
           WHEN 'greenhouse' THEN 'https://boards-api.greenhouse.io/v1/boards/' || trim(token) || '/jobs?content=true'
           WHEN 'ashby' THEN 'https://api.ashbyhq.com/posting-api/job-board/' || trim(token) END AS request_url
         FROM ({_CFG}) c WHERE type <> 'lever'""",
+    "source_fallback": """SELECT 0 AS source_ord, 'seek' AS type,
+        'https://www.seek.com.au/data-analyst-jobs/in-all-australia?rss=true' AS request_url""",
     "source_lines": f"""
         WITH l AS (SELECT trim({_LINES}) AS l FROM documents),
         k AS (SELECT regexp_split_to_array(l, '\\s+') AS p FROM l WHERE l <> '' AND NOT starts_with(l, '#'))
@@ -494,10 +529,17 @@ ORACLES.update({
                    FROM pages),
         k AS (SELECT *, CASE WHEN pid <> '' THEN 'adzuna-' || substr(sha1(pid), 1, 10) ELSE old_key END AS new_key FROM s),
         r AS (SELECT *, row_number() OVER (PARTITION BY new_key ORDER BY (old_key = new_key) DESC, id) AS rn FROM k)
-        SELECT id, new_key AS job_board_id, old_key <> new_key AS rekeyed FROM r WHERE rn = 1""",
+        SELECT r.id, r.new_key AS job_board_id, CASE WHEN edited THEN 'Applied' ELSE 'To Apply' END AS status,
+          letter AS generated_cover_letter, CASE WHEN dead THEN TIMESTAMP '2026-01-01 00:00:00' END AS dead_at
+        FROM r JOIN (SELECT new_key, bool_or((id - 1) % 3 = 0) AS edited, bool_or((id - 1) % 7 = 0) AS dead,
+                       max(CASE WHEN (id - 1) % 5 = 0 THEN 'Letter ' || CAST(id - 1 AS VARCHAR) END) AS letter
+                     FROM k GROUP BY new_key) f ON r.new_key = f.new_key
+        WHERE rn = 1""",
     "x_location_filter": f"""SELECT {_COLS} FROM ({ASHBY_ROWS}) a WHERE coalesce({_TITLE_OK} AND {_LOC_OK}, false)""",
     "x_board_state": f"""
-        WITH rows AS ({ORACLES['title_filter']}),
+        WITH rows AS (SELECT * FROM ({ORACLES['title_filter']}) f WHERE source_ord % 5 <> 4),
+        landed AS (SELECT TRY_CAST(substr(source, 4) AS INTEGER) AS source_ord, max(source) AS token,
+                     CAST(count(DISTINCT doc_id // {PAGE_SIZE}) AS BIGINT) AS responses FROM documents GROUP BY 1),
         per AS (SELECT source_ord, CAST(count(*) AS BIGINT) AS postings,
                   CAST(sum(CASE WHEN coalesce(contains(lower(title), 'the') AND (contains(lower(location), 'remote')
                            OR contains(lower(location), 'city of en')),
@@ -505,12 +547,12 @@ ORACLES.update({
                 FROM rows GROUP BY source_ord),
         bad AS (SELECT TRY_CAST(substr(source, 4) AS INTEGER) AS source_ord,
                   CAST(count(DISTINCT doc_id // {PAGE_SIZE}) AS BIGINT) AS failed_responses
-                FROM documents WHERE doc_id % 10 = 7 GROUP BY 1)
-        SELECT coalesce(p.source_ord, b.source_ord) AS source_ord, coalesce(p.postings, 0) AS postings,
+                FROM documents WHERE doc_id % 10 = 7 AND TRY_CAST(substr(source, 4) AS INTEGER) % 5 <> 4 GROUP BY 1)
+        SELECT l.source_ord, l.token, l.responses, coalesce(p.postings, 0) AS postings,
           coalesce(p.matching, 0) AS matching, coalesce(b.failed_responses, 0) AS failed_responses,
-          CASE WHEN coalesce(p.postings, 0) = 0 AND coalesce(b.failed_responses, 0) > 0 THEN 'dead'
+          CASE WHEN coalesce(p.postings, 0) = 0 AND coalesce(b.failed_responses, 0) >= l.responses THEN 'dead'
                WHEN coalesce(p.matching, 0) > 0 THEN 'match' ELSE 'live' END AS state
-        FROM per p FULL OUTER JOIN bad b ON p.source_ord = b.source_ord""",
+        FROM landed l LEFT JOIN per p ON l.source_ord = p.source_ord LEFT JOIN bad b ON l.source_ord = b.source_ord""",
     "x_board_candidates": """
         WITH s AS (SELECT DISTINCT regexp_replace(lower(c_name), '[^a-z0-9]', '', 'g') AS token FROM customer),
         t AS (SELECT * FROM (VALUES ('greenhouse'), ('lever'), ('ashby')) v(type)),
@@ -558,9 +600,14 @@ ORACLES.update({
     "x_source_counts": f"""SELECT split_part(job_board_id, '-', 1) AS source, CAST(count(*) AS BIGINT) AS postings
         FROM ({UNION_ROWS}) u GROUP BY 1""",
     "x_text_history": f"""
-        SELECT job_board_id, cover_letter, cold_email, 'seed' AS generator,
-          TIMESTAMP '2025-12-31 00:00:00' AS generated_at, error FROM ({MATERIALS}) m
-        UNION ALL {ORACLES['generate_materials']}""",
+        WITH h AS (
+          SELECT job_board_id, cover_letter, cold_email, 'seed' AS generator,
+            TIMESTAMP '2025-12-31 00:00:00' AS generated_at, error FROM ({MATERIALS}) m
+          UNION ALL {ORACLES['generate_materials']})
+        SELECT *, row_number() OVER (PARTITION BY job_board_id ORDER BY generated_at) AS version,
+          error IS NULL AND row_number() OVER (
+            PARTITION BY job_board_id ORDER BY (error IS NULL) DESC, generated_at DESC) = 1 AS current
+        FROM h""",
     "link_by_url": f"""
         WITH p AS ({_SHARED}),
         u AS (SELECT DISTINCT url, TRY_CAST(regexp_extract(url, '/([0-9]+)$', 1) AS INTEGER) % 5 AS n FROM p WHERE url <> ''),

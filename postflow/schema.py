@@ -178,12 +178,14 @@ POSTING_COLUMNS = [f.name for f in POSTINGS.fields]
 # Required posting fields: a null here sends the row to rejects.
 REQUIRED = ["job_board_id", "title", "company", "location", "description", "url"]
 
+# Answers of several runs may lie side by side: the newest of a URL counts.
 RESPONSES = _struct(
     ("url", S),
     ("head_code", I),
     ("get_code", I),
     ("body", S),
     ("exc", S),
+    ("fetched_at", TS),
 )
 
 FETCH_LOG = _struct(
@@ -232,6 +234,7 @@ SUMMARIES = _struct(
     ("new", L),
     ("rejected", L),
     ("blank_urls", L),
+    ("key_collisions", L),
 )
 
 LINK_RESULTS = _struct(

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -19,6 +17,8 @@ DEFAULT_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    # a checkpoint goes once nothing refers to it any more
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -37,24 +37,14 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder of the cluster.
-
-    Read from the session (`spark.checkpoint.dir` or the context's checkpoint
-    dir). Only a local-mode session without one gets a fresh temporary folder;
-    on a cluster a machine-local folder would be lost with its executor, so
-    that is an error.
-    """
+    """The shared checkpoint folder of the cluster, as its settings name it: the
+    context's checkpoint dir, `spark.checkpoint.dir`, or, where neither is set, a
+    folder below the SQL warehouse (which all executors share too)."""
     sc = spark.sparkContext
-    current = sc.getCheckpointDir()
-    if current:
-        return current
-    conf_dir = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if not conf_dir:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a shared folder (HDFS/S3/...) for this cluster")
-        conf_dir = tempfile.mkdtemp(prefix="postflow-ckpt-")
-    sc.setCheckpointDir(conf_dir)
-    return sc.getCheckpointDir() or conf_dir
+    if not sc.getCheckpointDir():
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        sc.setCheckpointDir(named or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
+    return sc.getCheckpointDir()
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -63,15 +53,6 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/postflow-{name}-{uuid.uuid4().hex[:12]}"
 
 
-def is_local_path(path: str) -> bool:
-    return path.startswith("/") or path.startswith("file:")
-
-
-def ensure_parent(path: str) -> None:
-    if is_local_path(path):
-        os.makedirs(path.removeprefix("file:"), exist_ok=True)
-
-
 def shuffle_partitions(spark: SparkSession) -> int:
     """The session's shuffle partition count (how wide a shuffle should be)."""
     try:

@@ -25,10 +25,36 @@ from postflow import schema
 from postflow.functions.text import first_non_empty, fold_remote, posting_key, title_matches
 
 
+REJECT_COLUMNS = [f.name for f in schema.REJECTS.fields]
+
+
 @dataclass
 class AdapterResult:
+    """What an adapter makes of its payloads: incoming postings and rejected payloads.
+
+    `tagged` holds both in one frame (a reject has a `reason`), so a consumer of
+    both writes it once and the payloads are parsed once.
+    """
+
     incoming: DataFrame
     rejects: DataFrame
+    tagged: DataFrame | None = None
+
+    @staticmethod
+    def of(tagged: DataFrame) -> AdapterResult:
+        return AdapterResult(tagged.filter(F.col("reason").isNull()).select(*schema.INCOMING_COLUMNS),
+                             tagged.filter(F.col("reason").isNotNull()).select(*REJECT_COLUMNS), tagged)
+
+    def both(self) -> DataFrame:
+        if self.tagged is not None:
+            return self.tagged
+        null_s = F.lit(None).cast("string")
+        rows = self.incoming.select(*schema.INCOMING_COLUMNS, F.col("source").alias("type"),
+                                    null_s.alias("reason"), null_s.alias("raw"))
+        return rows.unionByName(self.rejects, allowMissingColumns=True)
+
+
+TAGGED_COLUMNS = [*schema.INCOMING_COLUMNS, "type", "reason", "raw"]
 
 
 Adapter = Callable[[DataFrame], AdapterResult]
@@ -108,39 +134,53 @@ def _payload_reason(v: Column, fatal_entry: Callable[[Column], Column]) -> Colum
 
 def _split(prepared: DataFrame, reason_fn: Callable[[Column], Column], source_type: str,
            entry_fn: Callable[[DataFrame], DataFrame]) -> AdapterResult:
-    """Reject failing payloads whole; explode the rest into incoming rows."""
-    # The body is parsed once per payload. Both outputs are cut from the tagged
-    # rows with a generator that yields zero or one row set, not with a filter:
-    # a filter on `_reason` would be pushed below the projection and parse the
-    # body again for every test in the reason expression.
-    tagged = prepared.withColumn("_v", F.try_parse_json("body"))
-    tagged = tagged.withColumn("_reason", reason_fn(F.col("_v")))
-    bad = F.when(F.col("_reason").isNotNull(), F.array(F.struct(
-        F.col("_reason").alias("reason"), F.col("body").alias("raw"))))
-    rejects = tagged.select("source_ord", "payload_ord", "type", F.explode(bad).alias("_r")).select(
-        "source_ord", "payload_ord", "type", F.lit(None).cast("int").alias("entry_ord"), "_r.reason", "_r.raw")
-    entries = tagged.select(
-        "source_ord", "payload_ord", "token", "title_contains", "search_location",
-        F.posexplode(F.when(F.col("_reason").isNull(), _jobs(F.col("_v")))).alias("entry_ord", "e"))
-    inc = entry_fn(entries).withColumn("source", F.lit(source_type))
-    inc = inc.withColumn("job_board_id", posting_key(F.col("source"), F.col("url")))
-    return AdapterResult(inc.select(*schema.INCOMING_COLUMNS), rejects)
+    """Reject failing payloads whole; explode the rest into incoming rows.
+
+    The body is parsed once per payload: one generator yields a row for each
+    entry, or one row with the reason. The reason comes out of the generator, so
+    a filter on it stays above (below, it would parse the body again).
+    """
+    parsed = prepared.withColumn("_v", F.try_parse_json("body"))
+    parsed = parsed.withColumn("_reason", reason_fn(F.col("_v")))
+    one = lambda reason, raw, pos, e: F.struct(
+        reason.alias("reason"), raw.alias("raw"), pos.cast("int").alias("entry_ord"), e.alias("e"))
+    null_s, null_v = F.lit(None).cast("string"), F.lit(None).cast("variant")
+    rows = F.when(F.col("_reason").isNotNull(), F.array(one(F.col("_reason"), F.col("body"), F.lit(None), null_v))).otherwise(
+        F.transform(_jobs(F.col("_v")), lambda e, i: one(null_s, null_s, i, e)))
+    entries = parsed.select(
+        "source_ord", "payload_ord", "type", "token", "title_contains", "search_location",
+        F.explode(rows).alias("_r")).select("*", "_r.*").drop("_r")
+    return AdapterResult.of(_keyed(entry_fn(entries), source_type))
+
+
+def _keyed(rows: DataFrame, source_type: str) -> DataFrame:
+    """Source and key of the entries; a reject carries neither."""
+    ok = F.col("reason").isNull()
+    rows = rows.withColumn("source", F.when(ok, F.lit(source_type)))
+    rows = rows.withColumn("job_board_id", F.when(ok, posting_key(F.lit(source_type), F.col("url"))))
+    return rows.select(*TAGGED_COLUMNS)
 
 
 # ---------------------------------------------------------------------------
 # greenhouse
 # ---------------------------------------------------------------------------
 
-def _greenhouse_fatal(e: Column) -> Column:
+def _greenhouse_fatal(e: Column, needle: Column) -> Column:
+    """The entry stops its whole board. URL and location are looked at only where
+    the title passes the filter: an entry that is skipped cannot fail the board."""
     title = vget(e, "$.title")
     url = vget(e, "$.absolute_url")
     loc = vget(e, "$.location")
+    wanted = title_matches(get_or_default(e, "$.title", schema.UNTITLED), needle)
     return (
         ~F.startswith(vtype(e), F.lit("OBJECT"))
-        # the URL is hashed: null or non-text raises
-        | (url.isNotNull() & (vtype(url) != "STRING"))
-        # (location or {}).get(...) raises on a truthy non-object
-        | (truthy(loc) & ~F.startswith(vtype(loc), F.lit("OBJECT")))
+        # a title that cannot be lower-cased fails the filter when a needle is set
+        | (F.coalesce(needle != "", F.lit(False)) & title.isNotNull() & (vtype(title) != "STRING"))
+        | (wanted & (
+            # the URL is hashed: null or non-text raises
+            (url.isNotNull() & (vtype(url) != "STRING"))
+            # (location or {}).get(...) raises on a truthy non-object
+            | (truthy(loc) & ~F.startswith(vtype(loc), F.lit("OBJECT")))))
     )
 
 
@@ -150,7 +190,7 @@ def _greenhouse_entries(entries: DataFrame) -> DataFrame:
     location = F.when(~truthy(loc), F.lit("")).otherwise(get_or_default(e, "$.location.name", ""))
     title = get_or_default(e, "$.title", schema.UNTITLED)
     out = entries.select(
-        "source_ord", "payload_ord", F.col("entry_ord").cast("int").alias("entry_ord"),
+        "source_ord", "payload_ord", "entry_ord", "type", "reason", "raw",
         title.alias("title"),
         F.col("token").alias("company"),
         location.alias("location"),
@@ -158,17 +198,13 @@ def _greenhouse_entries(entries: DataFrame) -> DataFrame:
         get_or_default(e, "$.absolute_url", "").alias("url"),
         "title_contains",
     )
-    return out.filter(title_matches("title", "title_contains")).drop("title_contains")
+    return out.filter(F.col("reason").isNotNull() | title_matches("title", "title_contains")).drop("title_contains")
 
 
 def greenhouse(prepared: DataFrame) -> AdapterResult:
     """Greenhouse board JSON `{"jobs": [{title, absolute_url, location: {name}, content}]}`."""
     def fatal(x: Column) -> Column:
-        # a title that cannot be lower-cased fails the filter when a needle is set
-        needle = F.col("title_contains")
-        t = vget(x, "$.title")
-        bad_title = F.coalesce(needle != "", F.lit(False)) & t.isNotNull() & (vtype(t) != "STRING")
-        return _greenhouse_fatal(x) | bad_title
+        return F.coalesce(_greenhouse_fatal(x, F.col("title_contains")), F.lit(False))
 
     return _split(prepared, lambda v: _payload_reason(v, fatal), "greenhouse", _greenhouse_entries)
 
@@ -207,8 +243,8 @@ def _ashby_entries(entries: DataFrame) -> DataFrame:
     listed = vget(e, "$.isListed")
     unlisted = F.coalesce(F.to_json(listed) == "false", F.lit(False))
     location = first_non_empty(or_text(e, "$.location"))
-    return entries.filter(~unlisted).select(
-        "source_ord", "payload_ord", F.col("entry_ord").cast("int").alias("entry_ord"),
+    return entries.filter(F.col("reason").isNotNull() | ~unlisted).select(
+        "source_ord", "payload_ord", "entry_ord", "type", "reason", "raw",
         get_or_default(e, "$.title", schema.UNTITLED).alias("title"),
         F.col("token").alias("company"),
         fold_remote(location, truthy(vget(e, "$.isRemote"))).alias("location"),
@@ -226,28 +262,49 @@ def ashby(prepared: DataFrame) -> AdapterResult:
 # seek (RSS)
 # ---------------------------------------------------------------------------
 
+NOT_A_FEED = "body is not a feed"
+FEED_CUT_SHORT = "feed does not parse; its complete items are kept"
+
 RSS_ITEMS = "channel STRUCT<item: ARRAY<STRUCT<title: STRING, link: STRING, description: STRING, author: STRING>>>"
 
 
+def _feed(body: Column) -> Column:
+    return F.from_xml(body, RSS_ITEMS, {"mode": "PERMISSIVE"})["channel"]
+
+
 def seek(prepared: DataFrame) -> AdapterResult:
-    """RSS feed: one posting per `<item>`; company = author, location = search location."""
-    parsed = prepared.withColumn("_x", F.from_xml("body", RSS_ITEMS, {"mode": "PERMISSIVE"}))
-    rejects = parsed.filter(F.col("_x").isNull()).select(
-        "source_ord", "payload_ord", "type", F.lit(None).cast("int").alias("entry_ord"),
-        F.lit("body is not a feed").alias("reason"), F.col("body").alias("raw"))
-    items = parsed.select(
-        "source_ord", "payload_ord", "search_location",
-        F.posexplode(F.col("_x.channel.item")).alias("entry_ord", "it"))
-    inc = items.select(
-        "source_ord", "payload_ord", F.col("entry_ord").cast("int").alias("entry_ord"),
-        F.lit("seek").alias("source"),
+    """RSS feed: one posting per `<item>`; company = author, location = search location.
+
+    A body without a channel (plain text, an error page, another format, nothing)
+    is rejected. A feed that does not parse (cut short) is rejected too, and its
+    complete items are taken all the same.
+    """
+    body = F.coalesce(F.col("body"), F.lit(""))
+    whole_items = F.array_join(F.regexp_extract_all(body, F.lit("(?s)<item[ >].*?</item>"), F.lit(0)), "")
+    salvaged = F.when(F.contains(body, F.lit("<channel")), _feed(
+        F.concat(F.lit("<rss><channel>"), whole_items, F.lit("</channel></rss>"))))
+    # parsed once a payload: one generator for items and reasons (see _split)
+    parsed = prepared.withColumn("_c", _feed(body))
+    parsed = parsed.withColumn("_x", F.coalesce("_c", salvaged)).withColumn(
+        "_reason", F.when(F.col("_x").isNull(), F.lit(NOT_A_FEED)).when(F.col("_c").isNull(), F.lit(FEED_CUT_SHORT)))
+    item = "struct<title: string, link: string, description: string, author: string>"
+    rows_type = f"array<struct<reason: string, raw: string, entry_ord: int, it: {item}>>"
+    one = lambda reason, raw, pos, it: F.struct(
+        reason.alias("reason"), raw.alias("raw"), pos.cast("int").alias("entry_ord"), it.cast(item).alias("it"))
+    null_s = F.lit(None).cast("string")
+    bad = F.when(F.col("_reason").isNotNull(), F.array(one(F.col("_reason"), F.col("body"), F.lit(None), F.lit(None))))
+    good = F.transform(F.col("_x.item"), lambda it, i: one(null_s, null_s, i, it))
+    items = parsed.select("source_ord", "payload_ord", "type", "search_location", F.explode(F.concat(
+        F.coalesce(bad, F.array().cast(rows_type)), F.coalesce(good, F.array().cast(rows_type)))).alias("_r")).select("*", "_r.*").drop("_r")
+    rows = items.select(
+        "source_ord", "payload_ord", "entry_ord", "type", "reason", "raw",
         F.coalesce(F.col("it.title"), F.lit(schema.UNTITLED)).alias("title"),
         F.coalesce(F.col("it.author"), F.lit(schema.UNKNOWN_COMPANY)).alias("company"),
         F.coalesce(F.col("search_location"), F.lit(schema.DEFAULT_LOCATION)).alias("location"),
         F.coalesce(F.col("it.description"), F.lit("")).alias("description"),
         F.coalesce(F.col("it.link"), F.lit("")).alias("url"),
-    ).withColumn("job_board_id", posting_key(F.col("source"), F.col("url")))
-    return AdapterResult(inc.select(*schema.INCOMING_COLUMNS), rejects)
+    )
+    return AdapterResult.of(_keyed(rows, "seek"))
 
 
 register_adapter("greenhouse", greenhouse)

@@ -1,25 +1,27 @@
 """The posting store: typed Parquet tables under one root folder.
 
-Tables are append-only and written one batch folder at a time
-(`<table>/batch_id=<n>/...`, postings further split by `source`), so
-re-running a batch overwrites exactly its own folder and a replayed stream
-batch is harmless. Status edits, dead marks and generated texts are separate
-tables folded in by `view()`. A missing table reads as an empty typed table.
+Tables are append-only. Each write goes to a folder of its own,
+`<table>/writer=<who>/batch_id=<n>/` (postings further split by `source`): a
+command, a stream (by its checkpoint) or a seed is a writer, so equal batch
+numbers of two writers never meet. A batch that is committed is never written
+again: running it once more returns what it did. Status edits, dead marks and
+generated texts are separate tables folded in by `view()`. A missing table reads
+as an empty typed table.
 """
 
 from __future__ import annotations
 
 import datetime as dt
+import hashlib
 
-from pyspark import StorageLevel
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from postflow import schema
 from postflow.operators import board, ingest
-from postflow.session import checkpoint_dir
+from postflow.session import checkpoint_dir, scratch_path
 from postflow.sources.adapters import AdapterResult
 
 TABLES: dict[str, T.StructType] = {
@@ -32,10 +34,25 @@ TABLES: dict[str, T.StructType] = {
 }
 
 PARTITIONS = {"postings": ["source"]}
+BATCH_COLUMNS = ["writer", "batch_id"]
+
+# Writers of the store itself; streams are named by their checkpoint.
+SEED, COMPACT, INGEST, LINKS, GENERATE, STATUS, APPEND, REKEY = (
+    "seed", "compact", "ingest", "links", "generate", "status", "append", "rekey")
+
+
+def writer_of_stream(checkpoint_location: str) -> str:
+    """A stream keeps its name for as long as it keeps its checkpoint."""
+    return "stream-" + hashlib.sha1(checkpoint_location.rstrip("/").encode()).hexdigest()[:12]
 
 
 def _with_batch(st: T.StructType) -> T.StructType:
-    return T.StructType(list(st.fields) + [T.StructField("batch_id", T.LongType(), True)])
+    return T.StructType([*st.fields, T.StructField("writer", T.StringType(), True),
+                         T.StructField("batch_id", T.LongType(), True)])
+
+
+def _is_batch(writer: str, batch_id: int) -> Column:
+    return (F.col("writer") == F.lit(writer)) & (F.col("batch_id") == F.lit(int(batch_id)))
 
 
 class PostingStore:
@@ -47,6 +64,19 @@ class PostingStore:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
+    def _batch_path(self, name: str, writer: str, batch_id: int) -> str:
+        return f"{self.path(name)}/writer={writer}/batch_id={int(batch_id)}"
+
+    def _file_system(self, path: str):
+        jvm = self.spark.sparkContext._jvm
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
+
+    def committed(self, name: str, writer: str, batch_id: int) -> bool:
+        """Whether the batch was written to its end (its job left the success mark)."""
+        fs, p = self._file_system(self._batch_path(name, writer, batch_id) + "/_SUCCESS")
+        return fs.exists(p)
+
     # -- read ---------------------------------------------------------------
     def read(self, name: str, with_batch: bool = False) -> DataFrame:
         """The table with its declared schema; empty when nothing was written yet."""
@@ -57,91 +87,95 @@ class PostingStore:
             if "PATH_NOT_FOUND" not in str(exc) and "Path does not exist" not in str(exc):
                 raise
             df = self.spark.createDataFrame([], st)
-        cols = [f.name for f in TABLES[name].fields] + (["batch_id"] if with_batch else [])
+        cols = [f.name for f in TABLES[name].fields] + (BATCH_COLUMNS if with_batch else [])
         return df.select(*cols)
 
+    def read_batch(self, name: str, writer: str, batch_id: int) -> DataFrame:
+        return self.read(name, with_batch=True).filter(_is_batch(writer, batch_id)).drop(*BATCH_COLUMNS)
+
+    def read_others(self, name: str, writer: str, batch_id: int) -> DataFrame:
+        """The table without one batch: what an attempt at that batch may look at."""
+        return self.read(name, with_batch=True).filter(~_is_batch(writer, batch_id)).drop(*BATCH_COLUMNS)
+
     def postings(self) -> DataFrame:
         return self.read("postings")
 
-    def view(self, exclude: tuple[str, int] | None = None) -> DataFrame:
+    def view(self, exclude: tuple[str, str, int] | None = None) -> DataFrame:
         """Current postings: latest status, latest successful texts, first dead mark.
-
-        `exclude=(table, N)` leaves out what batch N wrote to that table: a
-        command run again as the same batch must see the table as it was before
-        its first attempt, or it would skip work its earlier attempt did and
-        then overwrite that batch with less.
-        """
+        `exclude=(table, writer, batch)` leaves out what that batch wrote to the table."""
         def side(name: str) -> DataFrame:
-            df = self.read(name, with_batch=True)
-            if exclude is not None and exclude[0] == name:
-                df = df.filter(F.col("batch_id") != F.lit(int(exclude[1])))
-            return df.drop("batch_id")
+            return self.read_others(*exclude) if exclude is not None and exclude[0] == name else self.read(name)
 
         return board.current_view(side("postings"), side("status_changes"), side("materials"), side("dead_marks"))
 
     # -- write --------------------------------------------------------------
-    def write(self, name: str, df: DataFrame, batch_id: int) -> None:
-        """Write one batch of a table (replacing that batch if it was written before)."""
-        cols = [f.name for f in TABLES[name].fields]
-        out = df.select(*cols)
-        w = out.write.mode("overwrite")
+    def write(self, name: str, df: DataFrame, writer: str, batch_id: int) -> None:
+        """Write one batch of a writer; a committed batch is left as it is.
+        (Overwriting clears the rest of an attempt that did not get to its end.)"""
+        if self.committed(name, writer, batch_id):
+            return
+        w = df.select(*[f.name for f in TABLES[name].fields]).write.mode("overwrite")
         if name in PARTITIONS:
             w = w.partitionBy(*PARTITIONS[name])
-        w.parquet(f"{self.path(name)}/batch_id={int(batch_id)}")
+        w.parquet(self._batch_path(name, writer, batch_id))
 
-    def ingest(self, inc: DataFrame, as_of: dt.datetime, batch_id: int, rejects: DataFrame | None = None) -> DataFrame:
-        """Insert-if-absent one batch of incoming postings; returns the run summary.
+    def _append(self, name: str, df: DataFrame, batch_id: int) -> None:
+        """Add rows to a batch of the caller's own; nothing written before goes."""
+        w = df.select(*[f.name for f in TABLES[name].fields]).write.mode("append")
+        w.parquet(self._batch_path(name, APPEND, batch_id))
 
-        Stored keys are read from every other batch (a replay of this batch does
-        not see its own earlier output), new rows get dense ids after the
-        largest stored id, and the per-source summary of the batch is kept in
-        the `summaries` table.
-        """
-        stored = self.read("postings", with_batch=True).filter(F.col("batch_id") != F.lit(int(batch_id)))
-        stored = stored.drop("batch_id")
-        # the batch is parsed once and reused by the three outputs below
-        inc = inc.persist(StorageLevel.MEMORY_AND_DISK)
-        try:
-            self.write("summaries", ingest.summary(inc, stored, by_source=True), batch_id)
-            new = ingest.with_defaults(ingest.new_postings(inc, stored, by_source=True), as_of)
-            new = ingest.assign_ids(new, stored)
-            self.write("postings", new.select(*schema.POSTING_COLUMNS), batch_id)
-            _, bad = ingest.split_required(inc)
-            if rejects is not None:
-                bad = bad.unionByName(rejects)
-            self.write("rejects", bad, batch_id)
-        finally:
-            inc.unpersist()
-        return self.read("summaries", with_batch=True).filter(F.col("batch_id") == F.lit(int(batch_id))).drop(
-            "batch_id")
+    def ingest(self, inc: DataFrame, as_of: dt.datetime, batch_id: int, rejects: DataFrame | None = None,
+               writer: str = INGEST) -> DataFrame:
+        """Insert-if-absent one batch of incoming postings; returns the run summary."""
+        none = self.spark.createDataFrame([], schema.REJECTS) if rejects is None else rejects
+        return self._ingest(AdapterResult(inc, none), as_of, batch_id, writer)
 
     def ingest_payloads(self, payloads: DataFrame, sources: DataFrame | None, as_of: dt.datetime,
-                        batch_id: int) -> DataFrame:
-        """Scan one batch of landed payloads with every adapter and ingest the postings.
-
-        The batch is read by each adapter's branch and by the unknown-type
-        check, so it is kept for the length of the ingest instead of being read
-        from its files once per branch.
-        """
-        payloads = payloads.persist(StorageLevel.MEMORY_AND_DISK)
-        try:
-            res: AdapterResult = ingest.scan(payloads, sources)
-            return self.ingest(res.incoming, as_of, batch_id, rejects=res.rejects)
-        finally:
-            payloads.unpersist()
+                        batch_id: int, writer: str = INGEST) -> DataFrame:
+        """Scan one batch of landed payloads with every adapter and ingest the postings."""
+        if self.committed("summaries", writer, batch_id):
+            return self.read_batch("summaries", writer, batch_id)
+        return self._ingest(ingest.scan(payloads, sources), as_of, batch_id, writer)
+
+    def _ingest(self, res: AdapterResult, as_of: dt.datetime, batch_id: int, writer: str) -> DataFrame:
+        """One pass: the parsed entries (rows and rejects) are written once; what
+        becomes of each row is decided on narrow rows; new rows get dense ids after
+        the largest stored one. The summary is written last and marks the batch as
+        committed, so a batch that broke off is done again from the start."""
+        if self.committed("summaries", writer, batch_id):
+            return self.read_batch("summaries", writer, batch_id)
+        stored = self.read_others("postings", writer, batch_id)
+        entries = res.both()
+        staging = scratch_path(self.spark, "entries")
+        entries.write.parquet(staging)
+        entries = self.spark.read.schema(entries.schema).parquet(staging)
+        rows = entries.filter(F.col("reason").isNull()).select(*schema.INCOMING_COLUMNS)
+        tags = ingest.tag(rows, stored, by_source=True).checkpoint(eager=True)
+        new = rows.join(tags.filter("is_new").select(*ingest.RUN_ORDER), ingest.RUN_ORDER, "left_semi")
+        new = ingest.with_defaults(ingest.assign_ids(new, stored), as_of)
+        self.write("postings", new.select(*schema.POSTING_COLUMNS), writer, batch_id)
+        bad = entries.filter(F.col("reason").isNotNull()).select(*[f.name for f in schema.REJECTS.fields])
+        bad = bad.unionByName(ingest.split_required(rows)[1]).unionByName(ingest.collisions(rows, tags))
+        self.write("rejects", bad, writer, batch_id)
+        self.write("summaries", ingest.summary_of(tags), writer, batch_id)
+        fs, p = self._file_system(staging)
+        fs.delete(p, True)
+        return self.read_batch("summaries", writer, batch_id)
 
     def seed(self, postings: DataFrame, batch_id: int = 0) -> None:
         """Write postings that already exist elsewhere (ids and keys kept)."""
-        self.write("postings", postings, batch_id)
+        if self.committed("postings", SEED, batch_id):
+            raise ValueError(f"seed batch {batch_id} is already written")
+        self.write("postings", postings, SEED, batch_id)
 
     def append_status(self, changes: DataFrame, batch_id: int) -> None:
-        self.write("status_changes", changes, batch_id)
+        self._append("status_changes", changes, batch_id)
 
     def append_dead(self, marks: DataFrame, batch_id: int) -> None:
-        self.write("dead_marks", marks, batch_id)
+        self._append("dead_marks", marks, batch_id)
 
     def append_materials(self, rows: DataFrame, batch_id: int) -> None:
-        self.write("materials", rows, batch_id)
+        self._append("materials", rows, batch_id)
 
     # -- the three commands of the original tool, as one call each -----------
     def check_links(self, responses: DataFrame, as_of: dt.datetime, batch_id: int, limit: int = 0,
@@ -153,10 +187,10 @@ class PostingStore:
         """
         from postflow.operators import links
 
-        results = links.check_postings(self.view(exclude=("dead_marks", batch_id)), responses, limit=limit)
+        results = links.check_postings(self.view(exclude=("dead_marks", LINKS, batch_id)), responses, limit=limit)
         results = results.checkpoint(eager=True)  # one verdict set for counts, marks and export
         if mark_dead:
-            self.append_dead(links.dead_marks(results, as_of), batch_id)
+            self.write("dead_marks", links.dead_marks(results, as_of), LINKS, batch_id)
         if dead_out:
             links.export_dead(results, dead_out)
         return links.counts(results)
@@ -164,24 +198,38 @@ class PostingStore:
     def generate(self, resume_summary: str, generator, as_of: dt.datetime, batch_id: int,
                  limit: int = 0) -> DataFrame:
         """Generate both texts for pending postings (the first `limit` by id, 0 = all);
-        returns generated / empty / failed / remaining counts."""
+        returns generated / empty / failed / remaining counts. A committed batch is
+        not generated again."""
         from postflow.operators import materials
 
-        view = self.view(exclude=("materials", batch_id))
-        produced = materials.run_generation(view, resume_summary, generator, as_of, limit=limit)
-        self.append_materials(produced, batch_id)
-        done = self.read("materials", with_batch=True).filter(F.col("batch_id") == F.lit(int(batch_id)))
-        return materials.run_summary(view, done.drop("batch_id"))
-
-    def set_status(self, job_board_id: str, status: str, as_of: dt.datetime, batch_id: int, seq: int = 0) -> int:
-        """Record a status edit when it differs from the current one; returns rows written (0 or 1)."""
-        view = self.view(exclude=("status_changes", batch_id))
-        change = board.status_change(view, job_board_id, status, as_of, seq)
-        change = change.checkpoint(eager=True)
-        n = change.count()
-        if n:
-            self.append_status(change, batch_id)
-        return n
+        if not self.committed("materials", GENERATE, batch_id):
+            view = self.view(exclude=("materials", GENERATE, batch_id))
+            produced = materials.run_generation(view, resume_summary, generator, as_of, limit=limit)
+            self.write("materials", produced, GENERATE, batch_id)
+        return materials.run_summary(self.view(), self.read_batch("materials", GENERATE, batch_id))
+
+    def set_status(self, job_board_id: str, status: str, as_of: dt.datetime, batch_id: int = 0) -> int:
+        """Record a status edit when it differs from the current one; returns rows written (0 or 1).
+
+        Edits of a key are numbered by the store, so two in one second keep their order.
+        """
+        change = board.status_change(board.lookup(self.view(), job_board_id), job_board_id, status, as_of)
+        rows = change.collect()  # one key: one row at most
+        if rows:
+            mine = self.read("status_changes").filter(F.col("job_board_id") == F.lit(job_board_id))
+            last = mine.agg(F.max("seq")).first()[0]
+            row = {**rows[0].asDict(), "seq": 0 if last is None else int(last) + 1}
+            self._append("status_changes", self.spark.createDataFrame([row], schema.STATUS_CHANGES), batch_id)
+        return len(rows)
+
+    def _rewritten(self, version: str) -> PostingStore:
+        return PostingStore(self.spark, f"{self.root}_{version}")
+
+    def _carry(self, target: PostingStore, changed: dict[str, DataFrame], writer: str) -> str:
+        for name in TABLES:
+            df = changed.get(name)
+            target.write(name, self.read(name) if df is None else df, writer, 0)
+        return target.root
 
     def compact(self, name: str, version: int) -> str:
         """Rewrite a table as one batch folder under a new root `<root>_v<version>`.
@@ -189,7 +237,24 @@ class PostingStore:
         Readers switch by opening the new root; the old root stays readable
         until it is removed, so compaction never races a reader.
         """
-        new_root = f"{self.root}_v{int(version)}"
-        target = PostingStore(self.spark, new_root)
-        target.write(name, self.read(name), 0)
-        return new_root
+        target = self._rewritten(f"v{int(version)}")
+        target.write(name, self.read(name), COMPACT, 0)
+        return target.root
+
+    def rekey(self, source: str, version: int) -> str:
+        """The store under a new root with the URL-keyed rows of `source` on id-derived
+        keys: postings, status edits, texts and dead marks move together."""
+        from postflow.operators import extras
+
+        tables = extras.rekey_tables(self.postings(), source, status_changes=self.read("status_changes"),
+                                     materials=self.read("materials"), dead_marks=self.read("dead_marks"))
+        return self._carry(self._rewritten(f"v{int(version)}"), tables, REKEY)
+
+    def prune_removed(self, version: int) -> str:
+        """The store under a new root without the postings found dead, nor their side rows."""
+        from postflow.operators import extras
+
+        kept = extras.still_listed(self.view()).select("job_board_id").distinct()
+        tables = {name: self.read(name).join(kept, "job_board_id", "left_semi")
+                  for name in ("postings", "status_changes", "materials", "dead_marks")}
+        return self._carry(self._rewritten(f"v{int(version)}"), tables, COMPACT)

@@ -2,8 +2,9 @@
 
 Both run `foreachBatch` over a file stream with an explicit schema and a
 checkpoint, usually with `trigger(availableNow=True)` (process what has
-landed, then stop). Each micro-batch is written as its own batch folder of
-the store, so a batch replayed after a failure overwrites its own output.
+landed, then stop). A stream is a writer of the store, named by its checkpoint,
+and each micro-batch a batch of that writer: a batch replayed after a failure is
+done once, and no other writer's rows are touched.
 Keys stay unique for ever by the anti join against the stored table, not by
 a streaming dedup with a watermark (which would forget old keys).
 """
@@ -13,12 +14,11 @@ from __future__ import annotations
 import datetime as dt
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from postflow import schema
 from postflow.operators import materials as M
-from postflow.sources.store import PostingStore, _with_batch
+from postflow.sources.store import BATCH_COLUMNS, PostingStore, _with_batch, writer_of_stream
 
 
 def land_payloads(payloads: DataFrame, landing_path: str, mode: str = "append") -> None:
@@ -36,10 +36,11 @@ def ingest_stream(spark: SparkSession, landing_path: str, store: PostingStore, c
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
     stream = reader.load(landing_path)
+    writer = writer_of_stream(checkpoint_location)
 
     def batch(df: DataFrame, batch_id: int) -> None:
         stamp = as_of or dt.datetime.now(dt.UTC).replace(tzinfo=None)
-        store.ingest_payloads(df, sources, stamp, batch_id)
+        store.ingest_payloads(df, sources, stamp, batch_id, writer=writer)
 
     w = stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint_location)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
@@ -51,18 +52,18 @@ def generation_stream(spark: SparkSession, store: PostingStore, checkpoint_locat
                       as_of: dt.datetime | None = None, available_now: bool = True) -> StreamingQuery:
     """Generate texts for postings as they arrive in the store.
 
-    A replayed batch is harmless: rows already holding successful texts are
-    filtered out by the pending test before the generator is called.
+    A replayed batch that was committed generates nothing; rows that already hold
+    a successful text, by whichever writer, are not sent to the generator.
     """
+    writer = writer_of_stream(checkpoint_location)
     stream = spark.readStream.schema(_with_batch(schema.POSTINGS)).parquet(store.path("postings"))
 
     def batch(df: DataFrame, batch_id: int) -> None:
         stamp = as_of or dt.datetime.now(dt.UTC).replace(tzinfo=None)
-        # texts written by an earlier attempt of this same batch do not count
-        done = store.read("materials", with_batch=True).filter(F.col("batch_id") != F.lit(int(batch_id)))
-        todo = M.pending_from(df.drop("batch_id"), done.drop("batch_id"))
-        produced = M.generate(M.prompts(todo, resume_summary), generator, stamp)
-        store.append_materials(produced, batch_id)
+        if store.committed("materials", writer, batch_id):
+            return
+        todo = M.pending_from(df.drop(*BATCH_COLUMNS), store.read_others("materials", writer, batch_id))
+        store.write("materials", M.generate(M.prompts(todo, resume_summary), generator, stamp), writer, batch_id)
 
     w = stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint_location)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")

@@ -72,3 +72,47 @@ def test_canonical_locations(spark):
 def test_source_of_key(spark):
     inc = incoming(spark, [{"source": "greenhouse"}]).drop("source")
     assert extras.with_source(inc).collect()[0].source == "greenhouse"
+
+
+def test_rekey_tables_keep_what_the_user_did(spark):
+    from helpers import AS_OF
+
+    from postflow import schema
+    from postflow.operators import board
+
+    rows = postings(spark, [{"id": 1, "url": "https://a.example/land/ad/77?x=1", "source": "adzuna", "job_board_id": "adzuna-old"}])
+    sides = {
+        "status_changes": spark.createDataFrame([("adzuna-old", "Applied", AS_OF, 0)], schema.STATUS_CHANGES),
+        "materials": spark.createDataFrame([("adzuna-old", "letter", "mail", "g", AS_OF, None)], schema.MATERIALS),
+        "dead_marks": spark.createDataFrame([("adzuna-old", AS_OF)], schema.DEAD_MARKS)}
+    new = extras.rekey_tables(rows, "adzuna", **sides)
+    r = board.current_view(new["postings"], new["status_changes"], new["materials"], new["dead_marks"]).collect()[0]
+    assert r.job_board_id != "adzuna-old"
+    assert (r.status, r.generated_cover_letter, r.dead_at) == ("Applied", "letter", AS_OF)
+
+
+def test_board_states_lists_empty_boards(spark):
+    from helpers import payloads
+
+    from postflow.operators import ingest
+
+    p = payloads(spark, [(0, "greenhouse", "empty", {"jobs": []}), (1, "greenhouse", "broken", "x"),
+                         (2, "greenhouse", "match", {"jobs": [{"title": "Data", "absolute_url": "u", "location": {"name": "Remote"}}]}),
+                         (3, "greenhouse", "other", {"jobs": [{"title": "Chef", "absolute_url": "u"}]})])
+    res = ingest.scan(p, None)
+    got = {r.token: r.state for r in extras.board_states(p, res.incoming, res.rejects, ["data"], []).collect()}
+    assert got == {"empty": "live", "broken": "dead", "match": "match", "other": "live"}
+
+
+def test_text_history_numbers_versions(spark):
+    import datetime as dt
+
+    from helpers import AS_OF
+
+    from postflow import schema
+
+    later = AS_OF + dt.timedelta(days=1)
+    m = spark.createDataFrame([("k", "one", "m", "g", AS_OF, None), ("k", "two", "m", "g", later, None),
+                               ("k", None, None, "g", later + dt.timedelta(days=1), "Timeout")], schema.MATERIALS)
+    got = {r.version: (r.cover_letter, r.current) for r in extras.text_history(m, "k").collect()}
+    assert got == {1: ("one", False), 2: ("two", True), 3: (None, False)}

@@ -6,7 +6,8 @@ from postflow.operators import links
 
 
 def responses(spark, rows):
-    return spark.createDataFrame(rows, schema.RESPONSES)
+    """rows: (url, head, get, body, exc) -> responses fetched at one time."""
+    return spark.createDataFrame([(*r, AS_OF) for r in rows], schema.RESPONSES)
 
 
 CASES = [
@@ -93,12 +94,12 @@ def fetch_log(spark, rows):
 
 def test_fetch_success_first_try(spark):
     r = links.reduce_fetch_log(fetch_log(spark, [("u", 0, 200, None, '{"jobs": []}')])).collect()[0]
-    assert (r.attempts, r.outcome, r.error, r.slept_s) == (1, "ok", None, 0.0)
+    assert (r.attempts, r.outcome, r.error) == (1, "ok", None)
 
 
 def test_fetch_5xx_then_success(spark):
     r = links.reduce_fetch_log(fetch_log(spark, [("u", 0, 503, None, None), ("u", 1, 200, None, "{}")])).collect()[0]
-    assert (r.attempts, r.outcome, r.slept_s) == (2, "ok", 1.0)
+    assert (r.attempts, r.outcome) == (2, "ok")
 
 
 def test_fetch_4xx_not_retried(spark):
@@ -109,7 +110,15 @@ def test_fetch_4xx_not_retried(spark):
 def test_fetch_gives_up_after_three(spark):
     rows = [("u", a, None, "ConnectionError", None) for a in range(5)]
     r = links.reduce_fetch_log(fetch_log(spark, rows)).collect()[0]
-    assert (r.attempts, r.outcome, r.error, r.slept_s) == (3, "gave_up", "ConnectionError", 3.0)
+    assert (r.attempts, r.outcome, r.error) == (3, "gave_up", "ConnectionError")
+
+
+def test_fetch_stops_at_an_exception_no_retry_mends(spark):
+    rows = [("u", 0, None, "TooManyRedirects", None), ("u", 1, 200, None, "{}")]
+    r = links.reduce_fetch_log(fetch_log(spark, rows)).collect()[0]
+    assert (r.attempts, r.outcome, r.error) == (1, "failed", "TooManyRedirects")
+    r = links.reduce_fetch_log(fetch_log(spark, rows), retryable=("TooManyRedirects",)).collect()[0]
+    assert (r.attempts, r.outcome) == (2, "ok")
 
 
 def test_fetch_body_not_json(spark):

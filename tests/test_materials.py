@@ -68,3 +68,30 @@ def test_bounded_run(spark):
     view = postings(spark, [{"id": i} for i in range(1, 11)])
     got = sorted(r.job_board_id for r in M.run_generation(view, "", "echo", AS_OF, limit=3).collect())
     assert got == ["seek-0000000000", "seek-0000000001", "seek-0000000002"]
+
+
+def test_no_text_is_an_error_and_stays_pending(spark):
+    view = postings(spark, [{"title": "NONE"}, {"title": "fine"}])
+    made = M.run_generation(view, "cv", lambda: lambda ps: [None if "NONE" in p else "ok" for p in ps], AS_OF)
+    rows = {r.job_board_id: r for r in made.collect()}
+    assert rows["seek-0000000000"].error and rows["seek-0000000000"].cover_letter is None
+    left = M.pending_from(view, made).collect()
+    s = M.run_summary(view, made).collect()[0]
+    assert [r.title for r in left] == ["NONE"] and (s.generated, s.failed, s.remaining) == (1, 1, 1)
+
+
+def test_failing_prompt_does_not_repeat_the_others():
+    calls = []
+
+    def fn(prompts):
+        calls.append(len(prompts))
+        if "bad" in prompts:
+            raise RuntimeError("boom")
+        return [p.upper() for p in prompts]
+
+    items = [f"p{i}" for i in range(64)]
+    items[17] = "bad"
+    texts, errors = M._call(fn, items)
+    assert [t for t in texts if t] == [p.upper() for p in items if p != "bad"]
+    assert errors[17] == "RuntimeError" and sum(e is not None for e in errors) == 1
+    assert len(calls) == 13 and sum(calls) < 3 * 64  # halves, not 64 single calls

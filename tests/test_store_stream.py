@@ -1,7 +1,10 @@
 import tempfile
+from pathlib import Path
 
-from helpers import AS_OF, payloads
+import pytest
+from helpers import AS_OF, incoming, payloads, postings
 
+from postflow import schema
 from postflow.plans import derive
 from postflow.sources.store import PostingStore
 from postflow.streaming import ingest as streaming
@@ -13,9 +16,9 @@ BODY = {"jobs": [{"title": f"Job {i}", "absolute_url": f"https://b/{i % 7}", "co
 def test_checkpoint_folder_rule(spark):
     from postflow.session import checkpoint_dir
 
-    # a local session without spark.checkpoint.dir gets a folder; it is then the session's own
     d = checkpoint_dir(spark)
-    assert d and spark.sparkContext.getCheckpointDir() == d
+    assert d == spark.sparkContext.getCheckpointDir()
+    assert spark.conf.get("spark.checkpoint.dir") in d
 
 
 def test_missing_table_reads_empty(spark):
@@ -30,8 +33,9 @@ def test_ingest_twice_adds_nothing_and_replay_is_idempotent(spark):
     s1 = {r.source_ord: (r.seen, r.new) for r in store.ingest_payloads(p, None, AS_OF, 0).collect()}
     assert s1[None] == (20, 7)
     assert store.postings().count() == 7
-    # replaying batch 0 rewrites its own folder, nothing doubles
-    store.ingest_payloads(p, None, AS_OF, 0)
+    # batch 0 is committed: once more, it returns its summary and writes nothing
+    s0 = {r.source_ord: (r.seen, r.new) for r in store.ingest_payloads(p, None, AS_OF, 0).collect()}
+    assert s0 == s1
     assert store.postings().count() == 7
     # a new batch with the same payload inserts nothing
     s2 = {r.source_ord: (r.seen, r.new) for r in store.ingest_payloads(p, None, AS_OF, 1).collect()}
@@ -142,13 +146,11 @@ def test_stored_row_never_changes(spark):
 
 
 def test_store_commands(spark, tmp_path):
-    from postflow import schema
-
     store = PostingStore(spark, tempfile.mkdtemp(prefix="pf-cmd-"))
     body = {"jobs": [{"title": f"J{i}", "absolute_url": f"https://b/{i}", "content": "x"} for i in range(4)]}
     store.ingest_payloads(payloads(spark, [(0, "greenhouse", "acme", body)]), None, AS_OF, 0)
-    resp = spark.createDataFrame([("https://b/0", 404, 404, "gone", None), ("https://b/1", 200, 200, "open", None),
-                                  ("https://b/2", 503, None, None, None)], schema.RESPONSES)
+    resp = spark.createDataFrame([("https://b/0", 404, 404, "gone", None, AS_OF), ("https://b/1", 200, 200, "open", None, AS_OF),
+                                  ("https://b/2", 503, None, None, None, AS_OF)], schema.RESPONSES)
     c = store.check_links(resp, AS_OF, 0, dead_out=str(tmp_path / "dead")).collect()[0]
     assert (c.live, c.dead, c.unknown, c.checked) == (1, 1, 2, 4)
     assert [r.value for r in spark.read.text(str(tmp_path / "dead")).collect()] == ["1\thttps://b/0\t404"]
@@ -186,3 +188,127 @@ def test_stream_json_lines_landing(spark, tmp_path):
     q.awaitTermination()
     assert q.exception() is None
     assert [(r.title, r.company) for r in store.postings().collect()] == [("A", "acme")]
+
+
+def _board(*urls):
+    return {"jobs": [{"title": f"J {u}", "absolute_url": f"https://b/{u}", "content": "x"} for u in urls]}
+
+
+def _ingest(spark, store, batch, *urls):
+    return store.ingest_payloads(payloads(spark, [(0, "greenhouse", "acme", _board(*urls))]), None, AS_OF, batch)
+
+
+def _store(spark, n=0):
+    store = PostingStore(spark, tempfile.mkdtemp(prefix="pf-safe-"))
+    if n:
+        store.seed(postings(spark, [{"url": f"https://seed/{i}", "job_board_id": f"seek-seed{i}"} for i in range(n)]))
+    return store
+
+
+def test_seed_then_batch_zero_keeps_the_seed(spark):
+    store = _store(spark, 5)
+    _ingest(spark, store, 0, 1, 2)
+    rows = store.postings().collect()
+    assert len(rows) == 7 and sorted(r.id for r in rows) == list(range(1, 8))
+    with pytest.raises(ValueError):
+        store.seed(store.postings())
+    assert store.postings().count() == 7
+
+
+def test_seed_then_stream_keeps_the_seed(spark):
+    store = _store(spark, 3)
+    base = tempfile.mkdtemp(prefix="pf-safe-")
+    streaming.land_payloads(payloads(spark, [(0, "greenhouse", "acme", _board(1, 2))]), f"{base}/landing")
+    _ingest(spark, store, 0, 9)
+    q = streaming.ingest_stream(spark, f"{base}/landing", store, f"{base}/ckpt", as_of=AS_OF)
+    q.awaitTermination()
+    assert q.exception() is None
+    assert store.postings().count() == 6
+
+
+def test_compact_then_batch_zero_keeps_all(spark):
+    store = _store(spark, 8)
+    compacted = PostingStore(spark, store.compact("postings", 1))
+    _ingest(spark, compacted, 0, 1)
+    assert compacted.postings().count() == 9
+
+
+def test_two_edits_under_one_batch(spark):
+    store = _store(spark, 2)
+    assert store.set_status("seek-seed0", "Applied", AS_OF, batch_id=5) == 1
+    assert store.set_status("seek-seed1", "Rejected", AS_OF, batch_id=5) == 1
+    assert store.set_status("seek-seed0", "Interviewing", AS_OF, batch_id=5) == 1  # the same second: it wins
+    assert store.set_status("seek-seed0", "Interviewing", AS_OF, batch_id=5) == 0
+    got = {r.job_board_id: r.status for r in store.view().collect()}
+    assert got == {"seek-seed0": "Interviewing", "seek-seed1": "Rejected"}
+    assert sorted(r.seq for r in store.read("status_changes").collect()) == [0, 0, 1]
+
+
+def test_two_appends_under_one_batch(spark):
+    store = _store(spark, 2)
+    for i in range(2):
+        row = (f"seek-seed{i}", "letter", "mail", "g", AS_OF, None)
+        store.append_materials(spark.createDataFrame([row], schema.MATERIALS), 0)
+        store.append_dead(spark.createDataFrame([(f"seek-seed{i}", AS_OF)], schema.DEAD_MARKS), 0)
+    assert store.read("materials").count() == 2 and store.read("dead_marks").count() == 2
+
+
+def test_replay_of_an_older_batch_writes_nothing(spark):
+    store = _store(spark)
+    _ingest(spark, store, 0, 1, 2)
+    _ingest(spark, store, 1, 2, 3, 4)
+    before = sorted(map(tuple, store.postings().collect()))
+    s = {r.source_ord: r.new for r in _ingest(spark, store, 0, 1, 2).collect()}
+    assert s[None] == 2  # what it did the first time
+    assert sorted(map(tuple, store.postings().collect())) == before
+
+
+def test_stream_does_not_touch_texts_of_a_command(spark):
+    store = _store(spark, 4)
+    store.generate("cv", lambda: lambda ps: ["made" for _ in ps], AS_OF, 0, limit=3)
+    base = tempfile.mkdtemp(prefix="pf-safe-")
+    q = streaming.generation_stream(spark, store, f"{base}/ckpt", "cv", lambda: lambda ps: ["late" for _ in ps], as_of=AS_OF)
+    q.awaitTermination()
+    assert q.exception() is None
+    assert sorted(r.cover_letter for r in store.read("materials").collect()) == ["late", "made", "made", "made"]
+
+
+def test_key_collision_is_reported(spark):
+    from postflow.operators import ingest
+
+    inc = incoming(spark, [{"url": "https://x/1", "job_board_id": "seek-same"},
+                           {"url": "https://x/2", "job_board_id": "seek-same"},
+                           {"url": "https://x/1", "job_board_id": "seek-same"},
+                           {"url": "https://x/3", "job_board_id": "seek-held"}])
+    store = PostingStore(spark, tempfile.mkdtemp(prefix="pf-safe-"))
+    store.seed(postings(spark, [{"url": "https://other", "job_board_id": "seek-held"}]))
+    total = [r for r in store.ingest(inc, AS_OF, 0).collect() if r.source_ord is None][0]
+    assert (total.seen, total.new, total.key_collisions) == (4, 1, 2)
+    lost = store.read("rejects").filter("reason = 'key collision'").collect()
+    assert sorted(r.entry_ord for r in lost) == [1, 3] and all("https://x/" in r.raw for r in lost)
+    assert ingest.KEY_COLLISION == "key collision"
+
+
+def test_ingest_leaves_no_text_in_checkpoints(spark):
+    from postflow.session import checkpoint_dir
+
+    store = _store(spark)
+    marker = "zq" * 40
+    body = {"jobs": [{"title": "T", "absolute_url": "https://b/1", "content": marker}]}
+    store.ingest_payloads(payloads(spark, [(0, "greenhouse", "acme", body)]), None, AS_OF, 0)
+    folder = Path(checkpoint_dir(spark).removeprefix("file:"))
+    assert not any(marker.encode() in f.read_bytes() for f in folder.rglob("part-*") if f.is_file())
+
+
+def test_store_rekey_and_prune(spark):
+    store = PostingStore(spark, tempfile.mkdtemp(prefix="pf-safe-"))
+    store.seed(postings(spark, [
+        {"id": 1, "url": "https://a.example/land/ad/77?x=1", "source": "adzuna", "job_board_id": "adzuna-old"},
+        {"id": 2, "url": "https://s/2", "job_board_id": "seek-2"}]))
+    store.set_status("adzuna-old", "Applied", AS_OF)
+    store.append_dead(spark.createDataFrame([("seek-2", AS_OF)], schema.DEAD_MARKS), 0)
+    moved = PostingStore(spark, store.rekey("adzuna", 1))
+    got = {r.id: (r.job_board_id, r.status) for r in moved.view().collect()}
+    assert got[1][0] != "adzuna-old" and got[1][1] == "Applied" and got[2] == ("seek-2", "To Apply")
+    pruned = PostingStore(spark, moved.prune_removed(2))
+    assert [r.id for r in pruned.view().collect()] == [1]
