@@ -85,15 +85,17 @@ _ENTRIES = "bucket int, sure boolean, n int, hashes binary, base long, keys bina
 def _sampled(window: int, buckets: int):
     def pack(bucket, sure, h, key, many):
         """One row for each bucket; hashes sorted within it, as differences."""
+        if not len(h):
+            return []
         order = np.lexsort((h, bucket))
         bucket, h, key, many = bucket[order], h[order], key[order], many[order]
         head = np.flatnonzero(np.diff(bucket, prepend=-1))
         rows = []
         for i, j in zip(head, np.append(head[1:], len(bucket)), strict=True):
-            base = int(key[i:j].min())
+            base = key[i:j].min()
             rows.append({"bucket": int(bucket[i]), "sure": sure, "n": int(j - i),
                          "hashes": _packed(np.diff(h[i:j], prepend=np.uint64(0))),
-                         "base": base, "keys": _packed((key[i:j] - base).view(np.uint64)),
+                         "base": int(base), "keys": _packed(key[i:j].view(np.uint64) - base.view(np.uint64)),
                          "many": np.packbits(many[i:j]).tobytes()})
         return rows
 
@@ -125,7 +127,7 @@ def _repeated(table: pa.Table) -> pa.Table:
     hs, ks, ms, out_h, out_k = [], [], [], [], []
     for r in table.to_pylist():
         h = np.cumsum(_unpacked(r["hashes"], r["n"]), dtype=np.uint64)
-        k = _unpacked(r["keys"], r["n"]).view(np.int64) + r["base"]
+        k = (_unpacked(r["keys"], r["n"]) + np.int64(r["base"]).view(np.uint64)).view(np.int64)
         if r["sure"]:
             out_h.append(h)
             out_k.append(k)
