@@ -8,25 +8,37 @@ from pyspark.sql import functions as F
 from postflow.llm.common import materialize
 
 
+def _hooked(edges: DataFrame) -> DataFrame:
+    """Each end of the edges and a smaller (or the same) node it hangs together with:
+    its smallest neighbour, followed twice to that node's own."""
+    both = (edges.select(F.col("a").alias("node"), F.col("b").alias("near"))
+            .unionByName(edges.select(F.col("b").alias("node"), F.col("a").alias("near"))))
+    up = both.groupBy("node").agg(F.min("near").alias("near")).select("node", F.least("node", "near").alias("root"))
+    for _ in range(2):
+        via = up.select(F.col("node").alias("via"), F.col("root").alias("top"))
+        up = up.join(via, up.root == via.via).select("node", F.col("top").alias("root"))
+    return up
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, component) for every node of the links (a, b); component is the
-    smallest node that can be reached. Labels are exchanged along links and then
-    shortened through the label's own label, so the rounds grow with the
-    logarithm of a chain's length; each round is written once."""
-    both = materialize(
-        links.select(F.col("a").alias("src"), F.col("b").alias("dst"))
-        .unionByName(links.select(F.col("b").alias("src"), F.col("a").alias("dst"))).distinct(), "links")
-    labels = materialize(both.groupBy("src").agg(F.min("dst").alias("nb"))
-                         .select(F.col("src").alias("node"), F.least("src", "nb").alias("component")), "labels")
+    smallest node that can be reached.
+
+    A round hangs every node on a smaller neighbour and contracts the links to the
+    nodes they hang on, until no link is left. All nodes but local minima go in a
+    round, so the tables shrink fast; the steps are joined up at the end.
+    """
+    edges, steps = links.select("a", "b"), []
     while True:
-        near = (both.join(labels, both.src == labels.node)
-                .groupBy("dst").agg(F.min("component").alias("best")))
-        step = (labels.join(near, labels.node == near.dst, "left")
-                .select("node", "component", F.least("component", "best").alias("best")))
-        jump = labels.select(F.col("node").alias("via"), F.col("component").alias("root"))
-        new = materialize(step.join(jump, step.best == jump.via, "left")
-                          .select("node", F.least("best", "root").alias("component"),
-                                  (F.col("component") != F.least("best", "root")).alias("changed")), "labels")
-        labels = new.select("node", "component")
-        if new.filter("changed").isEmpty():
-            return labels
+        step = materialize(_hooked(edges), "hooks")
+        steps.append(step)
+        a, b = (step.select(F.col("node").alias(x), F.col("root").alias(f"of_{x}")) for x in "ab")
+        edges = materialize(edges.join(a, "a").join(b, "b").filter("of_a != of_b")
+                            .select(F.least("of_a", "of_b").alias("a"), F.greatest("of_a", "of_b").alias("b")).distinct(), "links")
+        if edges.isEmpty():
+            break
+    out = steps[0].select("node", F.col("root").alias("component"))
+    for step in steps[1:]:
+        up = step.select(F.col("node").alias("via"), "root")
+        out = out.join(up, out.component == up.via, "left").select("node", F.coalesce("root", "component").alias("component"))
+    return out

@@ -11,11 +11,16 @@
 3. Bands. 51 bands of 5 registers; two classes with one band in common are
    candidates. At a similarity of 0.8 a pair shares no band with probability
    (1 - 0.8**5)**51, about 2e-9 (less for small sets).
-4. Candidates of a bucket of any size are compared by pivots: first one member
-   against all; then, only in buckets that still hold several components, 1, 2,
-   4, ... further pivots a round, until each pair of a bucket is compared or
-   already connected. So a large group of near copies costs one comparison a
-   member, and no link that could join two components is lost.
+4. One member of each bucket is compared with all others; that settles most.
+   Buckets that still hold several components are put together to areas that
+   share none, and the rest is joined by differences: against one reference set R
+   of an area, D(u) is the symmetric difference of u and R. Two sets differ as their
+   D do, so similar pairs are pairs whose D overlap enough, found by an exact
+   prefix-filtered join (rarest differences first, with length and position
+   bounds). Pairs that are similar whatever their overlap need no join: all of
+   them are similar to the one set of least difference. So a large group of near
+   copies, or of texts that share one common passage, costs a few rows a member,
+   and no link that could join two components is lost.
 5. Each pair is estimated from the registers (corrected for chance collisions);
    only pairs more than six standard deviations below the threshold are dropped.
    The rest is confirmed on the full sets: 100 * both >= percent * either.
@@ -200,33 +205,70 @@ def _connected(reps: DataFrame, documents: DataFrame, k: int, percent: int) -> D
     tried = materialize(pairs, "pairs")
     links = materialize(_confirmed(tried, reps, sets, percent), "confirmed")
 
-    rest = members.filter("size > 2").select("bucket", "node")
-    done, many = 1, 1  # pivots done in each bucket, and how many the next round takes
-    labels = components(links)
-    while True:
-        named = (rest.join(labels, "node", "left")
-                 .select("bucket", "node", F.coalesce("component", "node").alias("component")))
-        split = (named.groupBy("bucket")
-                 .agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size"))
-                 .filter((F.col("lo") != F.col("hi")) & (F.col("size") > done + 1)).select("bucket"))
-        ranked = materialize(
-            named.join(split, "bucket")
-            .withColumn("at", F.row_number().over(Window.partitionBy("bucket").orderBy("node"))), "open")
-        if ranked.isEmpty():
-            return labels
-        left = ranked.filter((F.col("at") > done) & (F.col("at") <= done + many))
-        left = left.select("bucket", F.col("node").alias("a"), F.col("at").alias("at_a"), F.col("component").alias("of_a"))
-        more = (left.join(ranked, "bucket").filter("at > at_a and component != of_a")
-                .select("a", F.col("node").alias("b")).distinct()
-                .join(tried, ["a", "b"], "left_anti"))
-        more = materialize(more, "pairs")
-        found = materialize(_confirmed(more, reps, sets, percent), "confirmed")
-        if not found.isEmpty():
-            links = links.unionByName(found)
-            labels = components(links)
-        tried = tried.unionByName(more)
-        rest = ranked.select("bucket", "node")
-        done, many = done + many, many * 2
+    labels = materialize(components(links), "labels")
+    more = _by_difference(members, labels, tried, reps, sets, percent)
+    if more is None:
+        return labels
+    more = materialize(more.join(tried, ["a", "b"], "left_anti"), "pairs")
+    found = materialize(_confirmed(more, reps, sets, percent), "confirmed")
+    return labels if found.isEmpty() else components(links.unionByName(found))
+
+
+def _by_difference(members: DataFrame, labels: DataFrame, tried: DataFrame, reps: DataFrame, sets: DataFrame,
+                   percent: int) -> DataFrame | None:
+    """Pairs (a, b) of different components to be compared still; None: no bucket holds two.
+
+    With S the sum of two sizes and D the size of their symmetric difference, a pair
+    is similar if (100 + percent) D <= (100 - percent) S. Let w = (100 + percent) *
+    |difference to the reference| - (100 - percent) * size for each set: the pair is
+    similar if its differences have (w + w') / (2 (100 + percent)) in common.
+    """
+    plus, minus = 100 + percent, 100 - percent
+    named = (members.filter("size > 2").select("bucket", "node").join(labels, "node", "left")
+             .select("bucket", "node", F.coalesce("component", "node").alias("component")))
+    mixed = (named.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
+             .filter("lo != hi").select("bucket", "lo"))
+    left = materialize(named.join(mixed, "bucket").select("node", "component", "lo").distinct(), "open")
+    if left.isEmpty():
+        return None
+    areas = components(left.filter("component != lo").select(F.col("lo").alias("a"), F.col("component").alias("b")).distinct())
+    areas = areas.select(F.col("node").alias("component"), F.col("component").alias("area"))
+    nodes = materialize(left.select("node", "component").distinct().join(areas, "component")
+                        .join(reps.select("node", "n"), "node"), "areas")
+    # the reference of an area: the set compared with most others so far
+    degree = tried.groupBy(F.col("a").alias("node")).agg(F.count("*").alias("degree"))
+    reference = (nodes.join(degree, "node").groupBy("area")
+                 .agg(F.max(F.struct("degree", "node"))["node"].alias("ref")))
+    refs = reference.join(sets, reference.ref == sets.node).select("area", F.col("shingles").alias("of_ref"))
+    # a shingle the reference lacks stands for itself, one it has too many for its complement
+    delta = F.concat(F.array_except("shingles", "of_ref"),
+                     F.transform(F.array_except("of_ref", "shingles"), lambda x: F.bitwise_not(x)))
+    rows = (nodes.join(sets, "node").join(refs, "area")
+            .select("area", "node", "component", "n", delta.alias("delta"))
+            .withColumn("size", F.size("delta").cast("long"))
+            .withColumn("w", plus * F.col("size") - minus * F.col("n")))
+    rows = materialize(rows, "differences")
+    least = rows.groupBy("area").agg(F.min(F.struct("w", "node")).alias("m")).select(
+        "area", F.col("m.w").alias("w0"), F.col("m.node").alias("node0"))
+    star = (rows.select("area", "node", "w").join(least, "area").filter("w + w0 <= 0 and node != node0")
+            .select(F.least("node", "node0").alias("a"), F.greatest("node", "node0").alias("b")))
+
+    tokens = rows.select("area", "node", "component", "size", "w", F.explode("delta").alias("token"))
+    shared = tokens.groupBy("area", "token").agg(F.count("*").alias("df")).filter("df > 1")
+    by_node = Window.partitionBy("area", "node")
+    # a difference of one set alone meets none; such come first in every order
+    at = F.col("size") - F.count("*").over(by_node) + F.row_number().over(by_node.orderBy("df", "token"))
+    placed = tokens.join(shared, ["area", "token"]).withColumn("at", at).join(least.drop("node0"), "area")
+    needs = lambda w: F.greatest(F.lit(1), F.ceil(w / F.lit(2 * plus)))
+    index = placed.filter(F.col("at") <= F.col("size") - needs(2 * F.col("w")) + 1)
+    probe = placed.filter(F.col("at") <= F.col("size") - needs(F.col("w") + F.col("w0")) + 1)
+    side = lambda df, x: df.select("area", "token", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "component", "size", "w", "at")])
+    met = side(index, "i").join(side(probe, "p"), ["area", "token"]).filter(
+        (F.struct("w_i", "node_i") < F.struct("w_p", "node_p")) & (F.col("component_i") != F.col("component_p"))
+        & (F.ceil((F.col("w_i") + F.col("w_p")) / F.lit(2 * plus))
+           <= 1 + F.least(F.col("size_i") - F.col("at_i"), F.col("size_p") - F.col("at_p"))))
+    pairs = met.select(F.least("node_i", "node_p").alias("a"), F.greatest("node_i", "node_p").alias("b"))
+    return pairs.unionByName(star).distinct()
 
 
 def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
