@@ -9,17 +9,18 @@ a smaller doc_id is removed.
    value; a task sends each distinct value once, so a passage that a third of
    all texts share costs an entry a task. What comes back to a document are the
    owners that stand more than once anywhere (about 1 text byte in 16 has one).
-2. Index. The stretch of windows around each of those owners goes to the
-   partition of its hash and arrives there in the order of doc_id. New batches
-   get suffix arrays (their windows sorted byte by byte, each with its smallest
+2. Index. The stretch of windows around each of those owners goes, packed and
+   compressed, to the bucket of its owner's hash and is taken there in the order
+   of doc_id. New batches get suffix arrays (their windows sorted byte by byte, each with its smallest
    doc_id); these are merge-scanned against the levels there are, which marks
    the windows an earlier document holds; new windows become a level, and levels
-   of equal size merge, so a partition holds few levels and each window is merged
-   a logarithmic number of times. A stretch that is in the index as a whole adds
+   of equal size merge, so a bucket holds few levels and each window is merged
+   a logarithmic number of times. There are as many more buckets as there are
+   shuffle partitions, so one stays small. A stretch that is in the index as a whole adds
    nothing to it.
 3. The marked windows of a document are united and cut out.
 
-Windows are compared byte by byte; whole stretches by 96 bits of hash.
+Windows are compared byte by byte; whole stretches by 128 bits of hash.
 
 Defined results. Null text counts as empty. Texts shorter than a window: nothing
 removed. Rows that share a doc_id count as one document (repeated rows get one
@@ -34,16 +35,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from postflow.llm import runs
 from postflow.llm import textarrays as ta
 
-GRAM = 20
+GRAM = 24
 BUCKETS_PER_PARTITION = 4
-INDEX_BYTES = 4 << 20  # stretches of a partition that make a batch of the index
+INDEX_BYTES = 1 << 20  # stretches of a bucket that make a batch of the index
+ENTRIES = 1 << 20  # owners a task gathers before it sends them on
+STRETCH_BYTES = 8 << 20  # and bytes of stretches
 
 _VALUES = ta.byte_values(3)
 _BYTES = ta.SpanHash(0xD1342543DE82EF95)
@@ -103,21 +105,28 @@ def _sampled(window: int, buckets: int):
                         ("base", pa.int64()), ("keys", pa.binary()), ("many", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hs, ks, n = [], [], 0
         for b in batches:
             keys = b.column("key").to_numpy()
-            hs, ks = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
             for row, _, buf, offs in ta.blocks(b.column("text")):
                 _, _, h, _, _, doc = _owned(buf, offs, window)
                 hs.append(h)
                 ks.append(keys[row + doc])
-            h, key = np.concatenate(hs), np.concatenate(ks)
-            first, many = runs.combine(h)
-            by_hash = (h % np.uint64(buckets)).astype(np.int64)
-            by_key = (ta.mix(key.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
-            short = h >> np.uint64(24)  # 40 bits: an owner that only seems to repeat costs work, no result
-            rows = pack(by_hash[first], False, short[first], key[first], many[first])
-            rows += pack(by_key[~first], True, short[~first], key[~first], many[~first])
-            yield pa.RecordBatch.from_pylist(rows, schema)
+                n += len(h)
+                if n >= ENTRIES:
+                    yield sent(np.concatenate(hs), np.concatenate(ks))
+                    hs, ks, n = [], [], 0
+        if n:
+            yield sent(np.concatenate(hs), np.concatenate(ks))
+
+    def sent(h, key):
+        first, many = runs.combine(h)
+        by_hash = (h % np.uint64(buckets)).astype(np.int64)
+        by_key = (ta.mix(key.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+        short = h >> np.uint64(24)  # 40 bits: an owner that only seems to repeat costs work, no result
+        rows = pack(by_hash[first], False, short[first], key[first], many[first])
+        rows += pack(by_key[~first], True, short[~first], key[~first], many[~first])
+        return pa.RecordBatch.from_pylist(rows, schema)
 
     return run
 
@@ -150,15 +159,53 @@ def _repeated(table: pa.Table) -> pa.Table:
     return pa.table({"key": pa.array(k, pa.int64()), "h": pa.array(h, pa.int32())})
 
 
-_STRETCH = "h long, c long, g int, key long, lo int, hi int, bytes binary"
+_STRETCH = "bucket int, sure boolean, n int, base long, keys binary, lo binary, size binary, raw int, bytes binary"
+_STRETCH_SCHEMA = pa.schema([
+    ("bucket", pa.int32()), ("sure", pa.bool_()), ("n", pa.int32()), ("base", pa.int64()), ("keys", pa.binary()),
+    ("lo", pa.binary()), ("size", pa.binary()), ("raw", pa.int32()), ("bytes", pa.binary())])
 
 
-def _stretches(window: int):
+def _stretches(window: int, buckets: int):
+    def pack(sure, bucket, key, lo, start, size, data):
+        """One row for each bucket, its stretches in the order of doc_id."""
+        if not len(key):
+            return []
+        order = np.lexsort((lo, key, bucket))
+        bucket, key, lo, start, size = (x[order] for x in (bucket, key, lo, start, size))
+        head = np.flatnonzero(np.diff(bucket, prepend=-1))
+        rows = []
+        for i, j in zip(head, np.append(head[1:], len(bucket)), strict=True):
+            ids = key[i:j].view(np.uint64)
+            raw = b"" if sure else data[ta.ranges(start[i:j], size[i:j])].tobytes()
+            rows.append({"bucket": int(bucket[i]), "sure": sure, "n": int(j - i), "base": int(key[i]),
+                         "keys": _packed(np.diff(ids, prepend=ids[:1])), "lo": _packed(lo[i:j].astype(np.uint64)),
+                         "size": _packed(size[i:j].astype(np.uint64)), "raw": len(raw),
+                         "bytes": pa.compress(raw, codec="zstd", asbytes=True) if raw else b""})
+        return rows
+
+    def sent(parts):
+        shift = np.cumsum([0] + [len(x[-1]) for x in parts])
+        h, c, g, key, lo, start, size = (
+            np.concatenate([x[i] + (shift[j] if i == 5 else 0) for j, x in enumerate(parts)]) for i in range(7))
+        data = np.concatenate([x[-1] for x in parts])
+        order = np.lexsort((key, g, c))
+        new = np.ones(len(c), bool)
+        new[1:] = (c[order][1:] != c[order][:-1]) | (g[order][1:] != g[order][:-1])
+        head = order[np.maximum.accumulate(np.where(new, np.arange(len(c)), 0))]
+        later = np.zeros(len(c), bool)
+        later[order] = key[order] > key[head]  # of equal stretches the index needs the first alone
+        by_hash = (h % np.uint64(buckets)).astype(np.int64)
+        by_key = (ta.mix(key.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+        rows = pack(False, *(x[~later] for x in (by_hash, key, lo, start, size)), data)
+        rows += pack(True, *(x[later] for x in (by_key, key, lo, start, size)), data)
+        return pa.RecordBatch.from_pylist(rows, _STRETCH_SCHEMA)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, total = [], 0
         for b in batches:
             keys, lists = b.column("key").to_numpy(), b.column("hashes")
             cut, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
-            for row, end, buf, offs in ta.blocks(b.column("text"), 4 * ta.BLOCK_BYTES):
+            for row, end, buf, offs in ta.blocks(b.column("text")):
                 run_, _, h, start, count, doc = _owned(buf, offs, window)
                 short = (h >> np.uint64(24)).astype(np.uint32).view(np.int32)
                 bounds = ta.doc_bounds(doc, end - row)
@@ -172,28 +219,16 @@ def _stretches(window: int):
                 stop = start + count + window - 1
                 c = _BYTES.spans(run_, start, stop) ^ h
                 check = _CHECK.prefix(_VALUES[buf])
-                g = (_CHECK.spans(check, start, stop) >> np.uint64(32)).astype(np.uint32).view(np.int32)
-                key = keys[row + doc]
-                order = np.lexsort((key, g, c))
-                h, c, g, key, start, stop, doc = (x[order] for x in (h, c, g, key, start, stop, doc))
-                new = np.ones(len(c), bool)
-                new[1:] = (c[1:] != c[:-1]) | (g[1:] != g[:-1])
-                head = np.maximum.accumulate(np.where(new, np.arange(len(c)), 0))
-                later = key > key[head]  # of equal stretches the index needs the first alone
-                send = ~later
-                size = stop[send] - start[send]
-                data = buf[ta.ranges(start[send], size)]
-                ends = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
-                own = offs[doc]
-                columns = [
-                    pa.array(h.view(np.int64)), pa.array(c.view(np.int64)), pa.array(g), pa.array(key),
-                    pa.array((start - own).astype(np.int32)), pa.array((stop - own).astype(np.int32))]
-                sent = [x.filter(pa.array(send)) for x in columns]
-                sent.append(pa.Array.from_buffers(pa.binary(), int(send.sum()), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(data.tobytes())]))
-                names = ["h", "c", "g", "key", "lo", "hi", "bytes"]
-                yield pa.RecordBatch.from_arrays(sent, names)
-                known = [x.filter(pa.array(later)) for x in columns]
-                yield pa.RecordBatch.from_arrays([*known, pa.nulls(len(known[0]), pa.binary())], names)
+                g = (_CHECK.spans(check, start, stop) >> np.uint64(32)).astype(np.uint32)
+                size = stop - start
+                data = buf[ta.ranges(start, size)]
+                parts.append((h, c, g, keys[row + doc], start - offs[doc], np.cumsum(size) - size, size, data))
+                total += len(data)
+                if total >= STRETCH_BYTES:
+                    yield sent(parts)
+                    parts, total = [], 0
+        if parts:
+            yield sent(parts)
 
     return run
 
@@ -243,41 +278,33 @@ def _first_of_runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarr
 def _indexed(window: int):
     wide = np.dtype(f"S{window}")
 
-    def batch(rows: pa.Table, whole: Levels, family: Levels) -> pa.RecordBatch | None:
-        c = np.concatenate([rows.column(x).to_numpy().view(np.uint8).reshape(rows.num_rows, -1) for x in ("c", "g")], axis=1)
-        c = np.ascontiguousarray(c).view("S12").ravel()
-        key, lo, hi = (rows.column(x).to_numpy() for x in ("key", "lo", "hi"))
+    def batch(key, lo, size, raw, whole: Levels, family: Levels) -> list[tuple]:
+        cut = np.concatenate([[0], np.cumsum(size)])
+        hashes = [x.spans(x.prefix(_VALUES[raw]), cut[:-1], cut[1:]) for x in (_BYTES, _CHECK)]
+        c = np.stack([hashes[0], hashes[1]], axis=1).astype(">u8").view("S16").ravel()
         # stretches the index holds as a whole
         order, head, run = _first_of_runs(c)
         found, old = whole.least_key(c[order][head])
         first = np.where(found, old, key[order][head])
         covered = np.empty(len(c), bool)
         covered[order] = first[run] < key[order]
-        fresh = np.zeros(len(c), bool)
-        fresh[order[head[~found]]] = True
         whole.add(c[order][head[~found]], key[order][head[~found]])
-        spans = [(key[covered], lo[covered], hi[covered])]
+        spans = [(key[covered], lo[covered], lo[covered] + size[covered])]
         # the others, window by window
-        new = np.flatnonzero(~covered & fresh)
-        again = np.flatnonzero(~covered & ~fresh)  # the same stretch twice in one document
-        some = np.sort(np.concatenate([new, again]))
+        some = np.flatnonzero(~covered)
         if len(some):
-            data = rows.column("bytes").combine_chunks()
-            data = data.chunk(0) if isinstance(data, pa.ChunkedArray) else data
-            raw = np.frombuffer(data.buffers()[2], np.uint8)
-            cut = np.frombuffer(data.buffers()[1], np.int32)[data.offset: data.offset + len(data) + 1]
-            n = (hi - lo)[some] - window + 1
-            at = ta.ranges(cut[:-1][some].astype(np.int64), n)
+            n = size[some] - window + 1
+            at = ta.ranges(cut[:-1][some], n)
             text = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(raw, window)[at]).view(wide).ravel()
             of = np.repeat(key[some], n)
-            place = ta.ranges(lo[some].astype(np.int64), n)
+            place = ta.ranges(lo[some], n)
             order, head, run = _first_of_runs(text)  # the suffix array of the batch
-            text = text[order]
-            found, old = family.least_key(text[head])
+            text = text[order][head]
+            found, old = family.least_key(text)
             first = np.where(found, old, of[order][head])
             gone = np.empty(len(of), bool)
             gone[order] = first[run] < of[order]
-            family.add(text[head[~found]], of[order][head[~found]])
+            family.add(text[~found], of[order][head[~found]])
             k, p = of[gone], place[gone]
             if len(k):
                 edge = np.ones(len(k), bool)
@@ -285,25 +312,33 @@ def _indexed(window: int):
                 a = np.flatnonzero(edge)
                 z = np.append(a[1:], len(k)) - 1
                 spans.append((k[a], p[a], p[z] + window))
-        k, a, z = (np.concatenate(x) for x in zip(*spans, strict=True))
-        return pa.RecordBatch.from_arrays(
-            [pa.array(k.astype(np.int64)), pa.array(a.astype(np.int32)), pa.array(z.astype(np.int32))], ["key", "lo", "hi"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        whole, family = Levels(), Levels()
-        waiting, size = [], 0
-        for b in batches:
-            null = b.column("bytes").is_null()
-            if null.true_count:
-                yield b.filter(null).select(["key", "lo", "hi"])
-                b = b.filter(pc.invert(null))
-            waiting.append(b)
-            size += b.column("bytes").nbytes
-            if size >= INDEX_BYTES:
-                yield batch(pa.Table.from_batches(waiting), whole, family)
-                waiting, size = [], 0
-        if waiting and sum(b.num_rows for b in waiting):
-            yield batch(pa.Table.from_batches(waiting), whole, family)
+        return spans
+
+    def run(table: pa.Table) -> pa.Table:
+        keys, los, sizes, raws, spans = [], [], [], [], []
+        for r in table.to_pylist():
+            n = r["n"]
+            key = (np.cumsum(_unpacked(r["keys"], n), dtype=np.uint64) + np.int64(r["base"]).view(np.uint64)).view(np.int64)
+            lo, size = (_unpacked(r[x], n).astype(np.int64) for x in ("lo", "size"))
+            if r["sure"]:
+                spans.append((key, lo, lo + size))
+            else:
+                keys.append(key)
+                los.append(lo)
+                sizes.append(size)
+                raws.append(np.frombuffer(pa.decompress(r["bytes"], r["raw"], codec="zstd", asbytes=True), np.uint8))
+        if keys:
+            key, lo, size, raw = (np.concatenate(x) for x in (keys, los, sizes, raws))
+            start = np.cumsum(size) - size
+            order = np.lexsort((lo, key))
+            key, lo, size, start = key[order], lo[order], size[order], start[order]
+            whole, family = Levels(), Levels()
+            cut = np.searchsorted(np.cumsum(size), np.arange(0, int(size.sum()), INDEX_BYTES))
+            for i, j in zip(cut, np.append(cut[1:], len(key)), strict=True):
+                if i < j:
+                    spans += batch(key[i:j], lo[i:j], size[i:j], raw[ta.ranges(start[i:j], size[i:j])], whole, family)
+        k, a, z = (np.concatenate(x) for x in zip(*spans, strict=True)) if spans else (np.zeros(0, np.int64),) * 3
+        return pa.table({"key": pa.array(k, pa.int64()), "lo": pa.array(a.astype(np.int32)), "hi": pa.array(z.astype(np.int32))})
 
     return run
 
@@ -344,9 +379,8 @@ def earlier_spans(documents: DataFrame, window: int = 50) -> DataFrame:
                 .groupBy("bucket").applyInArrow(_repeated, "key long, h int")
                 .groupBy("key").agg(F.collect_list("h").alias("hashes")))
     return (docs.join(repeated.hint("shuffle_hash"), "key").select("key", "text", "hashes")
-            .mapInArrow(_stretches(window), _STRETCH)
-            .repartition("h").sortWithinPartitions("key", "lo")
-            .mapInArrow(_indexed(window), "key long, lo int, hi int"))
+            .mapInArrow(_stretches(window, buckets), _STRETCH)
+            .groupBy("bucket").applyInArrow(_indexed(window), "key long, lo int, hi int"))
 
 
 def remove_repeats(documents: DataFrame, window: int = 50) -> DataFrame:
