@@ -41,7 +41,9 @@ SEPARATORS = ".-_*~'`,/"
 DIM = 1 << 18
 SYMBOLS = 28  # 0: no letter, 1..26: a-z, 27: another letter
 PREFIXES = (3, 4, 5, 6)
-STAND_IN, DROP_MARK, DROP_SECOND, DROP_THIRD = 2.0, 2.5, 5.0, 0.5
+# Costs (nats) of the channel: a mark stands for a letter; a mark with such a reading
+# or a doubled letter means nothing; a letter of a run of three or more repeats.
+STAND_IN, DROP_MARK, DROP_DOUBLE, DROP_REPEAT = 0.5, 8.0, 8.0, 0.5
 
 _CLASS = np.zeros(256, np.uint8)
 _CLASS[ord("a"): ord("z") + 1] = np.arange(1, 27)
@@ -92,16 +94,14 @@ def decode(token: str, cost: list) -> str:
         return ord(ch) - 96 if "a" <= ch <= "z" else 27 if ord(ch) >= 0x80 else 0
 
     states = {(0, 0): (0.0, None)}
-    prev, run = "", 0
-    for ch in token:
-        run = run + 1 if ch == prev else 1
-        prev = ch
+    for i, ch in enumerate(token):
         letter = cls(ch) > 0
         reads = [(ch, 0.0)] if letter else [(x, STAND_IN) for x in LEET.get(ch, "")]
-        if letter and run > 1:
-            skip = DROP_SECOND if run == 2 else DROP_THIRD
-        elif not letter:
-            skip = DROP_MARK
+        if not letter:
+            skip = DROP_MARK if reads else 0.0
+        elif token[i - 1: i] == ch:
+            long = token[max(0, i - 2): i + 1] == ch * 3 or token[i - 1: i + 2] == ch * 3
+            skip = DROP_REPEAT if long else DROP_DOUBLE
         else:
             skip = None
         new: dict = {}
