@@ -38,8 +38,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ascii_lower(col: Column) -> Column:
-    """Lower-case A-Z only, all other characters as they are."""
-    return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    """Lower-case A-Z only, all other characters as they are. (On text without any
+    other character `lower` does just that, at a fraction of the cost.)"""
+    return F.when(F.octet_length(col) == F.length(col), F.lower(col)).otherwise(
+        F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
 
 
 def crc_mod(doc_id: Column, n: int) -> Column:

@@ -9,7 +9,8 @@ word's offset, must lie within the text (length and position bounds), and is
 then compared word by word with the text over the whole window.
 
 The item side is broadcast only where it has at most `broadcast_rows` windows;
-larger ones are joined by a shuffle on the word.
+larger ones are joined by a shuffle on the word, where a text's word takes the
+width - 1 words on either side of it along.
 
 Defined results. Null or empty text: no words, no hits, the checksum of an empty
 list. Items without words have no window. Repeated rows are each judged alike.
@@ -25,17 +26,29 @@ from pyspark.sql import functions as F
 
 from postflow.llm.common import ascii_lower
 
-WORD = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
+# What stands between words; a word is a run of anything else, once A-Z are lower.
+BETWEEN = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 
 
-def words_of(text: Column) -> Column:
-    return F.coalesce(F.regexp_extract_all(ascii_lower(text), F.lit(WORD), F.lit(0)), F.array().cast("array<string>"))
+def _inner(pieces: Column) -> tuple[Column, Column]:
+    """Place of the first word in the pieces of a split, and the number of words: a
+    text that begins or ends between words has an empty first or last piece."""
+    first = (F.element_at(pieces, 1) == "").cast("int")
+    last = (F.element_at(pieces, -1) == "").cast("int")
+    return first + 1, F.greatest(F.size(pieces) - first - last, F.lit(0))
+
+
+def with_words(df: DataFrame) -> DataFrame:
+    """df with its `text` as `words`, lower-cased; null has none."""
+    pieces = F.split(ascii_lower(F.coalesce("text", F.lit(""))), BETWEEN)
+    start, n = _inner(F.col("words"))
+    return df.withColumn("words", pieces).withColumn("words", F.slice("words", start, n))
 
 
 def item_windows(benchmark: DataFrame, width: int) -> DataFrame:
     """item_id and window (array of words) for each window of each item."""
     n = F.least(F.size("words"), F.lit(width))
-    return (benchmark.select("item_id", words_of(F.col("text")).alias("words")).filter("size(words) > 0")
+    return (with_words(benchmark.select("item_id", "text")).filter("size(words) > 0")
             .withColumn("at", F.explode(F.sequence(F.lit(1), F.size("words") - n + 1)))
             .select("item_id", F.slice("words", F.col("at"), n).alias("window")).distinct())
 
@@ -43,11 +56,10 @@ def item_windows(benchmark: DataFrame, width: int) -> DataFrame:
 def contamination(documents: DataFrame, benchmark: DataFrame, width: int = 10,
                   broadcast_rows: int = 200_000) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of every document."""
-    docs = documents.select(
-        F.coalesce("doc_id", F.lit(-(1 << 63))).alias("k"), F.xxhash64("text").alias("t"),
-        words_of(F.col("text")).alias("words"))
-    of_items = item_windows(benchmark, width)
-    windows = of_items.select("window").distinct()
+    docs = with_words(documents.select(
+        F.coalesce("doc_id", F.lit(-(1 << 63))).alias("k"), F.xxhash64("text").alias("t"), "text")).drop("text")
+    windows = (item_windows(benchmark, width).groupBy("window")
+               .agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items")))
     small = windows.count() <= broadcast_rows
     side = F.broadcast if small else (lambda df: df)  # both joins give the same rows
 
@@ -58,28 +70,32 @@ def contamination(documents: DataFrame, benchmark: DataFrame, width: int = 10,
     prefix = (windows.select("window", F.posexplode("window").alias("offset", "word"))
               .join(rarity, "word", "left").withColumn("n", F.coalesce("n", F.lit(0)))
               .groupBy("window").agg(F.min(F.struct("n", "word", "offset")).alias("p"))
-              .filter("p.n > 0").select("window", "p.word", "p.offset"))
+              .filter("p.n > 0").select("window", "p.word", "p.offset")
+              .join(side(windows), "window"))
 
     start = F.col("at") - F.col("offset")
     length = F.size("window")
-    hits = (docs.select("k", "t", "words", F.posexplode("words").alias("at", "word"))
-            .join(side(prefix), "word")
-            .filter((start >= 0) & (start + length <= F.size("words")))
-            .filter(F.slice("words", start + 1, length) == F.col("window"))
-            .select("k", "t", start.alias("lo"), (start + length).alias("hi"), "window"))
+    places = docs.select("k", "t", "words", F.size("words").alias("n"), F.lit(0).alias("from"),
+                         F.posexplode("words").alias("at", "word"))
+    if not small:  # a row that is shuffled takes the words around it along, not the whole text
+        first = F.greatest(F.col("at") - (width - 1), F.lit(0))
+        places = places.withColumns({"from": first, "words": F.slice("words", first + 1, F.col("at") - first + width)})
+    hits = (places.join(side(prefix), "word")
+            .filter((start >= 0) & (start + length <= F.col("n")))
+            .filter(F.slice("words", start - F.col("from") + 1, length) == F.col("window"))
+            .select("k", "t", start.alias("lo"), (start + length).alias("hi"), "items"))
     per_text = hits.groupBy("k", "t").agg(F.sort_array(F.collect_set(F.struct("lo", "hi"))).alias("spans"),
-                                          F.collect_set("window").alias("windows"))
+                                          F.collect_set("items").alias("items"))
     zero = F.struct(F.lit(0).alias("end"), F.lit(0).alias("n"))
     covered = F.aggregate("spans", zero, lambda a, s: F.struct(
         F.greatest(a["end"], s["hi"]).alias("end"),
         (a["n"] + F.greatest(s["hi"] - F.greatest(a["end"], s["lo"]), F.lit(0))).alias("n")))["n"]
-    n_hit = per_text.select("k", "t", covered.cast("long").alias("n_hit"))
-    found = per_text.select("k", "t", F.explode("windows").alias("window"))
-    listed = (found.join(side(of_items), "window")
-              .groupBy("k", "t").agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items")))
-    out = (documents.select("doc_id", F.xxhash64("text").alias("t"), F.size(words_of(F.col("text"))).cast("long").alias("n_words"))
+    found = per_text.select("k", "t", covered.cast("long").alias("n_hit"),
+                            F.array_sort(F.array_distinct(F.flatten("items"))).alias("items"))
+    out = (with_words(documents.select("doc_id", F.xxhash64("text").alias("t"), "text"))
+           .select("doc_id", "t", F.size("words").cast("long").alias("n_words"))
            .withColumn("k", F.coalesce("doc_id", F.lit(-(1 << 63))))
-           .join(n_hit, ["k", "t"], "left").join(listed, ["k", "t"], "left"))
+           .join(found, ["k", "t"], "left"))
     hit = F.coalesce("n_hit", F.lit(0))
     items = F.coalesce("items", F.array().cast("array<string>"))
     return out.select("doc_id", "n_words", hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"),
