@@ -8,7 +8,7 @@ a smaller doc_id is removed.
    if its owner does. Hashes of the owners go, packed, to the bucket of their
    value; a task sends each distinct value once, so a passage that a third of
    all texts share costs an entry a task. What comes back to a document are the
-   owners that stand more than once anywhere (about 1 text byte in 16 has one).
+   owners that stand more than once anywhere (about 1 text byte in 14 has one).
 2. Index. The stretch of windows around each of those owners goes, packed and
    compressed, to the bucket of its owner's hash and is taken there in the order
    of doc_id. New batches get suffix arrays (their windows sorted byte by byte, each with its smallest
