@@ -348,7 +348,7 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spans = b.column("spans")
         cut = spans.offsets.to_numpy()
         null = spans.is_null().to_numpy(zero_copy_only=False)
-        lo, hi = spans.values.field("lo").to_numpy(), spans.values.field("hi").to_numpy()
+        lo, hi = runs.ends(spans.values.to_numpy())
         size, removed, runs_, digests = [], [], [], []
         for row, end, buf, offs in ta.blocks(b.column("text")):
             for d in range(end - row):
@@ -386,7 +386,7 @@ def earlier_spans(documents: DataFrame, window: int = 50) -> DataFrame:
 def remove_repeats(documents: DataFrame, window: int = 50) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document."""
     docs = documents.select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("key"), "text")
-    spans = earlier_spans(documents, window).groupBy("key").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    spans = runs.gathered(earlier_spans(documents, window))
     return (docs.join(spans.hint("shuffle_hash"), "key", "left").select("key", "text", "spans")
             .mapInArrow(_kept, "key long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
             .select(F.when(F.col("key") != _NO_ID, F.col("key")).alias("doc_id"), "n_bytes", "n_removed", "n_spans",

@@ -125,7 +125,7 @@ def _kept(window: int):
             spans = b.column("spans")
             cut = spans.offsets.to_numpy()
             null = spans.is_null().to_numpy(zero_copy_only=False)
-            lo, hi = spans.values.field("lo").to_numpy(), spans.values.field("hi").to_numpy()
+            lo, hi = runs.ends(spans.values.to_numpy())
             words, removed, digests = [], [], []
             for row, end, buf, offs in ta.blocks(b.column("text")):
                 s, e, doc = ta.words(buf, offs)
@@ -178,7 +178,7 @@ def repeated_windows(documents: DataFrame, window: int = 20) -> DataFrame:
 def remove_repeats(documents: DataFrame, window: int = 20) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every document."""
     docs = documents.select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("key"), "text")
-    spans = repeated_windows(documents, window).groupBy("key").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    spans = runs.gathered(repeated_windows(documents, window))
     return (docs.join(spans.hint("shuffle_hash"), "key", "left").select("key", "text", "spans")
             .mapInArrow(_kept(window), "key long, n_words long, n_removed long, kept_sha256 string")
             .select(F.when(F.col("key") != _NO_ID, F.col("key")).alias("doc_id"), "n_words", "n_removed", "kept_sha256"))

@@ -1,4 +1,4 @@
-"""Minimum sampling and scans over sorted runs, for repeated-passage operators."""
+"""Minimum sampling, scans over sorted runs and spans, for repeated-passage operators."""
 
 from __future__ import annotations
 
@@ -6,6 +6,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from postflow.llm import textarrays as ta
 
@@ -112,6 +114,17 @@ def _spans(key: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> pa.RecordBatch:
         [pa.array(key.astype(np.int64)), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32))], ["key", "lo", "hi"])
 
 
+def gathered(spans: DataFrame) -> DataFrame:
+    """key and its spans (lo, hi), a number each, as many as its text has room for."""
+    one = F.shiftleft(F.col("lo").cast("long"), 32).bitwiseOR(F.col("hi").cast("long"))
+    return spans.groupBy("key").agg(F.collect_list(one).alias("spans"))
+
+
+def ends(spans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """lo and hi of gathered spans."""
+    return spans >> 32, spans & 0xFFFFFFFF
+
+
 def covered(n: int, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     """Whether each of n items lies in a span [lo, hi)."""
     step = np.zeros(n + 1, np.int64)
