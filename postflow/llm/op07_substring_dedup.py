@@ -95,15 +95,17 @@ def _doubled(window: int, part: int):
                 place.append(start - bounds[doc])
             h, g, key, place = (np.concatenate(x) for x in (h, g, key, place))
             order = np.lexsort((place, key, g, h))
-            h, g, key, place = h[order], g[order], key[order], place[order]
             new = np.ones(len(h), bool)
-            new[1:] = (h[1:] != h[:-1]) | (g[1:] != g[:-1])
-            at = np.maximum.accumulate(np.where(new, np.arange(len(h)), 0)) if len(h) else np.zeros(0, int)
-            later = (key != key[at]) | (place != place[at])
+            new[1:] = (h[order][1:] != h[order][:-1]) | (g[order][1:] != g[order][:-1])
+            first = order[np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))] if len(h) else order
+            later = np.zeros(len(h), bool)
+            later[order] = (key[order] != key[first]) | (place[order] != place[first])
+            # one row for each distinct window, in the order of the texts (ids and places pack well)
+            new = np.sort(order[new])
             yield pa.RecordBatch.from_arrays(
                 [pa.array(h[new].view(np.int64)), pa.array(g[new]), pa.array(key[new]),
-                 pa.array(place[new].astype(np.int32)), pa.array((place[new] + 1).astype(np.int32))],
-                ["h", "g", "key", "lo", "hi"])
+                 pa.array(place[new].astype(np.int32)), pa.array(np.ones(len(new), np.int32))],
+                ["h", "g", "key", "lo", "n"])
             # the others are covered, whatever other tasks hold: sent on as ranges of starts
             key, place = key[later], place[later]
             order = np.lexsort((place, key))
@@ -114,7 +116,7 @@ def _doubled(window: int, part: int):
             hi = place[np.append(np.flatnonzero(head)[1:], len(key)) - 1] + 1 if len(key) else place
             yield pa.RecordBatch.from_arrays(
                 [pa.nulls(len(lo), pa.int64()), pa.array(np.zeros(len(lo), np.int32)), pa.array(key[head]),
-                 pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32))], ["h", "g", "key", "lo", "hi"])
+                 pa.array(lo.astype(np.int32)), pa.array((hi - lo).astype(np.int32))], ["h", "g", "key", "lo", "n"])
 
     return run
 
@@ -170,7 +172,7 @@ def repeated_windows(documents: DataFrame, window: int = 20) -> DataFrame:
                  .mapInArrow(runs.repeated_rows, "key long, at int")
                  .groupBy("key").agg(F.collect_list("at").alias("at")))
     return (docs.join(survivors.hint("shuffle_hash"), "key").select("key", "text", "at")
-            .mapInArrow(_doubled(window, part), "h long, g int, key long, lo int, hi int")
+            .mapInArrow(_doubled(window, part), "h long, g int, key long, lo int, n int")
             .repartition(F.coalesce("h", F.xxhash64("key"))).sortWithinPartitions("h", "g", "key", "lo")
             .mapInArrow(runs.later_rows, "key long, lo int, hi int"))
 

@@ -82,12 +82,12 @@ def _places(key: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
 
 
 def later_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows (h, g, key, lo, hi) sorted by h, g, key, lo: key, lo and hi of those
-    that follow another place with the same h and g. Rows without h pass."""
+    """Of rows (h, g, key, lo, n) sorted by h, g, key, lo: key, lo and hi = lo + n of
+    those that follow another place with the same h and g. Rows without h pass."""
     first = None  # (h, g, key, lo) of the current run's first row
     for b in batches:
         h_col = b.column("h")
-        cols = [b.column(c).to_numpy() for c in ("g", "key", "lo", "hi")]
+        cols = [b.column(c).to_numpy() for c in ("g", "key", "lo", "n")]
         null = h_col.is_null().to_numpy(zero_copy_only=False)
         if null.any():
             yield _spans(*(c[null] for c in cols[1:]))
@@ -95,7 +95,7 @@ def later_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not ok.any():
             continue
         h = h_col.fill_null(0).to_numpy()[ok]
-        g, key, lo, hi = (c[ok] for c in cols)
+        g, key, lo, n = (c[ok] for c in cols)
         new = np.ones(len(h), bool)
         new[1:] = (h[1:] != h[:-1]) | (g[1:] != g[:-1])
         if first is not None and first[0] == h[0] and first[1] == g[0]:
@@ -106,12 +106,12 @@ def later_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         later = (key != first_key) | (lo != first_lo)
         first = (h[-1], g[-1], first_key[-1], first_lo[-1])
         if later.any():
-            yield _spans(key[later], lo[later], hi[later])
+            yield _spans(key[later], lo[later], n[later])
 
 
-def _spans(key: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> pa.RecordBatch:
+def _spans(key: np.ndarray, lo: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
-        [pa.array(key.astype(np.int64)), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32))], ["key", "lo", "hi"])
+        [pa.array(key.astype(np.int64)), pa.array(lo.astype(np.int32)), pa.array((lo + n).astype(np.int32))], ["key", "lo", "hi"])
 
 
 def gathered(spans: DataFrame) -> DataFrame:

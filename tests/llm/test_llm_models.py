@@ -125,11 +125,11 @@ def test_decoding_leaves_plain_words_alone():
 
 
 def test_restored_offsets_follow_the_texts(spark):
-    cost = np.full((28, 28, 28), 3.0, np.float32)
+    cost = op09_toxicity.language_model(frame(spark, [(i, "moron something else book here", None, None, 0) for i in range(20)]))
     t = pa.array(["m0r0n here", None, "s o m e t h i n g else", "b00000k"])
     for n, buf, offs in op09_toxicity.restored(t, cost):
         parts = [buf[offs[i]: offs[i + 1]].tobytes().decode() for i in range(n)]
-    assert parts == ["moron here", "", "something else", "book"] or parts[0] == "moron here" and parts[2] == "something else"
+    assert parts[:3] == ["moron here", "", "something else"] and parts[3] in ("book", "bok")
 
 
 def test_language_model_counts_all_texts(spark):
