@@ -19,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from postflow.llm.common import materialize
+
 SALTS = 8
 
 
@@ -36,8 +38,9 @@ def exact_duplicates(documents: DataFrame, hashed=content_hash) -> DataFrame:
     salts = F.explode(F.array(*[F.lit(i) for i in range(SALTS)])).alias("salt")
 
     repeated = (narrow.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key", salts))
-    classes = (rows.join(repeated.hint("shuffle_hash"), ["key", "salt"], "left_semi")
-               .groupBy("key", "salt", "text").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("n"))
+    # the only shuffle of texts; what is left of them is written once
+    again = materialize(rows.join(repeated.hint("shuffle_hash"), ["key", "salt"], "left_semi"), "repeated")
+    classes = (again.groupBy("key", "salt", "text").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("n"))
                .groupBy("key", "text").agg(F.max("keep_id").alias("keep_id"), F.sum("n").alias("n")))
     # a hash with one text is settled by the hash; one with several by the text
     keyed = (classes.groupBy("key").agg(F.count("*").alias("texts"), F.max("keep_id").alias("keep_id"),
@@ -49,7 +52,7 @@ def exact_duplicates(documents: DataFrame, hashed=content_hash) -> DataFrame:
         "doc_id", F.when(F.col("n").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
         F.coalesce("n", F.lit(1)).alias("group_size"), "text_sha256")
     shared = keyed.filter("texts > 1").select("key")
-    collided = (rows.join(shared.hint("shuffle_hash"), "key", "left_semi")
+    collided = (again.join(shared.hint("shuffle_hash"), "key", "left_semi")
                 .join(classes.select("key", "text", "keep_id", F.col("n").alias("group_size")), ["key", "text"])
                 .select("doc_id", "keep_id", "group_size", F.sha2("text", 256).alias("text_sha256")))
     return (settled.unionByName(collided)

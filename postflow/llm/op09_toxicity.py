@@ -97,13 +97,15 @@ def decode(token: str, cost: list) -> str:
     for i, ch in enumerate(token):
         letter = cls(ch) > 0
         reads = [(ch, 0.0)] if letter else [(x, STAND_IN) for x in LEET.get(ch, "")]
-        if not letter:
-            skip = DROP_MARK if reads else 0.0
-        elif token[i - 1: i] == ch:
-            long = token[max(0, i - 2): i + 1] == ch * 3 or token[i - 1: i + 2] == ch * 3
-            skip = DROP_REPEAT if long else DROP_DOUBLE
+        again = i > 0 and token[i - 1] == ch
+        if not reads:
+            skip = 0.0
+        elif again and ch * 3 in (token[max(0, i - 2): i + 1], token[i - 1: i + 2]):
+            skip = DROP_REPEAT
+        elif letter:
+            skip = DROP_DOUBLE if again else None
         else:
-            skip = None
+            skip = DROP_MARK
         new: dict = {}
         for (a, b), (v, path) in states.items():
             if skip is not None:
