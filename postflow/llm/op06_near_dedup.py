@@ -7,7 +7,8 @@
    multipliers instead, each over the whole set, in the same code; sets of up to
    SMALL / 0.8 shingles carry both, so any two similar sets share a kind.
 2. Classes. Documents with one shingle set (equal 128-bit set fingerprint) form
-   a class; its smallest doc_id stands for it. Copies are never expanded.
+   a class, which is a node of all that follows; one row's text stands for it.
+   Copies are never expanded.
 3. Bands. 51 bands of 5 registers; two classes with one band in common are
    candidates. At a similarity of 0.8 a pair shares no band with probability
    (1 - 0.8**5)**51, about 2e-9 (less for small sets).
@@ -31,10 +32,10 @@ probability of about 1e-13.
 
 Defined results. Null, empty or blank text: no shingles, linked with nothing,
 kept. Fewer than k words: the whole sequence is the one shingle. Repeated rows
-are one class; rows that share a doc_id count as one document. Rows with a null
-doc_id join classes under a stand-in id; a component of nothing else has a null
-component_id and its rows are kept. Empty table: no rows. Other columns are not
-read.
+are one class; texts that share a doc_id are each judged by their own shingles.
+Rows with a null doc_id take part in classes and links as any other; a component
+of nothing else has a null component_id and its rows are kept. Empty table: no
+rows. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -43,7 +44,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from postflow.llm import textarrays as ta
@@ -106,31 +107,54 @@ def small_registers(u: np.ndarray) -> np.ndarray:
     return out
 
 
+def _fingerprint(u: np.ndarray) -> tuple[int, int]:
+    """128 bits of a shingle set, the same in any order."""
+    c1 = ta.mix(u + np.uint64(1)).sum(dtype=np.uint64)
+    c2 = ta.mix(u ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64)
+    return int(c1.astype(np.int64)), int(c2.astype(np.int64))
+
+
+def row_key(documents: DataFrame) -> list[Column]:
+    """k and t: what tells rows of different id or text apart (128 bits of the text
+    where the id is null)."""
+    return [F.coalesce(documents["doc_id"], F.xxhash64(F.lit(6), documents["text"])).alias("k"),
+            F.xxhash64(documents["text"]).alias("t")]
+
+
 def _sketch(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n, c1, c2, regs, small = [], [], [], [], []
             for u in shingle_sets(b.column("text"), k):
                 n.append(len(u))
-                c1.append(int(ta.mix(u + np.uint64(1)).sum(dtype=np.uint64).astype(np.int64)))
-                c2.append(int(ta.mix(u ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64).astype(np.int64)))
+                a, c = _fingerprint(u)
+                c1.append(a)
+                c2.append(c)
                 regs.append(registers(u).tobytes() if len(u) > SMALL else None)
                 small.append(small_registers(u).tobytes() if 0 < len(u) <= SMALL * 5 // 4 else None)
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(n, pa.int64()), pa.array(c1, pa.int64()), pa.array(c2, pa.int64()),
+                [b.column("doc_id"), b.column("k"), b.column("t"), pa.array(n, pa.int64()), pa.array(c1, pa.int64()), pa.array(c2, pa.int64()),
                  pa.array(regs, pa.binary()), pa.array(small, pa.binary())],
-                ["doc_id", "n", "c1", "c2", "regs", "small"])
+                ["doc_id", "k", "t", "n", "c1", "c2", "regs", "small"])
     return run
 
 
 def _sets(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = list(shingle_sets(b.column("text"), k))
+            sets, at, done = [], [], set()
+            rows = zip(*(b.column(x).to_pylist() for x in ("node", "c1", "c2")), strict=True)
+            for i, ((node, *of), u) in enumerate(zip(rows, shingle_sets(b.column("text"), k), strict=True)):
+                # copies without an id meet the same node; so might a text of equal hash
+                if node not in done and _fingerprint(u) == tuple(of):
+                    done.add(node)
+                    at.append(i)
+                    sets.append(u)
             cut = np.concatenate([[0], np.cumsum([len(u) for u in sets])]).astype(np.int32)
             flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
             yield pa.RecordBatch.from_arrays(
-                [b.column("node"), pa.ListArray.from_arrays(pa.array(cut), pa.array(flat.view(np.int64)))],
+                [b.column("node").take(pa.array(at, pa.int64())),
+                 pa.ListArray.from_arrays(pa.array(cut), pa.array(flat.view(np.int64)))],
                 ["node", "shingles"])
     return run
 
@@ -183,7 +207,7 @@ def _confirmed(pairs: DataFrame, reps: DataFrame, sets: DataFrame, percent: int)
             .select("a", "b"))
 
 
-def _connected(reps: DataFrame, documents: DataFrame, k: int, percent: int) -> DataFrame:
+def _connected(reps: DataFrame, classes: DataFrame, documents: DataFrame, k: int, percent: int) -> DataFrame:
     """(node, component) of all classes with links."""
     bands = F.array(*[F.struct(F.lit(i).alias("i"), F.substring("of", 2 * ROWS * i + 1, 2 * ROWS).alias("r"))
                       for i in range(BANDS)])
@@ -196,9 +220,9 @@ def _connected(reps: DataFrame, documents: DataFrame, k: int, percent: int) -> D
     shared = in_band.groupBy("bucket").agg(F.count("*").alias("size"), F.min("node").alias("pivot")).filter("size > 1")
     members = materialize(in_band.join(shared, "bucket"), "buckets")
 
-    nodes = members.select("node").distinct()
-    texts = (documents.join(nodes.hint("shuffle_hash"), documents.doc_id == nodes.node)
-             .select("node", "text"))
+    nodes = members.select("node").distinct().join(classes, "node").select("node", "c1", "c2", "first.k", "first.t")
+    texts = (documents.select(*row_key(documents), "text").join(nodes.hint("shuffle_hash"), ["k", "t"])
+             .select("node", "c1", "c2", "text"))
     sets = materialize(texts.mapInArrow(_sets(k), "node long, shingles array<long>").dropDuplicates(["node"]), "sets")
 
     pairs = members.filter("node != pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
@@ -271,27 +295,39 @@ def _by_difference(members: DataFrame, labels: DataFrame, tried: DataFrame, reps
     return pairs.unionByName(star).distinct()
 
 
-def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every document: links are
-    pairs whose sets of `words`-word shingles have a Jaccard similarity of at
-    least `percent` hundredths."""
-    documents = documents.select("doc_id", "text")
+def _judged(documents: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The sketch of every row, and c1, c2, first and component of every class; `first`
+    is its row of smallest doc_id (null last), `component` a node of the classes."""
     sketches = materialize(
-        documents.mapInArrow(_sketch(words), "doc_id long, n long, c1 long, c2 long, regs binary, small binary"),
+        documents.select("doc_id", *row_key(documents), "text").mapInArrow(
+            _sketch(words), "doc_id long, k long, t long, n long, c1 long, c2 long, regs binary, small binary"),
         "sketches")
     some = sketches.filter("n > 0")
-    stand_in = F.xxhash64("c1", "c2").bitwiseOR(F.lit(-(1 << 63)))
-    classes = materialize(some.groupBy("c1", "c2").agg(F.min("doc_id").alias("least"), F.max("n").alias("n"))
-                          .withColumn("node", F.coalesce("least", stand_in)), "classes")
+    first = F.min(F.struct(F.isnull("doc_id").alias("no_id"), "k", "t"))
+    # written once, so the numbers hold; no two classes share one
+    classes = materialize(some.groupBy("c1", "c2").agg(first.alias("first"), F.max("n").alias("n"))
+                          .withColumn("node", F.monotonically_increasing_id()), "classes")
     reps = materialize(
-        some.select(F.coalesce("doc_id", stand_in).alias("node"), "c1", "c2", "regs", "small")
-        .join(classes.select("node", "c1", "c2", "n"), ["node", "c1", "c2"])
+        some.select("k", "t", "c1", "c2", "regs", "small")
+        .join(classes.select("node", "c1", "c2", "n", "first.k", "first.t"), ["k", "t", "c1", "c2"])
         .dropDuplicates(["node"]).select("node", "n", "regs", "small"), "reps")
-    labels = _connected(reps, documents, words, percent)
-    named = classes.join(labels, "node", "left").select(
-        "c1", "c2", F.coalesce("component", "node").alias("node"), "least")
-    ids = named.groupBy("node").agg(F.min("least").alias("component_id"))
-    named = named.select("c1", "c2", "node").join(ids, "node").select("c1", "c2", "component_id")
+    labels = _connected(reps, classes, documents, words, percent)
+    return sketches, classes.join(labels, "node", "left").select(
+        "c1", "c2", "first", F.coalesce("component", "node").alias("component"))
+
+
+def _firsts(classes: DataFrame) -> DataFrame:
+    """The row of smallest doc_id (null last) of every component."""
+    return classes.groupBy("component").agg(F.min("first").alias("first"))
+
+
+def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of every document: links are
+    pairs whose sets of `words`-word shingles have a Jaccard similarity of at
+    least `percent` hundredths."""
+    sketches, classes = _judged(documents.select("doc_id", "text"), words, percent)
+    ids = _firsts(classes).select("component", F.when(~F.col("first.no_id"), F.col("first.k")).alias("component_id"))
+    named = classes.select("c1", "c2", "component").join(ids, "component").select("c1", "c2", "component_id")
     out = sketches.select("doc_id", "n", "c1", "c2").join(named, ["c1", "c2"], "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"),

@@ -113,6 +113,20 @@ def test_near_repeated_rows_and_null_ids(spark):
     assert got == sorted([(5, 5, True), (5, 5, True), (None, 5, True), (None, None, True)], key=repr)
 
 
+def test_near_copies_of_a_text_without_id(spark):
+    """The base has no id, its copies are near the base only; two texts share an id."""
+    base = [f"w{i}" for i in range(200)]
+    copy = lambda i: " ".join(base[:15 * i + 5] + [f"own{i}_{j}" for j in range(14)] + base[15 * i + 19:])
+    data = [(None, " ".join(base), None, None, 0)] * 3 + [(i, copy(i), None, None, 0) for i in range(1, 11)]
+    data += [(None, copy(11), None, None, 0), (3, "a text of its own under the id of another", None, None, 0)]
+    numbered = [(i, t, *r) for i, (_, t, *r) in enumerate(data)]
+    assert len({c for i, _, c, _ in brute_near(numbered, 5, 80) if i < 14}) == 1
+    assert len({c for i, _, c, _ in brute_near(numbered[3:], 5, 80)}) == 12  # without the base: no link
+    got = op06_near_dedup.near_duplicates(frame(spark, data)).collect()
+    assert sorted((r.doc_id or 0, r.component_id, r.kept) for r in got) == sorted(
+        [(0, 1, True)] * 4 + [(i, 1, i == 1) for i in range(1, 11)] + [(3, 3, True)])
+
+
 def test_drop_near_keeps_one_of_each_group(spark):
     data = rows()
     kept = {i for i, _, _, k in brute_near(data, 5, 80) if k}
