@@ -19,7 +19,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest doc_id of each group of near duplicates stays."""
+    """One row of each group of near duplicates stays, of its smallest doc_id."""
     return op06_near_dedup.drop_near_duplicates(docs, words=5, percent=80)
 
 

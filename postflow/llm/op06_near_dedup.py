@@ -48,7 +48,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from postflow.llm import textarrays as ta
-from postflow.llm.common import materialize
+from postflow.llm.common import WORD_PATTERN, materialize
 from postflow.llm.components import components
 
 REGISTERS = 256
@@ -335,6 +335,16 @@ def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80) ->
 
 
 def drop_near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """One document of each component stays, with all its columns."""
-    kept = near_duplicates(documents, words, percent).filter("kept").select("doc_id").distinct()
-    return documents.join(kept.hint("shuffle_hash"), documents["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
+    """One row of each component stays, with all its columns: one of its smallest
+    doc_id, or of no id where none has one. Texts without words stay as they are."""
+    _, classes = _judged(documents.select("doc_id", "text"), words, percent)
+    kept = _firsts(classes).select("first.k", "first.t")
+    has_words = F.coalesce(F.col("text").rlike(WORD_PATTERN), F.lit(False))
+    k, t = "_k", "_t"
+    while k in documents.columns or t in documents.columns:
+        k, t = "_" + k, "_" + t
+    # a task sends one of the rows equal in id and text; the join needs no other shuffle
+    rows = (documents.filter(has_words).withColumns(dict(zip((k, t), row_key(documents), strict=True)))
+            .dropDuplicates([k, t]))
+    rows = rows.join(kept.hint("shuffle_hash"), (rows[k] == kept["k"]) & (rows[t] == kept["t"]), "left_semi")
+    return rows.select(*documents.columns).unionByName(documents.filter(~has_words))

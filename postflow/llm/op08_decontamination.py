@@ -53,11 +53,14 @@ def item_windows(benchmark: DataFrame, width: int) -> DataFrame:
             .select("item_id", F.slice("words", F.col("at"), n).alias("window")).distinct())
 
 
-def contamination(documents: DataFrame, benchmark: DataFrame, width: int = 10,
-                  broadcast_rows: int = 200_000) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of every document."""
-    docs = with_words(documents.select(
-        F.coalesce("doc_id", F.lit(-(1 << 63))).alias("k"), F.xxhash64("text").alias("t"), "text")).drop("text")
+def row_key(documents: DataFrame) -> list[Column]:
+    """k and t: what tells rows of different id or text apart."""
+    return [F.coalesce(documents["doc_id"], F.lit(-(1 << 63))).alias("k"), F.xxhash64(documents["text"]).alias("t")]
+
+
+def hit_texts(documents: DataFrame, benchmark: DataFrame, width: int, broadcast_rows: int) -> DataFrame:
+    """k, t, n_hit and items (sorted) of every text that holds a window."""
+    docs = with_words(documents.select(*row_key(documents), "text")).drop("text")
     windows = (item_windows(benchmark, width).groupBy("window")
                .agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items")))
     small = windows.count() <= broadcast_rows
@@ -90,11 +93,16 @@ def contamination(documents: DataFrame, benchmark: DataFrame, width: int = 10,
     covered = F.aggregate("spans", zero, lambda a, s: F.struct(
         F.greatest(a["end"], s["hi"]).alias("end"),
         (a["n"] + F.greatest(s["hi"] - F.greatest(a["end"], s["lo"]), F.lit(0))).alias("n")))["n"]
-    found = per_text.select("k", "t", covered.cast("long").alias("n_hit"),
-                            F.array_sort(F.array_distinct(F.flatten("items"))).alias("items"))
-    out = (with_words(documents.select("doc_id", F.xxhash64("text").alias("t"), "text"))
-           .select("doc_id", "t", F.size("words").cast("long").alias("n_words"))
-           .withColumn("k", F.coalesce("doc_id", F.lit(-(1 << 63))))
+    return per_text.select("k", "t", covered.cast("long").alias("n_hit"),
+                           F.array_sort(F.array_distinct(F.flatten("items"))).alias("items"))
+
+
+def contamination(documents: DataFrame, benchmark: DataFrame, width: int = 10,
+                  broadcast_rows: int = 200_000) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of every document."""
+    found = hit_texts(documents, benchmark, width, broadcast_rows)
+    out = (with_words(documents.select("doc_id", *row_key(documents), "text"))
+           .select("doc_id", "k", "t", F.size("words").cast("long").alias("n_words"))
            .join(found, ["k", "t"], "left"))
     hit = F.coalesce("n_hit", F.lit(0))
     items = F.coalesce("items", F.array().cast("array<string>"))
@@ -102,7 +110,10 @@ def contamination(documents: DataFrame, benchmark: DataFrame, width: int = 10,
                       F.sha2(F.concat_ws(",", items), 256).alias("items_sha256"), (hit > 0).alias("contaminated"))
 
 
-def drop_contaminated(documents: DataFrame, benchmark: DataFrame, width: int = 10) -> DataFrame:
-    """The documents without a benchmark window, with all their columns."""
-    clean = contamination(documents, benchmark, width).filter("not contaminated").select("doc_id").distinct()
-    return documents.join(clean.hint("shuffle_hash"), documents["doc_id"].eqNullSafe(clean["doc_id"]), "left_semi")
+def drop_contaminated(documents: DataFrame, benchmark: DataFrame, width: int = 10,
+                      broadcast_rows: int = 200_000) -> DataFrame:
+    """The documents without a benchmark window, with all their columns; each row is
+    judged by its own text, whatever rows share its doc_id."""
+    found = hit_texts(documents, benchmark, width, broadcast_rows).filter("n_hit > 0").select("k", "t")
+    k, t = row_key(documents)
+    return documents.join(found.hint("shuffle_hash"), (k == found["k"]) & (t == found["t"]), "left_anti")

@@ -135,6 +135,15 @@ def test_drop_near_keeps_one_of_each_group(spark):
     assert {r.doc_id for r in out.collect()} == kept
 
 
+def test_drop_near_with_null_and_repeated_ids(spark):
+    copies = {x: " ".join(f"{x}{i}" for i in range(40)) for x in "abcd"}
+    rows = [(None, "a"), (None, "a"), (7, "a"), (5, "b"), (5, "b"), (None, "c"), (None, "c"), (5, "d"), (9, "d")]
+    data = [(i, copies[x], None, None, n) for n, (i, x) in enumerate(rows)] + [(None, " ", None, None, 0), (5, None, None, None, 0)]
+    out = op06_near_dedup.drop_near_duplicates(with_clashes(frame(spark, data)))
+    got = sorted((r.doc_id or 0, (r.text or "")[:1]) for r in out.collect())
+    assert got == sorted([(7, "a"), (5, "b"), (0, "c"), (5, "d"), (0, " "), (5, "")])
+
+
 def test_register_estimates():
     rng = np.random.default_rng(1)
     for n, share in ((200, 0.8), (5000, 0.8), (5000, 0.3)):

@@ -198,6 +198,15 @@ def test_contamination_of_empty_tables_and_null_ids(spark):
     assert (got.n_hit, got.n_items, got.contaminated) == (2, 0, True)
 
 
+@pytest.mark.parametrize("broadcast_rows", [0, 200_000])
+def test_drop_contaminated_judges_each_row(spark, broadcast_rows):
+    bench = spark.createDataFrame([(1, "one two")], "item_id long, text string")
+    data = [(i, t, None, None, 0) for i in (None, 4) for t in ("one two", "three", "so one two", "three", None)]
+    out = op08_decontamination.drop_contaminated(with_clashes(frame(spark, data)), bench, broadcast_rows=broadcast_rows)
+    assert sorted((r.doc_id or 0, r.text or "") for r in out.collect()) == [
+        (0, ""), (0, "three"), (0, "three"), (4, ""), (4, "three"), (4, "three")]
+
+
 @pytest.mark.parametrize("run", [op01_sharding.shard_rows, op05_mixing.allot, op05_mixing.mix])
 def test_empty_table(spark, run):
     assert run(frame(spark, [])).isEmpty()
