@@ -2,12 +2,16 @@
 
 1. A character language model (3-grams of a-z, `other letter` and `no letter`)
    is counted over all texts, added up by Spark.
+   With it, each mark (a byte that is no letter) is counted after the one before it.
 2. A token that may be disguised (digits or symbols that stand for letters,
-   separators inside a word, a letter three times in a row, three or more
-   single letters in a row) is a lattice of characters: each written character
+   separators inside a word, a letter twice in a row, three or more tokens of one
+   character in a row) is a lattice of characters: each written character
    stands for one of a few letters, for a repetition, or for nothing, at a cost.
    Viterbi finds the letters of least cost under the language model; the token
-   is replaced by them. All other tokens have one reading only and stay.
+   is replaced by them. Where a token has no letter, a word ends in symbols, or a
+   run has marks among its letters, that reading must also cost less than the
+   marks as they are written (numbers, punctuation). All other tokens, and a mark
+   alone, have one reading only and stay.
 3. The restored text is scored: indicators of its words and of word beginnings
    (3 to 6 letters), scaled by log-count ratios, under a linear hinge-loss model
    fitted on at most `per_class` labelled rows of each class, chosen by a seeded
@@ -21,6 +25,7 @@ are each scored alike. Empty table: no rows. Other columns are not read.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,6 +49,7 @@ PREFIXES = (3, 4, 5, 6)
 # Costs (nats) of the channel: a mark stands for a letter; a mark with such a reading
 # or a doubled letter means nothing; a letter of a run of three or more repeats.
 STAND_IN, DROP_MARK, DROP_DOUBLE, DROP_REPEAT = 0.5, 8.0, 8.0, 0.5
+DISGUISE = 3.0  # marks that might as well be meant as written stand for letters
 
 _CLASS = np.zeros(256, np.uint8)
 _CLASS[ord("a"): ord("z") + 1] = np.arange(1, 27)
@@ -52,6 +58,11 @@ _LETTER = _CLASS > 0
 _ASCII_LETTER = (_CLASS > 0) & (_CLASS < 27)
 _MARK = np.zeros(256, bool)
 _MARK[[ord(c) for c in [*LEET, *SEPARATORS]]] = True
+_STAND_IN = np.zeros(256, bool)
+_STAND_IN[[ord(c) for c in LEET]] = True
+_WRITTEN = np.arange(256, dtype=np.int64)  # letters count as one, and so do blanks
+_WRITTEN[_LETTER] = ord("a")
+_WRITTEN[0x09: 0x0E] = 0x20
 _DIGIT = np.zeros(256, bool)
 _DIGIT[ord("0"): ord("9") + 1] = True
 _VALUES = ta.byte_values(9)
@@ -59,43 +70,57 @@ _HASH = ta.SpanHash(0xBF58476D1CE4E5B9)
 
 
 def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    n = np.zeros(SYMBOLS ** 3, np.int64)
+    grams, pairs = np.zeros(SYMBOLS ** 3, np.int64), np.zeros(1 << 16, np.int64)
     for b in batches:
         for _, _, buf, offs in ta.blocks(b.column("text")):
-            cls = _CLASS[ta.LOWER[buf]]
-            # a text boundary reads as `no letter`
-            cls = np.insert(cls, offs[:-1], 0).astype(np.int64) if len(cls) else cls.astype(np.int64)
+            # a text boundary reads as `no letter`, a space
+            buf = np.insert(ta.LOWER[buf], offs[:-1], 0x20) if len(buf) else buf
+            cls, mark = _CLASS[buf].astype(np.int64), _WRITTEN[buf]
             if len(cls) > 2:
-                n += np.bincount((cls[:-2] * SYMBOLS + cls[1:-1]) * SYMBOLS + cls[2:], minlength=len(n))
+                grams += np.bincount((cls[:-2] * SYMBOLS + cls[1:-1]) * SYMBOLS + cls[2:], minlength=len(grams))
+                pairs += np.bincount((mark[:-1] << 8 | mark[1:])[cls[1:] == 0], minlength=len(pairs))
+    n = np.concatenate([grams, pairs])
     at = np.flatnonzero(n)
     yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(n[at])], ["gram", "n"])
 
 
-def language_model(documents: DataFrame) -> np.ndarray:
-    """Cost (-log p) of a character after the two before it; the counts cover all
-    texts, and at most SYMBOLS**3 sums come back."""
+def language_models(documents: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Cost (-log p) of a character after the two before it, and of each mark (a byte
+    that is no letter), given that it is one, after the byte before it; the counts
+    cover all texts, and at most SYMBOLS**3 + 256**2 sums come back."""
     rows = (documents.select("text").mapInArrow(_gram_counts, "gram int, n long")
             .groupBy("gram").agg(F.sum("n").alias("n")).collect())
-    n = np.zeros(SYMBOLS ** 3)
+    n = np.zeros(SYMBOLS ** 3 + (1 << 16))
     for r in rows:
         n[r["gram"]] = r["n"]
-    n = n.reshape(SYMBOLS, SYMBOLS, SYMBOLS)
+    pairs = n[SYMBOLS ** 3:].reshape(256, 256)
+    n = n[: SYMBOLS ** 3].reshape(SYMBOLS, SYMBOLS, SYMBOLS)
     two = n.sum(axis=0)
     one = (n.sum(axis=(0, 1)) + 1) / (n.sum() + SYMBOLS)
     p2 = (two + 5 * one) / (two.sum(axis=1, keepdims=True) + 5)
     p3 = (n + 5 * p2[None]) / (n.sum(axis=2, keepdims=True) + 5)
-    return -np.log(p3).astype(np.float32)
+    p1 = (pairs.sum(axis=0) + 1) / (pairs.sum() + 256)
+    marks = (pairs + 5 * p1) / (pairs.sum(axis=1, keepdims=True) + 5)
+    return -np.log(p3).astype(np.float32), -np.log(marks).astype(np.float32)
 
 
-def decode(token: str, cost: list) -> str:
-    """The likeliest letters behind a (lower-case) token. A state is the last two
-    characters read; its value the least cost and the letters so far."""
-    def cls(ch: str) -> int:
-        return ord(ch) - 96 if "a" <= ch <= "z" else 27 if ord(ch) >= 0x80 else 0
+def language_model(documents: DataFrame) -> np.ndarray:
+    """Cost (-log p) of a character after the two before it."""
+    return language_models(documents)[0]
+
 
+def _class(ch: str) -> int:
+    return ord(ch) - 96 if "a" <= ch <= "z" else 27 if ord(ch) >= 0x80 else 0
+
+
+def _lattice(token: str, cost: list, ends: list[int]) -> list[tuple[float, str]]:
+    """Cost and letters of the likeliest reading of the first n characters of a
+    (lower-case) token, as a word, for each n of `ends`. A state is the last two
+    characters read; its value the least cost and the letters so far."""
+    found = []
     states = {(0, 0): (0.0, None)}
     for i, ch in enumerate(token):
-        letter = cls(ch) > 0
+        letter = _class(ch) > 0
         reads = [(ch, 0.0)] if letter else [(x, STAND_IN) for x in LEET.get(ch, "")]
         again = i > 0 and token[i - 1] == ch
         if not reads:
@@ -113,24 +138,84 @@ def decode(token: str, cost: list) -> str:
                 if best is None or v + skip < best[0]:
                     new[a, b] = (v + skip, path)
             for x, extra in reads:
-                k = cls(x)
+                k = _class(x)
                 w = v + extra + cost[a][b][k]
                 best = new.get((b, k))
                 if best is None or w < best[0]:
                     new[b, k] = (w, (path, x))
         states = new
-    if not states:
-        return token
-    _, path = min(((v + cost[a][b][0], path) for (a, b), (v, path) in states.items()), key=lambda s: s[0])
-    out = []
-    while path:
-        path, x = path
-        out.append(x)
-    return "".join(reversed(out))
-
-
-def _suspects(buf: np.ndarray, offs: np.ndarray) -> list[tuple[int, int, int]]:
-    """(start, end, text) of the spans of a lower-cased block to be decoded."""
+        if i + 1 in ends:
+            v, path = min(((v + cost[a][b][0], path) for (a, b), (v, path) in states.items()), key=lambda s: s[0])
+            out = []
+            while path:
+                path, x = path
+                out.append(x)
+            found.append((v, "".join(reversed(out))))
+    return found
+
+
+def decode(token: str, cost: list) -> str:
+    """The likeliest letters behind a (lower-case) token."""
+    return _lattice(token, cost, [len(token)])[0][1] if token else token
+
+
+def _as_written(text: str, cost: list, written: list, state: tuple[int, int] = (0, 0), before: str = " ") -> float:
+    """Cost of a text, and the space after it, if every mark is meant as such."""
+    (a, b), v = state, 0.0
+    for ch in text + " ":
+        k = _class(ch)
+        v += cost[a][b][k]
+        if not k:
+            v += written[ord(before)][ord(ch)]
+        a, b, before = b, k, "a" if k else ch
+    return v
+
+
+def _read_run(run: str, cost: list, written: list) -> str:
+    """A run of one-character tokens with marks among them: one word, or as written
+    but for three or more letters in a row."""
+    parts = re.split("([\x20\x09-\x0D]+)", run)
+    tokens = parts[::2]
+    out, value, at = "", 0.0, 0
+    while at < len(tokens):
+        to = at
+        while to < len(tokens) and _class(tokens[to][0]):
+            to += 1
+        if to - at >= 3:
+            plain = "".join(tokens[at: to - 1]) + tokens[to - 1][0]
+            [(v, letters)] = _lattice(plain, cost, [len(plain)])
+            rest = tokens[to - 1][1:]
+            value += v + written[ord("a")][ord((rest + " ")[0])]
+            out += letters + rest
+        else:
+            to = max(to, at + 1)
+            value += _as_written(" ".join(tokens[at:to]), cost, written)
+            out += "".join(parts[2 * at: 2 * to - 1])
+        out += "".join(parts[2 * to - 1: 2 * to])
+        at = to
+    plain = "".join(tokens)
+    [(v, letters)] = _lattice(plain, cost, [len(plain)])
+    return letters if v + written[ord("a")][ord(" ")] + DISGUISE < value else out
+
+
+def read(token: str, sure: int, cost: list, written: list) -> str:
+    """A token with its disguise off. The first `sure` characters are read as letters
+    in any case; of what follows (or the whole token) the language model says how far
+    it is part of the word, and the rest stays as written."""
+    if sure == len(token):
+        return decode("".join(token.split()), cost)
+    ends = [n for n in range(1, len(token) + 1) if n == sure or n > sure and token[n - 1] in LEET]
+    choices = [] if sure else [(_as_written(token, cost, written), token)]
+    for n, (v, letters) in zip(ends, _lattice(token, cost, ends), strict=True):
+        rest = token[n:]
+        v += sum(written[ord(x)][ord(y)] for x, y in zip("a" + rest, rest + " ", strict=True)) + len(rest) * cost[0][0][0]
+        choices.append((v + (DISGUISE if n > sure else 0.0), letters + rest))
+    return min(choices)[1]
+
+
+def _suspects(buf: np.ndarray, offs: np.ndarray) -> list[tuple[int, int, int, int, bool]]:
+    """(start, end of what is read as letters in any case, end, text, run of tokens
+    with marks) of the spans of a lower-cased block to be decoded."""
     start, end, doc = ta.words(buf, offs)
     if not len(start):
         return []
@@ -143,58 +228,79 @@ def _suspects(buf: np.ndarray, offs: np.ndarray) -> list[tuple[int, int, int]]:
     for k in (1, 2):
         at = np.minimum(stop + k - 1, len(buf) - 1)
         money |= (stop > start) & (stop + k == end) & (buf[at] == ord("$"))
-    stop = np.where(money, end, stop)
     total = lambda x: np.concatenate([[0], np.cumsum(x)])
-    letters, marks = total(letter), total(_MARK[buf])
-    triple = np.zeros(len(buf), bool)
-    if len(buf) > 2:
-        triple[2:] = _ASCII_LETTER[buf[2:]] & (buf[2:] == buf[1:-1]) & (buf[1:-1] == buf[:-2])
-    threes = total(triple)
-    n_letters = letters[stop] - letters[start]
+    letters, marks, stand_ins = total(letter), total(_MARK[buf]), total(_STAND_IN[buf])
+    n_letters = letters[end] - letters[start]
+    stop = np.where(n_letters == 0, start, np.where(money, end, stop))
+    double = np.zeros(len(buf), bool)
+    double[1:] = _ASCII_LETTER[buf[1:]] & (buf[1:] == buf[:-1])
+    twos = total(double)
     odd = (n_letters > 0) & (marks[stop] - marks[start] > 0)
-    odd |= threes[np.maximum(stop, np.minimum(start + 2, stop))] - threes[np.minimum(start + 2, stop)] > 0
-    single = (stop - start == 1) & _ASCII_LETTER[buf[start]] & (end - start <= 2)
-    spans = [(int(s), int(e), int(d)) for s, e, d in zip(start[odd & ~single], stop[odd & ~single], doc[odd & ~single], strict=True)]
-    # runs of three or more single letters
-    edge = np.diff(np.concatenate([[0], (single).astype(np.int8), [0]]))
+    odd |= twos[np.maximum(stop, np.minimum(start + 1, stop))] - twos[np.minimum(start + 1, stop)] > 0
+    open_end = stand_ins[end] - stand_ins[stop] > np.where(n_letters > 0, 0, 1)  # one mark alone is no word
+    odd |= open_end
+    # tokens of one character, perhaps with a symbol behind it
+    head, tail = buf[start], buf[end - 1]
+    single = (stop - start == 1) & _ASCII_LETTER[head] & (end - start <= 2)
+    mark = (end - start == 1) & _MARK[head]
+    mark |= (end - start == 2) & _STAND_IN[head] & ~_LETTER[tail] & ~_STAND_IN[tail]
+    short = single | mark
+    at = np.flatnonzero(odd & ~short)
+    upto = np.where(open_end, end, stop)
+    spans = [(*x, False) for x in zip(*(a[at].tolist() for a in (start, stop, upto, doc)), strict=True)]
+    # runs of three or more of them that may be letters
+    readable = single | mark & _STAND_IN[head]
+    edge = np.diff(np.concatenate([[0], short.astype(np.int8), [0]]))
     for i, j in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1), strict=True):
+        if j - i < 3:
+            continue
         cut = [i, *(np.flatnonzero(np.diff(doc[i:j])) + i + 1), j]
-        spans += [(int(start[a]), int(stop[b - 1]), int(doc[a])) for a, b in zip(cut[:-1], cut[1:], strict=True) if b - a >= 3]
+        for a, b in zip(cut[:-1], cut[1:], strict=True):
+            own = np.flatnonzero(readable[a:b]) + a
+            if len(own) < 3:
+                continue
+            a, b = own[0], own[-1] + 1
+            e = int(start[b - 1]) + 1
+            mixed = bool(mark[a:b].any())
+            spans.append((int(start[a]), int(start[a]) if mixed else e, e, int(doc[a]), mixed))
     return sorted(spans)
 
 
-def restored(texts: pa.Array, cost: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def restored(texts: pa.Array, cost: np.ndarray, written: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Blocks (rows, bytes, offsets) of the lower-cased texts with every disguised
-    token replaced by its reading."""
+    token replaced by its reading. Without `written`, marks cost nothing as such."""
     table = cost.tolist()
-    known: dict[bytes, bytes] = {}
+    marks = (np.zeros((256, 256)) if written is None else written).tolist()
+    known: dict[tuple, bytes] = {}
     for row, end, buf, offs in ta.blocks(texts):
         buf = ta.LOWER[buf]
         spans = _suspects(buf, offs)
         if spans:
             raw, parts, at = buf.tobytes(), [], 0
             grown = np.zeros(end - row, np.int64)
-            for s, e, d in spans:
+            for s, sure, e, d, run in spans:
                 token = raw[s:e]
-                read = known.get(token)
-                if read is None:
+                out = known.get((token, sure - s, run))
+                if out is None:
                     if len(known) > 50_000:  # memory only: a token met again is decoded again
                         known.clear()
-                    plain = "".join(token.decode("utf-8", "replace").split())
-                    read = known[token] = decode(plain, table).encode()
-                parts += [raw[at:s], read]
+                    plain = token.decode("utf-8", "replace")
+                    n = len(raw[s:sure].decode("utf-8", "replace"))
+                    out = _read_run(plain, table, marks) if run else read(plain, n, table, marks)
+                    out = known[token, sure - s, run] = out.encode()
+                parts += [raw[at:s], out]
                 at = e
-                grown[d] += len(read) - len(token)
+                grown[d] += len(out) - len(token)
             parts.append(raw[at:])
             buf = np.frombuffer(b"".join(parts), np.uint8)
             offs = offs + np.concatenate([[0], np.cumsum(grown)])
         yield end - row, buf, offs
 
 
-def indicators(texts: pa.Array, cost: np.ndarray) -> Iterator[np.ndarray]:
+def indicators(texts: pa.Array, cost: np.ndarray, written: np.ndarray | None = None) -> Iterator[np.ndarray]:
     """The distinct feature slots of every restored text, in row order."""
     place = np.zeros(DIM, np.int32)
-    for n, buf, offs in restored(texts, cost):
+    for n, buf, offs in restored(texts, cost, written):
         s, e, doc = ta.words(buf, offs, _LETTER)
         run = _HASH.prefix(_VALUES[buf])
         kinds = [_HASH.spans(run, s, e) ^ np.uint64(1)]
@@ -212,13 +318,13 @@ def indicators(texts: pa.Array, cost: np.ndarray) -> Iterator[np.ndarray]:
             yield f[place[f] == at]
 
 
-def _fit(cost: np.ndarray, seed: int, c: float, epochs: int, least_ratio: float):
+def _fit(cost: np.ndarray, written: np.ndarray, seed: int, c: float, epochs: int, least_ratio: float):
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, ys, rows = [], [], []
         for b in batches:
             ids += b.column("doc_id").to_pylist()
             ys += b.column("label").to_pylist()
-            rows += list(indicators(b.column("text"), cost))
+            rows += list(indicators(b.column("text"), cost, written))
         order = sorted(range(len(ids)), key=lambda i: ids[i])
         y = np.array([1 if ys[i] == 1 else -1 for i in order])
         rows = [rows[i] for i in order]
@@ -238,7 +344,7 @@ def _fit(cost: np.ndarray, seed: int, c: float, epochs: int, least_ratio: float)
 
 def fit_toxicity(documents: DataFrame, labels: DataFrame, train: Column | None = None, per_class: int = 3000,
                  seed: int = 9, c: float = 0.5, epochs: int = 12, least_ratio: float = 1.0) -> dict:
-    cost = language_model(documents)
+    cost, written = language_models(documents)
     rows = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1))
     if train is not None:
         rows = rows.filter(train)
@@ -248,9 +354,9 @@ def fit_toxicity(documents: DataFrame, labels: DataFrame, train: Column | None =
     texts = (documents.select("doc_id", "text")
              .join(F.broadcast(sample), "doc_id")  # 2 * per_class rows at most
              .groupBy("doc_id", "label").agg(F.min("text").alias("text")))
-    got = texts.repartition(1).mapInArrow(_fit(cost, seed, c, epochs, least_ratio), "v binary, bias double").collect()
+    got = texts.repartition(1).mapInArrow(_fit(cost, written, seed, c, epochs, least_ratio), "v binary, bias double").collect()
     v = np.frombuffer(got[0]["v"], np.float32) if got else np.zeros(DIM, np.float32)
-    return {"cost": cost, "v": v, "bias": got[0]["bias"] if got else 0.0}
+    return {"cost": cost, "written": written, "v": v, "bias": got[0]["bias"] if got else 0.0}
 
 
 def toxicity_scores(documents: DataFrame, labels: DataFrame, **fit) -> DataFrame:
@@ -264,7 +370,7 @@ def toxicity_scores(documents: DataFrame, labels: DataFrame, **fit) -> DataFrame
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
         for b in batches:
-            s = np.array([float(m["v"][f].sum()) for f in indicators(b.column("text"), m["cost"])])
+            s = np.array([float(m["v"][f].sum()) for f in indicators(b.column("text"), m["cost"], m["written"])])
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(linear.sigmoid(2 * (s + m["bias"])))],
                                              ["doc_id", "score"])
 

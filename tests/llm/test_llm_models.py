@@ -132,6 +132,19 @@ def test_restored_offsets_follow_the_texts(spark):
     assert parts[:3] == ["moron here", "", "something else"] and parts[3] in ("book", "bok")
 
 
+def test_disguises_against_tokens_as_written(spark):
+    """Words of marks alone, ending in marks, spaced with marks, or with a doubled
+    letter are read; numbers and punctuation stay."""
+    line = "the ass of an idiot is a stupid shit, and 1990 or 455 or 2,000 is a number! go on (at 10%) to 3 4 5 6 *"
+    models = op09_toxicity.language_models(frame(spark, [(i, line, None, None, 0) for i in range(40)]))
+    cases = {"@$$": "ass", "@$$.": "ass.", "shi+": "shit", "shi+,": "shit,", "i d 1 0 t": "idiot", "stuupid": "stupid", "1 d 1 0 t": "idiot",
+             "s h i t 4 5": "shit 4 5"}
+    cases |= dict.fromkeys(["455", "1990", "2,000", "number!", "3 4 5 6", "*", "- - - -", "is a 3 4 5", "go on"])
+    out = [x for x in op09_toxicity.restored(pa.array([f"the {x}" for x in cases]), *models)]
+    got = [buf[a:b].tobytes().decode() for _, buf, offs in out for a, b in zip(offs[:-1], offs[1:], strict=True)]
+    assert got == [f"the {y or x}" for x, y in cases.items()]
+
+
 def test_language_model_counts_all_texts(spark):
     docs = frame(spark, [(i, "abab", None, None, 0) for i in range(50)] + [(99, None, None, None, 0)])
     cost = op09_toxicity.language_model(docs)
