@@ -6,9 +6,11 @@ support vector machines vote on the language. Features are the shares of hashed
 byte 1- to 3-grams of the whole text (A-Z lower-cased), so a text of any length
 is one row of small numbers; texts are scored where they lie, without a shuffle.
 
-The fit uses a bounded sample: at most `per_language` texts of each of the
-`max_languages` most frequent languages, chosen by a seeded hash of doc_id.
-FAMILIES is a parameter; a language it does not list is a family of its own.
+The fit uses a bounded sample: at most `per_language` texts of each language,
+chosen by a seeded hash of doc_id. Every language of the training rows is learned;
+the machines are dealt over `max_tasks` tasks at most, each with the profiles of
+the sample (bounded a language). FAMILIES is a parameter; a language it does not
+list is a family of its own.
 
 Defined results. Null text, or a text without a letter: `und`, score 0. Null
 lang: not learned from. Nothing to learn from: every text is `und`. Votes that
@@ -60,71 +62,82 @@ def _profile(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     return f, SCALE * n / max(1, len(slots))
 
 
-def _fit(families: dict, seed: int, c: float, epochs: int):
-    family_of = {lang: name for name, langs in families.items() for lang in langs}
+def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        got = [_profile(t) for t in b.column("text").cast(pa.binary()).to_pylist()]
+        yield pa.RecordBatch.from_arrays(
+            [b.column("doc_id"), b.column("label"), pa.array([f.astype(np.uint16).tobytes() for f, _ in got], pa.binary()),
+             pa.array([v.astype(np.float32).tobytes() for _, v in got], pa.binary())], ["doc_id", "label", "slots", "shares"])
 
-    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = []
-        for b in batches:
-            got += zip(b.column("doc_id").to_pylist(), b.column("label").to_pylist(),
-                       (_profile(t) for t in b.column("text").cast(pa.binary()).to_pylist()), strict=True)
-        got.sort(key=lambda r: (r[0], r[1]))
-        langs = np.array([r[1] for r in got], object)
-        groups = np.array([family_of.get(x, "=" + x) for x in langs], object)
 
-        def model(kind: str, a: str, b: str, rows: np.ndarray, positive: np.ndarray) -> dict:
-            at = np.flatnonzero(rows)
-            y = np.where(positive[at], 1, -1)
-            w, bias = linear.fit_hinge([got[i][2][0] for i in at], [got[i][2][1] for i in at], y, DIM,
-                                       c=c, epochs=epochs, seed=seed)
-            return {"kind": kind, "a": a, "b": b, "bias": bias, "w": (SCALE * w).astype(np.float32).tobytes()}
+def _machines(langs: list[str], family_of: dict) -> list[tuple[str, str, str]]:
+    """(kind, a, b) of all machines: family a against the rest, or language a against b."""
+    inside: dict[str, list[str]] = {}
+    for x in sorted(langs):
+        inside.setdefault(family_of.get(x, "=" + x), []).append(x)
+    names = sorted(inside)
+    return ([("family", g, "") for g in names if len(names) > 1]
+            + [("pair", x, z) for g in names for i, x in enumerate(inside[g]) for z in inside[g][i + 1:]])
+
 
+def _fit(machines: list, family_of: dict, tasks: int, seed: int, c: float, epochs: int):
+    """Fits the machines of one task; a profile is held once for all of them."""
+    def fit(t: pa.Table) -> pa.Table:
+        got = sorted(zip(t["doc_id"].to_pylist(), t["label"].to_pylist(), t["slots"].to_pylist(), t["shares"].to_pylist(),
+                         strict=True), key=lambda r: (r[0], r[1]))
+        langs = np.array([r[1] for r in got], object)
+        groups = np.array([family_of.get(x, "=" + x) for x in langs], object)
+        slots = [np.frombuffer(r[2], np.uint16) for r in got]
+        shares = [np.frombuffer(r[3], np.float32) for r in got]
         out = []
-        names = sorted(set(groups))
-        for g in names if len(names) > 1 else []:
-            out.append(model("family", g, "", groups == groups, groups == g))
-        for g in names:
-            inside = sorted(set(langs[groups == g]))
-            if len(inside) == 1:
-                out.append({"kind": "only", "a": inside[0], "b": g, "bias": 0.0, "w": b""})
-            for i, x in enumerate(inside):
-                for z in inside[i + 1:]:
-                    out.append(model("pair", x, z, (langs == x) | (langs == z), langs == x))
-        if out:
-            yield pa.RecordBatch.from_pylist(out, pa.schema([
-                ("kind", pa.string()), ("a", pa.string()), ("b", pa.string()), ("bias", pa.float64()), ("w", pa.binary())]))
+        for k in range(t["task"][0].as_py(), len(machines), tasks):
+            kind, a, b = machines[k]
+            at = np.arange(len(got)) if kind == "family" else np.flatnonzero((langs == a) | (langs == b))
+            y = np.where((groups if kind == "family" else langs)[at] == a, 1, -1)
+            w, bias = linear.fit_hinge([slots[i] for i in at], [shares[i] for i in at], y, DIM, c=c, epochs=epochs, seed=seed)
+            out.append({"machine": k, "bias": float(bias), "w": (SCALE * w).astype(np.float32).tobytes()})
+        return pa.Table.from_pylist(out, pa.schema([("machine", pa.int32()), ("bias", pa.float64()), ("w", pa.binary())]))
 
     return fit
 
 
-def fit_languages(documents: DataFrame, train: Column | None = None, per_language: int = 400, max_languages: int = 64,
-                  families: dict | None = None, seed: int = 4, c: float = 10.0, epochs: int = 15) -> dict:
+def fit_languages(documents: DataFrame, train: Column | None = None, per_language: int = 400, families: dict | None = None,
+                  seed: int = 4, c: float = 10.0, epochs: int = 15, max_tasks: int = 16) -> dict:
     families = FAMILIES if families is None else families
+    family_of = {lang: name for name, langs in families.items() for lang in langs}
     rows = documents.filter("doc_id is not null and lang is not null and text is not null")
     if train is not None:
         rows = rows.filter(train)
-    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages).collect()
     pick = Window.partitionBy("lang").orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id")
-    sample = (rows.filter(F.col("lang").isin([r["lang"] for r in counts])).select("doc_id", "lang").distinct()
+    sample = (rows.select("doc_id", "lang").distinct()
               .withColumn("_nth", F.row_number().over(pick)).filter(F.col("_nth") <= per_language)
               .select("doc_id", F.col("lang").alias("label")))
     texts = (documents.select("doc_id", F.col("lang").alias("label"), "text")
-             .join(F.broadcast(sample), ["doc_id", "label"])  # max_languages * per_language rows at most
+             .join(sample, ["doc_id", "label"])
              .groupBy("doc_id", "label").agg(F.min("text").alias("text")))
-    got = texts.repartition(1).mapInArrow(_fit(families, seed, c, epochs),
-                                          "kind string, a string, b string, bias double, w binary").collect()
-    family_of = {lang: name for name, langs in families.items() for lang in langs}
-    fam = [r for r in got if r["kind"] == "family"]
-    pairs = [r for r in got if r["kind"] == "pair"]
-    only = {r["b"]: r["a"] for r in got if r["kind"] == "only"}
-    used = fam + pairs
+    profiles = common.materialize(
+        texts.mapInArrow(_profiles, "doc_id long, label string, slots binary, shares binary"), "profiles")
+    langs = [r["label"] for r in profiles.select("label").distinct().collect()]
+    machines = _machines(langs, family_of)
+    tasks = min(max_tasks, len(machines))
+    got = []
+    if machines:
+        # the rows a task needs: all for a family, else those of its pairs
+        needs = {(k % tasks, x) for k, (kind, a, b) in enumerate(machines) for x in (langs if kind == "family" else (a, b))}
+        dealt = documents.sparkSession.createDataFrame(sorted(needs), "task int, label string")
+        got = (profiles.join(F.broadcast(dealt), "label").groupBy("task")  # max_tasks rows a language at most
+               .applyInArrow(_fit(machines, family_of, tasks, seed, c, epochs), "machine int, bias double, w binary").collect())
+        got.sort(key=lambda r: r["machine"])
+    names = sorted({family_of.get(x, "=" + x) for x in langs})
+    n_family = sum(kind == "family" for kind, _, _ in machines)
+    alone = {g: [x for x in langs if family_of.get(x, "=" + x) == g] for g in names}
     return {
-        "w": np.stack([np.frombuffer(r["w"], np.float32) for r in used], axis=1) if used else np.zeros((DIM, 0), np.float32),
-        "bias": np.array([r["bias"] for r in used]),
-        "families": [r["a"] for r in fam] or sorted(only) or sorted({family_of.get(r["a"], "=" + r["a"]) for r in pairs}),
-        "n_family": len(fam),
-        "pairs": [(len(fam) + i, family_of.get(r["a"], "=" + r["a"]), r["a"], r["b"]) for i, r in enumerate(pairs)],
-        "only": only,
+        "w": np.stack([np.frombuffer(r["w"], np.float32) for r in got], axis=1) if got else np.zeros((DIM, 0), np.float32),
+        "bias": np.array([r["bias"] for r in got]),
+        "families": names,
+        "n_family": n_family,
+        "pairs": [(k, family_of.get(a, "=" + a), a, b) for k, (kind, a, b) in enumerate(machines) if kind == "pair"],
+        "only": {g: own[0] for g, own in alone.items() if len(own) == 1},
     }
 
 

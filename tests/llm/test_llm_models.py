@@ -179,6 +179,16 @@ def test_few_languages(spark, langs):
     assert all(r.lang_pred == x for r, x in zip(sorted(rows, key=lambda r: r.doc_id), langs * 20))
 
 
+def test_more_languages_than_64(spark):
+    rng = random.Random(10)
+    langs = [f"l{i:02}" for i in range(68)] + ["en", "de"]
+    own = {x: ["".join(rng.choice(chr(97 + i % 26) + chr(97 + i // 26) + "xyz") for _ in range(5)) for _ in range(9)] for i, x in enumerate(langs)}
+    data = [(i, sentences(rng, own[x], 30), x, None, 0) for i, x in enumerate(langs * 6)]
+    got = {r.doc_id: r.lang_pred for r in op04_language.languages(frame(spark, data)).collect()}
+    assert set(got.values()) == set(langs)
+    assert np.mean([got[i] == x for i, x in enumerate(langs * 6)]) > 0.97
+
+
 # -- the common parts --------------------------------------------------------------
 
 def test_hinge_fit_separates():
