@@ -40,6 +40,7 @@ FAMILIES = {
 DIM = 1 << 16
 ORDERS = (1, 2, 3)
 SCALE = 20.0
+SLICE = 1 << 20  # places times machines that are summed at once
 
 
 def _grams(buf: np.ndarray, order: int) -> np.ndarray:
@@ -144,17 +145,23 @@ def fit_languages(documents: DataFrame, train: Column | None = None, per_languag
 def _margins(texts: pa.Array, model: dict) -> np.ndarray:
     """A margin of each text for each machine: the mean weight of its n-grams."""
     w = model["w"]
+    step = max(256, SLICE // max(1, w.shape[1]))
     out = np.zeros((len(texts), w.shape[1]))
     for row, end, buf, offs in ta.blocks(texts, 1 << 18):
         total = np.zeros((end - row, w.shape[1]))
         count = np.zeros(end - row)
         for order in ORDERS:
-            run = np.zeros((max(0, len(buf) - order + 1) + 1, w.shape[1]))
-            np.cumsum(w[_grams(buf, order)], axis=0, dtype=np.float64, out=run[1:])
-            lo = np.minimum(offs[:-1], len(run) - 1)
-            hi = np.maximum(lo, np.minimum(offs[1:] - order + 1, len(run) - 1))
-            total += run[hi] - run[lo]
-            count += hi - lo
+            n = max(0, len(buf) - order + 1)
+            first = np.minimum(offs[:-1], n)
+            last = np.maximum(first, np.minimum(offs[1:] - order + 1, n))
+            count += last - first
+            for at in range(0, n, step):
+                to = min(at + step, n)
+                run = np.zeros((to - at + 1, w.shape[1]))
+                np.cumsum(w[_grams(buf[at: to + order - 1], order)], axis=0, dtype=np.float64, out=run[1:])
+                # the texts with a place in this slice
+                rows = slice(int(np.searchsorted(offs, at, side="right")) - 1, int(np.searchsorted(offs, to, side="left")))
+                total[rows] += run[np.clip(last[rows], at, to) - at] - run[np.clip(first[rows], at, to) - at]
         out[row:end] = total / np.maximum(count, 1)[:, None]
     return out + model["bias"]
 

@@ -1,6 +1,7 @@
 """Classifiers on held-out rows, deobfuscation, and their edge cases."""
 
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -179,6 +180,25 @@ def test_few_languages(spark, langs):
     assert all(r.lang_pred == x for r, x in zip(sorted(rows, key=lambda r: r.doc_id), langs * 20))
 
 
+def test_margins_of_a_long_text_in_bounded_memory(monkeypatch):
+    rng = np.random.default_rng(3)
+    model = {"w": rng.normal(size=(op04_language.DIM, 30)).astype(np.float32), "bias": np.zeros(30)}
+    texts = pa.array(["", "ab", None, "a text", "x" * 700 + " y" * 300, "c", "words and more words " * 40])
+    got = op04_language._margins(texts, model)
+    for t, m in zip(texts.to_pylist(), got, strict=True):
+        b = np.frombuffer((t or "").encode(), np.uint8)
+        slots = np.concatenate([op04_language._grams(b, k) for k in op04_language.ORDERS])
+        assert np.allclose(m, model["w"][slots].astype(float).mean(axis=0) if len(slots) else 0.0)
+    monkeypatch.setattr(op04_language, "SLICE", 1)
+    assert np.allclose(op04_language._margins(texts, model), got)
+    monkeypatch.undo()
+    tracemalloc.start()
+    op04_language._margins(pa.array(["some words " * 100_000]), model)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 64 << 20
+
+
 def test_more_languages_than_64(spark):
     rng = random.Random(10)
     langs = [f"l{i:02}" for i in range(68)] + ["en", "de"]
