@@ -15,6 +15,9 @@ from postflow.llm import (
     op08_decontamination,
     op09_toxicity,
     op10_quality,
+    op11_divergence,
+    op12_url_filter,
+    op13_conversation,
 )
 from postflow.llm.common import table
 
@@ -60,11 +63,142 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_divergence_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op11_divergence.divergence(table(spark, sf_dir, "documents"), least_docs=3, top=200)
+
+
+# Host, path, verdict of the rules that the query applies.
+URL_RULES = (
+    ("com", "/", "allow"),
+    ("example.com", "/en/", "block"),
+    ("www.example.com", "/en/", "allow"),
+    ("net", "/es/", "block"),
+    ("net", "/fr/", "block"),
+)
+
+
+def op12_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return op12_url_filter.judge_urls(table(spark, sf_dir, "pages"), rules)
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op13_conversation.repair_damaged(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_sharding, op2_exact_dedup, op3_suffix_dedup, op4_language_id, op5_mixing, op6_near_dedup,
-    op7_substring_dedup, op8_decontamination, op9_toxicity, op10_quality_classifier)}
+    op7_substring_dedup, op8_decontamination, op9_toxicity, op10_quality_classifier,
+    op11_divergence_audit, op12_url_filters, op13_conversation_repair)}
+
+
+def _state(of: str, cost: str, letter: str, line: str = "''") -> str:
+    """SQL of a state of the repair after one more edit."""
+    return f"{{'c': {of}.c + {cost}, 'a': {of}.a || '{letter}', 'r': {of}.r || {line}}}"
+
+
+def _least(*states: str) -> str:
+    return f"list_min([{', '.join(states)}])"
+
+
+def _when(role: str, of: str) -> str:
+    """SQL of keeping a row of this role."""
+    return f"CASE WHEN NOT gone AND ini = '{role}' THEN {_state(of, 'extra', 'K', 'chr(10) || role || chr(58) || text')} END"
+
+
+def _reroled(role: str, of: str) -> str:
+    return f"CASE WHEN NOT gone THEN {_state(of, '1 + extra', 'R', f'chr(10) || {chr(39)}{role}:{chr(39)} || text')} END"
+
+
+def _inserted(role: str, of: str) -> str:
+    return _state(of, "5", "I", f"chr(10) || '{role}:'")
+
 
 ORACLES = {
+    "op11_divergence_audit": r"""
+        WITH d AS (
+          SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                 regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                   '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+        o AS (SELECT id, lang, source, unnest(w) AS term FROM d),
+        k AS (SELECT lang, term FROM o GROUP BY ALL HAVING count(DISTINCT id) >= 3),
+        c AS (SELECT lang, source, term, count(*) AS n FROM o JOIN k USING (lang, term) GROUP BY ALL),
+        g AS (SELECT lang, source, coalesce(any_value(t.n), 0) AS n, coalesce(any_value(v.v), 0) AS v
+              FROM (SELECT DISTINCT lang, source FROM d)
+              LEFT JOIN (SELECT lang, source, sum(n) AS n FROM c GROUP BY ALL) t USING (lang, source)
+              LEFT JOIN (SELECT lang, count(*) AS v FROM k GROUP BY ALL) v USING (lang) GROUP BY ALL),
+        l AS (SELECT lang, sum(n) AS n FROM g GROUP BY ALL),
+        p AS (SELECT lang, source, term, coalesce(c.n, 0) AS n,
+                     1 + (1000000000 * (coalesce(c.n, 0) + 1)::HUGEINT) // (g.n + g.v)::HUGEINT AS p
+              FROM g JOIN k USING (lang) LEFT JOIN c USING (lang, source, term)),
+        q AS (SELECT lang, term, 1 + (1000000000 * (any_value(s) + 1)::HUGEINT) // (any_value(l.n) + count(*) OVER (PARTITION BY lang))::HUGEINT AS q
+              FROM (SELECT lang, term, sum(n) AS s FROM c GROUP BY ALL) JOIN l USING (lang) GROUP BY lang, term),
+        pairs AS (
+          SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(any_value(f.value), 0)::BIGINT AS value
+          FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+          LEFT JOIN (SELECT x.lang, x.source, y.source AS item, sum((x.p - y.p) * (x.p - y.p) // y.p) AS value
+                     FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL) f
+            ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+          GROUP BY a.lang, a.source, b.source),
+        terms AS (
+          SELECT lang, source, 'term' AS part, term AS item, ((p - q) * (p - q) // q)::BIGINT AS value
+          FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q),
+        r AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item))::INTEGER AS rank
+              FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
+        SELECT * FROM r WHERE part = 'pair' OR rank <= 200""",
+    "op12_url_filters": r"""
+        WITH u AS (SELECT page_id, strpos(coalesce(url, ''), '://') AS mark, url FROM pages),
+        h AS (SELECT page_id, CASE WHEN mark > 0 THEN substr(url, mark + 3) ELSE '' END AS rest FROM u),
+        s AS (SELECT page_id, regexp_extract(rest, '^[^/?#]*') AS raw, rest FROM h),
+        p AS (SELECT page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                     regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path FROM s),
+        r(h, f, v) AS (VALUES {rules}),
+        b AS (SELECT page_id, host, path, arg_max({'rule': h || f, 'v': v}, length(h || f) * 1000 + length(h)) AS best
+              FROM p LEFT JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, f) GROUP BY ALL)
+        SELECT page_id, host, path, best.rule AS rule, coalesce(best.v, 'allow') AS verdict FROM b"""
+    .replace("{rules}", ", ".join(map(str, URL_RULES))),
+    "op13_conversation_repair": rf"""
+        WITH RECURSIVE t AS (
+          SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0],
+                   lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)) AS crc),
+        b AS (SELECT dense_rank() OVER (ORDER BY conv_id) AS g, conv_id, turn, coalesce(role, ' ') AS role,
+                     coalesce(text, ' ') AS text,
+                     coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key
+              FROM conversations),
+        k AS (SELECT b.*, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(key, ''), lambda c: ascii(c)::BIGINT)),
+                     lambda x, c: xor(x >> 8, t.crc[1 + (xor(x, c) & 255)])), 4294967295) % 20 AS kind FROM b, t),
+        m AS (SELECT g, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role,
+                     CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+                     unnest(generate_series(1, CASE kind WHEN 3 THEN 2 ELSE 1 END)) AS copy
+              FROM k WHERE kind <> 0),
+        o AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY turn NULLS FIRST, role, sha256(text), copy) AS i,
+                     rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS shown FROM m),
+        f AS (SELECT *, shown = '' AS blank,
+                     shown <> '' AND row_number() OVER (PARTITION BY g, role, text ORDER BY i) > 1 AS dup,
+                     right(shown, 1) NOT IN ('.', '!', '?') AS cut, left(role, 1) AS ini,
+                     lag(left(role, 1)) OVER (PARTITION BY g ORDER BY i) AS prev FROM o),
+        r AS (SELECT g, i, role, text, ini, blank OR dup AS gone, CASE WHEN cut THEN 5 ELSE 0 END AS extra FROM f),
+        dp AS (
+          SELECT DISTINCT g, 0::BIGINT AS i, {{'c': 0::BIGINT, 'a': '', 'r': ''}} AS s0, {{'c': 999999::BIGINT, 'a': '', 'r': ''}} AS s1,
+                 {{'c': 999999::BIGINT, 'a': '', 'r': ''}} AS s2, {{'c': 999999::BIGINT, 'a': '', 'r': ''}} AS s3 FROM b
+          UNION ALL
+          SELECT g, i, {_state('s0', '2', 'D')}, {_least(_state('s1', '2', 'D'), _when('s', 's0'))},
+                 {_least(_state('u2', '2', 'D'), *(f(x, y) for f, x in ((_when, 'u'), (_reroled, 'user')) for y in ('s0', 's1', 'u3')))},
+                 {_least(_state('u3', '2', 'D'), _when('a', 'u2'), _reroled('assistant', 'u2'))}
+          FROM (SELECT x.*, {_least('s3', _inserted('assistant', 'u2'))} AS u3
+                FROM (SELECT r.*, s0, s1, s2, s3, {_least('s2', *(_inserted('user', x) for x in ('s0', 's1', 's3')))} AS u2
+                      FROM dp JOIN r ON r.g = dp.g AND r.i = dp.i + 1) x)),
+        z AS (SELECT g, {_least('s3', _inserted('assistant', 'u2'), 's0')} AS best
+              FROM (SELECT *, {_least('s2', *(_inserted('user', x) for x in ('s0', 's1', 's3')))} AS u2 FROM dp
+                    QUALIFY i = max(i) OVER (PARTITION BY g))),
+        n AS (SELECT g, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count_if(blank) AS blank,
+                     count_if(dup) AS duplicate, count_if(NOT blank AND NOT dup AND cut) AS truncated,
+                     count_if(prev IS NOT NULL AND prev || ini NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY g)
+        SELECT conv_id, coalesce(gaps, 0) AS gaps, CAST(coalesce(n.blank, 0) AS BIGINT) AS blank,
+               CAST(coalesce(duplicate, 0) AS BIGINT) AS duplicate, CAST(coalesce(truncated, 0) AS BIGINT) AS truncated,
+               CAST(coalesce(illegal, 0) AS BIGINT) AS illegal, best.c AS cost, best.a AS audit,
+               sha256(substr(best.r, 2)) AS repaired_sha256
+        FROM (SELECT DISTINCT g, conv_id FROM b) JOIN z USING (g) LEFT JOIN n USING (g)""",
     "op2_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER t AS keep_id, count(*) OVER t AS group_size,
                doc_id = max(doc_id) OVER t AS kept, sha256(coalesce(text, '')) AS text_sha256
