@@ -44,6 +44,39 @@ def ascii_lower(col: Column) -> Column:
         F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
 
 
+NO_ID = -(1 << 63)  # stands for a null doc_id: the smallest
+BITS = 1 << 26
+
+
+def one_of(bits: DataFrame, value: Column) -> tuple[Column, Column]:
+    """Join condition and test of a value against `bits_of` some values: false only
+    where it is none of them."""
+    bit = F.pmod(F.xxhash64(value), F.lit(BITS))
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 64).cast("int"))
+    return bits["slot"] == F.floor(bit / 64), F.coalesce(bits["bits"].bitwiseAND(one) != 0, F.lit(False))
+
+
+def bits_of(values: DataFrame, value: Column) -> DataFrame:
+    """A bitmap of a column of values, 64 bits a row: at most BITS / 64 rows (so it can be
+    broadcast), however many values there are."""
+    bit = F.pmod(F.xxhash64(value), F.lit(BITS))
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("bit") % 64).cast("int"))
+    return (values.select(bit.alias("bit")).groupBy(F.floor(F.col("bit") / 64).alias("slot"))
+            .agg(F.bit_or(one).alias("bits")))
+
+
+def told_apart(documents: DataFrame) -> DataFrame:
+    """key, tag, text of every document: key is its doc_id (NO_ID for null), tag tells rows
+    of one doc_id apart: 64 bits of the text's hash where the id is null or may stand in
+    several rows, else 0."""
+    ids = documents.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1")
+    shared = bits_of(ids, F.col("doc_id"))
+    where, found = one_of(shared, F.col("doc_id"))
+    tag = F.when(F.col("doc_id").isNull() | found, F.xxhash64("text")).otherwise(F.lit(0))
+    return documents.select("doc_id", "text").join(F.broadcast(shared), where, "left").select(
+        F.coalesce("doc_id", F.lit(NO_ID)).alias("key"), tag.cast("long").alias("tag"), "text")
+
+
 def crc_mod(doc_id: Column, n: int) -> Column:
     """crc32 of doc_id written as decimal text, modulo n (null doc_id: of '')."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n

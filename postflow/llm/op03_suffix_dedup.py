@@ -23,9 +23,9 @@ a smaller doc_id is removed.
 Windows are compared byte by byte; whole stretches by 128 bits of hash.
 
 Defined results. Null text counts as empty. Texts shorter than a window: nothing
-removed. Rows that share a doc_id count as one document (repeated rows get one
-result each); a null doc_id is the smallest. Empty table: no rows. Other columns
-are not read.
+removed. Rows that share a doc_id cut nothing from each other, and each is cut by
+its own text alone (64 bits of its hash tell them apart); a null doc_id is the
+smallest. Empty table: no rows. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -40,6 +40,7 @@ from pyspark.sql import functions as F
 
 from postflow.llm import runs
 from postflow.llm import textarrays as ta
+from postflow.llm.common import NO_ID, told_apart
 
 GRAM = 24
 BUCKETS_PER_PARTITION = 4
@@ -50,7 +51,6 @@ STRETCH_BYTES = 8 << 20  # and bytes of stretches
 _VALUES = ta.byte_values(3)
 _BYTES = ta.SpanHash(0xD1342543DE82EF95)
 _CHECK = ta.SpanHash(0xAF251AF3B0F025B5)
-_NO_ID = -(1 << 63)
 
 
 def _owned(buf: np.ndarray, offs: np.ndarray, window: int):
@@ -77,20 +77,29 @@ def _packed(x: np.ndarray) -> bytes:
     return x.astype(np.uint32 if not len(x) or int(x.max()) < 1 << 32 else np.uint64).tobytes()
 
 
+def _packed_tags(tag: np.ndarray) -> bytes:
+    """Nothing where all are 0, as they are unless rows share ids."""
+    return tag.tobytes() if tag.any() else b""
+
+
+def _unpacked_tags(raw: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(raw, np.int64) if raw else np.zeros(n, np.int64)
+
+
 def _unpacked(raw: bytes, n: int) -> np.ndarray:
     return np.frombuffer(raw, np.uint32 if len(raw) == 4 * n else np.uint64).astype(np.uint64)
 
 
-_ENTRIES = "bucket int, sure boolean, n int, hashes binary, base long, keys binary, many binary"
+_ENTRIES = "bucket int, sure boolean, n int, hashes binary, base long, keys binary, tags binary, many binary"
 
 
 def _sampled(window: int, buckets: int):
-    def pack(bucket, sure, h, key, many):
+    def pack(bucket, sure, h, key, tag, many):
         """One row for each bucket; hashes sorted within it, as differences."""
         if not len(h):
             return []
         order = np.lexsort((h, bucket))
-        bucket, h, key, many = bucket[order], h[order], key[order], many[order]
+        bucket, h, key, tag, many = (x[order] for x in (bucket, h, key, tag, many))
         head = np.flatnonzero(np.diff(bucket, prepend=-1))
         rows = []
         for i, j in zip(head, np.append(head[1:], len(bucket)), strict=True):
@@ -98,95 +107,91 @@ def _sampled(window: int, buckets: int):
             rows.append({"bucket": int(bucket[i]), "sure": sure, "n": int(j - i),
                          "hashes": _packed(np.diff(h[i:j], prepend=np.uint64(0))),
                          "base": int(base), "keys": _packed(key[i:j].view(np.uint64) - base.view(np.uint64)),
-                         "many": np.packbits(many[i:j]).tobytes()})
+                         "tags": _packed_tags(tag[i:j]), "many": np.packbits(many[i:j]).tobytes()})
         return rows
 
     schema = pa.schema([("bucket", pa.int32()), ("sure", pa.bool_()), ("n", pa.int32()), ("hashes", pa.binary()),
-                        ("base", pa.int64()), ("keys", pa.binary()), ("many", pa.binary())])
+                        ("base", pa.int64()), ("keys", pa.binary()), ("tags", pa.binary()), ("many", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hs, ks, n = [], [], 0
+        parts, n = [], 0
         for b in batches:
-            keys = b.column("key").to_numpy()
+            keys, tags = b.column("key").to_numpy(), b.column("tag").to_numpy()
             for row, _, buf, offs in ta.blocks(b.column("text")):
                 _, _, h, _, _, doc = _owned(buf, offs, window)
-                hs.append(h)
-                ks.append(keys[row + doc])
+                parts.append((h, keys[row + doc], tags[row + doc]))
                 n += len(h)
                 if n >= ENTRIES:
-                    yield sent(np.concatenate(hs), np.concatenate(ks))
-                    hs, ks, n = [], [], 0
+                    yield sent(*map(np.concatenate, zip(*parts, strict=True)))
+                    parts, n = [], 0
         if n:
-            yield sent(np.concatenate(hs), np.concatenate(ks))
+            yield sent(*map(np.concatenate, zip(*parts, strict=True)))
 
-    def sent(h, key):
+    def sent(h, key, tag):
         first, many = runs.combine(h)
         by_hash = (h % np.uint64(buckets)).astype(np.int64)
-        by_key = (ta.mix(key.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+        by_key = (ta.mix((key ^ tag).view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
         short = h >> np.uint64(24)  # 40 bits: an owner that only seems to repeat costs work, no result
-        rows = pack(by_hash[first], False, short[first], key[first], many[first])
-        rows += pack(by_key[~first], True, short[~first], key[~first], many[~first])
+        rows = pack(by_hash[first], False, short[first], key[first], tag[first], many[first])
+        rows += pack(by_key[~first], True, short[~first], key[~first], tag[~first], many[~first])
         return pa.RecordBatch.from_pylist(rows, schema)
 
     return run
 
 
 def _repeated(table: pa.Table) -> pa.Table:
-    """key and (32 bits of) hash of a bucket's entries that stand more than once."""
-    hs, ks, ms, out_h, out_k = [], [], [], [], []
+    """key, tag and (32 bits of) hash of a bucket's entries that stand more than once."""
+    seen, out = [], []
     for r in table.to_pylist():
         h = np.cumsum(_unpacked(r["hashes"], r["n"]), dtype=np.uint64)
         k = (_unpacked(r["keys"], r["n"]) + np.int64(r["base"]).view(np.uint64)).view(np.int64)
+        t = _unpacked_tags(r["tags"], r["n"])
         if r["sure"]:
-            out_h.append(h)
-            out_k.append(k)
+            out.append((h, k, t))
         else:
-            hs.append(h)
-            ks.append(k)
-            ms.append(np.unpackbits(np.frombuffer(r["many"], np.uint8), count=r["n"]).astype(bool))
-    if hs:
-        h, k, many = np.concatenate(hs), np.concatenate(ks), np.concatenate(ms)
-        order = np.argsort(h, kind="stable")
-        h, k, many = h[order], k[order], many[order]
+            seen.append((h, k, t, np.unpackbits(np.frombuffer(r["many"], np.uint8), count=r["n"]).astype(bool)))
+    if seen:
+        columns = [np.concatenate(x) for x in zip(*seen, strict=True)]
+        order = np.argsort(columns[0], kind="stable")
+        h, k, t, many = (x[order] for x in columns)
         new = np.ones(len(h), bool)
         new[1:] = h[1:] != h[:-1]
         run = np.cumsum(new) - 1
         hit = ((np.bincount(run) > 1) | (np.bincount(run, weights=many) > 0))[run]
-        out_h.append(h[hit])
-        out_k.append(k[hit])
-    h = np.concatenate(out_h).astype(np.uint32).view(np.int32) if out_h else np.zeros(0, np.int32)
-    k = np.concatenate(out_k) if out_k else np.zeros(0, np.int64)
-    return pa.table({"key": pa.array(k, pa.int64()), "h": pa.array(h, pa.int32())})
+        out.append((h[hit], k[hit], t[hit]))
+    h, k, t = map(np.concatenate, zip(*out, strict=True)) if out else (np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 2)
+    return pa.table({"key": pa.array(k, pa.int64()), "tag": pa.array(t, pa.int64()),
+                     "h": pa.array(h.astype(np.uint32).view(np.int32), pa.int32())})
 
 
-_STRETCH = "bucket int, sure boolean, n int, base long, keys binary, lo binary, size binary, raw int, bytes binary"
+_STRETCH = "bucket int, sure boolean, n int, base long, keys binary, tags binary, lo binary, size binary, raw int, bytes binary"
 _STRETCH_SCHEMA = pa.schema([
     ("bucket", pa.int32()), ("sure", pa.bool_()), ("n", pa.int32()), ("base", pa.int64()), ("keys", pa.binary()),
-    ("lo", pa.binary()), ("size", pa.binary()), ("raw", pa.int32()), ("bytes", pa.binary())])
+    ("tags", pa.binary()), ("lo", pa.binary()), ("size", pa.binary()), ("raw", pa.int32()), ("bytes", pa.binary())])
 
 
 def _stretches(window: int, buckets: int):
-    def pack(sure, bucket, key, lo, start, size, data):
+    def pack(sure, bucket, key, tag, lo, start, size, data):
         """One row for each bucket, its stretches in the order of doc_id."""
         if not len(key):
             return []
-        order = np.lexsort((lo, key, bucket))
-        bucket, key, lo, start, size = (x[order] for x in (bucket, key, lo, start, size))
+        order = np.lexsort((lo, tag, key, bucket))
+        bucket, key, tag, lo, start, size = (x[order] for x in (bucket, key, tag, lo, start, size))
         head = np.flatnonzero(np.diff(bucket, prepend=-1))
         rows = []
         for i, j in zip(head, np.append(head[1:], len(bucket)), strict=True):
             ids = key[i:j].view(np.uint64)
             raw = b"" if sure else data[ta.ranges(start[i:j], size[i:j])].tobytes()
             rows.append({"bucket": int(bucket[i]), "sure": sure, "n": int(j - i), "base": int(key[i]),
-                         "keys": _packed(np.diff(ids, prepend=ids[:1])), "lo": _packed(lo[i:j].astype(np.uint64)),
+                         "keys": _packed(np.diff(ids, prepend=ids[:1])), "tags": _packed_tags(tag[i:j]), "lo": _packed(lo[i:j].astype(np.uint64)),
                          "size": _packed(size[i:j].astype(np.uint64)), "raw": len(raw),
                          "bytes": pa.compress(raw, codec="zstd", asbytes=True) if raw else b""})
         return rows
 
     def sent(parts):
         shift = np.cumsum([0] + [len(x[-1]) for x in parts])
-        h, c, g, key, lo, start, size = (
-            np.concatenate([x[i] + (shift[j] if i == 5 else 0) for j, x in enumerate(parts)]) for i in range(7))
+        h, c, g, key, tag, lo, start, size = (
+            np.concatenate([x[i] + (shift[j] if i == 6 else 0) for j, x in enumerate(parts)]) for i in range(8))
         data = np.concatenate([x[-1] for x in parts])
         order = np.lexsort((key, g, c))
         new = np.ones(len(c), bool)
@@ -195,15 +200,15 @@ def _stretches(window: int, buckets: int):
         later = np.zeros(len(c), bool)
         later[order] = key[order] > key[head]  # of equal stretches the index needs the first alone
         by_hash = (h % np.uint64(buckets)).astype(np.int64)
-        by_key = (ta.mix(key.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
-        rows = pack(False, *(x[~later] for x in (by_hash, key, lo, start, size)), data)
-        rows += pack(True, *(x[later] for x in (by_key, key, lo, start, size)), data)
+        by_key = (ta.mix((key ^ tag).view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+        rows = pack(False, *(x[~later] for x in (by_hash, key, tag, lo, start, size)), data)
+        rows += pack(True, *(x[later] for x in (by_key, key, tag, lo, start, size)), data)
         return pa.RecordBatch.from_pylist(rows, _STRETCH_SCHEMA)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, total = [], 0
         for b in batches:
-            keys, lists = b.column("key").to_numpy(), b.column("hashes")
+            keys, tags, lists = b.column("key").to_numpy(), b.column("tag").to_numpy(), b.column("hashes")
             cut, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
             for row, end, buf, offs in ta.blocks(b.column("text")):
                 run_, _, h, start, count, doc = _owned(buf, offs, window)
@@ -222,7 +227,7 @@ def _stretches(window: int, buckets: int):
                 g = (_CHECK.spans(check, start, stop) >> np.uint64(32)).astype(np.uint32)
                 size = stop - start
                 data = buf[ta.ranges(start, size)]
-                parts.append((h, c, g, keys[row + doc], start - offs[doc], np.cumsum(size) - size, size, data))
+                parts.append((h, c, g, keys[row + doc], tags[row + doc], start - offs[doc], np.cumsum(size) - size, size, data))
                 total += len(data)
                 if total >= STRETCH_BYTES:
                     yield sent(parts)
@@ -278,7 +283,7 @@ def _first_of_runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarr
 def _indexed(window: int):
     wide = np.dtype(f"S{window}")
 
-    def batch(key, lo, size, raw, whole: Levels, family: Levels) -> list[tuple]:
+    def batch(key, tag, lo, size, raw, whole: Levels, family: Levels) -> list[tuple]:
         cut = np.concatenate([[0], np.cumsum(size)])
         hashes = [x.spans(x.prefix(_VALUES[raw]), cut[:-1], cut[1:]) for x in (_BYTES, _CHECK)]
         c = np.stack([hashes[0], hashes[1]], axis=1).astype(">u8").view("S16").ravel()
@@ -289,14 +294,15 @@ def _indexed(window: int):
         covered = np.empty(len(c), bool)
         covered[order] = first[run] < key[order]
         whole.add(c[order][head[~found]], key[order][head[~found]])
-        spans = [(key[covered], lo[covered], lo[covered] + size[covered])]
+        spans = [(key[covered], tag[covered], lo[covered], lo[covered] + size[covered])]
         # the others, window by window
         some = np.flatnonzero(~covered)
         if len(some):
             n = size[some] - window + 1
             at = ta.ranges(cut[:-1][some], n)
             text = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(raw, window)[at]).view(wide).ravel()
-            of = np.repeat(key[some], n)
+            row = np.repeat(some, n)
+            of = key[row]
             place = ta.ranges(lo[some], n)
             order, head, run = _first_of_runs(text)  # the suffix array of the batch
             text = text[order][head]
@@ -305,40 +311,39 @@ def _indexed(window: int):
             gone = np.empty(len(of), bool)
             gone[order] = first[run] < of[order]
             family.add(text[~found], of[order][head[~found]])
-            k, p = of[gone], place[gone]
-            if len(k):
-                edge = np.ones(len(k), bool)
-                edge[1:] = (k[1:] != k[:-1]) | (p[1:] != p[:-1] + 1)
+            r, p = row[gone], place[gone]
+            if len(r):
+                edge = np.ones(len(r), bool)
+                edge[1:] = (r[1:] != r[:-1]) | (p[1:] != p[:-1] + 1)
                 a = np.flatnonzero(edge)
-                z = np.append(a[1:], len(k)) - 1
-                spans.append((k[a], p[a], p[z] + window))
+                z = np.append(a[1:], len(r)) - 1
+                spans.append((key[r[a]], tag[r[a]], p[a], p[z] + window))
         return spans
 
     def run(table: pa.Table) -> pa.Table:
-        keys, los, sizes, raws, spans = [], [], [], [], []
+        parts, spans = [], []
         for r in table.to_pylist():
             n = r["n"]
             key = (np.cumsum(_unpacked(r["keys"], n), dtype=np.uint64) + np.int64(r["base"]).view(np.uint64)).view(np.int64)
+            tag = _unpacked_tags(r["tags"], n)
             lo, size = (_unpacked(r[x], n).astype(np.int64) for x in ("lo", "size"))
             if r["sure"]:
-                spans.append((key, lo, lo + size))
+                spans.append((key, tag, lo, lo + size))
             else:
-                keys.append(key)
-                los.append(lo)
-                sizes.append(size)
-                raws.append(np.frombuffer(pa.decompress(r["bytes"], r["raw"], codec="zstd", asbytes=True), np.uint8))
-        if keys:
-            key, lo, size, raw = (np.concatenate(x) for x in (keys, los, sizes, raws))
+                raw = pa.decompress(r["bytes"], r["raw"], codec="zstd", asbytes=True)
+                parts.append((key, tag, lo, size, np.frombuffer(raw, np.uint8)))
+        if parts:
+            key, tag, lo, size, raw = map(np.concatenate, zip(*parts, strict=True))
             start = np.cumsum(size) - size
-            order = np.lexsort((lo, key))
-            key, lo, size, start = key[order], lo[order], size[order], start[order]
+            order = np.lexsort((lo, tag, key))
+            key, tag, lo, size, start = (x[order] for x in (key, tag, lo, size, start))
             whole, family = Levels(), Levels()
             cut = np.searchsorted(np.cumsum(size), np.arange(0, int(size.sum()), INDEX_BYTES))
             for i, j in zip(cut, np.append(cut[1:], len(key)), strict=True):
                 if i < j:
-                    spans += batch(key[i:j], lo[i:j], size[i:j], raw[ta.ranges(start[i:j], size[i:j])], whole, family)
-        k, a, z = (np.concatenate(x) for x in zip(*spans, strict=True)) if spans else (np.zeros(0, np.int64),) * 3
-        return pa.table({"key": pa.array(k, pa.int64()), "lo": pa.array(a.astype(np.int32)), "hi": pa.array(z.astype(np.int32))})
+                    spans += batch(*(x[i:j] for x in (key, tag, lo, size)), raw[ta.ranges(start[i:j], size[i:j])], whole, family)
+        k, t, a, z = map(np.concatenate, zip(*spans, strict=True)) if spans else (np.zeros(0, np.int64),) * 4
+        return pa.table({"key": pa.array(k, pa.int64()), "tag": pa.array(t, pa.int64()), "lo": pa.array(a.astype(np.int32)), "hi": pa.array(z.astype(np.int32))})
 
     return run
 
@@ -370,24 +375,23 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
              pa.array(digests, pa.string())], ["key", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
-def earlier_spans(documents: DataFrame, window: int = 50) -> DataFrame:
-    """key (doc_id), lo, hi: byte ranges whose windows also start in an earlier document."""
-    spark = documents.sparkSession
-    docs = documents.select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("key"), "text")
-    buckets = BUCKETS_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
+def earlier_spans(docs: DataFrame, window: int = 50) -> DataFrame:
+    """key, tag, lo, hi of rows (key, tag, text): byte ranges whose windows also start in
+    an earlier document."""
+    buckets = BUCKETS_PER_PARTITION * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     repeated = (docs.mapInArrow(_sampled(window, buckets), _ENTRIES)
-                .groupBy("bucket").applyInArrow(_repeated, "key long, h int")
-                .groupBy("key").agg(F.collect_list("h").alias("hashes")))
-    return (docs.join(repeated.hint("shuffle_hash"), "key").select("key", "text", "hashes")
+                .groupBy("bucket").applyInArrow(_repeated, "key long, tag long, h int")
+                .groupBy("key", "tag").agg(F.collect_list("h").alias("hashes")))
+    return (docs.join(repeated.hint("shuffle_hash"), ["key", "tag"]).select("key", "tag", "text", "hashes")
             .mapInArrow(_stretches(window, buckets), _STRETCH)
-            .groupBy("bucket").applyInArrow(_indexed(window), "key long, lo int, hi int"))
+            .groupBy("bucket").applyInArrow(_indexed(window), "key long, tag long, lo int, hi int"))
 
 
 def remove_repeats(documents: DataFrame, window: int = 50) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document."""
-    docs = documents.select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("key"), "text")
-    spans = runs.gathered(earlier_spans(documents, window))
-    return (docs.join(spans.hint("shuffle_hash"), "key", "left").select("key", "text", "spans")
+    docs = told_apart(documents)
+    spans = runs.gathered(earlier_spans(docs, window))
+    return (docs.join(spans.hint("shuffle_hash"), ["key", "tag"], "left").select("key", "text", "spans")
             .mapInArrow(_kept, "key long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
-            .select(F.when(F.col("key") != _NO_ID, F.col("key")).alias("doc_id"), "n_bytes", "n_removed", "n_spans",
+            .select(F.when(F.col("key") != NO_ID, F.col("key")).alias("doc_id"), "n_bytes", "n_removed", "n_spans",
                     "kept_sha256"))

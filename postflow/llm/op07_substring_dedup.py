@@ -1,11 +1,13 @@
 """Substring dedup by level-wise doubling of word windows.
 
-Level 1 looks at windows of half the length. Of these only the sampled ones are
-compared: each full-length window has an owner among the short windows in it
-(the one of smallest hash), the same in equal windows, so all repeated full
-windows have repeated owners. Only short windows that occur again survive.
-Level 2 doubles the length around the survivors alone: the full windows that
-they own are compared, and every place but a window's first is covered.
+Level 1 looks at windows of a quarter of the length (5 words of 20). Of these only
+the sampled ones are compared: each full-length window has an owner among the short
+windows in it (the one of smallest hash), the same in equal windows, so all
+repeated full windows have repeated owners. Only short windows that occur again
+survive. Each further level doubles the length around the survivors alone: the full
+windows that they own have owners of twice the length, which are compared in turn,
+and at the last level the full windows themselves, of which every place but the
+first is covered. Levels end early where nothing survives: the next have no rows.
 
 A level is one exchange by hash: a task sends each of its distinct windows once
 (it can tell for itself that the others repeat), so a passage that a third of
@@ -13,9 +15,9 @@ all texts share costs a row for each task; the receiving side scans sorted rows
 and keeps one of them in memory. Full windows are compared by 96 bits of hash.
 
 Defined results. Null, empty or blank text, or fewer words than a window: nothing
-removed. Rows that share a doc_id count as one document (repeated rows get one
-result each); a null doc_id is the smallest. Empty table: no rows. Other columns
-are not read.
+removed. Rows that share a doc_id are documents of their own, in the order of 64 bits
+of their text's hash, and rows of equal text too get one result each; a null doc_id
+is the smallest. Empty table: no rows. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -30,6 +32,7 @@ from pyspark.sql import functions as F
 
 from postflow.llm import runs
 from postflow.llm import textarrays as ta
+from postflow.llm.common import NO_ID, told_apart
 
 _VALUES = ta.byte_values(7)
 _BYTES = ta.SpanHash(0x9FB21C651E98DF25)
@@ -51,24 +54,37 @@ def _owned(buf: np.ndarray, offs: np.ndarray, window: int, part: int):
     return bounds, word, run, short, start, owner[start] if len(start) else start
 
 
-def _sampled(window: int, part: int):
+def _alive(words: int, bounds: np.ndarray, batch: pa.RecordBatch, row: int, end: int) -> np.ndarray:
+    """Which words of a block begin a surviving short window (column `at`)."""
+    lists = batch.column("at")
+    cut, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+    alive = np.zeros(words + 1, bool)
+    for d in range(end - row):
+        at = bounds[d] + flat[cut[row + d]: cut[row + d + 1]]
+        alive[at[at < bounds[d + 1]]] = True
+    return alive
+
+
+def _sampled(window: int, part: int, before: int | None):
+    """Owners of `part` words of the full windows; of those alone whose owner of `before`
+    words has survived, past the first level."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys = b.column("key").to_numpy()
-            h, key, place = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
-            for row, _, buf, offs in ta.blocks(b.column("text")):
-                bounds, _, _, short, _, owner = _owned(buf, offs, window, part)
+            keys, tags = b.column("key").to_numpy(), b.column("tag").to_numpy()
+            parts = [(np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 2, np.zeros(0, np.int32))]
+            for row, end, buf, offs in ta.blocks(b.column("text")):
+                bounds, word, _, short, _, owner = _owned(buf, offs, window, part)
+                if before:
+                    owner = owner[_alive(len(word), bounds, b, row, end)[_owned(buf, offs, window, before)[-1]]]
                 owner = owner[np.diff(owner, prepend=-1) != 0]
                 doc = np.searchsorted(bounds, owner, side="right") - 1
-                h.append(short[owner])
-                key.append(keys[row + doc])
-                place.append((owner - bounds[doc]).astype(np.int32))
-            h, key, place = np.concatenate(h), np.concatenate(key), np.concatenate(place)
+                parts.append((short[owner], keys[row + doc], tags[row + doc], (owner - bounds[doc]).astype(np.int32)))
+            h, key, tag, place = map(np.concatenate, zip(*parts, strict=True))
             first, many = runs.combine(h)
             # of a value this task has seen before, only the first is sent to be compared
             yield pa.RecordBatch.from_arrays(
-                [pa.array(h.view(np.int64), mask=~first), pa.array(many), pa.array(key), pa.array(place)],
-                ["h", "many", "key", "at"])
+                [pa.array(h.view(np.int64), mask=~first), pa.array(many), pa.array(key), pa.array(tag), pa.array(place)],
+                ["h", "many", "key", "tag", "at"])
 
     return run
 
@@ -76,47 +92,40 @@ def _sampled(window: int, part: int):
 def _doubled(window: int, part: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys, lists = b.column("key").to_numpy(), b.column("at")
-            cut = lists.offsets.to_numpy()
-            flat = lists.values.to_numpy()
-            h, g, key, place = [np.zeros(0, np.uint64)], [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            keys, tags = b.column("key").to_numpy(), b.column("tag").to_numpy()
+            parts = [(np.zeros(0, np.uint64), np.zeros(0, np.int32), *[np.zeros(0, np.int64)] * 3)]
             for row, end, buf, offs in ta.blocks(b.column("text")):
                 bounds, word, prefix, _, start, owner = _owned(buf, offs, window, part)
-                alive = np.zeros(len(word) + 1, bool)
-                for d in range(end - row):
-                    at = bounds[d] + flat[cut[row + d]: cut[row + d + 1]]
-                    alive[at[at < bounds[d + 1]]] = True
-                start = start[alive[owner]]
+                start = start[_alive(len(word), bounds, b, row, end)[owner]]
                 doc = np.searchsorted(bounds, start, side="right") - 1
-                h.append(_WORDS.spans(prefix, start, start + window))
-                check = _CHECK.prefix(word)
-                g.append((_CHECK.spans(check, start, start + window) >> np.uint64(32)).astype(np.uint32).view(np.int32))
-                key.append(keys[row + doc])
-                place.append(start - bounds[doc])
-            h, g, key, place = (np.concatenate(x) for x in (h, g, key, place))
-            order = np.lexsort((place, key, g, h))
+                check = _CHECK.spans(_CHECK.prefix(word), start, start + window) >> np.uint64(32)
+                parts.append((_WORDS.spans(prefix, start, start + window), check.astype(np.uint32).view(np.int32),
+                              keys[row + doc], tags[row + doc], start - bounds[doc]))
+            h, g, key, tag, place = map(np.concatenate, zip(*parts, strict=True))
+            order = np.lexsort((place, tag, key, g, h))
             new = np.ones(len(h), bool)
             new[1:] = (h[order][1:] != h[order][:-1]) | (g[order][1:] != g[order][:-1])
             first = order[np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))] if len(h) else order
             later = np.zeros(len(h), bool)
-            later[order] = (key[order] != key[first]) | (place[order] != place[first])
+            later[order] = (key[order] != key[first]) | (tag[order] != tag[first]) | (place[order] != place[first])
             # one row for each distinct window, in the order of the texts (ids and places pack well)
             new = np.sort(order[new])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(h[new].view(np.int64)), pa.array(g[new]), pa.array(key[new]),
+                [pa.array(h[new].view(np.int64)), pa.array(g[new]), pa.array(key[new]), pa.array(tag[new]),
                  pa.array(place[new].astype(np.int32)), pa.array(np.ones(len(new), np.int32))],
-                ["h", "g", "key", "lo", "n"])
+                ["h", "g", "key", "tag", "lo", "n"])
             # the others are covered, whatever other tasks hold: sent on as ranges of starts
-            key, place = key[later], place[later]
-            order = np.lexsort((place, key))
-            key, place = key[order], place[order]
+            key, tag, place = key[later], tag[later], place[later]
+            order = np.lexsort((place, tag, key))
+            key, tag, place = key[order], tag[order], place[order]
             head = np.ones(len(key), bool)
-            head[1:] = (key[1:] != key[:-1]) | (place[1:] > place[:-1] + 1)
+            head[1:] = (key[1:] != key[:-1]) | (tag[1:] != tag[:-1]) | (place[1:] > place[:-1] + 1)
             lo = place[head]
             hi = place[np.append(np.flatnonzero(head)[1:], len(key)) - 1] + 1 if len(key) else place
             yield pa.RecordBatch.from_arrays(
                 [pa.nulls(len(lo), pa.int64()), pa.array(np.zeros(len(lo), np.int32)), pa.array(key[head]),
-                 pa.array(lo.astype(np.int32)), pa.array((hi - lo).astype(np.int32))], ["h", "g", "key", "lo", "n"])
+                 pa.array(tag[head]), pa.array(lo.astype(np.int32)), pa.array((hi - lo).astype(np.int32))],
+                ["h", "g", "key", "tag", "lo", "n"])
 
     return run
 
@@ -159,28 +168,32 @@ def _kept(window: int):
     return run
 
 
-_NO_ID = -(1 << 63)
+def levels(window: int) -> list[int]:
+    """Lengths of the levels before the last: a quarter and a half of the window."""
+    return sorted({max(1, window // 4), max(1, window // 2)})
 
 
-def repeated_windows(documents: DataFrame, window: int = 20) -> DataFrame:
-    """key (doc_id), lo, hi: ranges of starts of the windows of `window` words whose
-    words also start earlier."""
-    part = window // 2
-    docs = documents.select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("key"), "text")
-    survivors = (docs.mapInArrow(_sampled(window, part), "h long, many boolean, key long, at int")
-                 .repartition(F.coalesce("h", F.xxhash64("key"))).sortWithinPartitions("h")
-                 .mapInArrow(runs.repeated_rows, "key long, at int")
-                 .groupBy("key").agg(F.collect_list("at").alias("at")))
-    return (docs.join(survivors.hint("shuffle_hash"), "key").select("key", "text", "at")
-            .mapInArrow(_doubled(window, part), "h long, g int, key long, lo int, n int")
-            .repartition(F.coalesce("h", F.xxhash64("key"))).sortWithinPartitions("h", "g", "key", "lo")
-            .mapInArrow(runs.later_rows, "key long, lo int, hi int"))
+def repeated_windows(docs: DataFrame, window: int = 20) -> DataFrame:
+    """key, tag, lo, hi of rows (key, tag, text): ranges of starts of the windows of `window`
+    words whose words also start earlier."""
+    by_hash = F.coalesce("h", F.xxhash64("key", "tag"))
+    rows, before = docs, None
+    for part in levels(window):
+        survivors = (rows.mapInArrow(_sampled(window, part, before), "h long, many boolean, key long, tag long, at int")
+                     .repartition(by_hash).sortWithinPartitions("h")
+                     .mapInArrow(runs.repeated_rows, "key long, tag long, at int")
+                     .groupBy("key", "tag").agg(F.collect_list("at").alias("at")))
+        rows = docs.join(survivors.hint("shuffle_hash"), ["key", "tag"]).select("key", "tag", "text", "at")
+        before = part
+    return (rows.mapInArrow(_doubled(window, before), "h long, g int, key long, tag long, lo int, n int")
+            .repartition(by_hash).sortWithinPartitions("h", "g", "key", "tag", "lo")
+            .mapInArrow(runs.later_rows, "key long, tag long, lo int, hi int"))
 
 
 def remove_repeats(documents: DataFrame, window: int = 20) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every document."""
-    docs = documents.select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("key"), "text")
-    spans = runs.gathered(repeated_windows(documents, window))
-    return (docs.join(spans.hint("shuffle_hash"), "key", "left").select("key", "text", "spans")
+    docs = told_apart(documents)
+    spans = runs.gathered(repeated_windows(docs, window))
+    return (docs.join(spans.hint("shuffle_hash"), ["key", "tag"], "left").select("key", "text", "spans")
             .mapInArrow(_kept(window), "key long, n_words long, n_removed long, kept_sha256 string")
-            .select(F.when(F.col("key") != _NO_ID, F.col("key")).alias("doc_id"), "n_words", "n_removed", "kept_sha256"))
+            .select(F.when(F.col("key") != NO_ID, F.col("key")).alias("doc_id"), "n_words", "n_removed", "kept_sha256"))

@@ -43,25 +43,25 @@ def combine(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def repeated_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows (h, many, key, at) sorted by h: key and at of those whose h stands
+    """Of rows (h, many, key, tag, at) sorted by h: key, tag and at of those whose h stands
     more than once, or once with `many` set. Rows without h pass as they are.
     One row is kept from batch to batch, whatever the length of a run."""
     kept = None  # the last row, if nothing has shown yet that it is repeated
     last, known = None, False
     for b in batches:
         h_col = b.column("h")
-        key, at = b.column("key").to_numpy(), b.column("at").to_numpy()
+        key, tag, at = (b.column(c).to_numpy() for c in ("key", "tag", "at"))
         null = h_col.is_null().to_numpy(zero_copy_only=False)
         if null.any():
-            yield _places(key[null], at[null])
+            yield _places(key[null], tag[null], at[null])
         ok = ~null
         if not ok.any():
             continue
         h = h_col.fill_null(0).to_numpy()[ok]
         many = b.column("many").to_numpy(zero_copy_only=False)[ok]
-        key, at = key[ok], at[ok]
+        key, tag, at = key[ok], tag[ok], at[ok]
         if kept is not None:
-            h, many, key, at = (np.concatenate([[x], y]) for x, y in zip(kept, (h, many, key, at), strict=True))
+            h, many, key, tag, at = (np.concatenate([[x], y]) for x, y in zip(kept, (h, many, key, tag, at), strict=True))
         new = np.ones(len(h), bool)
         new[1:] = h[1:] != h[:-1]
         run = np.cumsum(new) - 1
@@ -72,22 +72,23 @@ def repeated_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         sure = hit[run]
         last, known, kept = h[-1], bool(hit[-1]), None
         if not known:
-            kept = (h[-1], many[-1], key[-1], at[-1])
+            kept = (h[-1], many[-1], key[-1], tag[-1], at[-1])
         if sure.any():
-            yield _places(key[sure], at[sure])
+            yield _places(key[sure], tag[sure], at[sure])
 
 
-def _places(key: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(key.astype(np.int64)), pa.array(at.astype(np.int32))], ["key", "at"])
+def _places(key: np.ndarray, tag: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array(key.astype(np.int64)), pa.array(tag.astype(np.int64)), pa.array(at.astype(np.int32))], ["key", "tag", "at"])
 
 
 def later_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows (h, g, key, lo, n) sorted by h, g, key, lo: key, lo and hi = lo + n of
-    those that follow another place with the same h and g. Rows without h pass."""
-    first = None  # (h, g, key, lo) of the current run's first row
+    """Of rows (h, g, key, tag, lo, n) sorted by all but n: key, tag, lo and hi = lo + n
+    of those that follow another place with the same h and g. Rows without h pass."""
+    first = None  # (h, g, key, tag, lo) of the current run's first row
     for b in batches:
         h_col = b.column("h")
-        cols = [b.column(c).to_numpy() for c in ("g", "key", "lo", "n")]
+        cols = [b.column(c).to_numpy() for c in ("g", "key", "tag", "lo", "n")]
         null = h_col.is_null().to_numpy(zero_copy_only=False)
         if null.any():
             yield _spans(*(c[null] for c in cols[1:]))
@@ -95,29 +96,29 @@ def later_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not ok.any():
             continue
         h = h_col.fill_null(0).to_numpy()[ok]
-        g, key, lo, n = (c[ok] for c in cols)
+        g, *place, n = (c[ok] for c in cols)
         new = np.ones(len(h), bool)
         new[1:] = (h[1:] != h[:-1]) | (g[1:] != g[:-1])
         if first is not None and first[0] == h[0] and first[1] == g[0]:
             new[0] = False
         at = np.maximum.accumulate(np.where(new, np.arange(len(h)), -1))
-        first_key = np.where(at >= 0, key[np.maximum(at, 0)], first[2] if first else 0)
-        first_lo = np.where(at >= 0, lo[np.maximum(at, 0)], first[3] if first else 0)
-        later = (key != first_key) | (lo != first_lo)
-        first = (h[-1], g[-1], first_key[-1], first_lo[-1])
+        heads = [np.where(at >= 0, c[np.maximum(at, 0)], first[2 + i] if first else 0) for i, c in enumerate(place)]
+        later = np.any([c != own for c, own in zip(place, heads, strict=True)], axis=0)
+        first = (h[-1], g[-1], *(own[-1] for own in heads))
         if later.any():
-            yield _spans(key[later], lo[later], n[later])
+            yield _spans(*(c[later] for c in place), n[later])
 
 
-def _spans(key: np.ndarray, lo: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+def _spans(key: np.ndarray, tag: np.ndarray, lo: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
-        [pa.array(key.astype(np.int64)), pa.array(lo.astype(np.int32)), pa.array((lo + n).astype(np.int32))], ["key", "lo", "hi"])
+        [pa.array(key.astype(np.int64)), pa.array(tag.astype(np.int64)), pa.array(lo.astype(np.int32)),
+         pa.array((lo + n).astype(np.int32))], ["key", "tag", "lo", "hi"])
 
 
 def gathered(spans: DataFrame) -> DataFrame:
-    """key and its spans (lo, hi), a number each, as many as its text has room for."""
+    """key, tag and the spans (lo, hi) there, a number each, as many as a text has room for."""
     one = F.shiftleft(F.col("lo").cast("long"), 32).bitwiseOR(F.col("hi").cast("long"))
-    return spans.groupBy("key").agg(F.collect_list(one).alias("spans"))
+    return spans.groupBy("key", "tag").agg(F.collect_list(one).alias("spans"))
 
 
 def ends(spans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -189,7 +189,7 @@ def test_substring_matches_brute_force(spark, parts):
 
 def brute_bytes(data, n=50):
     first, out = {}, []
-    for i, t, *_ in sorted(data):
+    for i, t, *_ in sorted(data, key=lambda r: r[0]):
         b = (t or "").encode()
         for p in range(len(b) - n + 1):
             first.setdefault(b[p:p + n], i)
@@ -244,11 +244,12 @@ def test_scans_do_not_depend_on_batches(size):
     h = [1, 1, 2, 3, 3, 3, 4, 5]
     many = [False, False, False, False, False, False, True, False]
     full = pa.table({"h": pa.array(h, pa.int64()), "many": many, "key": pa.array(range(8), pa.int64()),
-                     "at": pa.array([0] * 8, pa.int32())})
+                     "tag": pa.array([0] * 8, pa.int64()), "at": pa.array([0] * 8, pa.int32())})
     out = runs.repeated_rows(full.to_batches(max_chunksize=size))
     assert sorted(k for b in out for k in b.column("key").to_pylist()) == [0, 1, 3, 4, 5, 6]
     later = pa.table({"h": pa.array([1, 1, 1, 2, 2, None], pa.int64()), "g": pa.array([0, 0, 1, 0, 0, 0], pa.int32()),
-                      "key": pa.array([1, 1, 1, 2, 2, 9], pa.int64()), "lo": pa.array([0, 4, 7, 3, 3, 5], pa.int32()),
+                      "key": pa.array([1, 1, 1, 2, 2, 9], pa.int64()),
+                      "tag": pa.array([0] * 6, pa.int64()), "lo": pa.array([0, 4, 7, 3, 3, 5], pa.int32()),
                       "n": pa.array([1] * 6, pa.int32())})
     out = runs.later_rows(later.to_batches(max_chunksize=size))
     got = sorted((k, lo) for b in out for k, lo in zip(b.column("key").to_pylist(), b.column("lo").to_pylist(), strict=True))
@@ -269,3 +270,54 @@ def test_removal_with_repeated_rows_and_null_ids(spark, run):
     got = sorted(((r.doc_id, r.n_removed > 0) for r in run(frame(spark, data)).collect()), key=repr)
     # the row without an id comes first, so its text stays; equal rows are treated alike
     assert got == sorted([(None, False), (5, True), (5, True), (9, False)], key=repr)
+
+
+def shared_rows():
+    """The table's texts under few ids, many of them null or shared, some rows twice."""
+    rng = np.random.default_rng(5)
+    ids = [None, None, 1, 2, 3, *range(10, 40)]
+    data = [(ids[rng.integers(len(ids))], *r[1:]) for r in rows()]
+    return data + data[:20]
+
+
+def test_suffix_cuts_each_row_by_its_own_text(spark):
+    data = shared_rows()
+    got = [tuple(r) for r in op03_suffix_dedup.remove_repeats(frame(spark, data, 5)).collect()]
+    least = -(1 << 63)
+    want = brute_bytes([(least if i is None else i, *r) for i, *r in data])
+    assert sorted((least if r[0] is None else r[0], *r[1:]) for r in got) == want
+
+
+def test_substring_cuts_each_row_by_its_own_text(spark):
+    data = shared_rows()
+    df = frame(spark, data, 5)
+    got = [tuple(r) for r in op07_substring_dedup.remove_repeats(df).collect()]
+    least, order = -(1 << 63), {r.text: r.h for r in df.selectExpr("text", "xxhash64(text) as h").collect()}
+    # rows of one id are told apart by, and come in the order of, their texts' hashes
+    texts = {((least if i is None else i), order[t], t) for i, t, *_ in data}
+    texts = sorted(texts, key=lambda r: r[:2])
+    one_each = {k: w[1:] for k, w in zip(texts, brute_windows_in_order(texts), strict=True)}
+    want = sorted((least if i is None else i, *one_each[least if i is None else i, order[t], t]) for i, t, *_ in data)
+    assert sorted((least if r[0] is None else r[0], *r[1:]) for r in got) == want
+
+
+def brute_windows_in_order(texts, n=20):
+    seen, out = set(), []
+    for i, _, t in texts:
+        w = split(t)
+        gone = [False] * len(w)
+        for p in range(len(w) - n + 1):
+            key = tuple(w[p:p + n])
+            if key in seen:
+                gone[p:p + n] = [True] * n
+            seen.add(key)
+        out.append((i, len(w), sum(gone), sha(" ".join(x for x, g in zip(w, gone, strict=True) if not g).encode())))
+    return out
+
+
+@pytest.mark.parametrize("run", [op03_suffix_dedup.remove_repeats, op07_substring_dedup.remove_repeats])
+def test_texts_of_one_id_leave_each_other_alone(spark, run):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    data = [(1, a, None, None, 1), (5, a[:200] + " " + c, None, None, 1), (5, b, None, None, 1)]
+    got = sorted((r.doc_id, r.n_removed) for r in run(frame(spark, data)).collect())
+    assert [g[0] for g in got] == [1, 5, 5] and got[0][1] == got[1][1] == 0 and got[2][1] > 0
