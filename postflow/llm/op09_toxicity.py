@@ -44,6 +44,8 @@ LEET = {
 SEPARATORS = ".-_*~'`,/"
 
 DIM = 1 << 18
+KNOWN_BYTES = 64  # longer tokens are decoded each time they are met
+LONG = 256  # characters from which on it pays to drop states that cannot win
 SYMBOLS = 28  # 0: no letter, 1..26: a-z, 27: another letter
 PREFIXES = (3, 4, 5, 6)
 # Costs (nats) of the channel: a mark stands for a letter; a mark with such a reading
@@ -113,11 +115,30 @@ def _class(ch: str) -> int:
     return ord(ch) - 96 if "a" <= ch <= "z" else 27 if ord(ch) >= 0x80 else 0
 
 
-def _lattice(token: str, cost: list, ends: list[int]) -> list[tuple[float, str]]:
-    """Cost and letters of the likeliest reading of the first n characters of a
-    (lower-case) token, as a word, for each n of `ends`. A state is the last two
-    characters read; its value the least cost and the letters so far."""
+class _Leads:
+    """How much more than the best state another may cost and still be on the best reading:
+    whatever is read next, the two are in one state after two letters (or the end)."""
+
+    def __init__(self, cost: list):
+        self.cost, self.known = np.array(cost), {}
+
+    def of(self, best: tuple[int, int], other: tuple[int, int]) -> float:
+        lead = self.known.get((best, other))
+        if lead is None:
+            first = self.cost[best] - self.cost[other]
+            second = self.cost[best[1]] - self.cost[other[1]]
+            lead = max(first[0], (first[1:, None] + second[1:]).max()) + 1e-6
+            self.known[best, other] = lead
+        return lead
+
+
+def _lattice(token: str, cost: list, ends: list[int]) -> list[tuple[float, tuple | None]]:
+    """Cost and letters (see `_letters`) of the likeliest reading of the first n characters
+    of a (lower-case) token, as a word, for each n of `ends`. A state is the last two
+    characters read; its value the least cost and the letters so far, the last one first."""
     found = []
+    at = set(ends)
+    leads = _Leads(cost) if len(token) >= LONG else None
     states = {(0, 0): (0.0, None)}
     for i, ch in enumerate(token):
         letter = _class(ch) > 0
@@ -143,20 +164,27 @@ def _lattice(token: str, cost: list, ends: list[int]) -> list[tuple[float, str]]
                 best = new.get((b, k))
                 if best is None or w < best[0]:
                     new[b, k] = (w, (path, x))
+        if leads and len(new) > 4:
+            first = min(new, key=lambda s: new[s][0])
+            least = new[first][0]
+            new = {s: e for s, e in new.items() if e[0] <= least + leads.of(first, s)}
         states = new
-        if i + 1 in ends:
-            v, path = min(((v + cost[a][b][0], path) for (a, b), (v, path) in states.items()), key=lambda s: s[0])
-            out = []
-            while path:
-                path, x = path
-                out.append(x)
-            found.append((v, "".join(reversed(out))))
+        if i + 1 in at:
+            found.append(min(((v + cost[a][b][0], path) for (a, b), (v, path) in states.items()), key=lambda s: s[0]))
     return found
 
 
+def _letters(path: tuple | None) -> str:
+    out = []
+    while path:
+        path, x = path
+        out.append(x)
+    return "".join(reversed(out))
+
+
 def decode(token: str, cost: list) -> str:
     """The likeliest letters behind a (lower-case) token."""
-    return _lattice(token, cost, [len(token)])[0][1] if token else token
+    return _letters(_lattice(token, cost, [len(token)])[0][1]) if token else token
 
 
 def _as_written(text: str, cost: list, written: list, state: tuple[int, int] = (0, 0), before: str = " ") -> float:
@@ -183,7 +211,8 @@ def _read_run(run: str, cost: list, written: list) -> str:
             to += 1
         if to - at >= 3:
             plain = "".join(tokens[at: to - 1]) + tokens[to - 1][0]
-            [(v, letters)] = _lattice(plain, cost, [len(plain)])
+            [(v, path)] = _lattice(plain, cost, [len(plain)])
+            letters = _letters(path)
             rest = tokens[to - 1][1:]
             value += v + written[ord("a")][ord((rest + " ")[0])]
             out += letters + rest
@@ -194,8 +223,8 @@ def _read_run(run: str, cost: list, written: list) -> str:
         out += "".join(parts[2 * to - 1: 2 * to])
         at = to
     plain = "".join(tokens)
-    [(v, letters)] = _lattice(plain, cost, [len(plain)])
-    return letters if v + written[ord("a")][ord(" ")] + DISGUISE < value else out
+    [(v, path)] = _lattice(plain, cost, [len(plain)])
+    return _letters(path) if v + written[ord("a")][ord(" ")] + DISGUISE < value else out
 
 
 def read(token: str, sure: int, cost: list, written: list) -> str:
@@ -205,12 +234,17 @@ def read(token: str, sure: int, cost: list, written: list) -> str:
     if sure == len(token):
         return decode("".join(token.split()), cost)
     ends = [n for n in range(1, len(token) + 1) if n == sure or n > sure and token[n - 1] in LEET]
-    choices = [] if sure else [(_as_written(token, cost, written), token)]
-    for n, (v, letters) in zip(ends, _lattice(token, cost, ends), strict=True):
-        rest = token[n:]
-        v += sum(written[ord(x)][ord(y)] for x, y in zip("a" + rest, rest + " ", strict=True)) + len(rest) * cost[0][0][0]
-        choices.append((v + (DISGUISE if n > sure else 0.0), letters + rest))
-    return min(choices)[1]
+    # what stays as written, from each place on: its marks (but for the first) and the characters
+    rest_cost, tail = [0.0] * (len(token) + 1), token + " "
+    for n in range(len(token) - 1, sure - 1, -1):
+        rest_cost[n] = rest_cost[n + 1] + written[ord(tail[n])][ord(tail[n + 1])] + cost[0][0][0]
+    best = None if sure else (_as_written(token, cost, written), 0, None)
+    for n, (v, path) in zip(ends, _lattice(token, cost, ends), strict=True):
+        v += written[ord("a")][ord(tail[n])] + rest_cost[n] + (DISGUISE if n > sure else 0.0)
+        if best is None or v < best[0]:
+            best = (v, n, path)
+    _, n, path = best
+    return _letters(path) + token[n:]
 
 
 def _suspects(buf: np.ndarray, offs: np.ndarray) -> list[tuple[int, int, int, int, bool]]:
@@ -287,7 +321,9 @@ def restored(texts: pa.Array, cost: np.ndarray, written: np.ndarray | None = Non
                     plain = token.decode("utf-8", "replace")
                     n = len(raw[s:sure].decode("utf-8", "replace"))
                     out = _read_run(plain, table, marks) if run else read(plain, n, table, marks)
-                    out = known[token, sure - s, run] = out.encode()
+                    out = out.encode()
+                    if len(token) <= KNOWN_BYTES:
+                        known[token, sure - s, run] = out
                 parts += [raw[at:s], out]
                 at = e
                 grown[d] += len(out) - len(token)

@@ -236,3 +236,30 @@ def test_span_hashes_do_not_depend_on_the_place():
     at = np.array([2, 5, 10, 13 * 399 + 10])
     assert len(set(h.spans(p, at, at + 3).tolist())) == 1
     assert len(set(h.spans(p, np.array([2, 2, 3]), np.array([5, 4, 6])).tolist())) == 3
+
+
+def test_long_tokens_take_linear_time_and_no_other_reading(spark, monkeypatch):
+    lines = ["moron something else book here 12 x3 4 5!", "o 1 l0st 77 way", "s3v3n of 9", "2 2 2 2"]
+    models = op09_toxicity.language_models(frame(spark, [(i, lines[i % 4], None, None, 0) for i in range(40)]))
+    rng = random.Random(3)
+    tokens = ["".join(rng.choice(kind) for _ in range(rng.randint(250, 500))) for kind in ("0123456789", "ab01$!", "m0r*n.") * 6]
+    read = lambda: [buf.tobytes() for _, buf, _ in op09_toxicity.restored(pa.array(tokens), *models)]
+    fast = read()
+    monkeypatch.setattr(op09_toxicity, "LONG", 1 << 40)  # every state is carried along
+    assert read() == fast
+    monkeypatch.undo()
+    steps = 0
+
+    class Counted(op09_toxicity._Leads):
+        def of(self, *states):
+            nonlocal steps
+            steps += 1
+            return super().of(*states)
+
+    monkeypatch.setattr(op09_toxicity, "_Leads", Counted)
+    sizes = []
+    for n in (5_000, 20_000):
+        steps = 0
+        list(op09_toxicity.restored(pa.array(["1234567890" * (n // 10)]), *models))
+        sizes.append(steps)
+    assert 3 < sizes[1] / sizes[0] < 5
