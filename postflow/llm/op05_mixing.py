@@ -10,13 +10,15 @@ running sums, so one pass over the (small) table of sources finds it.
 A source then takes each document floor(target / size) whole times, and of one
 further repetition a seeded sample: documents in the order of a seeded hash,
 until the rest of the target is reached; the last one is taken in part. So the
-words taken are the target rounded down. The running sum over a source is
+words taken are the target rounded down. `mix`, which writes the documents out,
+takes that last one whole or not at all, whichever is nearer. The running sum over a source is
 taken over BUCKETS hash buckets first and then within a bucket, so a source with
 a third of all rows is dealt over all tasks.
 
 Defined results. Null source: a source of its own, last in order. Null or empty
-text: size 0, taken 0. A source without words: target 0. Repeated rows: each is
-a document; equal ones are interchangeable. Empty table: no rows. Other columns
+text: size 0, taken 0. A source without words: target 0. Repeated rows, and rows that
+share a doc_id: each is a document; equal ones are interchangeable. Null doc_id: the
+text stands for it in the order. Empty table: no rows. Other columns
 are kept by `mix` and not read.
 """
 
@@ -25,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from postflow.llm.common import WORD_PATTERN, materialize
+from postflow.llm.common import NO_ID, WORD_PATTERN, materialize
 
 BUCKET_DIGITS = 3  # hex digits of the hash: 4096 buckets
 WEIGHTS = (1, 2, 3)
@@ -58,14 +60,17 @@ def targets(sizes: DataFrame, share: float = 1.0, epochs: int = 3) -> DataFrame:
 
 
 def order_hash(seed: int) -> Column:
-    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    own = F.coalesce(F.col("doc_id").cast("string"), F.md5(F.coalesce("text", F.lit(""))))
+    return F.md5(F.concat(F.lit(f"{seed}:"), own))
 
 
 def allot(documents: DataFrame, share: float = 1.0, epochs: int = 3, seed: int = 5) -> DataFrame:
-    """doc_id, size, source_size, target, taken of every document (and `source`)."""
+    """doc_id, size, source_size, target, taken of every document (and `source` and the
+    hash of its text)."""
     size = F.coalesce(F.regexp_count("text", F.lit(WORD_PATTERN)), F.lit(0)).cast("long")
     rows = materialize(
-        documents.select("doc_id", "source", size.alias("size"), order_hash(seed).alias("turn"))
+        documents.select("doc_id", "source", size.alias("size"), order_hash(seed).alias("turn"),
+                         F.xxhash64("text").alias("text_hash"))
         .withColumn("bucket", F.substring("turn", 1, BUCKET_DIGITS)), "sizes")
     buckets = rows.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
     sources = targets(buckets.groupBy("source").agg(F.sum("words").alias("source_size")), share, epochs)
@@ -73,7 +78,7 @@ def allot(documents: DataFrame, share: float = 1.0, epochs: int = 3, seed: int =
     starts = (buckets.withColumn("start", F.coalesce(F.sum("words").over(ahead), F.lit(0))).drop("words")
               .withColumnRenamed("source", "of").withColumnRenamed("bucket", "in_bucket")
               .join(sources, F.col("of").eqNullSafe(F.col("source"))).drop("source"))
-    inside = (Window.partitionBy("source", "bucket").orderBy("turn", "doc_id", "size")
+    inside = (Window.partitionBy("source", "bucket").orderBy("turn", "doc_id", "size", "text_hash")
               .rowsBetween(Window.unboundedPreceding, -1))
     rows = rows.withColumn("inner", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     rows = rows.join(starts, (F.col("bucket") == F.col("in_bucket")) & F.col("source").eqNullSafe(F.col("of")))
@@ -81,30 +86,29 @@ def allot(documents: DataFrame, share: float = 1.0, epochs: int = 3, seed: int =
     whole = F.when(F.col("source_size") > 0, F.expr("floor(target) div source_size")).otherwise(F.lit(0))
     rows = rows.withColumn("whole", whole).withColumn("rest", goal - F.col("whole") * F.col("source_size"))
     part = F.least(F.greatest(F.col("rest") - F.col("start") - F.col("inner"), F.lit(0)), F.col("size"))
-    return rows.select("doc_id", "source", "size", "source_size", "target",
+    return rows.select("doc_id", "source", "text_hash", "size", "source_size", "target",
                        (F.col("whole") * F.col("size") + part).alias("taken"))
 
 
 def mix(documents: DataFrame, share: float = 1.0, epochs: int = 3, seed: int = 5) -> DataFrame:
-    """The mix itself: every document as often as it is taken, with all its
-    columns; a last repetition taken in part holds the first words of the text."""
-    plan = allot(documents, share, epochs, seed)
-    key = "_taken"
-    while key in documents.columns:
-        key = "_" + key
-    plan = (plan.filter("taken > 0").groupBy("doc_id", "source", "size")
-            .agg(F.max("taken").alias(key)))
-    size = F.coalesce(F.regexp_count("text", F.lit(WORD_PATTERN)), F.lit(0)).cast("long")
-    p = plan.select(F.col("doc_id").alias(key + "d"), F.col("source").alias(key + "s"),
-                    F.col("size").alias(key + "n"), key)
-    rows = documents.withColumn(key + "size", size).join(
-        p.hint("shuffle_hash"),
-        F.col("doc_id").eqNullSafe(F.col(key + "d")) & F.col("source").eqNullSafe(F.col(key + "s"))
-        & (F.col(key + "size") == F.col(key + "n")))
-    times = F.ceil(F.col(key) / F.col(key + "size")).cast("int")
-    rows = rows.withColumn(key + "nth", F.explode(F.sequence(F.lit(1), times)))
-    left = F.col(key) - (F.col(key + "nth") - 1) * F.col(key + "size")
-    words = F.regexp_extract_all("text", F.lit(WORD_PATTERN), F.lit(0))
-    text = F.when(left >= F.col(key + "size"), F.col("text")).otherwise(
-        F.array_join(F.slice(words, F.lit(1), left.cast("int")), " "))
-    return rows.withColumn("text", text).select(*documents.columns)
+    """The mix itself: every document as often as it is taken, whole, with all its columns."""
+    mark = "_mix"
+    while any(c.startswith(mark) for c in documents.columns):
+        mark = "_" + mark
+    key = [mark + c for c in "ist"]  # never null, so that rank and join share one shuffle
+
+    def keyed(df: DataFrame, text_hash: Column) -> DataFrame:
+        return df.withColumns(dict(zip(key, (
+            F.coalesce("doc_id", F.lit(NO_ID)), F.coalesce(F.concat(F.lit("="), "source"), F.lit("")), text_hash), strict=True)))
+
+    # of m equal rows some are taken `least` times, and `more` of them once more
+    plan = (keyed(allot(documents, share, epochs, seed).filter("size > 0"), F.col("text_hash"))
+            .withColumn("times", F.expr("(2 * taken + size) div (2 * size)"))
+            .groupBy(key).agg(F.min("times").alias(mark + "least"), F.sum("times").alias("times"), F.count("*").alias("m"))
+            .filter("times > 0")
+            .select(*key, mark + "least", (F.col("times") - F.col("m") * F.col(mark + "least")).alias(mark + "more")))
+    rank = F.row_number().over(Window.partitionBy(key).orderBy(key[0]))
+    rows = keyed(documents, F.xxhash64("text")).withColumn(mark + "rank", rank).join(plan.hint("shuffle_hash"), key)
+    times = F.col(mark + "least") + (F.col(mark + "rank") <= F.col(mark + "more")).cast("int")
+    return (rows.withColumn(mark + "times", times.cast("int")).filter(F.col(mark + "times") > 0)
+            .withColumn(mark + "nth", F.explode(F.sequence(F.lit(1), F.col(mark + "times")))).select(*documents.columns))

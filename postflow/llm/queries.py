@@ -203,9 +203,25 @@ ORACLES = {
         SELECT doc_id, max(doc_id) OVER t AS keep_id, count(*) OVER t AS group_size,
                doc_id = max(doc_id) OVER t AS kept, sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW t AS (PARTITION BY coalesce(text, ''))""",
+    "op3_suffix_dedup": r"""
+        WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+        w AS (SELECT doc_id, p, substr(x, 2 * p - 1, 100) AS bytes
+              FROM (SELECT doc_id, x, unnest(generate_series(1, length(x) // 2 - 49)) AS p FROM d)),
+        f AS (SELECT bytes, min(doc_id) AS first FROM w GROUP BY bytes),
+        h AS (SELECT doc_id, p, p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) <= 50 AS joined
+              FROM w JOIN f USING (bytes) WHERE first < doc_id),
+        i AS (SELECT doc_id, p, count_if(joined IS DISTINCT FROM true) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM h),
+        s AS (SELECT doc_id, min(p) AS lo, max(p) + 49 AS hi FROM i GROUP BY doc_id, run),
+        g AS (SELECT *, coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER BY lo), 0) AS before FROM s),
+        k AS (SELECT doc_id, string_agg(substr(x, 2 * before + 1, 2 * (lo - 1 - before)), '' ORDER BY lo) AS head,
+                     max(hi) AS done, CAST(sum(hi - lo + 1) AS BIGINT) AS n_removed, count(*) AS n_spans
+              FROM g JOIN d USING (doc_id) GROUP BY doc_id)
+        SELECT doc_id, length(x) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+               sha256(unhex(coalesce(head, '') || substr(x, 2 * coalesce(done, 0) + 1))) AS kept_sha256
+        FROM d LEFT JOIN k USING (doc_id)""",
     "op5_mixing": r"""
         WITH d AS (
-          SELECT doc_id, source, md5('5:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS turn,
+          SELECT doc_id, source, md5('5:' || coalesce(CAST(doc_id AS VARCHAR), md5(coalesce(text, '')))) AS turn,
                  coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size
           FROM documents),
         s AS (
@@ -232,6 +248,38 @@ ORACLES = {
         SELECT doc_id, size, source_size, target,
                CAST(whole * size + least(greatest(goal - whole * source_size - ahead, 0), size) AS BIGINT) AS taken
         FROM r""",
+    "op6_near_dedup": r"""
+        WITH RECURSIVE d AS (
+          SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        s AS (SELECT DISTINCT doc_id, array_to_string(w[p: p + 3], ' ') AS shingle
+              FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(len(w) - 3, 1))) AS p FROM d WHERE len(w) > 0)),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        e AS (SELECT a.doc_id AS a, b.doc_id AS b
+              FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id
+              JOIN n x ON x.doc_id = a.doc_id JOIN n y ON y.doc_id = b.doc_id
+              WHERE 100 * least(x.n, y.n) >= 80 * greatest(x.n, y.n)
+              GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) >= 80 * (any_value(x.n) + any_value(y.n) - count(*))),
+        c AS (SELECT doc_id, doc_id AS other FROM documents
+              UNION SELECT c.doc_id, e.b FROM c JOIN e ON c.other = e.a),
+        m AS (SELECT doc_id, min(other) AS component_id FROM c GROUP BY doc_id)
+        SELECT m.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, m.doc_id = component_id AS kept
+        FROM m LEFT JOIN n ON n.doc_id = m.doc_id""",
+    "op7_substring_dedup": r"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        v AS (SELECT doc_id, p, array_to_string(w[p: p + 19], ' ') AS win
+              FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 19)) AS p FROM d)),
+        t AS (SELECT doc_id, p FROM v QUALIFY row_number() OVER (PARTITION BY win ORDER BY doc_id, p) > 1),
+        h AS (SELECT doc_id, p, p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) <= 20 AS joined FROM t),
+        i AS (SELECT doc_id, p, count_if(joined IS DISTINCT FROM true) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM h),
+        s AS (SELECT doc_id, min(p) AS lo, max(p) + 19 AS hi FROM i GROUP BY doc_id, run),
+        g AS (SELECT *, coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER BY lo), 0) AS before FROM s),
+        k AS (SELECT doc_id, flatten(list(w[before + 1: lo - 1] ORDER BY lo)) AS head, max(hi) AS done,
+                     CAST(sum(hi - lo + 1) AS BIGINT) AS n_removed
+              FROM g JOIN d USING (doc_id) GROUP BY doc_id)
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed,
+               sha256(array_to_string(coalesce(head, []) || w[coalesce(done, 0) + 1:], ' ')) AS kept_sha256
+        FROM d LEFT JOIN k USING (doc_id)""",
     "op8_decontamination": r"""
         WITH d AS (
           SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',

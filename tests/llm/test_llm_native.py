@@ -133,17 +133,37 @@ def test_taken_words_meet_the_targets(spark):
     assert {(r.doc_id, r.taken) for r in got} == {(r.doc_id, r.taken) for r in again}
 
 
+def plain_times(allotted):
+    return Counter({i: (2 * taken + size) // (2 * size) for i, taken, size in allotted if size})
+
+
 def test_mix_repeats_documents_as_planned(spark):
     data = rows()
     docs = with_clashes(frame(spark, data))
-    taken = {r.doc_id: r.taken for r in op05_mixing.allot(docs).collect()}
+    want = plain_times((r.doc_id, r.taken, r["size"]) for r in op05_mixing.allot(docs).collect())
     out = op05_mixing.mix(docs)
     assert out.columns == docs.columns
-    words, text = Counter(), {i: t for i, t, *_ in data}
+    text = {i: t for i, t, *_ in data}
+    got = Counter()
     for r in out.collect():
-        words[r.doc_id] += len(split(r.text))
-        assert r.text == text[r.doc_id] or split(r.text) == split(text[r.doc_id])[:len(split(r.text))]
-    assert words == Counter({i: n for i, n in taken.items() if n})
+        got[r.doc_id] += 1
+        assert r.text == text[r.doc_id]
+    assert got == +want
+
+
+def test_mix_of_null_and_repeated_ids_meets_the_targets(spark):
+    words = [" ".join(f"w{i}" for i in range(10 + n)) for n in range(10)]
+    data = [(None, words[n % 10 if n < 10 else 0], "en", "b", 0) for n in range(20)]
+    data += [(7, words[n % 3], "en", None, 0) for n in range(12)] + [(n, words[n], "en", "a", 0) for n in range(9)]
+    docs = frame(spark, data, 4)
+    targets = {r.source: (r.target, max(len(split(w)) for w in words)) for r in op05_mixing.allot(docs).collect()}
+    taken, times = Counter(), Counter()
+    for r in op05_mixing.mix(docs).collect():
+        taken[r.source] += len(split(r.text))
+        times[r.doc_id, r.text, r.source] += 1
+    assert all(abs(taken[s] - t) <= longest / 2 + 1 for s, (t, longest) in targets.items())
+    held = Counter((i, t, s) for i, t, _, s, _ in data)
+    assert all(n <= 3 * held[k] for k, n in times.items())
 
 
 # -- decontamination ---------------------------------------------------------------
@@ -222,7 +242,7 @@ def test_query_matches_sql(spark, name):
     import duckdb
 
     con = duckdb.connect()
-    for t in ("documents", "benchmark"):
+    for t in ("documents", "benchmark", "pages", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
     df = queries.QUERIES[name](spark, SF)
     cols = sorted(df.columns)
@@ -254,11 +274,9 @@ def test_pipeline_stages(spark):
             hits = brute_hits(data, [tuple(r) for r in benchmark.select("item_id", "text").collect()])
             assert {r.doc_id for r in got} == {r[0] for r in hits if not r[5]}
         if name == "mixing":
-            plan = {r.doc_id: r.taken for r in op05_mixing.allot(docs).collect()}
-            words = Counter()
-            for r in got:
-                words[r.doc_id] += len(split(r.text))
-            assert words == Counter({k: v for k, v in plan.items() if v})
+            plan = plain_times((r.doc_id, r.taken, r["size"]) for r in op05_mixing.allot(docs).collect())
+            assert Counter(r.doc_id for r in got) == +plan
+            assert {(r.doc_id, r.text) for r in got} <= {(r.doc_id, r.text) for r in docs.collect()}
         if name == "sharding":
             check_shards(got, docs.collect(), 40)
         else:
@@ -266,3 +284,19 @@ def test_pipeline_stages(spark):
             assert before is None or name == "mixing" or len(got) <= before
         docs, before = out, len(got)
     assert pipeline.run(spark, SF).count() == before
+
+
+def test_pipeline_on_an_empty_table_and_null_and_repeated_ids(spark, tmp_path):
+    pipeline = importlib.import_module("corpus_pipeline")
+    for name in ("documents", "labels", "benchmark"):
+        spark.read.parquet(f"{SF}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/empty/{name}.parquet")
+        table = spark.read.parquet(f"{SF}/{name}.parquet")
+        if name == "documents":
+            id_ = F.when(F.col("doc_id") % 3 == 0, None).when(F.col("doc_id") % 7 == 0, 7).otherwise(F.col("doc_id"))
+            table = table.withColumn("doc_id", id_).union(table.limit(20))
+        table.write.parquet(f"{tmp_path}/odd/{name}.parquet")
+    assert pipeline.run(spark, f"{tmp_path}/empty").count() == 0
+    got = pipeline.run(spark, f"{tmp_path}/odd").collect()
+    assert any(r.doc_id is None for r in got) and any(r.doc_id is not None for r in got)
+    slots = Counter(r.shard for r in got)
+    assert sum(slots.values()) == len(got)
