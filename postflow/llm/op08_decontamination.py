@@ -8,9 +8,10 @@ prefix words; a hit at position p stands for a window that starts at p less the
 word's offset, must lie within the text (length and position bounds), and is
 then compared word by word with the text over the whole window.
 
-The item side is broadcast only where it has at most `broadcast_rows` windows;
-larger ones are joined by a shuffle on the word, where a text's word takes the
-width - 1 words on either side of it along.
+The item side is broadcast only where it has at most `broadcast_rows` windows. Of
+more windows, words are counted before they meet the vocabulary, and the join is a
+shuffle on the word, where a text's word takes the width - 1 words on either side of
+it along; only words that a bitmap of all prefix words (of fixed size) may hold are sent.
 
 Defined results. Null or empty text: no words, no hits, the checksum of an empty
 list. Items without words have no window. Repeated rows are each judged alike.
@@ -24,20 +25,27 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from postflow.llm.common import ascii_lower
+from postflow.llm.common import ascii_lower, bits_of, one_of
 
 # What stands between words; a word is a run of anything else, once A-Z are lower.
 BETWEEN = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
+BETWEEN_RAW = "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
 
 
 def _inner(pieces: Column) -> tuple[Column, Column]:
     """Place of the first word in the pieces of a split, and the number of words: a
     text that begins or ends between words has an empty first or last piece."""
-    first = (F.element_at(pieces, 1) == "").cast("int")
-    last = (F.element_at(pieces, -1) == "").cast("int")
+    first, last = (F.coalesce(F.element_at(pieces, at) == "", F.lit(False)).cast("int") for at in (1, -1))
     return first + 1, F.greatest(F.size(pieces) - first - last, F.lit(0))
 
 
+def with_word_count(df: DataFrame) -> DataFrame:
+    """df with its `text` as `n_words`; capitals are told from what stands between words
+    by another pattern, so no text is lower-cased for it."""
+    pieces = F.split(F.coalesce("text", F.lit("")), BETWEEN_RAW)
+    return (df.withColumn("text", pieces).withColumn("n_words", _inner(F.col("text"))[1].cast("long")).drop("text"))
+
+
 def with_words(df: DataFrame) -> DataFrame:
     """df with its `text` as `words`, lower-cased; null has none."""
     pieces = F.split(ascii_lower(F.coalesce("text", F.lit(""))), BETWEEN)
@@ -67,8 +75,13 @@ def hit_texts(documents: DataFrame, benchmark: DataFrame, width: int, broadcast_
     side = F.broadcast if small else (lambda df: df)  # both joins give the same rows
 
     vocabulary = windows.select(F.explode("window").alias("word")).distinct()
-    rarity = (docs.select(F.explode("words").alias("word")).join(side(vocabulary), "word")
-              .groupBy("word").agg(F.count("*").alias("n")))
+    # outer: no test of the words is put before the scan, where it would split the text again
+    written = docs.select(F.explode_outer("words").alias("word"))
+    if small:
+        written = written.join(side(vocabulary), "word")
+    rarity = written.groupBy("word").agg(F.count("*").alias("n"))
+    if not small:
+        rarity = rarity.join(vocabulary, "word", "left_semi")
     # a window with a word that no text holds cannot occur: the inner join drops it
     prefix = (windows.select("window", F.posexplode("window").alias("offset", "word"))
               .join(rarity, "word", "left").withColumn("n", F.coalesce("n", F.lit(0)))
@@ -79,8 +92,11 @@ def hit_texts(documents: DataFrame, benchmark: DataFrame, width: int, broadcast_
     start = F.col("at") - F.col("offset")
     length = F.size("window")
     places = docs.select("k", "t", "words", F.size("words").alias("n"), F.lit(0).alias("from"),
-                         F.posexplode("words").alias("at", "word"))
+                         F.posexplode_outer("words").alias("at", "word"))
     if not small:  # a row that is shuffled takes the words around it along, not the whole text
+        bits = bits_of(prefix, F.col("word"))
+        where, found = one_of(bits, F.col("word"))
+        places = places.join(F.broadcast(bits), where).filter(found).drop("slot", "bits")
         first = F.greatest(F.col("at") - (width - 1), F.lit(0))
         places = places.withColumns({"from": first, "words": F.slice("words", first + 1, F.col("at") - first + width)})
     hits = (places.join(side(prefix), "word")
@@ -101,8 +117,7 @@ def contamination(documents: DataFrame, benchmark: DataFrame, width: int = 10,
                   broadcast_rows: int = 200_000) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of every document."""
     found = hit_texts(documents, benchmark, width, broadcast_rows)
-    out = (with_words(documents.select("doc_id", *row_key(documents), "text"))
-           .select("doc_id", "k", "t", F.size("words").cast("long").alias("n_words"))
+    out = (with_word_count(documents.select("doc_id", *row_key(documents), "text"))
            .join(found, ["k", "t"], "left"))
     hit = F.coalesce("n_hit", F.lit(0))
     items = F.coalesce("items", F.array().cast("array<string>"))
