@@ -106,6 +106,17 @@ def status_change_by_id(view: DataFrame, id: int, new_status: str, as_of: dt.dat
         F.lit(as_of).cast("timestamp_ntz").alias("changed_at"), F.lit(seq).cast("long").alias("seq"))
 
 
+def numbered_changes(edits: DataFrame, as_of: dt.datetime) -> DataFrame:
+    """Change rows of edits (job_board_id, status, ord) that know their posting's status
+    `_now` and its last number `_seq` (null: none): each that differs from the one before."""
+    in_order = Window.partitionBy("job_board_id").orderBy("ord")
+    before = F.coalesce(F.lag("status").over(in_order), F.col("_now"))
+    rows = edits.withColumn("_before", before).filter(~F.col("status").eqNullSafe(F.col("_before")))
+    seq = F.coalesce(F.col("_seq"), F.lit(-1)) + F.row_number().over(in_order)
+    return rows.select("job_board_id", "status", F.lit(as_of).cast("timestamp_ntz").alias("changed_at"),
+                       seq.cast("long").alias("seq"))
+
+
 def normalisation_changes(view: DataFrame, as_of: dt.datetime, seq: int = 0) -> DataFrame:
     """Change rows that save the default status over every unknown stored one."""
     return view.filter(normalise_status("status") != F.col("status")).select(

@@ -39,9 +39,14 @@ def id_from_url(url: Column | str) -> Column:
     return F.regexp_extract(col(url), r"/([0-9]+)/?(?:[?#]|$)", 1)
 
 
+def _known_id(postings: DataFrame) -> Column:
+    """The stored provider id, or the one printed in the URL ('' if none)."""
+    return first_non_empty("provider_id", id_from_url("url")) if "provider_id" in postings.columns else id_from_url("url")
+
+
 def new_keys(postings: DataFrame, source: str) -> DataFrame:
     """(old_key, new_key) of the URL-keyed rows of `source` whose id can be derived."""
-    pid = id_from_url("url")
+    pid = _known_id(postings)
     mine = postings.filter((F.col("source") == F.lit(source)) & (pid != ""))
     pairs = mine.select(F.col("job_board_id").alias("old_key"), posting_key(F.lit(source), pid).alias("new_key"))
     return pairs.filter("old_key != new_key").distinct()
@@ -55,7 +60,7 @@ def rekey(postings: DataFrame, source: str) -> DataFrame:
     lowest id). Other sources pass through untouched.
     """
     mine = F.col("source").eqNullSafe(F.lit(source))
-    pid = id_from_url("url")
+    pid = _known_id(postings)
     new_key = F.when(pid != "", posting_key(F.lit(source), pid)).otherwise(F.col("job_board_id"))
     keyed = postings.filter(mine).withColumn("_old_key", F.col("job_board_id")).withColumn("job_board_id", new_key)
     w = Window.partitionBy("job_board_id").orderBy(F.desc(F.col("_old_key") == F.col("job_board_id")), "id")

@@ -9,10 +9,14 @@ from __future__ import annotations
 
 import datetime as dt
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from postflow import schema
+from postflow.functions.text import source_of_key
+from postflow.operators import keys
 from postflow.sources import adapters
 from postflow.sources.adapters import AdapterResult
 
@@ -131,13 +135,16 @@ def with_defaults(rows: DataFrame, as_of: dt.datetime) -> DataFrame:
 KEY_COLLISION = "key collision"
 
 
-def tag(inc: DataFrame, current: DataFrame | None, by_source: bool = False) -> DataFrame:
+def tag(inc: DataFrame, current: DataFrame | None, by_source: bool = False, aliases: DataFrame | None = None,
+        id_sources: Sequence[str] = ()) -> DataFrame:
     """What becomes of each incoming row, without its texts: run order, source, key,
     url, `ok` (all required fields set), `is_new`, `collision`.
 
     The first valid row of a key in run order wins, unless the key is stored. The
-    key is a short hash, so the URL goes along: a row whose key another URL holds
-    (in the store, or first in the run) is a collision, not a repetition. Each
+    key is a short hash, so what it was made from goes along (a URL or the
+    provider's id): a row whose key another of these holds (in the store, or first
+    in the run) is a collision, not a repetition. With `aliases`, rows come under
+    the key they have in the store (see `keys.canonical`). Each
     key's winner is a minimum, combined before the shuffle; the narrow rows then
     meet it on the key, where a hot key (all blank URLs of a source share one) is
     split by the skew join.
@@ -145,27 +152,33 @@ def tag(inc: DataFrame, current: DataFrame | None, by_source: bool = False) -> D
     ok = F.col("title").isNotNull()
     for c in schema.REQUIRED[1:]:
         ok = ok & F.col(c).isNotNull()
-    rows = inc.select(*RUN_ORDER, "source", "job_board_id", "url", ok.alias("ok"))
+    rows = keys.with_provider_id(inc).select(*RUN_ORDER, "source", "job_board_id", "url", "provider_id", ok.alias("ok"))
+    if aliases is None:
+        rows = rows.withColumn("identity", keys.identity())
+    else:
+        rows = keys.canonical(rows, aliases, id_sources)
+    rows = rows.drop("provider_id")
     first = (rows.filter("ok").groupBy("job_board_id")
-             .agg(F.min(F.struct(*RUN_ORDER, "url")).alias("_w")))
+             .agg(F.min(F.struct(*RUN_ORDER, "identity")).alias("_w")))
     if current is None:
         first = first.withColumn("_held", F.lit(None).cast("string")).withColumn("_stored", F.lit(False))
     else:
         url = F.col("url") if "url" in current.columns else F.lit(None).cast("string").alias("url")
-        stored = current.select(*_key_cols(by_source), url)
+        source = F.col("source") if "source" in current.columns else source_of_key("job_board_id").alias("source")
+        known = keys.with_provider_id(current).select(source, "job_board_id", url, "provider_id")
         if by_source:
             # only the stored keys the batch also has (lets a source-partitioned store be pruned)
-            stored = stored.join(rows.select(*_key_cols(True)).distinct(), _key_cols(True), "left_semi")
-        held = stored.select("job_board_id", F.col("url").alias("_held"), F.lit(True).alias("_stored"))
+            known = known.join(rows.select(*_key_cols(True)).distinct(), _key_cols(True), "left_semi")
+        held = known.select("job_board_id", F.when(F.col("url").isNotNull(), keys.identity()).alias("_held"), F.lit(True).alias("_stored"))
         first = first.join(held.dropDuplicates(["job_board_id"]), "job_board_id", "left")
     place = F.struct(*RUN_ORDER)
     won = F.struct(*[F.col("_w")[c].alias(c) for c in RUN_ORDER])
     stored_key = F.coalesce("_stored", F.lit(False))
-    owner = F.when(stored_key, F.col("_held")).otherwise(F.col("_w")["url"])
+    owner = F.when(stored_key, F.col("_held")).otherwise(F.col("_w")["identity"])
     return rows.join(first, "job_board_id", "left").select(
         *RUN_ORDER, "source", "job_board_id", "url", "ok",
         F.coalesce(F.col("ok") & ~stored_key & (place == won), F.lit(False)).alias("is_new"),
-        F.coalesce(F.col("ok") & (F.col("url") != owner), F.lit(False)).alias("collision"))
+        F.coalesce(F.col("ok") & (F.col("identity") != owner), F.lit(False)).alias("collision"))
 
 
 def summary_of(tags: DataFrame) -> DataFrame:
@@ -187,7 +200,7 @@ def summary(inc: DataFrame, current: DataFrame | None, by_source: bool = False)
 
 
 def collisions(inc: DataFrame, tags: DataFrame) -> DataFrame:
-    """The incoming rows that lost their key to another URL, as rejects."""
+    """The incoming rows that lost their key to another posting, as rejects."""
     lost = tags.filter("collision").select(*RUN_ORDER)
     return inc.join(lost, RUN_ORDER, "left_semi").select(
         "source_ord", "payload_ord", F.col("source").alias("type"), "entry_ord",

@@ -280,22 +280,44 @@ def generate_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def store_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Seed a store, ingest one batch twice and compact: no row is lost or doubled."""
+    """Seed a store, ingest one batch twice, edit, compact twice and ingest the batch once
+    more: no row or edit is lost or doubled."""
     store = PostingStore(spark, scratch_path(spark, "store-replay"))
     store.seed(_stored(spark, sf_dir))
     payloads = derive.payloads(table(spark, sf_dir, "documents"), "greenhouse")
     for _ in range(2):
         store.ingest_payloads(payloads, None, derive.AS_OF, batch_id=0)
-    return PostingStore(spark, store.compact("postings", 1)).postings()
+    applied = store.postings().filter("id % 5 = 0").select(
+        "job_board_id", F.lit("Applied").alias("status"), F.lit(0).alias("ord"))
+    store.edit_statuses(applied, derive.AS_OF, batch_id=0)
+    store = PostingStore(spark, store.compact("postings", 1))
+    store = PostingStore(spark, store.compact("postings", 2))
+    store.ingest_payloads(payloads, None, derive.AS_OF, batch_id=0)
+    return store.view()
+
+
+def store_rekey(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scrape all boards, move the source to the providers' ids, scrape them again: the
+    summaries of both runs (the second adds nothing)."""
+    store = PostingStore(spark, scratch_path(spark, "store-rekey"))
+    payloads = derive.payloads(table(spark, sf_dir, "documents"), "greenhouse")
+    before = store.ingest_payloads(payloads, None, derive.AS_OF, batch_id=0)
+    moved = PostingStore(spark, store.rekey("greenhouse", 1))
+    after = moved.ingest_payloads(payloads, None, derive.AS_OF, batch_id=1)
+    return before.withColumn("run", F.lit(0)).unionByName(after.withColumn("run", F.lit(1)))
 
 
 def status_edit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two edits of one posting and one of another in one second, one batch id: the
-    postings whose status is then not the stored one."""
+    """Edits of every labelled document's posting, two each in one second and one batch:
+    the postings whose status is then not the stored one."""
     store = PostingStore(spark, scratch_path(spark, "status-edit"))
     store.seed(derive.doc_postings(table(spark, sf_dir, "documents")))
-    for key, status in (("doc-2", "Rejected"), ("doc-2", "Interviewing"), ("doc-3", "Applied"), ("doc-3", "Applied")):
-        store.set_status(key, status, derive.AS_OF, batch_id=5)
+    labels = table(spark, sf_dir, "labels")
+    key = F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("job_board_id")
+    first = labels.select(key, F.when(F.col("toxic") == 1, "Rejected").otherwise("Interviewing").alias("status"), F.lit(0).alias("ord"))
+    second = labels.select(key, F.when(F.col("quality") == 1, "Applied").otherwise("Rejected").alias("status"), F.lit(1).alias("ord"))
+    for _ in range(2):  # the second time nothing is written
+        store.edit_statuses(first.unionByName(second), derive.AS_OF, batch_id=5)
     after = store.view().select("id", "job_board_id", "status")
     before = store.postings().select("id", F.col("status").alias("stored_status"))
     return after.join(before, "id").filter("status != stored_status")
@@ -305,6 +327,7 @@ QUERIES.update({
     "ingest_stream": ingest_stream,
     "generate_stream": generate_stream,
     "store_replay": store_replay,
+    "store_rekey": store_rekey,
     "status_edit": status_edit,
 })
 
@@ -335,9 +358,20 @@ def plan_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def source_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """No source is listed (each is of an unknown type): the old search block serves."""
-    listed = _config_sources(table(spark, sf_dir, "documents")).filter("type = 'none'")
-    return config.plan_requests(config.resolve_sources(listed, config.legacy_source(spark, derive.SEARCH_TITLE)))
+    """A configuration for each (source, language): the boards it lists, or, where it
+    lists none that are of a known type, its old search block."""
+    docs = table(spark, sf_dir, "documents").filter("source is not null and lang is not null")
+    config_of = F.concat_ws("/", "source", "lang").alias("config")
+    listed = (docs.filter("lang <> 'en'").select("source", "lang").distinct().select(config_of, "*")
+              .join(_config_sources(docs).withColumn("source", F.lower(F.trim(F.substring_index("token", " Board", 1))))
+                    .filter("type <> 'lever'"), "source")
+              .select("config", *[f.name for f in schema.SOURCES.fields]))
+    blocks = docs.select("source", "lang").distinct().select(
+        config_of, F.concat(F.lit("Data "), F.col("lang")).alias("title"),
+        F.when(F.col("lang") == "fr", " Paris ").alias("location"))
+    resolved = config.resolve_all(listed, blocks)
+    plan = config.with_defaults(resolved).select("config", "source_ord", "type", config.request_url().alias("request_url"))
+    return plan.filter(F.col("request_url").isNotNull())
 
 
 def source_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -394,9 +394,10 @@ ORACLES.update({
     "posting_lookup": f"SELECT * FROM ({_view()}) v WHERE job_board_id = 'doc-7'",
     "posting_lookup_id": f"SELECT * FROM ({_view()}) v WHERE id = 12",
     "status_edit": f"""
-        WITH p AS (SELECT doc_id + 1 AS id, 'doc-' || CAST(doc_id AS VARCHAR) AS job_board_id,
-                     CASE doc_id % 13 WHEN 0 THEN 'Ghosted' WHEN 1 THEN 'Applied' ELSE 'To Apply' END AS stored_status,
-                     CASE doc_id WHEN 2 THEN 'Interviewing' WHEN 3 THEN 'Applied' END AS edited FROM documents)
+        WITH p AS (SELECT d.doc_id + 1 AS id, 'doc-' || CAST(d.doc_id AS VARCHAR) AS job_board_id,
+                     CASE d.doc_id % 13 WHEN 0 THEN 'Ghosted' WHEN 1 THEN 'Applied' ELSE 'To Apply' END AS stored_status,
+                     CASE WHEN quality = 1 THEN 'Applied' ELSE 'Rejected' END AS edited
+                   FROM documents d JOIN labels USING (doc_id))
         SELECT id, job_board_id, edited AS status, stored_status FROM p WHERE edited <> stored_status""",
     "assign_ids": f"""
         WITH inc AS ({GREENHOUSE_ROWS}),
@@ -440,7 +441,19 @@ ORACLES.update({
         SELECT *, {_POSTING_TAIL} FROM ({_NEW_WITH_IDS}) n""",
     "generate_stream": ORACLES["generate_materials"],
 })
-ORACLES["store_replay"] = ORACLES["ingest_stream"]
+ORACLES["store_replay"] = f"""
+    SELECT * REPLACE (CASE WHEN id % 5 = 0 THEN 'Applied' ELSE status END AS status) FROM ({ORACLES["ingest_stream"]}) p"""
+ORACLES["store_rekey"] = f"""
+    WITH inc AS ({GREENHOUSE_ROWS}),
+    r AS (SELECT *, {_OK} AS ok, row_number() OVER (PARTITION BY job_board_id, {_OK}
+                 ORDER BY source_ord, payload_ord, entry_ord) = 1 AND {_OK} AS won FROM inc),
+    s AS (SELECT source_ord, CASE WHEN source_ord IS NOT NULL THEN 'greenhouse' END AS source, count(*) AS seen,
+                 count_if(won) AS new, count_if(NOT ok) AS rejected, count_if(coalesce(url, '') = '') AS blank_urls
+          FROM r GROUP BY ROLLUP (source_ord))
+    SELECT source_ord, source, seen, CAST(CASE run WHEN 0 THEN new ELSE 0 END AS BIGINT) AS new,
+           CAST(rejected AS BIGINT) AS rejected, CAST(blank_urls AS BIGINT) AS blank_urls,
+           CAST(0 AS BIGINT) AS key_collisions, run
+    FROM s, (VALUES (0), (1)) AS runs(run)"""
 
 
 # ---------------------------------------------------------------------------
@@ -495,8 +508,21 @@ ORACLES.update({
           WHEN 'greenhouse' THEN 'https://boards-api.greenhouse.io/v1/boards/' || trim(token) || '/jobs?content=true'
           WHEN 'ashby' THEN 'https://api.ashbyhq.com/posting-api/job-board/' || trim(token) END AS request_url
         FROM ({_CFG}) c WHERE type <> 'lever'""",
-    "source_fallback": """SELECT 0 AS source_ord, 'seek' AS type,
-        'https://www.seek.com.au/data-analyst-jobs/in-all-australia?rss=true' AS request_url""",
+    "source_fallback": f"""
+        WITH c AS (SELECT DISTINCT source, lang, source || '/' || lang AS config FROM documents
+                   WHERE source IS NOT NULL AND lang IS NOT NULL),
+        t AS ({_CFG}),
+        l AS (SELECT config, t.* FROM c JOIN t ON trim(t.token) = c.source || ' Board' WHERE lang <> 'en' AND type <> 'lever'),
+        u AS (SELECT config, source_ord, type, token, title, location FROM l
+              UNION ALL
+              SELECT config, 0, 'seek', NULL, 'Data ' || lang, CASE WHEN lang = 'fr' THEN ' Paris ' END FROM c
+              WHERE config NOT IN (SELECT config FROM l))
+        SELECT config, source_ord, type, CASE type
+          WHEN 'seek' THEN 'https://www.seek.com.au/' || lower(replace(trim(title), ' ', '-')) || '-jobs/in-'
+            || lower(replace(trim(coalesce(location, 'All Australia')), ' ', '-')) || '?rss=true'
+          WHEN 'greenhouse' THEN 'https://boards-api.greenhouse.io/v1/boards/' || trim(token) || '/jobs?content=true'
+          ELSE 'https://api.ashbyhq.com/posting-api/job-board/' || trim(token) END AS request_url
+        FROM u""",
     "source_lines": f"""
         WITH l AS (SELECT trim({_LINES}) AS l FROM documents),
         k AS (SELECT regexp_split_to_array(l, '\\s+') AS p FROM l WHERE l <> '' AND NOT starts_with(l, '#'))

@@ -175,6 +175,22 @@ POSTINGS = _struct(
 
 POSTING_COLUMNS = [f.name for f in POSTINGS.fields]
 
+# As the store keeps it: with the provider's id, where the adapter gave one.
+STORED_POSTINGS = T.StructType([*POSTINGS.fields, T.StructField("provider_id", S, True)])
+
+# Keys that postings had before their source moved to id keys.
+ALIASES = _struct(
+    ("old_key", S),
+    ("new_key", S),
+)
+
+# Batches that were committed in the version before this one.
+MARKS = _struct(
+    ("name", S),
+    ("writer", S),
+    ("batch_id", L),
+)
+
 # Required posting fields: a null here sends the row to rejects.
 REQUIRED = ["job_board_id", "title", "company", "location", "description", "url"]
 

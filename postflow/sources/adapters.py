@@ -49,12 +49,15 @@ class AdapterResult:
         if self.tagged is not None:
             return self.tagged
         null_s = F.lit(None).cast("string")
-        rows = self.incoming.select(*schema.INCOMING_COLUMNS, F.col("source").alias("type"),
+        own = self.incoming.columns
+        pid = F.col("provider_id") if "provider_id" in own else null_s.alias("provider_id")
+        rows = self.incoming.select(*schema.INCOMING_COLUMNS, pid, F.col("source").alias("type"),
                                     null_s.alias("reason"), null_s.alias("raw"))
         return rows.unionByName(self.rejects, allowMissingColumns=True)
 
 
-TAGGED_COLUMNS = [*schema.INCOMING_COLUMNS, "type", "reason", "raw"]
+# what an adapter yields for the store: the provider's id goes along (null if it has none)
+TAGGED_COLUMNS = [*schema.INCOMING_COLUMNS, "provider_id", "type", "reason", "raw"]
 
 
 Adapter = Callable[[DataFrame], AdapterResult]
@@ -158,6 +161,8 @@ def _keyed(rows: DataFrame, source_type: str) -> DataFrame:
     ok = F.col("reason").isNull()
     rows = rows.withColumn("source", F.when(ok, F.lit(source_type)))
     rows = rows.withColumn("job_board_id", F.when(ok, posting_key(F.lit(source_type), F.col("url"))))
+    if "provider_id" not in rows.columns:
+        rows = rows.withColumn("provider_id", F.lit(None).cast("string"))
     return rows.select(*TAGGED_COLUMNS)
 
 
@@ -196,6 +201,7 @@ def _greenhouse_entries(entries: DataFrame) -> DataFrame:
         location.alias("location"),
         get_or_default(e, "$.content", "").alias("description"),
         get_or_default(e, "$.absolute_url", "").alias("url"),
+        vstr(e, "$.id").alias("provider_id"),
         "title_contains",
     )
     return out.filter(F.col("reason").isNotNull() | title_matches("title", "title_contains")).drop("title_contains")
@@ -250,6 +256,7 @@ def _ashby_entries(entries: DataFrame) -> DataFrame:
         fold_remote(location, truthy(vget(e, "$.isRemote"))).alias("location"),
         first_non_empty(or_text(e, "$.descriptionPlain"), or_text(e, "$.descriptionHtml")).alias("description"),
         first_non_empty(or_text(e, "$.jobUrl"), or_text(e, "$.applyUrl")).alias("url"),
+        vstr(e, "$.id").alias("provider_id"),
     )
 
 

@@ -26,6 +26,16 @@ def resolve_sources(listed: DataFrame | None, legacy: DataFrame | None) -> DataF
     return legacy
 
 
+def resolve_all(listed: DataFrame, blocks: DataFrame) -> DataFrame:
+    """`resolve_sources` for many configurations at once (column `config`): the listed
+    sources of each, or its old search block (config, title, location) if it lists none."""
+    alone = blocks.join(listed.select("config").distinct(), "config", "left_anti")
+    null_s = F.lit(None).cast("string")
+    return listed.unionByName(alone.select(
+        "config", F.lit(0).alias("source_ord"), F.lit("seek").alias("type"), null_s.alias("token"), "title",
+        F.coalesce("location", F.lit(schema.DEFAULT_LOCATION)).alias("location"), null_s.alias("title_contains")))
+
+
 def invalid_sources(sources: DataFrame) -> DataFrame:
     """Rows a configuration check rejects: unknown type or a missing parameter."""
     t = F.col("type")

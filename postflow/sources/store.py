@@ -7,12 +7,22 @@ numbers of two writers never meet. A batch that is committed is never written
 again: running it once more returns what it did. Status edits, dead marks and
 generated texts are separate tables folded in by `view()`. A missing table reads
 as an empty typed table.
+
+Compaction, a move to id keys and pruning write a new version: a root of its own
+that holds every table, the marks of the batches committed so far (so that none of
+them is done again there) and, last of all, a manifest. A version's number is
+claimed by exclusive creation of a file, so it exists once.
+
+Ids come in blocks, reserved by exclusive creation of a file for each: writers that
+ingest at once get different ones, and a batch that is done again gets its own.
 """
 
 from __future__ import annotations
 
 import datetime as dt
 import hashlib
+import json
+from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,17 +30,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from postflow import schema
-from postflow.operators import board, ingest
+from postflow.operators import board, ingest, keys
 from postflow.session import checkpoint_dir, scratch_path
 from postflow.sources.adapters import AdapterResult
+from postflow.sources.files import Files
 
 TABLES: dict[str, T.StructType] = {
-    "postings": schema.POSTINGS,
+    "postings": schema.STORED_POSTINGS,
     "status_changes": schema.STATUS_CHANGES,
     "dead_marks": schema.DEAD_MARKS,
     "materials": schema.MATERIALS,
     "rejects": schema.REJECTS,
     "summaries": schema.SUMMARIES,
+    "aliases": schema.ALIASES,
 }
 
 PARTITIONS = {"postings": ["source"]}
@@ -59,7 +71,23 @@ class PostingStore:
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
         self.root = root.rstrip("/")
+        self.files = Files(spark)
         checkpoint_dir(spark)
+        self.id_sources: list[str] = []  # sources on id keys
+        self._has_marks = False
+        if self.files.exists(self._manifest):
+            manifest = json.loads(self.files.read(self._manifest))
+            self.id_sources, self._has_marks = manifest["id_sources"], True
+        elif self.files.exists(self._claim):
+            raise ValueError(f"{self.root} is a version that was not written to its end")
+
+    @property
+    def _claim(self) -> str:
+        return f"{self.root}/_claim"
+
+    @property
+    def _manifest(self) -> str:
+        return f"{self.root}/_manifest.json"
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -67,15 +95,16 @@ class PostingStore:
     def _batch_path(self, name: str, writer: str, batch_id: int) -> str:
         return f"{self.path(name)}/writer={writer}/batch_id={int(batch_id)}"
 
-    def _file_system(self, path: str):
-        jvm = self.spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
+    def _marks(self) -> DataFrame:
+        return self.spark.read.schema(schema.MARKS).parquet(self.path("_marks"))
 
     def committed(self, name: str, writer: str, batch_id: int) -> bool:
-        """Whether the batch was written to its end (its job left the success mark)."""
-        fs, p = self._file_system(self._batch_path(name, writer, batch_id) + "/_SUCCESS")
-        return fs.exists(p)
+        """Whether the batch was written to its end (its job left the success mark, here
+        or in the version before)."""
+        if self.files.exists(self._batch_path(name, writer, batch_id) + "/_SUCCESS"):
+            return True
+        return self._has_marks and not self._marks().filter(
+            (F.col("name") == name) & _is_batch(writer, batch_id)).isEmpty()
 
     # -- read ---------------------------------------------------------------
     def read(self, name: str, with_batch: bool = False) -> DataFrame:
@@ -98,7 +127,12 @@ class PostingStore:
         return self.read(name, with_batch=True).filter(~_is_batch(writer, batch_id)).drop(*BATCH_COLUMNS)
 
     def postings(self) -> DataFrame:
-        return self.read("postings")
+        return self.read("postings").select(*schema.POSTING_COLUMNS)
+
+    def key_of(self, job_board_id: str) -> str:
+        """The key a posting has now, by one it has or had."""
+        found = self.read("aliases").filter(F.col("old_key") == F.lit(job_board_id)).first()
+        return job_board_id if found is None else found["new_key"]
 
     def view(self, exclude: tuple[str, str, int] | None = None) -> DataFrame:
         """Current postings: latest status, latest successful texts, first dead mark.
@@ -114,15 +148,48 @@ class PostingStore:
         (Overwriting clears the rest of an attempt that did not get to its end.)"""
         if self.committed(name, writer, batch_id):
             return
-        w = df.select(*[f.name for f in TABLES[name].fields]).write.mode("overwrite")
+        w = self._typed(name, df).write.mode("overwrite")
         if name in PARTITIONS:
             w = w.partitionBy(*PARTITIONS[name])
         w.parquet(self._batch_path(name, writer, batch_id))
 
+    @staticmethod
+    def _typed(name: str, df: DataFrame) -> DataFrame:
+        """df with the table's columns; those that an older caller does not know are null."""
+        return df.select(*[F.col(f.name) if f.name in df.columns else F.lit(None).cast(f.dataType).alias(f.name)
+                           for f in TABLES[name].fields])
+
     def _append(self, name: str, df: DataFrame, batch_id: int) -> None:
-        """Add rows to a batch of the caller's own; nothing written before goes."""
-        w = df.select(*[f.name for f in TABLES[name].fields]).write.mode("append")
-        w.parquet(self._batch_path(name, APPEND, batch_id))
+        """Add rows to a batch of the caller's own. They are written under a digest of
+        all of them, so appending the same rows to the same batch once more (a replay)
+        adds nothing, and other rows have a place of their own."""
+        staging = scratch_path(self.spark, "append")
+        self._typed(name, df).write.parquet(staging)
+        rows = self.spark.read.schema(TABLES[name]).parquet(staging)
+        row = F.xxhash64(*rows.columns)
+        n, a, b = rows.agg(F.count(F.lit(1)), F.bit_xor(row), F.sum(row.cast("decimal(38,0)"))).first()
+        if n:
+            digest = hashlib.sha1(f"{n} {a} {b}".encode()).hexdigest()[:16]
+            self.write(name, rows, f"{APPEND}-{digest}", batch_id)
+        self.files.delete(staging)
+
+    def reserve_ids(self, n: int, writer: str, batch_id: int) -> int:
+        """The first of n ids of this batch's own, after all that are stored or reserved.
+
+        Blocks are numbered files `_ids/<k>`, created exclusively: of writers that try
+        the same number, one gets it and the others go on behind its block."""
+        own = {"writer": writer, "batch_id": int(batch_id), "n": int(n)}
+        blocks = [json.loads(self.files.read(p)) for p in self.files.matching(f"{self.path('_ids')}/[0-9]*")]
+        mine = [b for b in blocks if {k: b[k] for k in own} == own]
+        if mine:
+            return mine[-1]["first"]
+        stored = self.read_others("postings", writer, batch_id).agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+        while True:
+            first = 1 + max([int(stored), *(b["first"] + b["n"] - 1 for b in blocks)])
+            path = f"{self.path('_ids')}/{len(blocks):012d}"
+            if self.files.create(path, json.dumps({**own, "first": first})):
+                return first
+            blocks.append(json.loads(self.files.read(path)))
 
     def ingest(self, inc: DataFrame, as_of: dt.datetime, batch_id: int, rejects: DataFrame | None = None,
                writer: str = INGEST) -> DataFrame:
@@ -146,22 +213,30 @@ class PostingStore:
             return self.read_batch("summaries", writer, batch_id)
         stored = self.read_others("postings", writer, batch_id)
         entries = res.both()
-        staging = scratch_path(self.spark, "entries")
-        entries.write.parquet(staging)
+        staging = self._staging(writer, batch_id)
+        entries.write.mode("overwrite").parquet(staging)
         entries = self.spark.read.schema(entries.schema).parquet(staging)
-        rows = entries.filter(F.col("reason").isNull()).select(*schema.INCOMING_COLUMNS)
-        tags = ingest.tag(rows, stored, by_source=True).checkpoint(eager=True)
-        new = rows.join(tags.filter("is_new").select(*ingest.RUN_ORDER), ingest.RUN_ORDER, "left_semi")
-        new = ingest.with_defaults(ingest.assign_ids(new, stored), as_of)
-        self.write("postings", new.select(*schema.POSTING_COLUMNS), writer, batch_id)
+        rows = entries.filter(F.col("reason").isNull()).select(*schema.INCOMING_COLUMNS, "provider_id")
+        tags = ingest.tag(rows, stored, by_source=True, aliases=self.read("aliases"),
+                          id_sources=self.id_sources).checkpoint(eager=True)
+        won = tags.filter("is_new").select(*ingest.RUN_ORDER, "job_board_id")
+        new = rows.drop("job_board_id").join(won, ingest.RUN_ORDER)
+        n = won.count()
+        base = self.reserve_ids(n, writer, batch_id) - 1 if n else 0
+        self.write("postings", ingest.with_defaults(ingest.assign_ids(new, base), as_of), writer, batch_id)
         bad = entries.filter(F.col("reason").isNotNull()).select(*[f.name for f in schema.REJECTS.fields])
         bad = bad.unionByName(ingest.split_required(rows)[1]).unionByName(ingest.collisions(rows, tags))
         self.write("rejects", bad, writer, batch_id)
         self.write("summaries", ingest.summary_of(tags), writer, batch_id)
-        fs, p = self._file_system(staging)
-        fs.delete(p, True)
+        self.files.delete(staging)
         return self.read_batch("summaries", writer, batch_id)
 
+    def _staging(self, writer: str, batch_id: int) -> str:
+        """Where a batch's parsed entries lie while it is at work: one folder of its own,
+        which a new attempt clears of what a broken one left."""
+        own = hashlib.sha1(f"{self.root} {writer} {int(batch_id)}".encode()).hexdigest()[:16]
+        return f"{checkpoint_dir(self.spark).rstrip('/')}/postflow-entries-{own}"
+
     def seed(self, postings: DataFrame, batch_id: int = 0) -> None:
         """Write postings that already exist elsewhere (ids and keys kept)."""
         if self.committed("postings", SEED, batch_id):
@@ -213,6 +288,7 @@ class PostingStore:
 
         Edits of a key are numbered by the store, so two in one second keep their order.
         """
+        job_board_id = self.key_of(job_board_id)
         change = board.status_change(board.lookup(self.view(), job_board_id), job_board_id, status, as_of)
         rows = change.collect()  # one key: one row at most
         if rows:
@@ -222,39 +298,85 @@ class PostingStore:
             self._append("status_changes", self.spark.createDataFrame([row], schema.STATUS_CHANGES), batch_id)
         return len(rows)
 
-    def _rewritten(self, version: str) -> PostingStore:
-        return PostingStore(self.spark, f"{self.root}_{version}")
-
-    def _carry(self, target: PostingStore, changed: dict[str, DataFrame], writer: str) -> str:
+    def edit_statuses(self, edits: DataFrame, as_of: dt.datetime, batch_id: int = 0) -> DataFrame:
+        """Record a table of edits (job_board_id, status, ord) in one write: each that
+        differs from the status before it, in the order `ord` of its posting. Keys may be
+        old ones; unknown postings are left out. Returns the rows of the batch; a
+        committed batch is not written again."""
+        if not self.committed("status_changes", STATUS, batch_id):
+            old = self.read("aliases").select(F.col("old_key").alias("_old"), F.col("new_key").alias("_new"))
+            mine = edits.join(old, F.col("job_board_id") == F.col("_old"), "left").select(
+                F.coalesce("_new", "job_board_id").alias("job_board_id"), "status", "ord")
+            changes = self.read_others("status_changes", STATUS, batch_id)
+            last = changes.groupBy("job_board_id").agg(F.max("seq").alias("_seq"))
+            now = board.current_view(self.postings(), changes).select("job_board_id", F.col("status").alias("_now"))
+            self.write("status_changes", board.numbered_changes(mine.join(now, "job_board_id").join(
+                last, "job_board_id", "left"), as_of), STATUS, batch_id)
+        return self.read_batch("status_changes", STATUS, batch_id)
+
+    # -- versions ---------------------------------------------------------------
+    def _new_version(self, version: int, writer: str, changed: Callable[[], dict[str, DataFrame]],
+                     id_sources: list[str] | None = None) -> str:
+        """Write every table, some of them changed, and the commit marks under the root
+        `<root>_v<version>`; its manifest comes last. An existing version is an error.
+
+        Postings become one batch; the small tables keep their writers and batches, which
+        replayed commands read again."""
+        root = f"{self.root}_v{int(version)}"
+        if not self.files.create(f"{root}/_claim", json.dumps({"from": self.root, "by": writer})):
+            raise ValueError(f"version {int(version)} exists already: {root}")
+        tables = changed()
         for name in TABLES:
-            df = changed.get(name)
-            target.write(name, self.read(name) if df is None else df, writer, 0)
-        return target.root
+            df = tables.get(name)
+            df = self.read(name, with_batch=True) if df is None else df
+            if name == "postings":
+                self._typed(name, df).write.partitionBy("source").parquet(f"{root}/{name}/writer={writer}/batch_id=0")
+            elif set(BATCH_COLUMNS) <= set(df.columns):
+                df.write.partitionBy(*BATCH_COLUMNS).parquet(f"{root}/{name}")
+            else:
+                self._typed(name, df).write.parquet(f"{root}/{name}/writer={writer}/batch_id=0")
+        found = [p.split("/")[-4:-1] for n in TABLES for p in self.files.matching(f"{self.path(n)}/writer=*/batch_id=*/_SUCCESS")]
+        marks = self.spark.createDataFrame(
+            [(n, w.removeprefix("writer="), int(b.removeprefix("batch_id="))) for n, w, b in found], schema.MARKS)
+        (marks.unionByName(self._marks()) if self._has_marks else marks).distinct().write.parquet(f"{root}/_marks")
+        self.files.create(f"{root}/_manifest.json", json.dumps(
+            {"version": int(version), "from": self.root, "by": writer, "tables": {n: f"{root}/{n}" for n in TABLES},
+             "id_sources": sorted(set(self.id_sources) | set(id_sources or []))}))
+        return root
 
     def compact(self, name: str, version: int) -> str:
-        """Rewrite a table as one batch folder under a new root `<root>_v<version>`.
+        """The whole store under a new root `<root>_v<version>`, with the batches of the
+        table `name` written together.
 
         Readers switch by opening the new root; the old root stays readable
         until it is removed, so compaction never races a reader.
         """
-        target = self._rewritten(f"v{int(version)}")
-        target.write(name, self.read(name), COMPACT, 0)
-        return target.root
+        if name not in TABLES:
+            raise ValueError(f"unknown table: {name}")
+        return self._new_version(version, COMPACT, dict)
 
     def rekey(self, source: str, version: int) -> str:
         """The store under a new root with the URL-keyed rows of `source` on id-derived
-        keys: postings, status edits, texts and dead marks move together."""
+        keys: postings, status edits, texts and dead marks move together, and aliases
+        of the old keys are kept for the next scrape."""
         from postflow.operators import extras
 
-        tables = extras.rekey_tables(self.postings(), source, status_changes=self.read("status_changes"),
-                                     materials=self.read("materials"), dead_marks=self.read("dead_marks"))
-        return self._carry(self._rewritten(f"v{int(version)}"), tables, REKEY)
+        def moved() -> dict[str, DataFrame]:
+            postings = self.read("postings")
+            sides = {n: self.read(n, with_batch=True) for n in ("status_changes", "materials", "dead_marks")}
+            tables = extras.rekey_tables(postings, source, **sides)
+            tables["aliases"] = keys.chained(self.read("aliases"), keys.moved_keys(postings, source))
+            return tables
+
+        return self._new_version(version, REKEY, moved, [source])
 
     def prune_removed(self, version: int) -> str:
         """The store under a new root without the postings found dead, nor their side rows."""
         from postflow.operators import extras
 
-        kept = extras.still_listed(self.view()).select("job_board_id").distinct()
-        tables = {name: self.read(name).join(kept, "job_board_id", "left_semi")
-                  for name in ("postings", "status_changes", "materials", "dead_marks")}
-        return self._carry(self._rewritten(f"v{int(version)}"), tables, COMPACT)
+        def listed() -> dict[str, DataFrame]:
+            kept = extras.still_listed(self.view()).select("job_board_id").distinct()
+            return {name: self.read(name, with_batch=True).join(kept, "job_board_id", "left_semi")
+                    for name in ("postings", "status_changes", "materials", "dead_marks")}
+
+        return self._new_version(version, COMPACT, listed)
