@@ -48,6 +48,22 @@ def fold_materials(materials: DataFrame) -> DataFrame:
         "job_board_id", "_m.cover_letter", "_m.cold_email")
 
 
+def folded(name: str, rows: DataFrame) -> DataFrame:
+    """The rows of a change table that still count, one a key, with the table's columns:
+    folding them with later rows gives what folding all rows gives."""
+    if name == "status_changes":
+        last = F.max_by(F.struct(*rows.columns), F.struct("changed_at", "seq"))
+    elif name == "materials":
+        rows = rows.filter(F.col("error").isNull() & F.col("cover_letter").isNotNull())
+        last = F.max(F.struct("generated_at", "generator", "cover_letter", "cold_email", "error"))
+    elif name == "dead_marks":
+        last = F.struct(F.min("dead_at").alias("dead_at"))
+    else:
+        raise ValueError(f"not a change table: {name}")
+    out = rows.groupBy(F.col("job_board_id").alias("_key")).agg(last.alias("_last"))
+    return out.select(*[F.col("_key").alias(c) if c == "job_board_id" else F.col("_last")[c].alias(c) for c in rows.columns])
+
+
 def current_view(postings: DataFrame, status_changes: DataFrame | None = None,
                  materials: DataFrame | None = None, dead_marks: DataFrame | None = None) -> DataFrame:
     """Postings with the folded status, texts and dead time (the posting schema)."""

@@ -38,11 +38,13 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder of the cluster, as its settings name it: the
-    context's checkpoint dir, `spark.checkpoint.dir`, or, where neither is set, a
-    folder below the SQL warehouse (which all executors share too)."""
+    context's checkpoint dir, `spark.checkpoint.dir`, or, where neither is set in a
+    local session, a folder below the SQL warehouse. A cluster must name one."""
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(named or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
     return sc.getCheckpointDir()
 

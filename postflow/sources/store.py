@@ -13,6 +13,9 @@ that holds every table, the marks of the batches committed so far (so that none
 them is done again there) and, last of all, a manifest. A version's number is
 claimed by exclusive creation of a file, so it exists once.
 
+A snapshot holds the change tables folded so far, one row a key, and names the batches
+it covers; `view()` folds it with the batches after it alone.
+
 Ids come in blocks, reserved by exclusive creation of a file for each: writers that
 ingest at once get different ones, and a batch that is done again gets its own.
 """
@@ -46,6 +49,7 @@ TABLES: dict[str, T.StructType] = {
 }
 
 PARTITIONS = {"postings": ["source"]}
+CHANGES = ("status_changes", "materials", "dead_marks")
 BATCH_COLUMNS = ["writer", "batch_id"]
 
 # Writers of the store itself; streams are named by their checkpoint.
@@ -138,10 +142,59 @@ class PostingStore:
         """Current postings: latest status, latest successful texts, first dead mark.
         `exclude=(table, writer, batch)` leaves out what that batch wrote to the table."""
         def side(name: str) -> DataFrame:
-            return self.read_others(*exclude) if exclude is not None and exclude[0] == name else self.read(name)
+            if exclude is not None and exclude[0] == name:
+                return self.read_others(*exclude)
+            return self._changes(name) if name in CHANGES else self.read(name)
 
         return board.current_view(side("postings"), side("status_changes"), side("materials"), side("dead_marks"))
 
+    # -- snapshots -------------------------------------------------------------
+    def _last_snapshot(self) -> dict | None:
+        found = self.files.matching(f"{self.path('_snapshots')}/[0-9]*.json")
+        return json.loads(self.files.read(found[-1])) if found else None
+
+    def _batches(self, name: str) -> list[str]:
+        """The batches of a table that were written to their end, as `writer=.../batch_id=...`."""
+        done = {"/".join(p.split("/")[-3:-1]) for p in self.files.matching(f"{self.path(name)}/writer=*/batch_id=*/_SUCCESS")}
+        if self._has_marks:
+            done |= {f"writer={r.writer}/batch_id={r.batch_id}" for r in self._marks().filter(F.col("name") == name).collect()}
+        here = {"/".join(p.split("/")[-2:]) for p in self.files.matching(f"{self.path(name)}/writer=*/batch_id=*")}
+        return sorted(done & here)
+
+    def _changes(self, name: str) -> DataFrame:
+        """What `view()` folds of a change table: all of it, or the last snapshot and the
+        batches that it does not cover."""
+        last = self._last_snapshot()
+        if last is None:
+            return self.read(name)
+        covered = set(last["covered"][name])
+        here = {"/".join(p.split("/")[-2:]) for p in self.files.matching(f"{self.path(name)}/writer=*/batch_id=*")}
+        rows = self.spark.read.schema(TABLES[name]).parquet(f"{last['root']}/{name}")
+        later = [f"{self.path(name)}/{b}" for b in sorted(here - covered)]
+        return rows.unionByName(self.spark.read.schema(TABLES[name]).parquet(*later)) if later else rows
+
+    def snapshot(self) -> int:
+        """Fold the change tables up to now (the snapshot before and the batches after it);
+        returns the snapshot's number. It counts once its manifest is there, which is
+        written last; a writer that comes second to a number takes the next."""
+        numbers = [int(p.rsplit("/", 1)[1].split(".")[0]) for p in self.files.matching(f"{self.path('_snapshots')}/[0-9]*")]
+        number = 1 + max(numbers, default=-1)
+        while not self.files.create(f"{self.path('_snapshots')}/{number:08d}.claim", "{}"):
+            number += 1
+        covered = {name: self._batches(name) for name in CHANGES}
+        last = self._last_snapshot()
+        root = f"{self.path('_snapshots')}/{number:08d}"
+        for name in CHANGES:
+            new = [f"{self.path(name)}/{b}" for b in covered[name] if last is None or b not in set(last["covered"][name])]
+            parts = [f"{last['root']}/{name}"] if last else []
+            frames = [self.spark.read.schema(TABLES[name]).parquet(*x) for x in (parts, new) if x]
+            rows = self.spark.createDataFrame([], TABLES[name])
+            for f in frames:
+                rows = rows.unionByName(f)
+            board.folded(name, rows).write.parquet(f"{root}/{name}")
+        self.files.create(f"{root}.json", json.dumps({"root": root, "covered": covered}))
+        return number
+
     # -- write --------------------------------------------------------------
     def write(self, name: str, df: DataFrame, writer: str, batch_id: int) -> None:
         """Write one batch of a writer; a committed batch is left as it is.

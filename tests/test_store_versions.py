@@ -206,3 +206,40 @@ def test_a_table_of_edits(spark):
     assert got == {"seek-seed0": "Rejected", "seek-seed1": "Applied", "seek-seed2": "To Apply"}
     mine = [r.seq for r in store.read("status_changes").filter("job_board_id = 'seek-seed1'").orderBy("seq").collect()]
     assert mine == [0, 1, 2]
+
+
+# ---- snapshots
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_the_view_over_a_snapshot_is_the_full_fold(spark, seed):
+    import datetime as dt
+    import random
+
+    from postflow.operators import board
+
+    rng = random.Random(seed)
+    store = new_store(spark, 6)
+    key = lambda: f"seek-seed{rng.randrange(6)}"
+    at = lambda: AS_OF + dt.timedelta(hours=rng.randrange(50))
+    n = 0
+    for step in range(4):
+        for _ in range(2):
+            n += 1
+            store.append_status(spark.createDataFrame(
+                [(key(), rng.choice(schema.STATUSES), at(), 1000 * n + i) for i in range(3)], schema.STATUS_CHANGES), n)
+            store.append_materials(spark.createDataFrame(
+                [(key(), f"letter {n} {i}", "mail", "g", at(), rng.choice([None, "failed"])) for i in range(2)], schema.MATERIALS), n)
+            store.append_dead(spark.createDataFrame([(key(), at())], schema.DEAD_MARKS), n)
+        full = board.current_view(store.postings(), *(store.read(t) for t in ("status_changes", "materials", "dead_marks")))
+        assert sorted(map(str, store.view().collect())) == sorted(map(str, full.collect()))
+        if step < 3:
+            assert store.snapshot() == step
+    # only the batches after the snapshot are read
+    read = [f for f in store._changes("status_changes").inputFiles() if "/batch_id=" in f]
+    assert {f.split("/batch_id=")[1].split("/")[0] for f in read} == {"7", "8"}
+    moved = PostingStore(spark, store.compact("postings", 1))
+    assert state(moved) == state(store)
+    moved.snapshot()
+    moved.set_status("seek-seed0", "Interviewing", AS_OF + dt.timedelta(days=9))
+    assert {r[1]: r[2] for r in state(moved)}["seek-seed0"] == "Interviewing"
