@@ -16,6 +16,8 @@ def shared_dir(spark: SparkSession) -> str:
     where that is unset (local tests), a folder below the SQL warehouse."""
     sc = spark.sparkContext
     base = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not base:
         base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
     if not sc.getCheckpointDir():
