@@ -29,7 +29,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it (a last part: its first words)."""
+    """Each document, whole, as often as the mix takes it."""
     return op05_mixing.mix(docs)
 
 
