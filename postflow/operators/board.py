@@ -11,8 +11,9 @@ joins are on the unique posting key.
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from postflow import schema
@@ -86,6 +87,35 @@ def current_view(postings: DataFrame, status_changes: DataFrame | None = None,
     return view.select(*schema.POSTING_COLUMNS)
 
 
+def _last_of(parts: list[DataFrame], value: Column, pick: Callable[..., Column], fold: Callable[[Column], Column],
+             name: str) -> tuple[list[DataFrame], Column]:
+    """Each part folded by key, and the pick among what the parts say of a key."""
+    sides = [p.groupBy("job_board_id").agg(fold(value).alias(f"{name}{i}")) for i, p in enumerate(parts)]
+    said = [F.col(f"{name}{i}") for i in range(len(parts))]
+    return sides, pick(*said) if len(said) > 1 else said[0]
+
+
+def view_of_parts(postings: DataFrame, status_changes: list[DataFrame], materials: list[DataFrame],
+                  dead_marks: list[DataFrame]) -> DataFrame:
+    """The current view of postings whose change tables come in parts, each folded and
+    joined on its own: a part that lies by key (a bucketed snapshot) is not moved for
+    the rows that came after it."""
+    done = F.col("error").isNull() & F.col("cover_letter").isNotNull()
+    st, last = _last_of(status_changes, F.struct("changed_at", "seq", "status"), F.greatest, F.max, "_st")
+    ma, text = _last_of([m.filter(done) for m in materials], F.struct("generated_at", "generator", "cover_letter", "cold_email"),
+                        F.greatest, F.max, "_ma")
+    de, dead = _last_of(dead_marks, F.col("dead_at"), F.least, F.min, "_de")
+    view = postings
+    for side in st + ma + de:
+        view = view.join(side, "job_board_id", "left")
+    return view.withColumns({
+        "status": F.coalesce(last["status"], "status"),
+        "generated_cover_letter": F.coalesce(text["cover_letter"], "generated_cover_letter"),
+        "generated_cold_email": F.coalesce(text["cold_email"], "generated_cold_email"),
+        "dead_at": F.coalesce("dead_at", dead),
+    }).select(*schema.POSTING_COLUMNS)
+
+
 def listing(view: DataFrame, limit: int = 0, ordered: bool = True) -> DataFrame:
     """Dashboard rows, newest scraped first (id breaks ties): header, status shown,
     and whether each text is there. `limit` N > 0 returns one page of N rows, picked

@@ -135,8 +135,14 @@ def with_defaults(rows: DataFrame, as_of: dt.datetime) -> DataFrame:
 KEY_COLLISION = "key collision"
 
 
+def _held(known: DataFrame, n: int) -> DataFrame:
+    """Stored keys and what they were made from, as `_held<n>`, `_stored<n>`."""
+    held = F.when(F.col("url").isNotNull(), keys.identity())
+    return known.select("job_board_id", held.alias(f"_held{n}"), F.lit(True).alias(f"_stored{n}")).dropDuplicates(["job_board_id"])
+
+
 def tag(inc: DataFrame, current: DataFrame | None, by_source: bool = False, aliases: DataFrame | None = None,
-        id_sources: Sequence[str] = ()) -> DataFrame:
+        id_sources: Sequence[str] = (), keyed: DataFrame | None = None) -> DataFrame:
     """What becomes of each incoming row, without its texts: run order, source, key,
     url, `ok` (all required fields set), `is_new`, `collision`.
 
@@ -147,7 +153,8 @@ def tag(inc: DataFrame, current: DataFrame | None, by_source: bool = False, alia
     the key they have in the store (see `keys.canonical`). Each
     key's winner is a minimum, combined before the shuffle; the narrow rows then
     meet it on the key, where a hot key (all blank URLs of a source share one) is
-    split by the skew join.
+    split by the skew join. `keyed` holds stored postings that lie by key already (a
+    bucketed table, its keys in `current` no more): the lookup leaves them where they are.
     """
     ok = F.col("title").isNotNull()
     for c in schema.REQUIRED[1:]:
@@ -160,17 +167,22 @@ def tag(inc: DataFrame, current: DataFrame | None, by_source: bool = False, alia
     rows = rows.drop("provider_id")
     first = (rows.filter("ok").groupBy("job_board_id")
              .agg(F.min(F.struct(*RUN_ORDER, "identity")).alias("_w")))
-    if current is None:
-        first = first.withColumn("_held", F.lit(None).cast("string")).withColumn("_stored", F.lit(False))
-    else:
+    stored = []
+    if current is not None:
         url = F.col("url") if "url" in current.columns else F.lit(None).cast("string").alias("url")
         source = F.col("source") if "source" in current.columns else source_of_key("job_board_id").alias("source")
         known = keys.with_provider_id(current).select(source, "job_board_id", url, "provider_id")
         if by_source:
             # only the stored keys the batch also has (lets a source-partitioned store be pruned)
             known = known.join(rows.select(*_key_cols(True)).distinct(), _key_cols(True), "left_semi")
-        held = known.select("job_board_id", F.when(F.col("url").isNotNull(), keys.identity()).alias("_held"), F.lit(True).alias("_stored"))
-        first = first.join(held.dropDuplicates(["job_board_id"]), "job_board_id", "left")
+        stored.append(_held(known, 0))
+    if keyed is not None:
+        stored.append(_held(keys.with_provider_id(keyed).select("source", "job_board_id", "url", "provider_id"), len(stored)))
+    for held in stored:
+        first = first.join(held, "job_board_id", "left")
+    first = first.select("job_board_id", "_w",
+                         F.coalesce(*[F.col(f"_held{i}") for i in range(len(stored))], F.lit(None).cast("string")).alias("_held"),
+                         F.coalesce(*[F.col(f"_stored{i}") for i in range(len(stored))], F.lit(False)).alias("_stored"))
     place = F.struct(*RUN_ORDER)
     won = F.struct(*[F.col("_w")[c].alias(c) for c in RUN_ORDER])
     stored_key = F.coalesce("_stored", F.lit(False))

@@ -17,7 +17,7 @@ from postflow.functions.text import has_text
 from postflow.operators import board, extras, ingest, links, materials
 from postflow.plans import derive, stand_in
 from postflow.plans.derive import table
-from postflow.session import scratch_path
+from postflow.session import scratch_path, shuffle_partitions
 from postflow.sources import config
 from postflow.sources.store import PostingStore
 from postflow.streaming import ingest as streaming
@@ -296,6 +296,25 @@ def store_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.view()
 
 
+def store_bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As `store_replay`, with the stored postings in a version bucketed by key: the batch
+    comes after the move and once more as another batch, the edits partly before a
+    snapshot and partly after it."""
+    store = PostingStore(spark, scratch_path(spark, "store-bucketed"))
+    store.seed(_stored(spark, sf_dir))
+    store = PostingStore(spark, store.compact("postings", 1, buckets=shuffle_partitions(spark)))
+    payloads = derive.payloads(table(spark, sf_dir, "documents"), "greenhouse")
+    for batch_id in range(2):
+        store.ingest_payloads(payloads, None, derive.AS_OF, batch_id=batch_id)
+    edited = store.postings().filter("id % 5 = 0")
+    for batch_id, half in enumerate(("id % 2 = 0", "id % 2 = 1")):
+        store.edit_statuses(edited.filter(half).select("job_board_id", F.lit("Applied").alias("status"), F.lit(0).alias("ord")),
+                            derive.AS_OF, batch_id=batch_id)
+        if batch_id == 0:
+            store.snapshot()
+    return store.view()
+
+
 def store_rekey(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scrape all boards, move the source to the providers' ids, scrape them again: the
     summaries of both runs (the second adds nothing)."""
@@ -327,6 +346,7 @@ QUERIES.update({
     "ingest_stream": ingest_stream,
     "generate_stream": generate_stream,
     "store_replay": store_replay,
+    "store_bucketed": store_bucketed,
     "store_rekey": store_rekey,
     "status_edit": status_edit,
 })

@@ -16,6 +16,9 @@ claimed by exclusive creation of a file, so it exists once.
 A snapshot holds the change tables folded so far, one row a key, and names the batches
 it covers; `view()` folds it with the batches after it alone.
 
+A version can be bucketed by posting key (Spark's own buckets): postings and snapshots
+then lie by key, and the insert lookup and the view shuffle only what came later.
+
 Ids come in blocks, reserved by exclusive creation of a file for each: writers that
 ingest at once get different ones, and a batch that is done again gets its own.
 """
@@ -67,6 +70,11 @@ def _with_batch(st: T.StructType) -> T.StructType:
                          T.StructField("batch_id", T.LongType(), True)])
 
 
+def _table_of(path: str) -> str:
+    """The catalog's name of a bucketed folder (Spark reads buckets only through a table)."""
+    return "postflow_" + hashlib.sha1(path.encode()).hexdigest()[:20]
+
+
 def _is_batch(writer: str, batch_id: int) -> Column:
     return (F.col("writer") == F.lit(writer)) & (F.col("batch_id") == F.lit(int(batch_id)))
 
@@ -79,9 +87,11 @@ class PostingStore:
         checkpoint_dir(spark)
         self.id_sources: list[str] = []  # sources on id keys
         self._has_marks = False
+        self.buckets, self._base = 0, ""  # of a version bucketed by key: how many, and its first batch
         if self.files.exists(self._manifest):
             manifest = json.loads(self.files.read(self._manifest))
             self.id_sources, self._has_marks = manifest["id_sources"], True
+            self.buckets, self._base = manifest["buckets"], manifest["base"]
         elif self.files.exists(self._claim):
             raise ValueError(f"{self.root} is a version that was not written to its end")
 
@@ -141,6 +151,9 @@ class PostingStore:
     def view(self, exclude: tuple[str, str, int] | None = None) -> DataFrame:
         """Current postings: latest status, latest successful texts, first dead mark.
         `exclude=(table, writer, batch)` leaves out what that batch wrote to the table."""
+        if self.buckets:
+            return self._view_by_key(exclude)
+
         def side(name: str) -> DataFrame:
             if exclude is not None and exclude[0] == name:
                 return self.read_others(*exclude)
@@ -148,6 +161,55 @@ class PostingStore:
 
         return board.current_view(side("postings"), side("status_changes"), side("materials"), side("dead_marks"))
 
+    # -- buckets -----------------------------------------------------------------
+    def _write_by_key(self, df: DataFrame, path: str, buckets: int, partition: list[str]) -> None:
+        """df as Parquet below path, bucketed and sorted by key, one file a bucket (and source)."""
+        w = df.repartition(buckets, "job_board_id").write.format("parquet").option("path", path)
+        if partition:
+            w = w.partitionBy(*partition)
+        w.bucketBy(buckets, "job_board_id").sortBy("job_board_id").saveAsTable(_table_of(path))
+
+    def _by_key(self, name: str, path: str, partition: list[str]) -> DataFrame:
+        """What `_write_by_key` wrote, as the bucketed table that it is (in a session
+        that does not know it yet, by its folder)."""
+        own = _table_of(path)
+        if not self.spark.catalog.tableExists(own):
+            fields = [f for f in TABLES[name].fields if f.name not in partition] + [TABLES[name][c] for c in partition]
+            columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
+            layout = f"PARTITIONED BY ({', '.join(partition)})" if partition else ""
+            self.spark.sql(f"CREATE TABLE IF NOT EXISTS {own} ({columns}) USING parquet {layout} CLUSTERED BY (job_board_id) "
+                           f"SORTED BY (job_board_id) INTO {self.buckets} BUCKETS LOCATION '{path}'")
+            if partition:
+                self.spark.catalog.recoverPartitions(own)
+        return self.spark.table(own).select(*[f.name for f in TABLES[name].fields])
+
+    def _later(self, name: str, covered: set[str]) -> DataFrame:
+        """A table without some of its batches (`writer=.../batch_id=...`)."""
+        here = {"/".join(p.split("/")[-2:]) for p in self.files.matching(f"{self.path(name)}/writer=*/batch_id=*")}
+        later = [f"{self.path(name)}/{b}" for b in sorted(here - covered)]
+        if not later:
+            return self.spark.createDataFrame([], _with_batch(TABLES[name]))
+        return self.spark.read.schema(_with_batch(TABLES[name])).option("basePath", self.path(name)).parquet(*later)
+
+    def _postings_by_key(self) -> DataFrame:
+        return self._by_key("postings", f"{self.path('postings')}/{self._base}", PARTITIONS["postings"])
+
+    def _view_by_key(self, exclude: tuple[str, str, int] | None) -> DataFrame:
+        last = self._last_snapshot()
+
+        def parts(name: str) -> list[DataFrame]:
+            if exclude is not None and exclude[0] == name:
+                return [self.read_others(*exclude)]
+            if last is None:
+                return [self.read(name)]
+            return [self._by_key(name, f"{last['root']}/{name}", []), self._later(name, set(last["covered"][name]))]
+
+        sides = [parts(name) for name in CHANGES]
+        later = self._later("postings", {self._base})
+        if exclude is not None and exclude[0] == "postings":
+            later = later.filter(~_is_batch(*exclude[1:]))
+        return board.view_of_parts(self._postings_by_key(), *sides).unionByName(board.view_of_parts(later, *sides))
+
     # -- snapshots -------------------------------------------------------------
     def _last_snapshot(self) -> dict | None:
         found = self.files.matching(f"{self.path('_snapshots')}/[0-9]*.json")
@@ -167,11 +229,8 @@ class PostingStore:
         last = self._last_snapshot()
         if last is None:
             return self.read(name)
-        covered = set(last["covered"][name])
-        here = {"/".join(p.split("/")[-2:]) for p in self.files.matching(f"{self.path(name)}/writer=*/batch_id=*")}
         rows = self.spark.read.schema(TABLES[name]).parquet(f"{last['root']}/{name}")
-        later = [f"{self.path(name)}/{b}" for b in sorted(here - covered)]
-        return rows.unionByName(self.spark.read.schema(TABLES[name]).parquet(*later)) if later else rows
+        return rows.unionByName(self._later(name, set(last["covered"][name])).drop(*BATCH_COLUMNS))
 
     def snapshot(self) -> int:
         """Fold the change tables up to now (the snapshot before and the batches after it);
@@ -191,7 +250,10 @@ class PostingStore:
             rows = self.spark.createDataFrame([], TABLES[name])
             for f in frames:
                 rows = rows.unionByName(f)
-            board.folded(name, rows).write.parquet(f"{root}/{name}")
+            if self.buckets:
+                self._write_by_key(board.folded(name, rows), f"{root}/{name}", self.buckets, [])
+            else:
+                board.folded(name, rows).write.parquet(f"{root}/{name}")
         self.files.create(f"{root}.json", json.dumps({"root": root, "covered": covered}))
         return number
 
@@ -264,14 +326,18 @@ class PostingStore:
         committed, so a batch that broke off is done again from the start."""
         if self.committed("summaries", writer, batch_id):
             return self.read_batch("summaries", writer, batch_id)
-        stored = self.read_others("postings", writer, batch_id)
+        if self.buckets:
+            keyed = self._postings_by_key()
+            stored = self._later("postings", {self._base}).filter(~_is_batch(writer, batch_id)).drop(*BATCH_COLUMNS)
+        else:
+            keyed, stored = None, self.read_others("postings", writer, batch_id)
         entries = res.both()
         staging = self._staging(writer, batch_id)
         entries.write.mode("overwrite").parquet(staging)
         entries = self.spark.read.schema(entries.schema).parquet(staging)
         rows = entries.filter(F.col("reason").isNull()).select(*schema.INCOMING_COLUMNS, "provider_id")
         tags = ingest.tag(rows, stored, by_source=True, aliases=self.read("aliases"),
-                          id_sources=self.id_sources).checkpoint(eager=True)
+                          id_sources=self.id_sources, keyed=keyed).checkpoint(eager=True)
         won = tags.filter("is_new").select(*ingest.RUN_ORDER, "job_board_id")
         new = rows.drop("job_board_id").join(won, ingest.RUN_ORDER)
         n = won.count()
@@ -369,12 +435,13 @@ class PostingStore:
 
     # -- versions ---------------------------------------------------------------
     def _new_version(self, version: int, writer: str, changed: Callable[[], dict[str, DataFrame]],
-                     id_sources: list[str] | None = None) -> str:
+                     id_sources: list[str] | None = None, buckets: int | None = None) -> str:
         """Write every table, some of them changed, and the commit marks under the root
         `<root>_v<version>`; its manifest comes last. An existing version is an error.
 
-        Postings become one batch; the small tables keep their writers and batches, which
-        replayed commands read again."""
+        Postings become one batch, bucketed if the version is to be (None: as this one is);
+        the small tables keep their writers and batches, which replayed commands read again."""
+        buckets = self.buckets if buckets is None else int(buckets)
         root = f"{self.root}_v{int(version)}"
         if not self.files.create(f"{root}/_claim", json.dumps({"from": self.root, "by": writer})):
             raise ValueError(f"version {int(version)} exists already: {root}")
@@ -382,7 +449,9 @@ class PostingStore:
         for name in TABLES:
             df = tables.get(name)
             df = self.read(name, with_batch=True) if df is None else df
-            if name == "postings":
+            if name == "postings" and buckets:
+                self._write_by_key(self._typed(name, df), f"{root}/{name}/writer={writer}/batch_id=0", buckets, PARTITIONS[name])
+            elif name == "postings":
                 self._typed(name, df).write.partitionBy("source").parquet(f"{root}/{name}/writer={writer}/batch_id=0")
             elif set(BATCH_COLUMNS) <= set(df.columns):
                 df.write.partitionBy(*BATCH_COLUMNS).parquet(f"{root}/{name}")
@@ -394,19 +463,22 @@ class PostingStore:
         (marks.unionByName(self._marks()) if self._has_marks else marks).distinct().write.parquet(f"{root}/_marks")
         self.files.create(f"{root}/_manifest.json", json.dumps(
             {"version": int(version), "from": self.root, "by": writer, "tables": {n: f"{root}/{n}" for n in TABLES},
-             "id_sources": sorted(set(self.id_sources) | set(id_sources or []))}))
+             "id_sources": sorted(set(self.id_sources) | set(id_sources or [])),
+             "buckets": buckets, "base": f"writer={writer}/batch_id=0"}))
         return root
 
-    def compact(self, name: str, version: int) -> str:
+    def compact(self, name: str, version: int, buckets: int | None = None) -> str:
         """The whole store under a new root `<root>_v<version>`, with the batches of the
-        table `name` written together.
+        table `name` written together. With `buckets` the new version is bucketed by key
+        (0: not; None: as this one is); size them so that a bucket of postings is a few
+        hundred MB.
 
         Readers switch by opening the new root; the old root stays readable
         until it is removed, so compaction never races a reader.
         """
         if name not in TABLES:
             raise ValueError(f"unknown table: {name}")
-        return self._new_version(version, COMPACT, dict)
+        return self._new_version(version, COMPACT, dict, buckets=buckets)
 
     def rekey(self, source: str, version: int) -> str:
         """The store under a new root with the URL-keyed rows of `source` on id-derived

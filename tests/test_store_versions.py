@@ -243,3 +243,81 @@ def test_the_view_over_a_snapshot_is_the_full_fold(spark, seed):
     moved.snapshot()
     moved.set_status("seek-seed0", "Interviewing", AS_OF + dt.timedelta(days=9))
     assert {r[1]: r[2] for r in state(moved)}["seek-seed0"] == "Interviewing"
+
+
+# -- versions bucketed by key ----------------------------------------------------------
+
+def above_scans(df, mark):
+    """For each scan whose line holds `mark`: the plan's operators from it up to the top join."""
+    lines = df._jdf.queryExecution().executedPlan().toString().splitlines()
+    depth = [len(line) - len(line.lstrip(" :+-")) for line in lines]
+    found = []
+    for i, line in enumerate(lines):
+        if mark in line:
+            path, at = [], depth[i]
+            for j in range(i - 1, -1, -1):
+                if depth[j] < at:
+                    path.append(lines[j].strip(" :+-"))
+                    at = depth[j]
+            joins = [k for k, p in enumerate(path) if "Join" in p]
+            found.append(path[:joins[-1] + 1])
+    return found
+
+
+@pytest.fixture
+def no_broadcast(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def later_work(spark, store):
+    """A repeated and a new posting, edits before and after a snapshot, texts, a dead link."""
+    got = scrape(spark, store, 7, 2, 3, 50)
+    store.set_status("seek-seed2", "Interviewing", AS_OF, 1)
+    store.snapshot()
+    store.set_status("seek-seed2", "Rejected", AS_OF, 2)
+    store.set_status(posting_key_of("https://b/50"), "Applied", AS_OF, 3)
+    store.generate("cv", lambda: lambda ps: ["later" for _ in ps], AS_OF, 9, limit=1)
+    store.append_dead(spark.createDataFrame([("seek-seed0", AS_OF)], schema.DEAD_MARKS), 4)
+    return got.seen, got.new
+
+
+def posting_key_of(url):
+    import hashlib
+    return "greenhouse-" + hashlib.sha1(url.encode()).hexdigest()[:10]
+
+
+def test_a_bucketed_version_does_what_a_plain_one_does(spark):
+    store = filled(spark)
+    plain = PostingStore(spark, store.compact("postings", 1))
+    keyed = PostingStore(spark, store.compact("postings", 2, buckets=4))
+    assert keyed.buckets == 4 and state(keyed) == state(plain)
+    assert later_work(spark, plain) == later_work(spark, keyed) == (3, 1)
+    assert state(keyed) == state(plain) and len({r[2] for r in state(keyed)}) == 3
+    assert sorted(keyed.read("postings").collect()) == sorted(plain.read("postings").collect())
+    # a session that does not know the tables finds them by their folders
+    for t in spark.catalog.listTables():
+        if t.name.startswith("postflow_"):
+            spark.sql(f"DROP TABLE {t.name}")
+    again = PostingStore(spark, keyed.root)
+    assert state(again) == state(plain)
+    # the next version keeps the buckets; a replay writes nothing there
+    kept = PostingStore(spark, again.compact("postings", 1))
+    scrape(spark, kept, 7, 2, 3, 50)
+    assert kept.buckets == 4 and state(kept) == state(plain)
+
+
+def test_a_bucketed_version_is_not_shuffled_for_the_lookup_and_the_view(spark, no_broadcast):
+    from postflow.operators import ingest
+
+    keyed = PostingStore(spark, filled(spark).compact("postings", 1, buckets=6))
+    keyed.snapshot()
+    keyed.set_status("seek-seed2", "Rejected", AS_OF, 2)
+    new = incoming(spark, [{"url": "https://seed/1", "job_board_id": "seek-seed1"}, {"url": "https://n"}])
+    tags = ingest.tag(new, keyed._later("postings", {keyed._base}), True, keyed.read("aliases"), (), keyed._postings_by_key())
+    for df, scans in ((tags, 1), (keyed.view(), 4)):
+        paths = above_scans(df, "Bucketed: true")
+        assert len(paths) >= scans and not [p for path in paths for p in path if "Exchange" in p]
+    assert sorted(r.is_new for r in tags.collect()) == [False, True]
