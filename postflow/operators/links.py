@@ -133,42 +133,51 @@ def report_lines(results: DataFrame) -> DataFrame:
 RETRYABLE = ("ConnectionError", "ConnectTimeout", "ReadTimeout", "Timeout", "HTTPError", "SSLError", "ProxyError")
 
 
-def reduce_fetch_log(fetch_log: DataFrame, retries: int = schema.FETCH_RETRIES,
-                     retryable: tuple[str, ...] = RETRYABLE) -> DataFrame:
-    """Outcome of the retrying fetch of each URL from its attempt log.
-
-    Attempts run 0..retries. A 2xx/3xx answer ends with the parsed body (or a
-    decode error when it is not JSON); a 4xx ends at once, and so does an
-    exception that is not `retryable`; 5xx answers and retryable exceptions are
-    retried, and after the last attempt the last error stands. Each URL has at
-    most retries + 1 rows after the cap, so the window holds a bounded group.
-    """
+def judged_attempts(fetch_log: DataFrame, retries: int = schema.FETCH_RETRIES,
+                    retryable: tuple[str, ...] = RETRYABLE) -> DataFrame:
+    """Each attempt up to the cap, without its body: whether it ends the fetch
+    (`terminal`), and the outcome and error that stand if it is the last."""
     log = fetch_log.filter(F.col("attempt").between(0, retries))
     failed = F.col("exc").isNotNull() & ~F.col("exc").isin(*retryable)
     answered = F.col("exc").isNull() & (F.col("code") < 500)
-    terminal = failed | answered
-    w = Window.partitionBy("url").orderBy(
-        F.desc(terminal), F.when(terminal, F.col("attempt")).asc(), F.col("attempt").desc())
-    final = log.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") == 1)
     ok = answered & (F.col("code") < 400)
+    bad_body = ok & F.try_parse_json("body").isNull()
     outcome = (
-        F.when(ok & F.try_parse_json("body").isNull(), F.lit("bad_body"))
+        F.when(bad_body, F.lit("bad_body"))
         .when(ok, F.lit("ok"))
         .when(answered, F.lit("client_error"))
         .when(failed, F.lit("failed"))
         .otherwise(F.lit("gave_up"))
     )
     error = (
-        F.when(ok & F.try_parse_json("body").isNull(), F.lit("JSONDecodeError"))
+        F.when(bad_body, F.lit("JSONDecodeError"))
         .when(ok, F.lit(None).cast("string"))
         .when(F.col("exc").isNotNull(), F.col("exc"))
         .otherwise(F.concat(F.lit("HTTP "), F.col("code").cast("string")))
     )
-    return final.select(
-        "url", (F.col("attempt") + 1).alias("attempts"), "code", outcome.alias("outcome"), error.alias("error"))
+    return log.select("url", "attempt", "code", F.coalesce(failed | answered, F.lit(False)).alias("terminal"),
+                      outcome.alias("outcome"), error.alias("error"))
+
+
+def reduce_fetch_log(fetch_log: DataFrame, retries: int = schema.FETCH_RETRIES,
+                     retryable: tuple[str, ...] = RETRYABLE) -> DataFrame:
+    """Outcome of the retrying fetch of each URL from its attempt log.
+
+    Attempts run 0..retries. A 2xx/3xx answer ends with the parsed body (or a
+    decode error when it is not JSON); a 4xx ends at once, and so does an
+    exception that is not `retryable`; 5xx answers and retryable exceptions are
+    retried, and after the last attempt the last error stands. Each URL has at
+    most retries + 1 rows after the cap, so the window holds a bounded group.
+    """
+    log = judged_attempts(fetch_log, retries, retryable)
+    w = Window.partitionBy("url").orderBy(
+        F.desc("terminal"), F.when(F.col("terminal"), F.col("attempt")).asc(), F.col("attempt").desc())
+    final = log.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") == 1)
+    return final.select("url", (F.col("attempt") + 1).alias("attempts"), "code", "outcome", "error")
+
 
 
 __all__ = [
     "classify_responses", "check_queue", "check_postings", "counts", "dead_lines", "export_dead", "dead_marks",
-    "mark_dead", "report_lines", "reduce_fetch_log",
+    "mark_dead", "report_lines", "judged_attempts", "reduce_fetch_log",
 ]

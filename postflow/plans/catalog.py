@@ -20,6 +20,7 @@ from postflow.plans.derive import table
 from postflow.session import scratch_path, shuffle_partitions
 from postflow.sources import config
 from postflow.sources.store import PostingStore
+from postflow.streaming import fetch as fetching
 from postflow.streaming import ingest as streaming
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -279,6 +280,20 @@ def generate_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return written.drop("writer", "batch_id")
 
 
+def fetch_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The attempts of each URL land in rounds, the last ones first, and the stream goes
+    on after each: the outcomes it wrote."""
+    base = scratch_path(spark, "fetch-stream")
+    log = derive.fetch_log(table(spark, sf_dir, "events"))
+    for attempt in (2, 0, 1):
+        log.filter(F.col("attempt") == attempt).write.mode("append").parquet(f"{base}/landing")
+        q = fetching.fetch_stream(spark, f"{base}/landing", f"{base}/outcomes", f"{base}/checkpoint")
+        q.awaitTermination()
+        if q.exception() is not None:
+            raise RuntimeError(str(q.exception()))
+    return spark.read.schema(fetching.OUTCOMES).parquet(f"{base}/outcomes")
+
+
 def store_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Seed a store, ingest one batch twice, edit, compact twice and ingest the batch once
     more: no row or edit is lost or doubled."""
@@ -345,6 +360,7 @@ def status_edit(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES.update({
     "ingest_stream": ingest_stream,
     "generate_stream": generate_stream,
+    "fetch_stream": fetch_stream,
     "store_replay": store_replay,
     "store_bucketed": store_bucketed,
     "store_rekey": store_rekey,

@@ -443,6 +443,7 @@ ORACLES.update({
 })
 ORACLES["store_replay"] = f"""
     SELECT * REPLACE (CASE WHEN id % 5 = 0 THEN 'Applied' ELSE status END AS status) FROM ({ORACLES["ingest_stream"]}) p"""
+ORACLES["fetch_stream"] = ORACLES["fetch_reduce"]
 ORACLES["store_bucketed"] = ORACLES["store_replay"]
 ORACLES["store_rekey"] = f"""
     WITH inc AS ({GREENHOUSE_ROWS}),
