@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from postflow import schema
 from postflow.functions.text import has_text
-from postflow.operators import board, extras, ingest, links, materials
+from postflow.operators import board, contacts, extras, ingest, links, materials, terms
 from postflow.plans import derive, stand_in
 from postflow.plans.derive import table
 from postflow.session import scratch_path, shuffle_partitions
@@ -464,6 +464,17 @@ def x_location_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.filter(extras.matches_filters("title", "location", _TITLE_TERMS, _LOCATION_TERMS))
 
 
+def x_term_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Title terms: every two neighbouring words of a benchmark item; location terms: a
+    city for each language but French."""
+    words = F.split(F.regexp_replace("text", r"\s+", " "), " ")
+    phrases = F.transform(F.sequence(F.lit(1), F.size(words) - 1), lambda i: F.concat_ws(" ", F.slice(words, i, 2)))
+    titles = table(spark, sf_dir, "benchmark").filter(F.size(words) > 1).select(F.lit("title").alias("field"), F.explode(phrases).alias("term"))
+    cities = table(spark, sf_dir, "documents").filter("lang <> 'fr'").select(
+        F.lit("location").alias("field"), F.concat(F.lit("CITY OF "), F.col("lang")).alias("term")).distinct()
+    return terms.matching(ashby_scan(spark, sf_dir), titles.unionByName(cities))
+
+
 def x_board_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     # every fifth board (from position 4) has no postings at all
@@ -485,6 +496,10 @@ def x_contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extras.find_contacts(derive.doc_postings(table(spark, sf_dir, "documents")))
 
 
+def x_contact_guess(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contacts.guess_contacts(derive.contact_postings(table(spark, sf_dir, "documents")))
+
+
 def x_bounded_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return materials.run_generation(_view(spark, sf_dir), derive.RESUME_SUMMARY, "echo", derive.AS_OF, limit=50)
 
@@ -561,9 +576,11 @@ QUERIES.update({
     "x_provider_key": x_provider_key,
     "x_rekey": x_rekey,
     "x_location_filter": x_location_filter,
+    "x_term_table": x_term_table,
     "x_board_state": x_board_state,
     "x_board_candidates": x_board_candidates,
     "x_contacts": x_contacts,
+    "x_contact_guess": x_contact_guess,
     "x_bounded_run": x_bounded_run,
     "x_bounded_counts": x_bounded_counts,
     "x_live_postings": x_live_postings,

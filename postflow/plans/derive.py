@@ -376,6 +376,24 @@ def doc_postings(documents: DataFrame) -> DataFrame:
     )
 
 
+def contact_postings(documents: DataFrame) -> DataFrame:
+    """Postings whose description ends, by `doc_id % 5`, with a contact's name and address
+    (0, 1), a name and the company's web address (2, 3) or nothing more. The names are
+    made of the text's hash; an address follows one of three patterns, mostly that of
+    its source."""
+    k = F.col("doc_id") % 5
+    h = F.translate(F.md5("text"), "0123456789", "ghijklmnop")
+    first, last = F.initcap(F.substr(h, F.lit(1), F.lit(4))), F.initcap(F.substr(h, F.lit(5), F.lit(6)))
+    domain = F.concat(F.col("source"), F.lit(".example.com"))
+    style = F.when(F.col("doc_id") % 7 == 0, F.lit(0)).otherwise(F.coalesce(source_ord_of(), F.lit(0)) % 3)
+    local = (F.when(style == 0, F.concat(first, F.lit("."), last)).when(style == 1, F.concat(F.left(first, F.lit(1)), last))
+             .otherwise(F.concat(last, F.lit("."), first)))
+    name = F.concat(F.lit(" Recruiter: "), first, F.lit(" "), last)
+    tail = (F.when(k < 2, F.concat(name, F.lit(", "), F.lower(local), F.lit("@"), domain))
+            .when(k < 4, F.concat(name, F.lit(", https://www."), domain, F.lit("/jobs"))))
+    return doc_postings(documents.withColumn("text", F.concat("text", F.coalesce(tail, F.lit("")))))
+
+
 def label_materials(labels: DataFrame) -> DataFrame:
     """Texts generated earlier for labelled documents: quality 0 gives an empty
     letter, toxic 1 an empty email, both together a failed run (still pending)."""

@@ -564,6 +564,13 @@ ORACLES.update({
                      FROM k GROUP BY new_key) f ON r.new_key = f.new_key
         WHERE rn = 1""",
     "x_location_filter": f"""SELECT {_COLS} FROM ({ASHBY_ROWS}) a WHERE coalesce({_TITLE_OK} AND {_LOC_OK}, false)""",
+    "x_term_table": f"""
+        WITH words AS (SELECT string_split(regexp_replace(text, '\\s+', ' ', 'g'), ' ') AS w FROM benchmark),
+        phrase AS (SELECT DISTINCT lower(w[i] || ' ' || w[i + 1]) AS term FROM (SELECT w, unnest(range(1, len(w))) AS i FROM words) x),
+        city AS (SELECT DISTINCT lower('CITY OF ' || lang) AS term FROM documents WHERE lang <> 'fr')
+        SELECT {_COLS} FROM ({ASHBY_ROWS}) a
+        WHERE EXISTS (SELECT 1 FROM phrase WHERE contains(lower(a.title), term))
+          AND (contains(lower(a.location), 'remote') OR EXISTS (SELECT 1 FROM city WHERE contains(lower(a.location), term)))""",
     "x_board_state": f"""
         WITH rows AS (SELECT * FROM ({ORACLES['title_filter']}) f WHERE source_ord % 5 <> 4),
         landed AS (SELECT TRY_CAST(substr(source, 4) AS INTEGER) AS source_ord, max(source) AS token,
@@ -593,6 +600,34 @@ ORACLES.update({
         CASE WHEN regexp_extract(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+[.][A-Za-z]{2,}', 0) <> ''
              THEN 'published' ELSE 'none' END AS contact_confidence
         FROM documents""",
+    "x_contact_guess": """
+        WITH h AS (SELECT doc_id, text, source, translate(md5(text), '0123456789', 'ghijklmnop') AS h,
+                     CASE WHEN doc_id % 7 = 0 THEN 0 ELSE coalesce(TRY_CAST(substr(source, 4) AS INTEGER), 0) % 3 END AS style
+                   FROM documents),
+        n AS (SELECT *, substr(h, 1, 4) AS fst, substr(h, 5, 6) AS lst FROM h),
+        c AS (SELECT *, upper(substr(fst, 1, 1)) || substr(fst, 2) AS first0, upper(substr(lst, 1, 1)) || substr(lst, 2) AS last0 FROM n),
+        d AS (SELECT doc_id, text || coalesce(CASE
+                WHEN doc_id % 5 < 2 THEN ' Recruiter: ' || first0 || ' ' || last0 || ', '
+                  || CASE style WHEN 0 THEN fst || '.' || lst WHEN 1 THEN substr(fst, 1, 1) || lst ELSE lst || '.' || fst END
+                  || '@' || source || '.example.com'
+                WHEN doc_id % 5 < 4 THEN ' Recruiter: ' || first0 || ' ' || last0 || ', https://www.' || source || '.example.com/jobs' END, '')
+                AS text FROM c),
+        f AS (SELECT doc_id, lower(regexp_extract(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+[.][A-Za-z]{2,}', 0)) AS addr,
+                regexp_extract(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+[.][A-Za-z]{2,}', 0) AS email,
+                regexp_extract(text, '(?:Contact|Recruiter|Hiring manager): ?([A-Z][A-Za-z''-]+) ([A-Z][A-Za-z''-]+)', 1) AS first,
+                regexp_extract(text, '(?:Contact|Recruiter|Hiring manager): ?([A-Z][A-Za-z''-]+) ([A-Z][A-Za-z''-]+)', 2) AS last,
+                lower(regexp_extract(text, '(?:https?://(?:www[.])?|www[.])([A-Za-z0-9-]+(?:[.][A-Za-z0-9-]+)+)', 1)) AS domain
+              FROM d),
+        p AS (SELECT *, lower(regexp_replace(first, '[''-]', '', 'g')) AS a, lower(regexp_replace(last, '[''-]', '', 'g')) AS b FROM f),
+        m AS (SELECT *, [a || '.' || b, a || b, a || '_' || b, a || '-' || b, substr(a, 1, 1) || '.' || b,
+                         substr(a, 1, 1) || b, a || substr(b, 1, 1), b || '.' || a, a, b] AS made FROM p),
+        v AS (SELECT DISTINCT split_part(addr, '@', 2) AS domain, addr, list_position(made, split_part(addr, '@', 1)) AS i
+              FROM m WHERE email <> '' AND first <> '' AND list_contains(made, split_part(addr, '@', 1))),
+        w AS (SELECT domain, i, row_number() OVER (PARTITION BY domain ORDER BY count(*) DESC, i) AS r FROM v GROUP BY domain, i)
+        SELECT 'doc-' || CAST(doc_id AS VARCHAR) AS job_board_id, CASE WHEN first <> '' THEN first || ' ' || last END AS contact_name,
+          CASE WHEN email <> '' THEN email WHEN first <> '' AND m.domain <> '' THEN made[coalesce(w.i, 1)] || '@' || m.domain END AS contact_email,
+          CASE WHEN email <> '' THEN 'published' WHEN first <> '' AND m.domain <> '' THEN 'pattern-guess' ELSE 'none' END AS contact_confidence
+        FROM m LEFT JOIN w ON m.domain = w.domain AND w.r = 1""",
     "x_bounded_run": f"""SELECT job_board_id,
         CASE WHEN error IS NULL THEN c END AS cover_letter, CASE WHEN error IS NULL THEN e END AS cold_email,
         'echo' AS generator, TIMESTAMP '2026-01-01 00:00:00' AS generated_at, error
