@@ -11,15 +11,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postflow.functions.text import col
+from postflow.session import checkpoint_dir
 
 PIECE = 3
 REMOTE = "remote"
 
 
 def _pieces(text: Column, size: int) -> Column:
-    """The distinct pieces of `size` characters (none of a shorter text)."""
-    cut = F.transform(F.sequence(F.lit(1), F.length(text) - (size - 1)), lambda i: F.substr(text, i, F.lit(size)))
-    return F.when(F.length(text) >= size, F.array_distinct(cut))
+    """The distinct pieces of `size` characters (none of a shorter text), in time linear in
+    the text: a `substr` at every place would count from the start each time."""
+    chars = F.split(text, "")
+    pieces = chars
+    for n in range(2, size + 1):
+        pieces = F.zip_with(pieces, F.slice(chars, F.lit(n), F.length(text)), lambda a, b: F.concat(a, b))
+    return F.when(F.length(text) >= size, F.array_distinct(F.array_compact(pieces)))
 
 
 def held_terms(texts: DataFrame, column: str, terms: DataFrame) -> DataFrame:
@@ -31,7 +36,8 @@ def held_terms(texts: DataFrame, column: str, terms: DataFrame) -> DataFrame:
     whose hashes are equal are all searched, so a collision costs time only. A text is
     cut in memory by the task that reads it (about a hundred bytes a distinct piece)."""
     text = texts.select(F.lower(col(column)).alias("text")).filter("text IS NOT NULL").distinct()
-    text = text.withColumn("_text_key", F.xxhash64("text"))
+    checkpoint_dir(texts.sparkSession)
+    text = text.withColumn("_text_key", F.xxhash64("text")).checkpoint(eager=True)  # read three times below
     term = terms.select(F.lower("term").alias("term")).filter("term IS NOT NULL").distinct()
     size = F.least(F.length("term"), F.lit(PIECE))
     sizes = sorted(r[0] for r in term.select(size).distinct().collect())  # at most four numbers
@@ -60,12 +66,14 @@ def matching(rows: DataFrame, filters: DataFrame, title: str = "title", location
     location) and a `term`; a field without terms passes all rows. A null title (or
     location) passes only where its field has no terms. Rows come back unchanged,
     repeated ones too."""
-    for name, column, more in (("title", title, []), ("location", location, [REMOTE])):
+    out = rows
+    for name, column, more in (("title", title, ()), ("location", location, (REMOTE,))):
         terms = filters.filter((F.col("field") == name) & F.col("term").isNotNull()).select("term")
         if terms.isEmpty():
             continue
-        if more:
-            terms = terms.unionByName(filters.sparkSession.createDataFrame([(t,) for t in more], "term string"))
-        passing = held_terms(rows, column, terms).select(F.col("text").alias("_text")).distinct()
-        rows = rows.join(passing, F.lower(rows[column]) == F.col("_text"), "left_semi")
-    return rows
+        for term in more:
+            terms = terms.unionByName(terms.sparkSession.range(1).select(F.lit(term).alias("term")))
+        # found over the given rows, so that one field's work is not done again within the other's
+        passing = held_terms(rows.select(column), column, terms).select(F.col("text").alias("_text")).distinct()
+        out = out.join(passing, F.lower(out[column]) == F.col("_text"), "left_semi")
+    return out
