@@ -1,6 +1,6 @@
 """Filter terms kept in a table: thousands of terms in one pass over the texts.
 
-A term is found through its rarest piece of up to three characters: a text that holds
+A term is found through its rarest piece of one to six characters: a text that holds
 the term holds all its pieces, so only texts with that one piece are looked at, and each
 is then searched for the term itself. The result is that of one `contains` a term.
 """
@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from postflow.functions.text import col
 from postflow.session import checkpoint_dir
 
-PIECE = 3
+# Lengths of pieces; a term is cut into the longest that it has (longer ones are rarer).
+PIECES = (6, 3, 2, 1, 0)
 REMOTE = "remote"
 
 
@@ -39,8 +40,8 @@ def held_terms(texts: DataFrame, column: str, terms: DataFrame) -> DataFrame:
     checkpoint_dir(texts.sparkSession)
     text = text.withColumn("_text_key", F.xxhash64("text")).checkpoint(eager=True)  # read three times below
     term = terms.select(F.lower("term").alias("term")).filter("term IS NOT NULL").distinct()
-    size = F.least(F.length("term"), F.lit(PIECE))
-    sizes = sorted(r[0] for r in term.select(size).distinct().collect())  # at most four numbers
+    size = F.coalesce(*[F.when(F.length("term") >= n, F.lit(n)) for n in PIECES])
+    sizes = sorted(r[0] for r in term.select(size).distinct().collect())  # at most five numbers
     every = text.filter(F.lit(0 in sizes)).select("text", F.lit("").alias("term"))
     cuts = [n for n in sizes if n]
     if not cuts:
