@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postflow.functions.text import col
-from postflow.session import checkpoint_dir
+from postflow.session import checkpoint_dir, shuffle_partitions
 
 # Lengths of pieces; a term is cut into the longest that it has (longer ones are rarer).
 PIECES = (6, 3, 2, 1, 0)
@@ -37,8 +37,10 @@ def held_terms(texts: DataFrame, column: str, terms: DataFrame) -> DataFrame:
     whose hashes are equal are all searched, so a collision costs time only. A text is
     cut in memory by the task that reads it (about a hundred bytes a distinct piece)."""
     text = texts.select(F.lower(col(column)).alias("text")).filter("text IS NOT NULL").distinct()
-    checkpoint_dir(texts.sparkSession)
-    text = text.withColumn("_text_key", F.xxhash64("text")).checkpoint(eager=True)  # read three times below
+    spark = texts.sparkSession
+    checkpoint_dir(spark)
+    # read three times below; a fixed width, as few bytes of text make many pieces
+    text = text.withColumn("_text_key", F.xxhash64("text")).repartition(shuffle_partitions(spark), "_text_key").checkpoint(eager=True)
     term = terms.select(F.lower("term").alias("term")).filter("term IS NOT NULL").distinct()
     size = F.coalesce(*[F.when(F.length("term") >= n, F.lit(n)) for n in PIECES])
     sizes = sorted(r[0] for r in term.select(size).distinct().collect())  # at most five numbers
