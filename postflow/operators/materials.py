@@ -1,9 +1,9 @@
 """Generated texts: pending queue, prompts, batch generation, run summary.
 
 Generation is the one place Python runs on rows: the caller's batch function
-(list of prompts -> list of texts) is called through `mapInPandas`, made once
+(list of prompts -> list of texts) is called through `mapInArrow`, made once
 per partition, on Arrow batches that hold only the key and the two prompts
-(a filter above `mapInPandas` is not pushed below it, so the plan filters and
+(a filter above `mapInArrow` is not pushed below it, so the plan filters and
 projects first).
 """
 
@@ -12,7 +12,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Callable, Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -97,16 +97,6 @@ def _call(fn: BatchFn, items: list[str]) -> tuple[list[str | None], list[str | N
             [GenerationError.__name__ if t is None else None for t in out])
 
 
-def _chunked(fn: BatchFn, items: list[str], size: int) -> tuple[list[str | None], list[str | None]]:
-    texts: list[str | None] = []
-    errors: list[str | None] = []
-    for i in range(0, len(items), size):
-        t, e = _call(fn, items[i:i + size])
-        texts += t
-        errors += e
-    return texts, errors
-
-
 def generate(prompt_rows: DataFrame, generator: str | GeneratorFactory, as_of: dt.datetime,
              name: str | None = None, call_size: int = 64) -> DataFrame:
     """Materials rows (job_board_id, cover_letter, cold_email, generator, generated_at, error).
@@ -114,30 +104,31 @@ def generate(prompt_rows: DataFrame, generator: str | GeneratorFactory, as_of: d
     A row whose either call fails gets `error` set and both texts null, so it
     stays pending; other rows of the batch are unaffected. The generator gets
     at most `call_size` prompts per call (prompts carry whole descriptions), and
-    the Arrow batches it reads from are capped by
-    `spark.sql.execution.arrow.maxRecordsPerBatch`.
+    only those of one call are Python strings at a time: the rest of an Arrow batch,
+    which Spark caps in rows and bytes (`spark.sql.execution.arrow.maxRecordsPerBatch`,
+    `maxBytesPerBatch`), stays in Arrow's own buffer.
     """
     factory = generator_for(generator) if isinstance(generator, str) else generator
     gen_name = name or (generator if isinstance(generator, str) else getattr(factory, "__name__", "custom"))
-    stamp = pd.Timestamp(as_of)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fn = factory()
-        for pdf in batches:
-            covers, cerr = _chunked(fn, pdf["cover_prompt"].fillna("").tolist(), call_size)
-            emails, eerr = _chunked(fn, pdf["email_prompt"].fillna("").tolist(), call_size)
-            err = [c or e for c, e in zip(cerr, eerr)]
-            yield pd.DataFrame({
-                "job_board_id": pdf["job_board_id"],
-                "cover_letter": [None if x else c for c, x in zip(covers, err)],
-                "cold_email": [None if x else m for m, x in zip(emails, err)],
-                "generator": gen_name,
-                "generated_at": stamp,
-                "error": err,
-            })
-
-    out = prompt_rows.select("job_board_id", "cover_prompt", "email_prompt").mapInPandas(run, schema.MATERIALS)
-    return out
+        for batch in batches:
+            for start in range(0, batch.num_rows, call_size):
+                keys, covers, emails = batch.slice(start, call_size).columns
+                covers, cerr = _call(fn, [p or "" for p in covers.to_pylist()])
+                emails, eerr = _call(fn, [p or "" for p in emails.to_pylist()])
+                err = [c or e for c, e in zip(cerr, eerr)]
+                yield pa.RecordBatch.from_pydict({
+                    "job_board_id": keys,
+                    "cover_letter": pa.array([None if x else c for c, x in zip(covers, err)], pa.string()),
+                    "cold_email": pa.array([None if x else m for m, x in zip(emails, err)], pa.string()),
+                    "generator": pa.array([gen_name] * len(err), pa.string()),
+                    "generated_at": pa.array([as_of] * len(err), pa.timestamp("us")),
+                    "error": pa.array(err, pa.string()),
+                })
+
+    return prompt_rows.select("job_board_id", "cover_prompt", "email_prompt").mapInArrow(run, schema.MATERIALS)
 
 
 def run_generation(view: DataFrame, resume_summary: str, generator: str | GeneratorFactory,

@@ -95,3 +95,23 @@ def test_failing_prompt_does_not_repeat_the_others():
     assert [t for t in texts if t] == [p.upper() for p in items if p != "bad"]
     assert errors[17] == "RuntimeError" and sum(e is not None for e in errors) == 1
     assert len(calls) == 13 and sum(calls) < 3 * 64  # halves, not 64 single calls
+
+
+def test_both_prompts_of_a_call_are_done_before_the_next_are_read(spark):
+    def factory():
+        calls = []
+
+        def run(prompts):
+            calls.append(len(prompts))
+            return [f"{len(calls)} {len(prompts)} {len(p)}" for p in prompts]
+        return run
+
+    view = postings(spark, [{}]).drop("job_board_id", "description").crossJoin(spark.range(0, 100, 1, 1).selectExpr(
+        "concat('k-', id) AS job_board_id", "repeat('x', 1000 * int(id)) AS description"))
+    made = M.generate(M.prompts(view, "cv"), factory, AS_OF, call_size=8).collect()
+    assert len({r.job_board_id for r in made}) == 100 and not any(r.error for r in made)
+    covers, emails = ([tuple(map(int, r[c].split())) for r in made] for c in ("cover_letter", "cold_email"))
+    # not all letters of an Arrow batch first, which would hold all its prompts as Python strings
+    assert all(e[0] == c[0] + 1 and e[1] == c[1] <= 8 for c, e in zip(covers, emails))
+    assert len({c[0] for c in covers}) == 13
+    assert [c[2] - covers[0][2] for c in covers] == [e[2] - emails[0][2] for e in emails] == [1000 * i for i in range(100)]
