@@ -283,6 +283,8 @@ def _by_difference(members: DataFrame, labels: DataFrame, tried: DataFrame, reps
     # a difference of one set alone meets none; such come first in every order
     at = F.col("size") - F.count("*").over(by_node) + F.row_number().over(by_node.orderBy("df", "token"))
     placed = tokens.join(shared, ["area", "token"]).withColumn("at", at).join(least.drop("node0"), "area")
+    # read twice: written once, the join of both ends is a small plan
+    placed = materialize(placed.drop("df"), "placed")
     needs = lambda w: F.greatest(F.lit(1), F.ceil(w / F.lit(2 * plus)))
     index = placed.filter(F.col("at") <= F.col("size") - needs(2 * F.col("w")) + 1)
     probe = placed.filter(F.col("at") <= F.col("size") - needs(F.col("w") + F.col("w0")) + 1)

@@ -1,6 +1,7 @@
 """Exact, near, substring and suffix-array dedup against brute force."""
 
 import hashlib
+import random
 
 import numpy as np
 import pyarrow as pa
@@ -10,7 +11,8 @@ from pyspark.sql import functions as F
 
 from postflow.llm import op02_exact_dedup, op03_suffix_dedup, op06_near_dedup, op07_substring_dedup, runs
 from postflow.llm import textarrays as ta
-from postflow.llm.components import components
+from postflow.llm.common import materialize
+from postflow.llm.components import components, joined
 
 
 def sha(b):
@@ -162,6 +164,41 @@ def test_components_of_a_chain(spark):
     assert got == {**dict.fromkeys(range(61), 0), 100: 100, 101: 100}
 
 
+def test_components_take_few_rounds(spark, monkeypatch):
+    """The driver plans every round: a chain of any length takes a few small ones, without
+    a join to hang its nodes up."""
+    plans = []
+
+    def written(df, name):
+        plans.append((name, df._jdf.queryExecution().executedPlan().toString()))
+        assert len(plans) <= 8
+        return materialize(df, name)
+
+    monkeypatch.setattr("postflow.llm.components.materialize", written)
+    n = 2000
+    chain = spark.createDataFrame([(i, i + 1) for i in range(n)], "a long, b long").repartition(6)
+    got = components(chain)
+    assert got.count() == n + 1 and got.filter("component != 0").isEmpty()
+    assert not [p for name, p in plans if name == "hooks" and "Join" in p]
+
+
+def test_components_of_random_links(spark, monkeypatch):
+    """Repeated links, links to itself, either end first; at one go, and a few links at a time."""
+    rng = random.Random(8)
+    links = [(rng.randrange(-150, 150), rng.randrange(-150, 150)) for _ in range(130)]
+    links += links[:20] + [(b, a) for a, b in links[20:40]] + [(400, 400), (1 << 60, -(1 << 60)), (1 << 60, (1 << 60) - 1)]
+    root = {x: x for link in links for x in link}
+    for _ in root:
+        for a, b in links:
+            root[a] = root[b] = min(root[a], root[b])
+    links = spark.createDataFrame(links, "a long, b long").repartition(5)
+    assert sorted(map(tuple, components(links).collect())) == sorted(root.items())
+    monkeypatch.setattr("postflow.llm.components.LINKS", 7)
+    taken = [b.num_rows for b in joined(iter(links.toArrow().to_batches()))]
+    assert len(taken) > 20 and max(taken) <= 14
+    assert sorted(map(tuple, components(links).collect())) == sorted(root.items())
+
+
 # -- substring -------------------------------------------------------------------
 
 def brute_windows(data, n=20):
